@@ -16,6 +16,7 @@ each give a row; other columns are ignored; an empty table gives none.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import Counter
@@ -35,6 +36,8 @@ UNSTABLE = re.compile(
 )
 #: Longest pre-token, in bytes, and number of pre-tokens that may be broadcast: 2 MB at most.
 HOT_BYTES, HOT_ROWS = 48, 30_000
+#: Rows whose frequencies a task holds at once.
+ROWS = 128
 
 
 def load(vocabulary: str):
@@ -52,15 +55,19 @@ class Splitter:
     def __init__(self, vocabulary: str):
         import public_tokenizers
         import regex
+        from tokenizers import pre_tokenizers
 
-        self.tokenizer = load(vocabulary)
+        with open(public_tokenizers.path(vocabulary), encoding="utf-8") as file:
+            spec = json.load(file)
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # The whole tokenizer takes much memory; its splitter is all that is used here.
+        self.own = pre_tokenizers.ByteLevel(add_prefix_space=spec["pre_tokenizer"]["add_prefix_space"])
+        special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)")
 
     def parts(self, text: str) -> list[str]:
         if UNSTABLE.search(text):
-            cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+            cut = self.own.pre_tokenize_str(text)
             return [text[a:b] for _, (a, b) in cut]
         return self.split(text)
 
@@ -86,7 +93,7 @@ def count_tokens(
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(vocabulary)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
             row, doc_id, text = batch.columns
             counts = [splitter.count(x or "") for x in text.to_pylist()]
             n_bytes = [len((x or "").encode()) for x in text.to_pylist()]
