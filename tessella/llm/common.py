@@ -30,7 +30,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, so that its
     lineage ends there and lost executors cost nothing."""
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

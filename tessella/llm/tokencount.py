@@ -34,8 +34,8 @@ UNSTABLE = re.compile(
     "[^\t\n\r -~\xa1-\xac\xae-ɏΑ-ΡΣ-Ωα-ωА-я"
     "–—‘-”•…€ぁ-ゖァ-ヺ一-龥가-힣]"
 )
-#: Longest pre-token, in bytes, and number of pre-tokens that may be broadcast: 2 MB at most.
-HOT_BYTES, HOT_ROWS = 48, 30_000
+#: Longest pre-token, in bytes, and number of pre-tokens that may be broadcast: 12 MB at most.
+HOT_BYTES, HOT_ROWS = 48, 200_000
 #: Rows whose frequencies a task holds at once.
 ROWS = 128
 
@@ -128,8 +128,7 @@ def count_tokens(
         ),
         "token-freq",
     )
-    key = ["row", "doc_id", "n_bytes"]
-    long = held.select(*key, F.inline(F.arrays_zip("pre", "freq")))
+    long = held.select("row", F.inline(F.arrays_zip("pre", "freq")))
     used = held.select(F.inline(F.arrays_zip("pre", "freq"))).groupBy("pre").agg(F.sum("freq").alias("used"))
     vocab = materialise(used.mapInArrow(pieces, "pre string, used long, n_pieces long"), "token-vocab")
     hot = (
@@ -140,12 +139,15 @@ def count_tokens(
     )
     hot = materialise(hot, "token-hot")
     weight = (F.col("freq") * F.col("n_pieces")).alias("n")
-    common = long.join(F.broadcast(hot), "pre").select(*key, weight)
+    # Only ``row`` travels with the pre-tokens; each row's own values join its sum at the end.
+    own = [F.lit(None).cast("long").alias(c) for c in ("doc_id", "n_bytes")]
+    common = long.join(F.broadcast(hot), "pre").select("row", weight, *own)
     rare = (
         long.join(F.broadcast(hot.select("pre")), "pre", "left_anti")
         .join(vocab.select("pre", "n_pieces"), "pre")
-        .select(*key, weight)
+        .select("row", weight, *own)
     )
-    none = held.select(*key, F.lit(0).cast("long").alias("n"))
-    total = common.unionAll(rare).unionAll(none).groupBy(*key).agg(F.sum("n").alias("n_tokens"))
+    none = held.select("row", F.lit(0).cast("long").alias("n"), "doc_id", "n_bytes")
+    total = common.unionAll(rare).unionAll(none).groupBy("row")
+    total = total.agg(F.sum("n").alias("n_tokens"), F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"))
     return total.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
