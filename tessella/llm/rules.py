@@ -152,15 +152,22 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, limit: int)
     return each.orderBy(F.xxhash64("__id"), "__id").limit(limit)
 
 
+def with_bins(rows: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+    """rows with ``k_<feature>``, how many cuts lie below the value."""
+    def below(f: str) -> Column:
+        listed = F.array(*map(F.lit, cuts[f]))
+        return F.size(F.filter(listed, lambda c: c < F.col(f)))
+
+    return rows.withColumns({f"k_{f}": below(f) for f in cuts})
+
+
 def sums_by_bin(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[str, list[tuple[int, int]]]:
     """(good, bad) rows of every bin of every feature; bin k lies above k cuts."""
-    each = [
-        F.struct(F.lit(f).alias("f"), sum((F.col(f) > F.lit(c)).cast("int") for c in cuts[f]).alias("k")) for f in cuts
-    ]
-    stacked = rows.select("__bad", F.explode(F.array(*each)).alias("x")).groupBy("x.f", "x.k")
-    out = {f: [(0, 0)] * (len(c) + 1) for f, c in cuts.items()}
+    each = [F.struct(F.lit(i).alias("f"), F.col(f"k_{f}").alias("k")) for i, f in enumerate(cuts)]
+    stacked = rows.select("__bad", F.inline(F.array(*each))).groupBy("f", "k")
+    out, names = {f: [(0, 0)] * (len(c) + 1) for f, c in cuts.items()}, list(cuts)
     for r in stacked.agg(F.sum(1 - F.col("__bad")).alias("good"), F.sum("__bad").alias("bad")).collect():
-        out[r["f"]][r["k"]] = (r["good"], r["bad"])
+        out[names[r["f"]]][r["k"]] = (r["good"], r["bad"])
     return out
 
 
@@ -196,18 +203,19 @@ def centred(rows: DataFrame, rule: Rule) -> Rule:
 
 
 def learn_rules(
-    stats: DataFrame, max_rules: int = 6, max_conditions: int = 3, bins: int = 48, least: int = 3, precision: float = 0.9
+    stats: DataFrame, max_rules: int = 6, max_conditions: int = 3, bins: int = 24, least: int = 3, precision: float = 0.9
 ) -> list[Rule]:
     """Decision list over rows with ``__id``, ``__bad`` and ``FEATURES``."""
     at = [i / bins for i in range(1, bins)]
-    q = stats.agg(*(F.percentile_approx(f, F.array(*map(F.lit, at)), F.lit(10_000)).alias(f) for f in FEATURES)).first()
-    bad = stats.where("__bad = 1").agg(
-        *(F.percentile_approx(f, F.array(*map(F.lit, at)), F.lit(10_000)).alias(f) for f in FEATURES)
-    ).first()
+    marks = F.array(*map(F.lit, at))
+    q, bad = (
+        x.agg(*(F.percentile_approx(f, marks, F.lit(10_000)).alias(f) for f in FEATURES)).first()
+        for x in (stats, stats.where("__bad = 1"))
+    )
     cuts = {f: sorted({float(x) for r in (q, bad) for x in (r[f] or [])}) for f in FEATURES}
     cuts = {f: c for f, c in cuts.items() if c}
     grown = F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(3)) > 0
-    left, rules = stats, []
+    left, rules = materialise(with_bins(stats, cuts), "rules-bins"), []
     while len(rules) < max_rules and cuts:
         rule: list[Condition] = []
         rows = left.where(grown)
