@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 from .components import components
-from .decontam import Words, factors
+from .decontam import Words, bit_places, bitmap_of, factors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CHUNK = 256  # texts in a chunk
@@ -92,12 +92,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, trees: int,
         for batch in batches:
             row, doc_id, text, key = batch.columns
             for lo in range(0, len(batch), 512):
-                digests, sizes, nodes, sets = [], [], [], []
+                digests, sizes, nodes = [], [], []
                 for x in text[lo : lo + 512].to_pylist():
                     s = shingle_set(memo.hashes(x or ""), n)
                     digests.append(xxhash.xxh128_hexdigest(s.tobytes()))
                     sizes.append(len(s))
-                    sets.append(s.tobytes())
                     if len(s):
                         m = min_hashes(s, multipliers).reshape(trees, depth)[:, :used].astype(np.uint64)
                         h = (m * mix[None, :used]).sum(1) + np.arange(trees, dtype=np.uint64) * mix[used]
@@ -107,9 +106,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, trees: int,
                 yield pa.RecordBatch.from_arrays(
                     [
                         row[lo : lo + 512], doc_id[lo : lo + 512], key[lo : lo + 512], pa.array(digests),
-                        pa.array(sizes, pa.int64()), pa.array(nodes, pa.list_(pa.int64())), pa.array(sets, pa.binary()),
+                        pa.array(sizes, pa.int64()), pa.array(nodes, pa.list_(pa.int64())),
                     ],
-                    ["row", "doc_id", "text_key", "digest", "n_shingles", "nodes", "shingles"],
+                    ["row", "doc_id", "text_key", "digest", "n_shingles", "nodes"],
                 )
 
     text = F.col(text_col).cast("string")
@@ -117,10 +116,34 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, trees: int,
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
         text.alias("text"), F.xxhash64(text).alias("text_key"),
     )
-    schema = "row long, doc_id long, text_key long, digest string, n_shingles long, nodes array<long>, shingles binary"
+    schema = "row long, doc_id long, text_key long, digest string, n_shingles long, nodes array<long>"
     return chosen.mapInArrow(sign, schema)
 
 
+def row_key(doc_id, text_key):
+    return F.xxhash64(doc_id, text_key)
+
+
+def candidate_sets(docs: DataFrame, id_col: str, text_col: str, n: int, bitmap) -> DataFrame:
+    """(key, shingles) of the rows whose key is in the bitmap, once per key. Sets
+    take more room than texts, so they are made again for the few that need them."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = PlainWords()
+        bits = np.unpackbits(bitmap.value).view(np.bool_)
+        for batch in batches:
+            a, b = bit_places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            chosen = batch.filter(pa.array(bits[a] & bits[b]))
+            for lo in range(0, len(chosen), 256):
+                part = chosen.slice(lo, 256)
+                sets = [shingle_set(memo.hashes(x or ""), n).tobytes() for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["key", "shingles"])
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(row_key(F.col(id_col).cast("long"), F.xxhash64(text)).alias("key"), text.alias("text"))
+    return rows.mapInArrow(pick, "key long, shingles binary").dropDuplicates(["key"])
+
+
 def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of two lists of sets, by products of 0/1 blocks."""
     values = np.concatenate([*a, *b])
@@ -191,13 +214,17 @@ def near_duplicates(
     met = materialise(members.join(met.drop("n"), ["tree", "node"]).select("row", "tree", "node", "first"), "lsh-met")
     groups = components(met.select(F.col("row").alias("u"), F.col("first").alias("v")), "lsh-cand")
     # Chunks of a component: hashed by row, as many as its texts and shingles ask for.
-    wide = groups.withColumnRenamed("u", "row").join(held.select("row", "n_shingles", "shingles"), "row")
-    wide = materialise(wide.join(classes.select(F.col("rep").alias("row"), "weight"), "row"), "lsh-wide")
+    wide = groups.withColumnRenamed("u", "row").join(held.select("row", "doc_id", "text_key", "n_shingles"), "row")
+    wide = wide.join(classes.select(F.col("rep").alias("row"), "weight"), "row")
+    wide = materialise(wide.withColumn("key", row_key("doc_id", "text_key")), "lsh-wide")
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(wide.select(F.col("key").alias("hash"))))
+    sets = candidate_sets(docs, id_col, text_col, n, bitmap)
     sums = wide.groupBy("root").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
     parts = F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("long")
     sums = sums.select("root", parts.alias("parts"))
     placed = wide.join(sums, "root").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
-    placed = placed.select("row", "root", "part", "parts", "weight", "shingles")
+    placed = placed.select("key", "row", "root", "part", "parts", "weight").join(sets, "key").drop("key")
+    placed = materialise(placed, "lsh-placed")
     one = placed.where("parts = 1").select("root", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"),
                                            F.lit(0).cast("long").alias("side"), "row", "weight", "shingles")
     many = placed.where("parts > 1")
