@@ -1,11 +1,257 @@
-"""Queries over the driver's tables, one for each relational operator of the engine."""
+"""Queries over the driver's tables, one for each relational operator of the engine.
+
+The tables know nothing of images, so each query runs an operator by analogy: a
+conversation's turns stand for pages, an order's lines for a series, an embedding of
+64 numbers for an 8 x 8 image.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import omexml
+from ..functions import scalars as S
+
+RENAMES = {"NATION_0": "Argentina", "NATION_3": "Canada", "NATION_9": "Indonesia", "NATION_99": "unused"}
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    return at.select("vec_id", F.expr("i div 8").alias("y"), (F.col("i") % 8).cast("long").alias("x"), F.col("v").cast("double").alias("v"))
+
+
+def pyramid_area(spark, sf_dir):
+    """The next pyramid level by means of 2 x 2 pixels."""
+    up = pixels(spark, sf_dir).groupBy("vec_id", F.expr("y div 2").alias("y"), F.expr("x div 2").alias("x"))
+    return up.agg(F.round(F.avg("v"), 6).alias("v"))
+
+
+def pyramid_simple(spark, sf_dir):
+    """The next pyramid level by every second pixel."""
+    kept = pixels(spark, sf_dir).where("y % 2 = 0 and x % 2 = 0")
+    return kept.select("vec_id", F.expr("y div 2").alias("y"), F.expr("x div 2").alias("x"), F.round("v", 6).alias("v"))
+
+
+def tile_retile(spark, sf_dir):
+    """Pixels regrouped into 4 x 4 tiles, in row order."""
+    p = pixels(spark, sf_dir).withColumns({"ty": F.expr("y div 4"), "tx": F.expr("x div 4"), "i": F.expr("y * 8 + x")})
+    return p.groupBy("vec_id", "ty", "tx").agg(
+        F.array_join(S.in_order(F.col("i").cast("string"), F.col("i")), ",").alias("positions"), F.round(F.sum("v"), 4).alias("total")
+    )
+
+
+def md5_checksum(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select(
+        "doc_id", F.md5(F.col("text")).alias("md5_checksum"), F.octet_length("text").cast("long").alias("size_bytes")
+    )
+
+
+def duplicate_file_groups(spark, sf_dir):
+    groups = t(spark, sf_dir, "documents").groupBy(F.md5(F.col("text")).alias("md5_checksum"))
+    return groups.agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+def channel_rename(spark, sf_dir):
+    mapping = F.create_map(*(F.lit(x) for pair in RENAMES.items() for x in pair))
+    return t(spark, sf_dir, "nation").select("n_nationkey", S.renamed(F.col("n_name"), mapping).alias("n_name"))
+
+
+def channel_rename_join(spark, sf_dir):
+    """The same as a left join with a table of names, which is of a fixed small size."""
+    names = spark.createDataFrame(list(RENAMES.items()), "old string, new string")
+    joined = t(spark, sf_dir, "nation").join(F.broadcast(names), F.col("n_name") == F.col("old"), "left")
+    return joined.select("n_nationkey", F.coalesce("new", "n_name").alias("n_name"))
+
+
+def json_metadata_field(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+def json_map_parse(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", S.rename_map(F.col("props"))["k"].alias("k"))
+
+
+def run_time_format(spark, sf_dir):
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    spans = t(spark, sf_dir, "events").groupBy("user_id").agg((F.max(micros) - F.min(micros)).alias("us"))
+    return spans.select("user_id", S.run_time(F.col("us") / F.lit(1e6)).alias("run_time"))
+
+
+def readable_timestamp(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", S.readable_time(F.col("ts")).alias("readable"))
+
+
+def markup_field_extract(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+def version_probe(spark, sf_dir):
+    """The version pattern over made-up tool output: a match for every other part."""
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("  Version = "), F.col("p_size").cast("string"), F.lit(".1 x"))).otherwise("none")
+    return t(spark, sf_dir, "part").select("p_partkey", S.tool_version(text).alias("version"))
+
+
+def channel_element_render(spark, sf_dir):
+    made = omexml.element("Channel", {
+        "ID": F.format_string("Channel:%d:%d", "conv_id", "turn"), "Name": F.col("role"), "SamplesPerPixel": F.lit(1),
+    }, F.lit("<LightPath/>"))
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", made.alias("element"))
+
+
+def xml_escape(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", omexml.escaped(F.col("html")).alias("escaped"))
+
+
+def channels_ordered_collect(spark, sf_dir):
+    grouped = t(spark, sf_dir, "conversations").groupBy("conv_id")
+    return grouped.agg(F.array_join(S.in_order(F.col("role"), F.col("turn")), "|").alias("channels"))
+
+
+def tag_map_last_wins(spark, sf_dir):
+    return t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("value"))
+
+
+def first_page_select(spark, sf_dir):
+    return t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_text"))
+
+
+def page_ordinals(spark, sf_dir):
+    """Pages paired with their ordinals, as enumerate does."""
+    listed = t(spark, sf_dir, "conversations").groupBy("conv_id").agg(S.in_order(F.col("role"), F.col("turn")).alias("roles"))
+    return listed.select("conv_id", F.posexplode("roles").alias("i", "role")).withColumn("i", F.col("i").cast("long"))
+
+
+def series_page_count(spark, sf_dir):
+    return t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("size_c"), F.count("*").alias("plane_count"))
+
+
+def series_select(spark, sf_dir):
+    return t(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_quantity")
+
+
+def dtype_map(spark, sf_dir):
+    return t(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_type") == "ECONOMY", "float").otherwise(F.col("p_type")).alias("type"))
+
+
+def type_dispatch(spark, sf_dir):
+    """Image type to label by a conditional chain, unknown ones to null."""
+    kind = F.col("event_type")
+    label: Column = F.lit(None).cast("string")
+    for k, v in (("click", "first"), ("view", "second"), ("purchase", "third")):
+        label = F.when(kind == k, v).otherwise(label)
+    return t(spark, sf_dir, "events").select("event_id", label.alias("label"))
+
+
+def compression_ratio(spark, sf_dir):
+    lines = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("s"))
+    both = t(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return both.select("o_orderkey", F.round(S.size_ratio(F.col("s"), F.col("o_totalprice")), 6).alias("ratio"))
+
+
+def deidentify_projection(spark, sf_dir):
+    return t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+
+
+def features_annotation_merge(spark, sf_dir):
+    """Features joined one to one with what the other store holds, kept without a match."""
+    notes = t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("note"))
+    return t(spark, sf_dir, "documents").select("doc_id", "lang").join(notes, "doc_id", "left")
+
+
+def argument_filter(spark, sf_dir):
+    """A command's arguments without those that are null."""
+    flag = F.when(F.col("o_orderpriority").startswith("1"), "-p")
+    made = S.argument_list(F.lit("run"), flag, F.col("o_orderstatus"))
+    return t(spark, sf_dir, "orders").select("o_orderkey", F.array_join(made, " ").alias("command"))
+
+
+def shape_positions(spark, sf_dir):
+    """Positions of an array as sizes, null past its end."""
+    e = F.col("embedding")
+    return t(spark, sf_dir, "embeddings").select(
+        "vec_id", F.size(e).cast("long").alias("n"), F.round(F.get(e, 3).cast("double"), 6).alias("size_x"), F.get(e, 64).cast("double").alias("none")
+    )
+
+
+def conversion_report(spark, sf_dir):
+    """The report's nested record read back from its own JSON."""
+    d = t(spark, sf_dir, "documents").select("doc_id", F.struct(
+        F.struct(F.col("source").alias("path"), F.md5(F.col("text")).alias("md5_checksum"), F.col("n_chars").alias("size_bytes")).alias("input_file"),
+        F.struct(F.lit("LZW").alias("compression"), F.lit(None).cast("string").alias("uuid")).alias("options"),
+    ).alias("r"))
+    text = F.to_json("r", {"ignoreNullFields": "false"})
+    back = F.from_json(text, d.schema["r"].dataType.simpleString())
+    return d.select("doc_id", back["input_file"]["path"].alias("path"), back["input_file"]["md5_checksum"].alias("md5_checksum"),
+                    back["input_file"]["size_bytes"].alias("size_bytes"), back["options"]["compression"].alias("compression"))
+
+
+def ome_xml_roundtrip(spark, sf_dir):
+    """Documents rendered from parts and parsed again."""
+    p = t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    xml = F.concat(F.lit(f'<OME xmlns="{omexml.OME_NAMESPACE}"><Image>'), omexml.element(
+        "Pixels", {"SizeX": F.col("p_size"), "SizeY": F.col("p_size")},
+        omexml.element("Channel", {"ID": F.lit("Channel:0:0"), "Name": F.col("p_name"), "SamplesPerPixel": F.lit(1)}),
+    ), F.lit("</Image></OME>"))
+    q = p.select("p_partkey", omexml.parsed(xml, omexml.EMBEDDED_XML)["Image"]["Pixels"].alias("x"))
+    return q.select("p_partkey", F.col("x._SizeX").alias("size_x"), F.get("x.Channel", 0)["_Name"].alias("name"))
+
+
+PIXELS = """
+p AS (SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, CAST(embedding[i] AS DOUBLE) AS v
+      FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))"""
+
+_RENAME = "CASE n_name " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in RENAMES.items()) + " ELSE n_name END"
+
+SQL = {
+    "pyramid_area": f"WITH {PIXELS} SELECT vec_id, y // 2 AS y, x // 2 AS x, round(avg(v), 6) AS v FROM p GROUP BY ALL",
+    "pyramid_simple": f"WITH {PIXELS} SELECT vec_id, y // 2 AS y, x // 2 AS x, round(v, 6) AS v FROM p WHERE y % 2 = 0 AND x % 2 = 0",
+    "tile_retile": f"""WITH {PIXELS} SELECT vec_id, y // 4 AS ty, x // 4 AS tx,
+        string_agg(CAST(y * 8 + x AS VARCHAR), ',' ORDER BY y * 8 + x) AS positions, round(sum(v), 4) AS total
+        FROM p GROUP BY vec_id, y // 4, x // 4""",
+    "md5_checksum": "SELECT doc_id, md5(text) AS md5_checksum, strlen(text) AS size_bytes FROM documents",
+    "duplicate_file_groups": "SELECT md5(text) AS md5_checksum, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "channel_rename": f"SELECT n_nationkey, {_RENAME} AS n_name FROM nation",
+    "channel_rename_join": f"SELECT n_nationkey, {_RENAME} AS n_name FROM nation",
+    "json_metadata_field": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
+    "json_map_parse": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
+    "run_time_format": """WITH s AS (SELECT user_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS s FROM events GROUP BY user_id)
+        SELECT user_id, printf('%02d:%02d:%05.2f', CAST(floor(s / 3600) AS BIGINT), CAST(floor((s % 3600) / 60) AS BIGINT), s % 60) AS run_time FROM s""",
+    "readable_timestamp": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS readable FROM events",
+    "markup_field_extract": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages",
+    "version_probe": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size || '.1' END AS version FROM part",
+    "channel_element_render": """SELECT conv_id, turn, printf('<Channel ID="Channel:%d:%d" Name="%s" SamplesPerPixel="1"><LightPath/></Channel>',
+        conv_id, turn, role) AS element FROM conversations""",
+    "xml_escape": """SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages""",
+    "channels_ordered_collect": "SELECT conv_id, string_agg(role, '|' ORDER BY turn) AS channels FROM conversations GROUP BY conv_id",
+    "tag_map_last_wins": "SELECT conv_id, arg_max(role, turn) AS value FROM conversations GROUP BY conv_id",
+    "first_page_select": "SELECT conv_id, arg_min(text, turn) AS first_text FROM conversations GROUP BY conv_id",
+    "page_ordinals": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role FROM conversations",
+    "series_page_count": "SELECT l_orderkey, count(*) AS size_c, count(*) AS plane_count FROM lineitem GROUP BY l_orderkey",
+    "series_select": "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_linenumber = 1",
+    "dtype_map": "SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 'float' ELSE p_type END AS type FROM part",
+    "type_dispatch": "SELECT event_id, CASE event_type WHEN 'click' THEN 'first' WHEN 'view' THEN 'second' WHEN 'purchase' THEN 'third' END AS label FROM events",
+    "compression_ratio": """SELECT o_orderkey, round(s / nullif(o_totalprice, 0), 6) AS ratio FROM orders
+        JOIN (SELECT l_orderkey, sum(l_extendedprice) AS s FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""",
+    "deidentify_projection": "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer",
+    "features_annotation_merge": """SELECT d.doc_id, lang, note FROM documents d
+        LEFT JOIN (SELECT doc_id, max(quality) AS note FROM labels GROUP BY 1) n ON d.doc_id = n.doc_id""",
+    "argument_filter": "SELECT o_orderkey, concat_ws(' ', 'run', CASE WHEN o_orderpriority LIKE '1%' THEN '-p' END, o_orderstatus) AS command FROM orders",
+    "shape_positions": "SELECT vec_id, len(embedding) AS n, round(CAST(embedding[4] AS DOUBLE), 6) AS size_x, CAST(embedding[65] AS DOUBLE) AS none FROM embeddings",
+    "conversion_report": "SELECT doc_id, source AS path, md5(text) AS md5_checksum, n_chars AS size_bytes, 'LZW' AS compression FROM documents",
+    "ome_xml_roundtrip": "SELECT p_partkey, CAST(p_size AS VARCHAR) AS size_x, p_name AS name FROM part",
+}
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: globals()[name] for name in SQL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
