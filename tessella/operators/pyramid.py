@@ -30,18 +30,18 @@ def retile(blocks: DataFrame, size: int = 512) -> DataFrame:
     met = blocks.withColumn("ty", F.explode(F.sequence(F.expr(f"y0 div {size}"), last("y0", "h"))))
     met = met.withColumn("tx", F.explode(F.sequence(F.expr(f"x0 div {size}"), last("x0", "w"))))
 
-    def stitch(key, part: pd.DataFrame) -> pd.DataFrame:
+    def stitch(key, part):
         ty, tx = key[-2], key[-1]
         one = part.iloc[0]
         h, w = min(size, one.height - ty * size), min(size, one.width - tx * size)
-        out = np.zeros((h, w), one.dtype)
+        out = np.zeros((h, w), one["dtype"])
         for r in part.itertuples(index=False):
             block = np.frombuffer(r.data, out.dtype).reshape(r.h, r.w)
             y, x = r.y0 - ty * size, r.x0 - tx * size
             a, b = max(0, -y), max(0, -x)
             src = block[a : h - y, b : w - x]
             out[y + a : y + a + src.shape[0], x + b : x + b + src.shape[1]] = src
-        return pd.DataFrame([(*key, h, w, one.height, one.width, one.dtype, out.tobytes())], columns=NAMES)
+        return pd.DataFrame([(*key, h, w, one.height, one.width, one["dtype"], out.tobytes())], columns=NAMES)
 
     return met.groupBy(*KEY).applyInPandas(stitch, TILES)
 
