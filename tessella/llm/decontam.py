@@ -248,7 +248,10 @@ def find_overlaps(
                 s = shift[k].as_py()
                 lo, hi = max(0, -s), min(len(b), len(a) - s)
                 if hi > lo:
-                    equal, length = best_segment(a[lo + s : hi + s] == b[lo:hi])
+                    same = a[lo + s : hi + s] == b[lo:hi]
+                    equal, length = best_segment(same)
+                    if same.sum() >= similarity * len(b):  # the item as a whole, changed words at its ends too
+                        equal, length = int(same.sum()), len(b)
                     if equal >= min(min_words, similarity * len(b)) and equal >= similarity * length:
                         out.append((row[k].as_py(), doc_id[k].as_py(), item_id[k].as_py(), equal, length))
             cols = list(zip(*out, strict=True)) or [()] * 5

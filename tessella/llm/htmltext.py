@@ -203,6 +203,9 @@ def threshold(values: list[float]) -> float:
 
 def main_text(html: str, sigma: float = 1.0, majority: float = 0.8) -> str:
     """The text of a page's main region; see the module's description."""
+    at = html.rfind("<")
+    if at >= 0 and html[at + 1 : at + 2].strip(" =<0123456789") and ">" not in html[at:]:
+        html = html[:at]  # a tag that the page's end cuts off is no text
     parser = Lines()
     parser.feed(html)
     parser.close()
