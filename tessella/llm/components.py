@@ -21,7 +21,9 @@ def components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataF
     last = None
     for _ in range(max_rounds):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Written first, so that the join deals its own rows and a hub's can be split.
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialise(least, tag)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -269,7 +269,8 @@ def near_duplicates(
     )
     rows = materialise(rows, "lsh-rows")
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
-    heads = rows.groupBy("root").agg(F.min(order).alias("head"))
+    # Written first, so that the join below deals its own rows and a large class can be split.
+    heads = materialise(rows.groupBy("root").agg(F.min(order).alias("head")), "lsh-heads")
     out = rows.join(heads, "root")
     return out.select(
         "doc_id", "text_key", F.col("head.doc_id").alias("class_id"), "n_links", (F.col("row") == F.col("head.row")).alias("is_kept")
