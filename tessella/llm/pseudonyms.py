@@ -121,8 +121,14 @@ def ssn(value: str, p: Permuter, back: bool) -> str | None:
 
 
 def phone(value: str, p: Permuter, back: bool) -> str | None:
+    """Numbers whose area and exchange begin with 2 to 9 stay among their like."""
     digits = re.sub(r"\D", "", value)
-    return fill(value, digits[:-10] + str(p.of(int(digits[-10:]), 10**10, "phone", back)).zfill(10))
+    real = lambda d: d[0] >= "2" and d[3] >= "2"
+    own = new = digits[-10:]
+    while True:
+        new = str(p.of(int(new), 10**10, "phone", back)).zfill(10)
+        if real(new) == real(own):
+            return fill(value, digits[:-10] + new)
 
 
 def ip(value: str, p: Permuter, back: bool) -> str | None:
