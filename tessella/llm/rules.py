@@ -11,7 +11,8 @@ the driver sees only those, a bounded number. The result is a chain of
 Defined results: a null text counts as empty and has no words; repeated rows each
 give a row; of a document's repeated labels the mean decides; without labels, or
 with one class only, the list is empty and keeps what the base rules keep; other
-columns are ignored, as long as none begins with two underscores.
+columns are ignored, as long as none begins with two underscores. Columns named like
+results are replaced by them in ``apply_rules`` and kept as they are in ``passing``.
 """
 
 from __future__ import annotations
@@ -260,3 +261,10 @@ def apply_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> D
     """docs with the base counts, base_failed and kept."""
     df = text_statistics(docs, text_col).withColumn("kept", ~F.col("base_failed") & verdict(rules))
     return df.drop(*FEATURES)
+
+
+def passing(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """The rows that apply_rules keeps, with their own columns only, whatever these are called."""
+    plain = docs.toDF(*(f"own{i}" for i in range(len(docs.columns))))
+    kept = apply_rules(plain, rules, plain.columns[docs.columns.index(text_col)]).where("kept")
+    return kept.select(*plain.columns).toDF(*docs.columns)

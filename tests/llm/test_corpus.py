@@ -126,6 +126,10 @@ def test_text_counts(spark, messy, empty, small):
         assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and r.kept == (not r.base_failed)
     got = rules.apply_rules(messy, []).collect()
     assert len(got) == messy.count() and rules.apply_rules(empty, []).count() == 0
+    clash = df.selectExpr("doc_id", "text", "-doc_id AS n_words", "'x' AS kept", "doc_id AS f_upper")
+    out = rules.passing(clash, [])
+    assert out.columns == clash.columns and all(r.n_words == -r.doc_id and r.kept == "x" for r in out.collect())
+    assert out.count() == sum(r.kept for r in rules.apply_rules(df, []).collect())
 
 
 def test_learned_rules(spark, messy, empty):
