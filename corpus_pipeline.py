@@ -15,7 +15,7 @@ from tessella.llm.common import materialise, table
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learned list reject go."""
     learned = rules.fit_rules(docs, table(spark, sf_dir, "labels"))
-    return rules.apply_rules(docs, learned).where("kept").select(*docs.columns)
+    return rules.passing(docs, learned)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
