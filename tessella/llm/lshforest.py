@@ -280,8 +280,14 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each class of near duplicates, with its own columns."""
     found = near_duplicates(docs, id_col, text_col, **options).where("is_kept")
-    found = materialise(found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "lsh-kept")
+    found = found.select(no_null(F.col("doc_id")).alias("__id"), F.col("text_key").alias("__key"))
+    found = materialise(found, "lsh-kept")
     key = F.xxhash64(F.col(text_col).cast("string"))
-    keyed = docs.withColumns({"__id0": F.col(id_col).cast("long"), "__key0": key})
-    kept = keyed.join(found, keyed["__id0"].eqNullSafe(found["__id"]) & (keyed["__key0"] == found["__key"]), "left_semi")
-    return kept.dropDuplicates(["__id0", "__key0"]).drop("__id0", "__key0")
+    keyed = docs.withColumns({"__id": no_null(F.col(id_col).cast("long")), "__key": key})
+    # The second step keeps the partitions of the first, so texts are dealt once.
+    kept = keyed.join(found, ["__id", "__key"], "left_semi")
+    return kept.dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+
+
+def no_null(doc_id):
+    return F.coalesce(doc_id.cast("string"), F.lit(""))
