@@ -88,6 +88,16 @@ def test_pseudonyms_permute_and_reverse(spark, messy, empty):
     assert len(rows) == messy.count() and pseudonyms.pseudonymise(empty, "k").count() == 0
 
 
+def test_telephone_numbers_stay_among_their_like():
+    p = pseudonyms.Permuter("k")
+    for i in range(200):
+        for own in (f"2{i:02d}-3{i % 90:02d}-{i:04d}"[:12], f"(0{i % 90:02d}) 1{i % 70:02d}-{i:04d}"):
+            new = pseudonyms.phone(own, p, False)
+            a, b = (re.sub(r"\D", "", x) for x in (own, new))
+            assert (a[0] >= "2" and a[3] >= "2") == (b[0] >= "2" and b[3] >= "2") and len(own) == len(new)
+            assert pseudonyms.phone(new, p, True) == own
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.integers(2, 10**18), st.data())
 def test_feistel_reverses(n, data):
