@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +29,38 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Rows that go to a Python worker at once; whole texts are large beside Spark's default of 10,000.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Python stages run inside get at most ``BATCH_ROWS`` rows at once; the session's own setting returns."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    if 0 < int(own) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``."""
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            yield batch.slice(lo, rows)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, so that its
     lineage ends there and lost executors cost nothing."""
     path = fresh_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

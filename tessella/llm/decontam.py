@@ -42,7 +42,7 @@ CHUNK_WORDS = 1 << 20
 class Words(dict):
     """Word to 64-bit hash, remembered up to a bounded number of words."""
 
-    LIMIT = 500_000
+    LIMIT = 1 << 16
 
     def __missing__(self, word: str) -> int:
         import xxhash

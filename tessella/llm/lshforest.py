@@ -147,7 +147,7 @@ def candidate_sets(docs: DataFrame, id_col: str, text_col: str, n: int, bitmap)
 def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of two lists of sets, by products of 0/1 blocks."""
     values = np.concatenate([*a, *b])
-    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    owner = np.repeat(np.arange(len(a) + len(b), dtype=np.int32), [len(x) for x in (*a, *b)])
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     column = np.concatenate([[0], np.cumsum(values[1:] != values[:-1])])

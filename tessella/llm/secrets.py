@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 ASSIGN = re.compile(
     r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
@@ -115,7 +117,7 @@ def scan_secrets(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = TokenEfficiency(vocabulary)
         names = [x.split()[0] for x in SCHEMA.split(",")]
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 spans = all_spans(text or "", test, max_ratio)
@@ -152,7 +154,7 @@ def redact_secrets(
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = TokenEfficiency(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for text in batch.column(at).to_pylist():
                 end, parts = 0, []
