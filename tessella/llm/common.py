@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,11 +55,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(lo, rows)
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, so that its
-    lineage ends there and lost executors cost nothing."""
+    lineage ends there and lost executors cost nothing. ``small``: its Python
+    stages get small batches."""
     path = fresh_path(df.sparkSession, tag)
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession) if small else nullcontext():
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

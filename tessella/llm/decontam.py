@@ -221,12 +221,12 @@ def find_overlaps(
     """doc_id, item_id, n_equal, n_words: every document row and item that overlap,
     with the best segment's equal words and length."""
     spark = docs.sparkSession
-    held = materialise(item_hashes(items, item_id_col, item_text_col), "bench")
+    held = materialise(item_hashes(items, item_id_col, item_text_col), "bench", small=True)
     hashes = held.select("item_id", F.inline(F.arrays_zip("hash", "at")))
     bitmap = spark.sparkContext.broadcast(bitmap_of(hashes))
     size = F.size("words").alias("n")
     lengths = sorted(r.n for r in held.select(size).where(f"n < {SPAN}").distinct().collect())  # 6 at most
-    regions = materialise(hit_regions(docs, id_col, text_col, bitmap, lengths, reach), "bench-hits")
+    regions = materialise(hit_regions(docs, id_col, text_col, bitmap, lengths, reach), "bench-hits", small=True)
     seeds = regions.select("row", "start", F.inline(F.arrays_zip("hash", F.col("at").alias("doc_at"))))
     windows = broadcast_if_small(hashes.withColumnRenamed("at", "item_at"), broadcast_rows)
     found = (
@@ -266,5 +266,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """The rows of docs whose id has no overlap with any item; null ids compare as
     equal, and rows that share an id with an overlapping row go with it."""
     found = find_overlaps(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("__found")).distinct()
-    found = broadcast_if_small(materialise(found, "bench-docs"), 200_000)
+    found = broadcast_if_small(materialise(found, "bench-docs", small=True), 200_000)
     return docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("__found")), "left_anti")

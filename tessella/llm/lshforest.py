@@ -202,7 +202,7 @@ def near_duplicates(
     one row of a class, that of the least doc_id (of equal ones, the first read).
     """
     used = prefix_length(threshold, trees, depth, recall)
-    held = materialise(signatures(docs, id_col, text_col, n, trees, depth, used), "lsh-sets")
+    held = materialise(signatures(docs, id_col, text_col, n, trees, depth, used), "lsh-sets", small=True)
     classes = held.where("n_shingles > 0").groupBy("digest")
     classes = materialise(classes.agg(F.min("row").alias("rep"), F.count("*").alias("weight")), "lsh-classes")
     reps = held.join(classes.select(F.col("rep").alias("row"), "weight"), "row")
@@ -224,7 +224,7 @@ def near_duplicates(
     sums = sums.select("root", parts.alias("parts"))
     placed = wide.join(sums, "root").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
     placed = placed.select("key", "row", "root", "part", "parts", "weight").join(sets, "key").drop("key")
-    placed = materialise(placed, "lsh-placed")
+    placed = materialise(placed, "lsh-placed", small=True)
     one = placed.where("parts = 1").select("root", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"),
                                            F.lit(0).cast("long").alias("side"), "row", "weight", "shingles")
     many = placed.where("parts > 1")
@@ -253,7 +253,7 @@ def near_duplicates(
         return pa.table([pa.array(c, pa.int64()) for c in cols], ["u", "v", "n"])
 
     found = one.unionAll(split).groupBy("root", "a", "b").applyInArrow(block, "u long, v long, n long")
-    found = materialise(found, "lsh-links")
+    found = materialise(found, "lsh-links", small=True)
     counts = found.where("n is not null").groupBy("u").agg(F.sum("n").alias("linked"))
     roots = components(found.where("v is not null").select("u", "v"), "lsh-class")
     table = (
