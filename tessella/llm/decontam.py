@@ -203,15 +203,17 @@ def hit_regions(docs: DataFrame, id_col: str, text_col: str, bitmap, lengths: li
     return chosen.mapInArrow(find, "row long, doc_id long, start long, words array<long>, hash array<long>, at array<long>")
 
 
-def best_segment(equal: np.ndarray) -> tuple[int, int]:
-    """(equal words, length) of the run with the best score, +1 an equal word and
-    -3 another, so that over three quarters of any part of it are equal."""
-    score = np.cumsum(np.where(equal, 1, -3))
-    before = np.concatenate([[0], score[:-1]])
-    low = np.minimum.accumulate(before)
-    end = int(np.argmax(score - low))
-    start = int(np.flatnonzero(before[: end + 1] == low[end])[-1])
-    return int(equal[start : end + 1].sum()), end + 1 - start
+def best_segment(equal: np.ndarray, similarity: float = 0.8) -> tuple[int, int]:
+    """(equal words, length) of the segment with the most equal words among all
+    whose share of equal words is at least ``similarity``; no segment gives (0, 0)."""
+    count = np.concatenate([[0], np.cumsum(equal)])
+    over = count - similarity * np.arange(len(count))  # a segment qualifies if it does not fall
+    low = np.minimum.accumulate(over)
+    # The first start for each end: the first place where the least value so far is no higher.
+    first = len(low) - np.searchsorted(low[::-1], over + 1e-9, "right")
+    end = int(np.argmax(count - count[first]))
+    inside = np.flatnonzero(equal[first[end] : end])
+    return (len(inside), int(inside[-1] - inside[0]) + 1) if len(inside) else (0, 0)
 
 
 def find_overlaps(
@@ -249,7 +251,7 @@ def find_overlaps(
                 lo, hi = max(0, -s), min(len(b), len(a) - s)
                 if hi > lo:
                     same = a[lo + s : hi + s] == b[lo:hi]
-                    equal, length = best_segment(same)
+                    equal, length = best_segment(same, similarity)
                     if same.sum() >= similarity * len(b):  # the item as a whole, changed words at its ends too
                         equal, length = int(same.sum()), len(b)
                     if equal >= min(min_words, similarity * len(b)) and equal >= similarity * length:

@@ -45,6 +45,20 @@ def test_overlaps_with_substitutions(spark, messy, empty):
     assert decontam.drop_contaminated(messy, bench).count() == messy.count()
 
 
+def test_any_qualifying_segment_counts():
+    import numpy as np
+
+    for runs in ([12, 1, 3], [11, 1, 2]):
+        equal = np.array([i % 2 == 0 for i, n in enumerate(runs) for _ in range(n)])
+        assert decontam.best_segment(equal) == (sum(runs[::2]), sum(runs))
+    rng = np.random.default_rng(5)
+    for n in [*range(12)] * 5 + [40] * 60:
+        equal = rng.random(n) < 0.7
+        want = max((int(equal[i:j].sum()) for i in range(n) for j in range(i + 1, n + 1) if equal[i:j].sum() >= 0.8 * (j - i)), default=0)
+        got, length = decontam.best_segment(equal)
+        assert got == want and got >= 0.8 * length
+
+
 def brute_links(texts, threshold=0.8, n=5):
     sets = {}
     for i, t in texts:
