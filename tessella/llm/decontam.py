@@ -7,9 +7,9 @@ with few substitutions counts as an overlap.
 
 Words are maximal runs of letters, digits and underscores, in lower case. An item
 is found in a document if a segment has at least ``min(min_words, 0.8 n)`` equal
-words, n being the item's words, and 0.8 of its words equal. Items shorter than a
-mask are sought whole; those under five words are left out, as chance would find
-them. Null texts count as empty; repeated rows each count; an empty table on either
+words, n being the item's words, and 0.8 of its words equal. Short items have masks
+of their own, see ``MASKS``; those under five words are left out, as chance would
+find them. Null texts count as empty; repeated rows each count; an empty table on either
 side gives no rows.
 
 A fixed-size bitmap of the items' hashes drops windows that cannot match before
@@ -30,11 +30,16 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, materialise
 
 WORD = re.compile(r"\w+")
-#: The masks, of 11 words and weight 6. They find every run of 15
-#: words with 2 substitutions, and 98 of 100 with 3.
-MASKS = ("11010001101", "11001010011", "11100011001", "10111100001", "11111000001")
-SPAN = len(MASKS[0])
-SHORTEST = 5
+#: The masks for items of at least so many words. Each list finds every
+#: pattern of 0.2 n substitutions in an item of n words, up to 16 words: 1 in 5 to 9
+#: words, 2 in 10 to 14, 3 in 15 and 16.
+MASKS = {
+    5: ("1111", "11011", "10111", "11101"),
+    7: ("111101", "1010111", "1101011"),
+    10: ("1101111", "11110011", "110101011", "110011011", "10111101"),
+    14: ("11010001101", "11001010011", "11100011001", "10111100001", "11111000001", "110010111"),
+}
+SPAN = max(len(m) for masks in MASKS.values() for m in masks)
 BITS = 24
 CHUNK_WORDS = 1 << 20
 
@@ -65,11 +70,15 @@ def factors(n: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) | np.uint64(1)
 
 
-def mask_list(lengths=range(SHORTEST, SPAN)) -> list[tuple[int, list[int]]]:
-    """(number, counted positions): whole items of the given short lengths, then the spaced masks."""
-    short = [(n, list(range(n))) for n in lengths]
-    spaced = [(SPAN + k, [i for i, x in enumerate(m) if x == "1"]) for k, m in enumerate(MASKS)]
-    return short + spaced
+def family(n: int) -> int | None:
+    """The key in ``MASKS`` for an item of n words; none if it is too short."""
+    return max((least for least in MASKS if least <= n), default=None)
+
+
+def mask_list(families=MASKS) -> list[tuple[int, list[int]]]:
+    """(number, counted positions) of the masks of the given families."""
+    every = [(least, m) for least, masks in MASKS.items() for m in masks]
+    return [(k, [i for i, x in enumerate(m) if x == "1"]) for k, (least, m) in enumerate(every) if least in families]
 
 
 def window_hashes(words: np.ndarray, mask: int, positions: list[int]) -> np.ndarray:
@@ -95,12 +104,11 @@ def item_hashes(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item_id, words, hash, at) of every window of every item."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, masks = Words(), mask_list()
+        memo, masks = Words(), {least: mask_list([least]) for least in MASKS}
         for batch in batches:
             for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = memo.hashes(text or "")
-                use = masks if len(words) >= SPAN else []
-                use = [m for m in use if m[0] >= SPAN] or [m for m in masks if m[0] == len(words)]
+                use = masks.get(family(len(words)), [])
                 found = [(h, i) for mask, at in use for i, h in enumerate(window_hashes(words, mask, at).view(np.int64).tolist())]
                 if found:
                     yield pa.RecordBatch.from_arrays(
@@ -139,20 +147,20 @@ def bitmap_of(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def hit_regions(docs: DataFrame, id_col: str, text_col: str, bitmap, lengths: list[int], reach: int) -> DataFrame:
+def hit_regions(docs: DataFrame, id_col: str, text_col: str, bitmap, families: list[int], reach: int) -> DataFrame:
     """(row, doc_id, start, words, hash, at): parts of documents around windows
     whose hash is in the bitmap; ``hash`` and ``at`` list those windows.
-    ``lengths``: those of the items that are shorter than a mask."""
+    ``families``: the mask families that items use."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(bitmap.value).view(np.bool_)
-        memo, masks = Words(), mask_list(lengths)
+        memo, masks = Words(), mask_list(families)
 
         def regions(rows: list, words: list[np.ndarray]) -> list[tuple]:
             """Hits of many texts at once; windows across two texts are dropped."""
             ends = np.cumsum([len(w) for w in words])
             flat = np.concatenate(words) if words else np.empty(0, np.uint64)
-            at, hashes = [], []
+            at, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
             for mask, positions in masks:
                 h = window_hashes(flat, mask, positions)
                 a, b = bit_places(h)
@@ -226,9 +234,9 @@ def find_overlaps(
     held = materialise(item_hashes(items, item_id_col, item_text_col), "bench", small=True)
     hashes = held.select("item_id", F.inline(F.arrays_zip("hash", "at")))
     bitmap = spark.sparkContext.broadcast(bitmap_of(hashes))
-    size = F.size("words").alias("n")
-    lengths = sorted(r.n for r in held.select(size).where(f"n < {SPAN}").distinct().collect())  # 6 at most
-    regions = materialise(hit_regions(docs, id_col, text_col, bitmap, lengths, reach), "bench-hits", small=True)
+    least = F.greatest(*(F.when(F.size("words") >= n, n) for n in MASKS)).alias("least")
+    families = sorted(r.least for r in held.select(least).distinct().collect())  # 4 at most
+    regions = materialise(hit_regions(docs, id_col, text_col, bitmap, families, reach), "bench-hits", small=True)
     seeds = regions.select("row", "start", F.inline(F.arrays_zip("hash", F.col("at").alias("doc_at"))))
     windows = broadcast_if_small(hashes.withColumnRenamed("at", "item_at"), broadcast_rows)
     found = (

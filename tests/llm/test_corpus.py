@@ -59,6 +59,36 @@ def test_any_qualifying_segment_counts():
         assert got == want and got >= 0.8 * length
 
 
+def test_every_substitution_in_short_items_meets_a_seed():
+    from itertools import combinations
+
+    import numpy as np
+
+    for n in range(5, 17):
+        item = np.arange(1, n + 1, dtype=np.uint64)
+        masks = decontam.mask_list([decontam.family(n)])
+        seeds = [decontam.window_hashes(item, *m) for m in masks]
+        for changed in combinations(range(n), n // 5):
+            text = item.copy()
+            text[list(changed)] = 999
+            assert any((decontam.window_hashes(text, *m) == s).any() for m, s in zip(masks, seeds, strict=True)), (n, changed)
+    assert decontam.family(4) is None
+
+
+def test_short_items_with_substitutions_are_found(spark):
+    rng = random.Random(2)
+    items = [(n, words(rng, n)) for n in range(5, 17)]
+    docs = []
+    for n, body in items:
+        part = list(body)
+        for i in rng.sample(range(n), n // 5):
+            part[i] = "zzz"
+        docs.append((n, " ".join([*words(rng, 50), *part, *words(rng, 50)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(b)) for n, b in items], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find_overlaps(df, bench).collect()} == {(n, n) for n, _ in items}
+
+
 def brute_links(texts, threshold=0.8, n=5):
     sets = {}
     for i, t in texts:
