@@ -2,7 +2,7 @@
 
 A string that a byte-pair vocabulary cannot compress (few characters a token) is
 likely random. Digests and identifiers, which are random-looking but public, are
-left out before the test.
+left out before the test; an identifier is one whose words the vocabulary compresses.
 
 Defined results: a null text counts as empty and has no spans; repeated rows each
 give a row; other columns of the input are ignored; an empty table gives none.
@@ -29,6 +29,7 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 RUNS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
@@ -59,13 +60,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def is_known(candidate: str) -> bool:
-    """Digests, UUIDs, plain numbers and identifiers made of words."""
+def is_public(candidate: str) -> bool:
+    """Digests, UUIDs and plain numbers."""
     if candidate.isdigit() or UUID.fullmatch(candidate):
         return True
-    if len(candidate) in DIGEST_LENGTHS and ALL_HEX.fullmatch(candidate):
-        return True
-    return len(candidate) >= 3.5 * sum(1 for _ in RUNS.finditer(candidate))
+    return len(candidate) in DIGEST_LENGTHS and bool(ALL_HEX.fullmatch(candidate))
+
+
+def is_identifier(candidate: str, test: TokenEfficiency, max_ratio: float) -> bool:
+    """Long runs of one kind, the words among which the vocabulary compresses."""
+    if len(candidate) < 3.5 * sum(1 for _ in RUNS.finditer(candidate)):
+        return False
+    words = LETTERS.findall(candidate)
+    return not words or sum(map(len, words)) > max_ratio * sum(test.tokens(w) for w in words)
 
 
 class TokenEfficiency:
@@ -81,12 +88,27 @@ class TokenEfficiency:
             "secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
 
-    def ratio(self, candidate: str) -> float:
-        n = sum(
+    def tokens(self, candidate: str) -> int:
+        return sum(
             len(self.encoding.encode_ordinary(candidate[i : i + WINDOW]))
             for i in range(0, len(candidate), WINDOW)
         )
-        return len(candidate) / max(1, n)
+
+    def ratio(self, candidate: str) -> float:
+        return len(candidate) / max(1, self.tokens(candidate))
+
+
+def is_random(candidate: str, test: TokenEfficiency, max_ratio: float) -> bool:
+    return test.ratio(candidate) <= max_ratio and not is_identifier(candidate, test, max_ratio)
+
+
+def random_spans(candidate: str, test: TokenEfficiency, max_ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of what is random: the whole or nothing."""
+    if is_public(candidate):
+        return []
+    if is_random(candidate, test, max_ratio):
+        return [(0, len(candidate))]
+    return []
 
 
 def all_spans(text: str, test: TokenEfficiency, max_ratio: float) -> list[tuple[int, int, int]]:
@@ -94,10 +116,11 @@ def all_spans(text: str, test: TokenEfficiency, max_ratio: float) -> list[tuple[
     more = []
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        if is_known(m[0]) or any(s <= start and end <= e for s, _, e in base):
+        if any(s <= start and end <= e for s, _, e in base):
             continue
-        if test.ratio(m[0]) <= max_ratio:
-            more.append((start, 3, end))
+        for a, b in random_spans(m[0], test, max_ratio):
+            if not any(s <= start + a and start + b <= e for s, _, e in base):
+                more.append((start + a, 3, start + b))
     return sorted(base + more)
 
 

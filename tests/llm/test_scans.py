@@ -49,6 +49,13 @@ def test_token_efficiency_finds_random_strings():
         assert not [x for x in secrets.all_spans(known, test, 2.2) if x[1] == 3], known
 
 
+@pytest.mark.parametrize("letters", [string.ascii_lowercase, string.ascii_uppercase, string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits])
+def test_random_strings_of_one_case_are_found(letters):
+    test = secrets.TokenEfficiency("byte_bpe_50k.tiktoken")
+    rng = random.Random(4)
+    assert all(secrets.all_spans("".join(rng.choices(letters, k=32)), test, 2.2) for _ in range(200))
+
+
 def test_secret_rows(spark, messy, empty):
     rows = secrets.scan_secrets(messy).collect()
     assert len(rows) == messy.count() and secrets.scan_secrets(empty).count() == 0
