@@ -3,6 +3,8 @@
 A string that a byte-pair vocabulary cannot compress (few characters a token) is
 likely random. Digests and identifiers, which are random-looking but public, are
 left out before the test; an identifier is one whose words the vocabulary compresses.
+A string that passes is tested again in parts between its separators, as words of a
+path or a name would hide a secret beside them.
 
 Defined results: a null text counts as empty and has no spans; repeated rows each
 give a row; other columns of the input are ignored; an empty table gives none.
@@ -30,6 +32,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: The parts of a candidate, first those that may hold other separators.
+PARTS = (re.compile(r"[^/=]+"), re.compile(r"[^_=-]+"))
+PIECES = re.compile(r"[^/+_=-]+")
+LEAST = 20
 RUNS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
@@ -103,12 +109,34 @@ def is_random(candidate: str, test: TokenEfficiency, max_ratio: float) -> bool:
 
 
 def random_spans(candidate: str, test: TokenEfficiency, max_ratio: float) -> list[tuple[int, int]]:
-    """(start, end) of what is random: the whole or nothing."""
+    """(start, end) of what is random: the whole, else parts between separators, else
+    neighbouring pieces that are random each."""
     if is_public(candidate):
         return []
     if is_random(candidate, test, max_ratio):
         return [(0, len(candidate))]
-    return []
+    found, settled = [], bytearray(len(candidate))
+    for pattern in PARTS:
+        for m in pattern.finditer(candidate):
+            a, b = m.span()
+            if b - a >= LEAST and not any(settled[a:b]):
+                public = is_public(m[0])
+                if not public and is_random(m[0], test, max_ratio):
+                    found.append((a, b))
+                elif not public:
+                    continue
+                settled[a:b] = b"\1" * (b - a)
+    groups, last = [], False
+    for m in PIECES.finditer(candidate):
+        a, b = m.span()
+        low = not any(settled[a:b]) and not is_public(m[0]) and test.ratio(m[0]) <= max_ratio
+        if low and last:
+            groups[-1] = (groups[-1][0], b)
+        elif low:
+            groups.append((a, b))
+        last = low
+    found += [(a, b) for a, b in groups if b - a >= LEAST and not is_public(candidate[a:b]) and is_random(candidate[a:b], test, max_ratio)]
+    return sorted(found)
 
 
 def all_spans(text: str, test: TokenEfficiency, max_ratio: float) -> list[tuple[int, int, int]]:

@@ -56,6 +56,23 @@ def test_random_strings_of_one_case_are_found(letters):
     assert all(secrets.all_spans("".join(rng.choices(letters, k=32)), test, 2.2) for _ in range(200))
 
 
+def test_secrets_in_paths_and_names_are_found():
+    test = secrets.TokenEfficiency("byte_bpe_50k.tiktoken")
+    rng = random.Random(5)
+    for before in ("webhook/services/notifications/production/incoming/", "the_production_environment_access_identifier=", "directory/" * 40):
+        found = 0
+        for _ in range(200):
+            key = "".join(rng.choices(string.ascii_letters + string.digits, k=32))
+            text = f"see {before}{key}/configuration/documentation"
+            spans = secrets.all_spans(text, test, 2.2)
+            at = text.index(key)
+            found += any(a <= at and at + 32 <= b for a, _, b in spans)
+        assert found >= 195, before
+    for known in ("configuration/documentation/123e4567-e89b-12d3-a456-426614174000/international", "webhook/services/notifications/production/incoming",
+                  "documentation/configuration/" + "d41d8cd98f00b204e9800998ecf8427e".upper()):
+        assert not secrets.all_spans(known, test, 2.2), known
+
+
 def test_secret_rows(spark, messy, empty):
     rows = secrets.scan_secrets(messy).collect()
     assert len(rows) == messy.count() and secrets.scan_secrets(empty).count() == 0
