@@ -3,10 +3,10 @@
 The standard library's parser streams events. Text is gathered into lines, one a
 block element. A line's ratio is its characters by its tags; the ratios are
 smoothed by a Gaussian and split in two clusters, content and the rest. The region
-is the container that holds the content lines; all of it is kept, short paragraphs
-too, but for parts that markup names as something else (menus, notices, adverts,
-forms, comments and the like). A page without such a container keeps its content
-lines and what stands between them.
+is the articles that hold content lines, and the main parts if those hold more; all of
+it is kept, short paragraphs too, but for parts that markup names as something else
+(menus, notices, adverts, forms, comments and the like) and for teasers: articles with
+a link and without content lines, where other parts hold content.
 
 Defined results: a null html counts as empty; a page without text gives an empty
 string; repeated rows each give a row; other columns are ignored.
@@ -96,6 +96,7 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, int]] = []  # tag, not main text, container
         self.others = self.containers = 0
         self.kinds: dict[int, str] = {}
+        self.linked: set[int] = set()  # articles with a link
         self.line = Line()
 
     def end_line(self) -> None:
@@ -139,6 +140,8 @@ class Lines(HTMLParser):
                 self.kinds[container] = "article"
             else:
                 self.kinds[container] = "main" if tag == "main" or found.get("role") == "main" else tag
+        if tag == "a" and "href" in found:
+            self.linked |= {c for _, _, c in self.open[::-1] if c and self.kinds[c] == "article"}
         if other and not self.others and tag not in BLOCK:
             self.line.parts.append(" ")
         self.open.append((tag, other, container))
@@ -201,6 +204,31 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def named_region(parser: Lines, lines: list[Line], content: list[bool]) -> list[Line] | None:
+    """The lines of the articles and main parts that hold content, none if there are no such parts."""
+    of = {kind: {c for x in lines for c in x.path if parser.kinds[c] == kind} for kind in ("article", "main")}
+    held = {c for x, yes in zip(lines, content, strict=True) if yes for c in x.path}
+    outer = [c for c in of["article"] if c in held or c not in parser.linked]
+    articles, mains = of["article"] & held, of["main"] & held
+    cards = len(of["article"]) > 1 and of["article"] <= parser.linked
+
+    def weigh(keep: set[int]) -> int:
+        return sum(len(x.text) for x, yes in zip(lines, content, strict=True) if yes and keep & set(x.path))
+
+    if articles or mains:
+        keep = articles | set(outer)
+        if not articles or weigh(articles | mains) > weigh(articles):
+            keep |= mains
+        if not cards or mains or 2 * weigh(articles) >= weigh(held):
+            teasers = of["article"] - set(outer)
+            return [x for x in lines if keep & set(x.path) and not teasers & set(x.path)]
+    elif not cards or of["main"]:
+        for kind in ("main", "article") if cards else ("article", "main"):
+            if of[kind]:
+                return [x for x in lines if of[kind] & set(x.path)]
+    return None
+
+
 def main_text(html: str, sigma: float = 1.0, majority: float = 0.8) -> str:
     """The text of a page's main region; see the module's description."""
     at = html.rfind("<")
@@ -216,21 +244,16 @@ def main_text(html: str, sigma: float = 1.0, majority: float = 0.8) -> str:
     ratios = smoothed([len(x.text) / max(1, x.tags) for x in lines], sigma)
     cut = threshold(ratios)
     content = [r > cut for r in ratios]
-    # The deepest container with most of the content; named ones go first.
+    # Named containers go first, then the deepest one with most of the content.
     weight: dict[int, int] = {}
     for x, yes in zip(lines, content, strict=True):
         if yes:
             for c in x.path:
                 weight[c] = weight.get(c, 0) + len(x.text)
     total = sum(len(x.text) for x, yes in zip(lines, content, strict=True) if yes)
-    for kind in ("article", "main"):
-        named = {c: w for c, w in weight.items() if parser.kinds[c] == kind}
-        if not named:
-            named = {c: 1 for x in lines for c in x.path if parser.kinds[c] == kind}
-        if named:
-            most = max(named.values())
-            keep = {c for c, w in named.items() if w >= most / 4}
-            return " ".join(x.text for x in lines if keep & set(x.path))
+    named = named_region(parser, lines, content)
+    if named is not None:
+        return " ".join(x.text for x in named)
     region = max((c for c, w in weight.items() if w >= majority * total), default=0)
     inside = [i for i, x in enumerate(lines) if not region or region in x.path]
     if region and parser.kinds[region] not in ("body", "html"):

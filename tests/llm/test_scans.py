@@ -182,6 +182,20 @@ def test_main_text():
     assert htmltext.main_text("<article>" + "<p>x" * 3000) == " ".join("x" * 3000)
 
 
+TEASER = "<article><h3><a href='/x'>See</a></h3></article>"
+
+
+def test_articles_and_main_are_chosen_by_content():
+    body = "<p>" + "body " * 80 + "</p><p>short</p><p>" + "more " * 80 + "</p>"
+    want = ["body"] * 80 + ["short"] + ["more"] * 80
+    menu = "<div>" + "<p><a>m</a></p>" * 8 + "</div>"
+    for page in (f"<main><div>{body}</div>{menu.replace('div', 'nav')}</main>{TEASER * 4}", f"<main><div>{body}</div></main>{menu}{TEASER * 4}",
+                 f"<main><div>{body}</div>{TEASER * 4}</main>", f"<main><article>{body}</article>{TEASER * 4}</main>"):
+        assert htmltext.main_text(f"<body>{page}</body>").split() == want
+    parts = f"<article>{body}</article><article><p>A second part, of one line.</p></article><article>{body}</article>"
+    assert htmltext.main_text(f"<body>{parts}{menu}</body>").split() == want + "A second part, of one line.".split() + want
+
+
 def test_main_text_of_the_pages(spark, small):
     import html as h
 
