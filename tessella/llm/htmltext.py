@@ -6,7 +6,10 @@ smoothed by a Gaussian and split in two clusters, content and the rest. The regi
 is the articles that hold content lines, and the main parts if those hold more; all of
 it is kept, short paragraphs too, but for parts that markup names as something else
 (menus, notices, adverts, forms, comments and the like) and for teasers: articles with
-a link and without content lines, where other parts hold content.
+a link and without content lines, where other parts hold content. Without articles
+and main parts it is the deepest container with all content lines. A page without
+such a container keeps its content lines, what stands between them, and the part that
+holds most of them.
 
 Defined results: a null html counts as empty; a page without text gives an empty
 string; repeated rows each give a row; other columns are ignored.
@@ -62,6 +65,8 @@ SCOPE = {
     "table", "ul", "ol", "dl", "div", "article", "section", "main", "body", "html", "td", "th", "blockquote", "aside",
     "footer", "header", "nav", "form", "figure",
 }
+#: Containers that are part of a text, not its region.
+NO_REGION = {"table", "ul", "ol", "dl", "td", "th", "blockquote", "figure"}
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
@@ -244,7 +249,8 @@ def main_text(html: str, sigma: float = 1.0, majority: float = 0.8) -> str:
     ratios = smoothed([len(x.text) / max(1, x.tags) for x in lines], sigma)
     cut = threshold(ratios)
     content = [r > cut for r in ratios]
-    # Named containers go first, then the deepest one with most of the content.
+    # Named containers go first, then the deepest one with all of the content; without
+    # one, the part with most of it, and what stands between the content lines.
     weight: dict[int, int] = {}
     for x, yes in zip(lines, content, strict=True):
         if yes:
@@ -254,12 +260,13 @@ def main_text(html: str, sigma: float = 1.0, majority: float = 0.8) -> str:
     named = named_region(parser, lines, content)
     if named is not None:
         return " ".join(x.text for x in named)
-    region = max((c for c, w in weight.items() if w >= majority * total), default=0)
-    inside = [i for i, x in enumerate(lines) if not region or region in x.path]
-    if region and parser.kinds[region] not in ("body", "html"):
-        return " ".join(lines[i].text for i in inside)
-    chosen = [i for i in inside if content[i]]
-    return " ".join(lines[i].text for i in inside if chosen and chosen[0] <= i <= chosen[-1])
+    inner = {c: w for c, w in weight.items() if parser.kinds[c] not in ("body", "html")}
+    region = max((c for c, w in inner.items() if w == total and parser.kinds[c] not in NO_REGION), default=0)
+    if region:
+        return " ".join(x.text for x in lines if region in x.path)
+    most = max((c for c, w in inner.items() if w >= majority * total), default=0)
+    chosen = [i for i, yes in enumerate(content) if yes]
+    return " ".join(x.text for i, x in enumerate(lines) if chosen[0] <= i <= chosen[-1] or most and most in x.path)
 
 
 def extract_main_text(

@@ -196,6 +196,17 @@ def test_articles_and_main_are_chosen_by_content():
     assert htmltext.main_text(f"<body>{parts}{menu}</body>").split() == want + "A second part, of one line.".split() + want
 
 
+def test_no_content_is_lost_beside_the_largest_part():
+    p = lambda w, n: f"<p>{f'{w} ' * n}</p>"
+    menu = "<div>" + "<p><a>m</a></p>" * 8 + "</div>"
+    many = "<ul>" + f"<li>{'item ' * 60}</li>" * 10 + "</ul>"
+    intro = f"<div>{p('intro', 60)}{many}</div>"
+    assert htmltext.main_text(f"<body>{menu}{intro}{menu}</body>").split() == ["intro"] * 60 + ["item"] * 600
+    two = f"<div>{p('one', 60) * 6}</div><div>{p('two', 60)}</div>"
+    for page in (f"<div>{two}</div>", two):
+        assert htmltext.main_text(f"<body>{menu}{page}{menu}</body>").split() == ["one"] * 360 + ["two"] * 60
+
+
 def test_main_text_of_the_pages(spark, small):
     import html as h
 
