@@ -8,9 +8,16 @@ same format. Holders of the key can reverse it.
 
 Found: payment cards (13 to 19 digits, single spaces or hyphens allowed), North
 American telephone numbers with an area code, social security numbers, IPv4
-addresses, ISO and d/m/y or d.m.y dates from 1900 to 2099, and e-mail addresses,
-whose local part and first domain label are permuted letter by letter and digit by
-digit within their class. Numbers that fail their check stay.
+addresses, ISO and d/m/y or d.m.y dates from 1900 to 2099 (m/d/y where the day is over
+12), and e-mail addresses, whose local part and first domain label are permuted letter
+by letter and digit by digit within their class. Numbers that fail their check stay.
+
+Groups of digits between single spaces are read from left to right, at each group the
+shortest card first, then a telephone number of 3, 3 and 4 digits. All groups of a card
+but its last have four digits or more, unless the card is all that stands there. A
+pseudonym is permuted on until it is read in the same way, so that it can be reversed;
+where groups before a card make another reading possible, it may differ from the one
+that the card has elsewhere.
 
 Defined results: a null text stays null; repeated rows each give a row; other
 columns are ignored; values within a longer run of letters or digits are none.
@@ -35,10 +42,13 @@ PATTERN = re.compile(
     |(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
     |(?P<date>(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]))
-    |(?P<phone>(?<![\w.+-])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\w-]))
-    |(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))""",
+    |(?P<phone>(?<![\w.+-])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\w-])
+        |(?<![\w.+-])(?:\+?1[ .-])?\d{3}[ ]\d{3}[.-]\d{4}(?![\w-]))""",
     re.X | re.A,
 )
+#: Groups of digits; only spaces in a run border a value.
+RUN = re.compile(r"(?<![\w.-])\d(?:[ -]?\d)*(?![\w-])", re.A)
+GROUP = re.compile(r"\d+(?:-\d+)*")
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -143,17 +153,25 @@ def date(value: str, p: Permuter, back: bool) -> str | None:
     sep = next(c for c in value if not c.isdigit())
     parts = value.split(sep)
     year, month, day = parts if sep == "-" else parts[::-1]
+    american = sep != "-" and int(month) > 12
+    if american:
+        month, day = day, month
     try:
         at = datetime.date(int(year), int(month), int(day)).toordinal()
     except ValueError:
         return None
     if not FIRST_DAY <= at <= LAST_DAY:
         return None
-    new = datetime.date.fromordinal(FIRST_DAY + p.of(at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", back))
+    while True:
+        at = FIRST_DAY + p.of(at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", back)
+        new = datetime.date.fromordinal(at)
+        if not american or new.day > 12:
+            break
     if sep == "-":
         return new.isoformat()
     pad = "02d" if len(day) == len(month) == 2 else "d"
-    return f"{new.day:{pad}}{sep}{new.month:{pad}}{sep}{new.year:04d}"
+    first, second = (new.month, new.day) if american else (new.day, new.month)
+    return f"{first:{pad}}{sep}{second:{pad}}{sep}{new.year:04d}"
 
 
 def email(value: str, p: Permuter, back: bool) -> str | None:
@@ -181,18 +199,76 @@ def spelling(word: str, p: Permuter, back: bool) -> str:
 MAKERS = {"email": email, "card": card, "ssn": ssn, "phone": phone, "ip": ip, "date": date}
 
 
+def is_card(value: str) -> bool:
+    digits = re.sub(r"\D", "", value)
+    return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and luhn_digit(digits[:-1]) == digits[-1]
+
+
+def value_at(run: str, groups: list[tuple[int, int]], i: int) -> tuple[str, int] | None:
+    """(kind, last group) of the value that begins at group i."""
+    sizes = []
+    for j in range(i, len(groups)):
+        sizes += map(len, run[groups[j][0] : groups[j][1]].split("-"))
+        if sum(sizes) > 19 or min(sizes[:-1], default=4) < 4:
+            break
+        if is_card(run[groups[i][0] : groups[j][1]]):
+            return "card", j
+    if [len(x) for a, b in groups[i : i + 3] if (x := run[a:b]).isdigit()] == [3, 3, 4]:
+        return "phone", i + 2
+    return None
+
+
+def replace_run(run: str, p: Permuter, back: bool) -> tuple[str, list[tuple[str, int, int]]]:
+    """Pseudonyms are as long as their values, so the groups stay."""
+    groups, found, i, since = [m.span() for m in GROUP.finditer(run)], [], 0, 0
+    while i < len(groups):
+        hit = value_at(run, groups, i)
+        if hit is None:
+            i += 1
+            continue
+        kind, j = hit
+        a, b = groups[i][0], groups[j][1]
+        # Only the four groups before can be part of a card that ends in this value.
+        earlier = range(max(since, i - 4), i)
+        new = run
+        while True:
+            new = new[:a] + MAKERS[kind](new[a:b], p, back) + new[b:]
+            if value_at(new, groups, i) == hit and not any(value_at(new, groups, x) for x in earlier):
+                break
+        run = new
+        found.append((kind, a, b))
+        i = since = j + 1
+    if found or not is_card(run):
+        return run, found
+    new = run
+    while True:
+        new = card(new, p, back)
+        if not any(value_at(new, groups, x) for x in range(len(groups))):
+            return new, [("card", 0, len(run))]
+
+
 def replace_all(text: str, p: Permuter, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of what was replaced in the given text."""
     if not re.search(r"\d|@", text):
         return text, []
-    found, parts, end = [], [], 0
+    news, rest, end = [], [], 0
     for m in PATTERN.finditer(text):
         new = MAKERS[m.lastgroup](m[0], p, back)
         if new is not None:
-            found.append((m.lastgroup, m.start(), m.end()))
-            parts += [text[end : m.start()], new]
-            end = m.end()
-    return "".join([*parts, text[end:]]), found
+            news.append((m.start(), m.end(), new, [(m.lastgroup, m.start(), m.end())]))
+        rest += [text[end : m.start()], "\0" * len(m[0])]  # no part of a card
+        end = m.end()
+    for m in RUN.finditer("".join([*rest, text[end:]])):
+        if len(m[0]) >= 12:
+            new, found = replace_run(m[0], p, back)
+            if found:
+                news.append((m.start(), m.end(), new, [(k, m.start() + a, m.start() + b) for k, a, b in found]))
+    spans, parts, end = [], [], 0
+    for a, b, new, found in sorted(news, key=lambda x: x[0]):
+        spans += found
+        parts += [text[end:a], new]
+        end = b
+    return "".join([*parts, text[end:]]), spans
 
 
 def pseudonymise(

@@ -112,6 +112,28 @@ def test_pseudonyms_permute_and_reverse(spark, messy, empty):
     assert len(rows) == messy.count() and pseudonyms.pseudonymise(empty, "k").count() == 0
 
 
+def test_values_beside_other_digits_are_found():
+    p = pseudonyms.Permuter("k")
+    rng = random.Random(6)
+    for i in range(300):
+        body = "4" + "".join(rng.choices(string.digits, k=14))
+        plain = body + pseudonyms.luhn_digit(body)
+        spaced = " ".join(plain[k : k + 4] for k in range(0, 16, 4))
+        for own in (plain, spaced):
+            for before, after in (("", " 12/27"), ("", " 123"), ("12 ", ""), ("", " 12th"), ("415 555 2671 ", "")):
+                text = f"card {before}{own}{after} ok"
+                new, found = pseudonyms.replace_all(text, p)
+                at = text.index(own)
+                assert ("card", at, at + len(own)) in found, text
+                assert pseudonyms.replace_all(new, p, back=True) == (text, found)
+    dates = [f"{m}/{d}/2024" for m in (10, 11, 12) for d in range(13, 31)]
+    for own in [*dates, "415 555 2671", "call 1 415 555 2671 12 times", "415 555-2671"]:
+        new, found = pseudonyms.replace_all(own, p)
+        assert len(found) == 1 and new != own
+        back, again = pseudonyms.replace_all(new, p, back=True)
+        assert back == own and [x[0] for x in again] == [x[0] for x in found]
+
+
 def test_telephone_numbers_stay_among_their_like():
     p = pseudonyms.Permuter("k")
     for i in range(200):
