@@ -1,14 +1,15 @@
-"""Similarity join on word n-grams with a MinHash LSH forest.
+"""Similarity join on word n-grams with MinHash in fixed bands.
 
 Every text becomes its set of n-word shingles. Texts of equal sets are one class,
-so exact copies cost one representative. Each of ``trees`` tries orders the
-representatives by ``depth`` MinHash values; two texts meet in a trie where their
-prefixes of the used length agree. The prefix is shortened from ``depth`` until the
-chance to meet, at the threshold, reaches the target recall. Representatives that
-meet, directly or through others, form a candidate component.
+so exact copies cost one representative. Each of ``trees`` bands holds the same number
+of MinHash values; two texts meet in a band where all of them agree. The number is the
+largest, up to ``depth``, at which the chance to meet, at the threshold, reaches the
+target recall by formula: 7 values in 32 bands, 99.95 % at 0.8. It is one for all texts:
+no trie is kept and no prefix shortened by the data. Representatives that meet, directly
+or through others, form a candidate component.
 
 Verification is exact on the whole sets. A component is dealt into chunks of
-bounded size; pairs of chunks that share a trie node are compared as blocks by
+bounded size; pairs of chunks that share a band's values are compared as blocks by
 matrix products, so no list of pairs is ever emitted: a block yields each text's
 link count and a spanning forest of its links, and the forests' components are the
 classes. A group of m near copies thus makes (m / chunk)^2 block rows, spread over
