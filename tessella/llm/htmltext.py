@@ -1,26 +1,34 @@
 """Main text of web pages by the ratio of text to tags.
 
 The standard library's parser streams events. Text is gathered into lines, one a
-block element. A line's ratio is its characters by its tags; the ratios are
-smoothed by a Gaussian and split in two clusters, content and the rest. The region
-is the articles that hold content lines, and the main parts if those hold more; all of
-it is kept, short paragraphs too, but for parts that markup names as something else
-(menus, notices, adverts, forms, comments and the like) and for teasers: articles with
-a link and without content lines, where other parts hold content. Without articles
-and main parts it is the deepest container with all content lines. A page without
-such a container keeps its content lines, what stands between them, and the part that
-holds most of them.
+block element. Parts that markup names as something else (menus, notices, adverts,
+forms, comments and the like) are no candidates. Of the other lines, a line's ratio
+is the logarithm of its characters by its tags; the ratios are smoothed by a Gaussian
+and split in two clusters, content and the rest. The content lines choose the region:
+the deepest container that holds all of them. A page without content lines has no text.
+
+Markup only settles what clusters leave open. A region inside an article or main part
+grows to that part; otherwise a heading before it joins it. Where no container holds
+all content (lines of several articles, or straight in the body), the region is the
+articles and main parts with content lines, articles without a link, the part that
+holds most content, and what stands between the content lines. Articles with a link
+and without content lines are teasers and go.
+
+Time grows with the page, whatever its depth: containers are intervals of lines.
 
 Defined results: a null html counts as empty; a page without text gives an empty
-string; repeated rows each give a row; other columns are ignored.
+string; repeated rows each give a row; other columns are ignored, whatever they are
+called; an empty table gives no rows; very long and very deep pages are read whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,11 +68,13 @@ CLOSED_BY = {
     "p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
     "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"},
 }
+CLOSES = {tag: [name for name, by in CLOSED_BY.items() if tag in by] for by in CLOSED_BY.values() for tag in by}
 #: A start tag closes an open element only up to one of these.
 SCOPE = {
     "table", "ul", "ol", "dl", "div", "article", "section", "main", "body", "html", "td", "th", "blockquote", "aside",
     "footer", "header", "nav", "form", "figure",
 }
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Containers that are part of a text, not its region.
 NO_REGION = {"table", "ul", "ol", "dl", "td", "th", "blockquote", "figure"}
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -86,69 +96,105 @@ def names_other_part(tag: str, attrs: dict[str, str]) -> bool:
 
 
 class Line:
-    __slots__ = ("other", "parts", "path", "tags", "text")
+    __slots__ = ("container", "heading", "links", "other", "parts", "tags", "text")
 
     def __init__(self):
-        self.parts, self.tags, self.path, self.other, self.text = [], 0, (), False, ""
+        self.parts, self.tags, self.container, self.other, self.text = [], 0, 0, False, ""
+        self.heading, self.links = 0, 0
+
+
+class Container:
+    """An element that can be a region; it holds the lines from ``lo`` up to ``hi``."""
+
+    __slots__ = ("article", "hi", "kind", "linked", "lo", "named", "parent")
+
+    def __init__(self, kind: str, parent: int, lo: int, article: int, named: int):
+        self.kind, self.parent, self.lo, self.hi, self.linked = kind, parent, lo, None, False
+        self.article, self.named = article, named  # the nearest article, and article or main part, itself included
 
 
 class Lines(HTMLParser):
-    """Parser events to lines; each has the containers around it."""
+    """Parser events to lines; each has the container around it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.open: list[tuple[str, bool, int]] = []  # tag, not main text, container
-        self.others = self.containers = 0
-        self.kinds: dict[int, str] = {}
-        self.linked: set[int] = set()  # articles with a link
+        self.at: dict[str, list[int]] = {}  # tag to its places in ``open``
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+        self.others = self.other_blocks = 0
+        self.containers = [Container("page", 0, 0, 0, 0)]
         self.line = Line()
 
+    def inner(self) -> int:
+        """The innermost open container."""
+        return self.open[self.scopes[-1]][2] if self.scopes else 0
+
+    def is_open(self, *tags: str) -> bool:
+        return any(self.at.get(t) for t in tags)
+
     def end_line(self) -> None:
         if self.line.parts:
             self.line.text = " ".join("".join(self.line.parts).split())
             if self.line.text:
-                self.line.path = tuple(c for _, _, c in self.open if c)
+                self.line.container = self.inner()
                 self.line.other = self.others > 0
+                self.line.heading = min((int(h[1]) for h in HEADINGS if self.at.get(h)), default=0)
                 self.lines.append(self.line)
         self.line = Line()
 
     def pop(self) -> None:
-        if self.open.pop()[1]:
-            self.others -= 1
+        tag, other, container = self.open.pop()
+        self.at[tag].pop()
+        if tag in BLOCK:
+            self.blocks.pop()
+            self.other_blocks -= other
+        if tag in SCOPE:
+            self.scopes.pop()
+            self.containers[container].hi = len(self.lines)
+        self.others -= other
+
+    def pop_to(self, i: int) -> None:
+        while len(self.open) > i:
+            self.pop()
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.end_line()
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if tag in CLOSED_BY.get(name, ()):
-                while len(self.open) > i:
-                    self.pop()
-                break
-            if name in SCOPE:
-                break
+        if tag in CLOSES:
+            i = max((self.at[name][-1] for name in CLOSES[tag] if self.at.get(name)), default=-1)
+            if i >= (self.scopes[-1] if self.scopes else 0):
+                self.pop_to(i)
         self.line.tags += 1
         if tag == "br":
             self.line.parts.append(" ")
         if tag in VOID:
             return
         found = {k: v or "" for k, v in attrs}
-        other = names_other_part(tag, found)
-        inside = any(t in ("article", "main") for t, _, _ in self.open) if tag == "header" else True
-        other |= tag == "header" and not inside
+        other = names_other_part(tag, found) or (tag == "header" and not self.is_open("article", "main"))
         container = 0
         if tag in SCOPE:
-            self.containers += 1
-            container = self.containers
+            container = len(self.containers)
+            parent = self.inner()
+            kind = tag
             if tag == "article" or found.get("itemprop") == "articleBody":
-                self.kinds[container] = "article"
-            else:
-                self.kinds[container] = "main" if tag == "main" or found.get("role") == "main" else tag
+                kind = "article"
+            elif tag == "main" or found.get("role") == "main":
+                kind = "main"
+            above = self.containers[parent]
+            article = container if kind == "article" else above.article
+            named = container if kind in ("article", "main") else above.named
+            self.containers.append(Container(kind, parent, len(self.lines), article, named))
+            self.scopes.append(len(self.open))
         if tag == "a" and "href" in found:
-            self.linked |= {c for _, _, c in self.open[::-1] if c and self.kinds[c] == "article"}
+            self.containers[self.containers[self.inner()].article].linked = True
         if other and not self.others and tag not in BLOCK:
             self.line.parts.append(" ")
+        if tag in BLOCK:
+            self.blocks.append(len(self.open))
+            self.other_blocks += other
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, other, container))
         self.others += other
 
@@ -163,24 +209,30 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.end_line()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                while len(self.open) > i:
-                    self.pop()
-                break
-            if tag not in BLOCK and self.open[i][0] in BLOCK:
-                break
+        if self.at.get(tag):
+            i = self.at[tag][-1]
+            # An inline end tag closes nothing beyond the block around it.
+            if tag in BLOCK or not self.blocks or self.blocks[-1] < i:
+                self.pop_to(i)
         self.line.tags += 1
         if tag == "br":
             self.line.parts.append(" ")
 
     def handle_data(self, data):
-        if not self.others or self.open and self.open[-1][0] not in ("script", "style"):
-            if self.others and self.open and any(t in ("script", "style") for t, _, _ in self.open):
-                return
-            if self.others and not any(o and t in BLOCK for t, o, _ in self.open):
-                return  # a part inside a line, such as a button
-            self.line.parts.append(data)
+        if self.is_open("script", "style") or (self.others and not self.other_blocks):
+            return  # code, or a part inside a line, such as a button
+        self.line.parts.append(data)
+        if self.is_open("a"):
+            self.line.links += len(data)
+
+    def finish(self) -> None:
+        """Ends the last line and all open elements; a link also counts for the articles further out."""
+        self.end_line()
+        self.pop_to(0)
+        self.containers[0].hi = len(self.lines)
+        for c in reversed(self.containers[1:]):
+            if c.kind == "article" and c.linked:
+                self.containers[self.containers[c.parent].article].linked = True
 
 
 def smoothed(ratios: list[float], sigma: float) -> list[float]:
@@ -209,29 +261,57 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
-def named_region(parser: Lines, lines: list[Line], content: list[bool]) -> list[Line] | None:
-    """The lines of the articles and main parts that hold content, none if there are no such parts."""
-    of = {kind: {c for x in lines for c in x.path if parser.kinds[c] == kind} for kind in ("article", "main")}
-    held = {c for x, yes in zip(lines, content, strict=True) if yes for c in x.path}
-    outer = [c for c in of["article"] if c in held or c not in parser.linked]
-    articles, mains = of["article"] & held, of["main"] & held
-    cards = len(of["article"]) > 1 and of["article"] <= parser.linked
-
-    def weigh(keep: set[int]) -> int:
-        return sum(len(x.text) for x, yes in zip(lines, content, strict=True) if yes and keep & set(x.path))
-
-    if articles or mains:
-        keep = articles | set(outer)
-        if not articles or weigh(articles | mains) > weigh(articles):
-            keep |= mains
-        if not cards or mains or 2 * weigh(articles) >= weigh(held):
-            teasers = of["article"] - set(outer)
-            return [x for x in lines if keep & set(x.path) and not teasers & set(x.path)]
-    elif not cards or of["main"]:
-        for kind in ("main", "article") if cards else ("article", "main"):
-            if of[kind]:
-                return [x for x in lines if of[kind] & set(x.path)]
-    return None
+def region_of(parser: Lines, content: list[int], majority: float) -> list[int]:
+    """The numbers of the lines of the region that the ``content`` lines choose."""
+    lines, boxes = parser.lines, parser.containers
+    first, last = content[0], content[-1]
+    top = lines[first].container
+    while boxes[top].hi <= last or boxes[top].kind in NO_REGION:
+        top = boxes[top].parent
+    plain = [i for i, x in enumerate(lines) if not x.other]
+    sums = [0] * (len(lines) + 1)
+    for i in content:
+        sums[i + 1] = len(lines[i].text)
+    sums = list(accumulate(sums))
+    mass = lambda c: sums[c.hi] - sums[c.lo]
+    keep = bytearray(len(lines))
+
+    def take(lo: int, hi: int) -> None:
+        keep[lo:hi] = b"\1" * (hi - lo)
+
+    if boxes[top].named:
+        box = boxes[boxes[top].named]
+        take(box.lo, box.hi)
+    elif boxes[top].kind not in ("page", "html", "body"):
+        take(heading_before(lines, plain, boxes[top].lo), boxes[top].hi)
+    else:
+        inner = [c for c in boxes if c.kind not in ("page", "html", "body")]
+        articles = [c for c in inner if c.kind == "article"]
+        some = any(mass(c) for c in articles)
+        most = [c for c in inner if mass(c) >= majority * sums[-1]][-1:]
+        for c in inner:
+            if c in most or (c.kind in ("article", "main") and mass(c)) or (c.kind == "article" and some and not c.linked):
+                take(c.lo, c.hi)
+        take(heading_before(lines, plain, first), last + 1)
+    for c in boxes[1:]:
+        if c.kind == "article" and c.linked and not mass(c):
+            keep[c.lo : c.hi] = bytes(c.hi - c.lo)  # a teaser
+    return [i for i in plain if keep[i]]
+
+
+def heading_before(lines: list[Line], plain: list[int], start: int, reach: int = 4) -> int:
+    """Where a region from ``start`` begins with the headings before it: straight before,
+    or a title (h1) within ``reach`` lines that are no links."""
+    begin = start
+    for n, i in enumerate(reversed(plain[: bisect_left(plain, start)])):
+        x = lines[i]
+        if n == reach or 2 * x.links > len(x.text):
+            break
+        if x.heading == 1 or (x.heading and begin == (plain[bisect_left(plain, i) + 1] if n else start)):
+            begin = i
+        if x.heading == 1:
+            break
+    return begin
 
 
 def main_text(html: str, sigma: float = 1.0, majority: float = 0.8) -> str:
@@ -242,31 +322,16 @@ def main_text(html: str, sigma: float = 1.0, majority: float = 0.8) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    parser.end_line()
-    lines = [x for x in parser.lines if not x.other]
-    if not lines:
+    parser.finish()
+    plain = [i for i, x in enumerate(parser.lines) if not x.other]
+    if not plain:
         return ""
-    ratios = smoothed([len(x.text) / max(1, x.tags) for x in lines], sigma)
+    ratios = smoothed([math.log1p(len(x.text) / max(1, x.tags)) for x in map(parser.lines.__getitem__, plain)], sigma)
     cut = threshold(ratios)
-    content = [r > cut for r in ratios]
-    # Named containers go first, then the deepest one with all of the content; without
-    # one, the part with most of it, and what stands between the content lines.
-    weight: dict[int, int] = {}
-    for x, yes in zip(lines, content, strict=True):
-        if yes:
-            for c in x.path:
-                weight[c] = weight.get(c, 0) + len(x.text)
-    total = sum(len(x.text) for x, yes in zip(lines, content, strict=True) if yes)
-    named = named_region(parser, lines, content)
-    if named is not None:
-        return " ".join(x.text for x in named)
-    inner = {c: w for c, w in weight.items() if parser.kinds[c] not in ("body", "html")}
-    region = max((c for c, w in inner.items() if w == total and parser.kinds[c] not in NO_REGION), default=0)
-    if region:
-        return " ".join(x.text for x in lines if region in x.path)
-    most = max((c for c, w in inner.items() if w >= majority * total), default=0)
-    chosen = [i for i, yes in enumerate(content) if yes]
-    return " ".join(x.text for i, x in enumerate(lines) if chosen[0] <= i <= chosen[-1] or most and most in x.path)
+    content = [i for i, r in zip(plain, ratios, strict=True) if r > cut]
+    if not content:
+        return ""
+    return " ".join(parser.lines[i].text for i in region_of(parser, content, majority))
 
 
 def extract_main_text(

@@ -240,3 +240,49 @@ def test_main_text_of_the_pages(spark, small):
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
     odd = spark.createDataFrame([(1, None, None, "t"), (1, "u", "", "t")], "page_id long, url string, html string, text string")
     assert [r.text for r in htmltext.extract_main_text(odd).collect()] == ["", ""]
+
+
+def bare_page(rng, paragraphs):
+    """A page whose markup names nothing: only the clusters can tell its text from the rest."""
+    menu = lambda n: "<div>" + "".join(f"<div><a href='/{i}'>{rng.choice(string.ascii_letters) * 3}</a></div>" for i in range(n)) + "</div>"
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    return f"<html><body>{menu(9)}<div><div>{body}</div></div>{menu(6)}<div><span>fine</span> <span>print</span></div></body></html>"
+
+
+def test_clusters_choose_the_region_without_names(monkeypatch):
+    rng = random.Random(9)
+    pages = []
+    for _ in range(100):
+        paragraphs = [" ".join("".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(rng.randrange(30, 120))) for _ in range(rng.randrange(2, 9))]
+        pages.append((bare_page(rng, paragraphs), " ".join(paragraphs)))
+    assert all(htmltext.main_text(page) == want for page, want in pages)
+    monkeypatch.setattr(htmltext, "threshold", lambda values: min(values) - 1)
+    assert all(htmltext.main_text(page) != want for page, want in pages)
+
+
+def test_clusters_decide_on_the_pages(spark, small, monkeypatch):
+    html = [r.html for r in table(spark, small, "pages").collect()]
+    assert all(htmltext.main_text(x) for x in html)
+    monkeypatch.setattr(htmltext, "threshold", lambda values: max(values))
+    assert not any(htmltext.main_text(x) for x in html)
+
+
+def test_title_before_the_region():
+    body = "".join(f"<p>{w * 60}</p>" for w in ("one ", "two "))
+    page = f"<div><div><a href='/'>Home</a></div><h1>Title</h1><div>By me</div><div>{body}</div></div>"
+    assert htmltext.main_text(page).startswith("Title By me one one") and htmltext.main_text(page).endswith("two two")
+
+
+def test_deep_long_and_empty_pages(spark, messy):
+    import time
+
+    began = time.perf_counter()
+    for deep in ("<div>" * 50_000 + "word " * 50, "<b>" * 50_000 + "word " * 50 + "</b>" * 50_000, "<p>word<ul><li>" * 20_000):
+        assert htmltext.main_text(deep)
+    assert htmltext.main_text("<p>" + "word " * 400_000).count("word") == 400_000
+    assert time.perf_counter() - began < 20
+    pages = messy.selectExpr("doc_id AS page_id", "source AS url", "text AS html", "lang AS text", "n_chars")
+    rows = htmltext.extract_main_text(pages).collect()
+    assert len(rows) == messy.count() and rows[0].__fields__ == ["page_id", "url", "text", "n_chars"]
+    assert all(r.n_chars == len(r.text) for r in rows) and [r.text for r in rows if r.page_id in (1, 2, 3)] == [""] * 3
+    assert htmltext.extract_main_text(pages.limit(0)).count() == 0
