@@ -16,10 +16,12 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary folder where none is set (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is
+    set, a temporary folder if all run on this machine (tests); an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessella-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -59,12 +61,39 @@ def materialise(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, so that its
     lineage ends there and lost executors cost nothing. ``small``: its Python
     stages get small batches."""
-    path = fresh_path(df.sparkSession, tag)
+    return write_and_read(df, fresh_path(df.sparkSession, tag), small)
+
+
+def write_and_read(df: DataFrame, path: str, small: bool) -> DataFrame:
     with small_batches(df.sparkSession) if small else nullcontext():
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that one operator writes and needs no longer once its own result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, tag: str, small: bool = False) -> DataFrame:
+        path = fresh_path(self.spark, tag)
+        self.paths.append(path)
+        return write_and_read(df, path, small)
+
+    def drop(self) -> None:
+        remove(self.spark, self.paths)
+        self.paths = []
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of the shared folder, whatever its file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

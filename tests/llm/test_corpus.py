@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import decontam, lshforest, milquality, mixing, rules
-from tessella.llm.common import table
+from tessella.llm.common import Scratch, table
 from tessella.llm.components import components
 
 VOCABULARY = [f"w{i}" for i in range(3000)]
@@ -110,6 +110,7 @@ def brute_links(texts, threshold=0.8, n=5):
 
 def test_near_duplicates_with_a_group_of_many_chunks(spark, monkeypatch):
     monkeypatch.setattr(lshforest, "CHUNK", 16)
+    monkeypatch.setattr(lshforest, "LEAST_CHUNK", 16)
     rng = random.Random(2)
     base = words(rng, 150)
     texts = []
@@ -125,6 +126,48 @@ def test_near_duplicates_with_a_group_of_many_chunks(spark, monkeypatch):
     assert len(rows) == len(texts)
     assert {r.doc_id: r.n_links for r in rows} == {i: links[i] for i, _ in texts}
     assert {r.doc_id: r.class_id for r in rows} == roots
+    kept = lshforest.drop_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), recall=0.99999)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots.values()))
+
+
+def test_classes_of_nodes_with_several_classes(spark, monkeypatch):
+    """Prefixes of one value put texts of many classes in one node; heads alone cannot tell them apart."""
+    monkeypatch.setattr(lshforest, "CHUNK", 8)
+    monkeypatch.setattr(lshforest, "LEAST_CHUNK", 8)
+    rng = random.Random(8)
+    texts = []
+    for g in range(6):
+        shared, own = words(rng, 60) if not g else texts[0][1].split()[:60], words(rng, 60)
+        for _ in range(20):
+            t = shared + own
+            for _ in range(rng.randrange(4)):
+                t[rng.randrange(len(t))] = rng.choice(VOCABULARY)
+            texts.append((len(texts), " ".join(t)))
+    rng.shuffle(texts)
+    links, roots = brute_links(texts)
+    assert 1 < len(set(roots.values())) < 100
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = lshforest.near_duplicates(df, depth=3, recall=0.9999).collect()
+    assert {r.doc_id: r.class_id for r in rows} == roots and {r.doc_id: r.n_links for r in rows} == {i: links[i] for i, _ in texts}
+    plain = lshforest.near_duplicates(df, depth=3, recall=0.9999, count_links=False).collect()
+    assert {r.doc_id: r.class_id for r in plain} == roots and all(r.n_links is None for r in plain)
+
+
+def test_prefixes_are_shortened_until_the_recall(spark):
+    """40 texts share whole labels in trie 0, three share 8 values in trie 1, two share 7 in trie 2."""
+    p = lshforest.chance
+    assert p(0.8, 7, 32) >= 0.999 > p(0.8, 8, 32) and (2 + p(0.8, 8, 32)) / 3 >= 0.999 and (39 + p(0.8, 10, 32)) / 40 >= 0.999
+    bits = lshforest.deep_bits(10, 7)
+    label = lambda a, b, c: (a << 2 * bits) | (b << bits) | c
+    rows = [(i, 0, 5, label(1, 2, 3)) for i in range(40)]
+    rows += [(100 + i, 1, 6, label(1, 10 + i, 3)) for i in range(3)] + [(200 + i, 2, 7, label(20 + i, 2, 3)) for i in range(2)]
+    rows += [(i, 3, 1000 + i, 0) for i in (0, 100, 200, 300)] + [(0, 2, 7, label(30, 2, 3))]
+    members = spark.createDataFrame(rows, "row long, tree int, node long, deep long")
+    got = {}
+    for r in lshforest.forest(members, 0.8, 32, 10, 7, 0.999, Scratch(spark)).collect():
+        got.setdefault(r.node, set()).add((r.row, r.open, r.head))
+    want = [{(i, True, 0) for i in range(40)}, {(100 + i, True, 100) for i in range(3)}, {(200, True, 0), (201, True, 0), (0, False, 0)}]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
 
 
 def test_near_duplicates_of_messy_rows(messy, empty):
@@ -140,7 +183,7 @@ def test_near_duplicates_of_messy_rows(messy, empty):
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
-    got = {r.u: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.u: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark)).collect()}
     parent = {}
     find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
     for a, b in edges:
