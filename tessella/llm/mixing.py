@@ -1,33 +1,42 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents are counted in cells of source, language and topic. The cells' token
-weights are raked to the target share of each margin in turn until they agree with
-all; a cell's factor is its raked by its own share of tokens. A document is kept
-with probability min(1, scale x factor), the scale being such that the expected
-tokens are ``budget`` of all; where that reaches 1, ``weight`` (scale x factor)
+weights are raked to the target share of each margin in turn, until every margin's
+shares are within ``tolerance`` of their targets, or come no nearer, as where targets
+contradict the empty cells; a cell's factor is its raked by its own share of tokens. A
+document is kept with probability min(1, scale x factor), the scale being such that the
+expected tokens are ``budget`` of all; where that reaches 1, ``weight`` (scale x factor)
 says how often to repeat the document so that shares come out exactly.
 
 Targets come as (value, share) rows per margin, or else from the corpus: shares to
 the power of ``temperature``, normalised. Values without a target get none of the
-weight; targets without documents are left out and the rest scaled up.
+weight; targets without documents are left out and the rest scaled up; repeated rows of
+a target add up. Tokens are words, or the numbers in ``tokens_col`` where given.
 
 Everything is DataFrame functions. Up to ``one_task_cells`` cells (a counted bound)
-are raked in one task without exchanges; more of them with one exchange a margin.
-
-Defined results: null margins are the value '(none)'; a null text has no tokens and
-its document is drawn like others of its cell; repeated rows of an id are drawn
-together; an empty table gives no rows.
+are raked in one task without exchanges; of more, each margin's sums are aggregated and
+joined, so that no task holds all. The driver sees sums and residuals only.
+
+Defined results: null margins are the value '(none)'; a null or empty text has no tokens
+and its document is drawn like others of its cell; repeated rows of an id are drawn
+together, those of a null id too; an empty table gives no rows; texts of any length
+count whole. Columns called topic, n_tokens, prob or weight are replaced by the results;
+all others are kept, as long as none begins with two underscores.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise
+from .common import Scratch, broadcast_if_small, materialise
 from .rules import words_of
 
 MARGINS = ("source", "lang", "topic")
+#: Values of a margin whose sums may be broadcast.
+MANY = 100_000
 TEMPERATURE = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 
 
@@ -42,10 +51,11 @@ def default_topic(text: Column, n_tokens: Column) -> Column:
     )
 
 
-def with_cells(docs: DataFrame, text_col: str = "text", topic=default_topic) -> DataFrame:
-    """docs with __source, __lang, __topic and __tokens."""
+def measured(docs: DataFrame, text_col: str = "text", topic=default_topic, tokens_col: str | None = None) -> DataFrame:
+    """docs with __source, __lang, __topic and __tokens; all that drawing needs of a text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.withColumn("__tokens", F.size(words_of(text)).cast("long"))
+    tokens = F.size(words_of(text)) if tokens_col is None else F.coalesce(F.col(tokens_col), F.lit(0))
+    df = docs.withColumn("__tokens", tokens.cast("long"))
     none = F.lit("(none)")
     return df.withColumns({
         "__source": F.coalesce(F.col("source").cast("string"), none), "__lang": F.coalesce(F.col("lang").cast("string"), none),
@@ -53,60 +63,94 @@ def with_cells(docs: DataFrame, text_col: str = "text", topic=default_topic) ->
     })
 
 
-def with_target(cells: DataFrame, margin: str, given: DataFrame | None, temperature: float) -> DataFrame:
+def with_target(cells: DataFrame, margin: str, given: DataFrame | None, temperature: float, scratch: Scratch) -> DataFrame:
     """cells with ``t_<margin>``, the share its value is to have."""
-    if given is not None:
-        given = given.select(F.col(given.columns[0]).cast("string").alias(margin), F.col(given.columns[1]).cast("double").alias("__t"))
-        cells = cells.join(given, margin, "left").withColumn("__t", F.coalesce("__t", F.lit(0.0)))
+    values = cells.groupBy(margin).agg(F.sum("n").cast("double").alias("own"))
+    if given is None:
+        values = values.select(margin, F.pow("own", F.lit(temperature)).alias("t"))
     else:
-        own = F.sum("n").over(Window.partitionBy(margin))
-        cells = cells.withColumn("__t", F.pow(own.cast("double"), F.lit(temperature)))
-    # Each value counts once, whatever the number of its cells.
-    first = F.row_number().over(Window.partitionBy(margin).orderBy(*(m for m in MARGINS if m != margin)))
-    cells = cells.withColumn("__first", first)
-    total = F.sum(F.when(F.col("__first") == 1, F.col("__t"))).over(Window.partitionBy("one"))
-    return cells.withColumn(f"t_{margin}", F.try_divide("__t", total)).drop("__t", "__first")
+        name, share = given.columns[:2]
+        given = given.groupBy(F.col(name).cast("string").alias(margin)).agg(F.sum(F.col(share).cast("double")).alias("t"))
+        values = values.join(given, margin, "left").select(margin, F.coalesce("t", F.lit(0.0)).alias("t"))
+    values = scratch.table(values, "mix-targets")
+    total = values.agg(F.sum("t")).first()[0]
+    values = values.select(margin, F.try_divide("t", F.lit(total)).alias(f"t_{margin}"))
+    return cells.join(broadcast_if_small(values, MANY), margin)
+
+
+def margin_sum(cells: DataFrame, margin: str, small: bool) -> DataFrame:
+    """cells with ``own``, the sum of w over the cells of equal margin."""
+    if small:
+        return cells.withColumn("own", F.sum("w").over(Window.partitionBy(margin)))
+    sums = cells.groupBy(margin).agg(F.sum("w").alias("own"))
+    return cells.join(broadcast_if_small(sums, MANY), margin)
 
 
-def rake(cells: DataFrame, rounds: int) -> DataFrame:
+def rake(cells: DataFrame, rounds: int, small: bool) -> DataFrame:
     """``w`` scaled to each margin's targets in turn, ``rounds`` times."""
     for _ in range(rounds):
         for margin in MARGINS:
-            own = F.sum("w").over(Window.partitionBy(margin))
-            cells = cells.withColumn("w", F.coalesce(F.try_divide(F.col("w") * F.col(f"t_{margin}"), own), F.lit(0.0)))
+            cells = margin_sum(cells, margin, small)
+            w = F.coalesce(F.try_divide(F.col("w") * F.col(f"t_{margin}"), F.col("own")), F.lit(0.0))
+            cells = cells.withColumn("w", w).drop("own")
     return cells
 
 
+def residual(cells: DataFrame) -> float:
+    """The largest difference between a value's share of w and its target."""
+    off = [
+        cells.groupBy(m).agg(F.sum("w").alias("s"), F.max(f"t_{m}").alias("t")).agg(F.max(F.abs(F.col("s") - F.col("t"))).alias("off"))
+        for m in MARGINS
+    ]
+    return max((r.off or 0.0 for x in off for r in x.collect()), default=0.0)
+
+
+def scale_of(cells: DataFrame, budget: float) -> float:
+    """The scale q for which sum(n min(1, q f)) is ``budget`` of all n. Cells that q takes
+    whole are set aside and q computed anew for the rest, until they stay the same."""
+    every = cells.agg(F.sum("n").cast("double")).first()[0]
+    q = 0.0
+    while True:
+        whole = F.col("f") * F.lit(q) >= 1
+        n, spent = cells.agg(F.sum(F.when(whole, F.col("n"))).cast("double"), F.sum(F.when(~whole, F.col("n") * F.col("f")))).first()
+        rest = budget * every - (n or 0.0)
+        if not spent:
+            return q if rest <= 0 else math.inf
+        new = rest / spent
+        if new <= q * (1 + 1e-12):
+            return new
+        q = new
+
+
 def calibrated_cells(
     cells: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: dict[str, float] | None = None,
-    rounds: int = 5, passes: int = 2, budget: float = 0.5, one_task_cells: int = 100_000,
+    rounds: int = 5, tolerance: float = 1e-12, budget: float = 0.5, one_task_cells: int = 100_000,
 ) -> DataFrame:
-    """source, lang, topic, prob, weight of (source, lang, topic, n) rows; ``passes``
-    times ``rounds`` rakings, with the table written in between to keep plans short."""
+    """source, lang, topic, prob, weight of (source, lang, topic, n) rows. After every
+    ``rounds`` rakings the table is written and the residual tested."""
+    scratch = Scratch(cells.sparkSession)
     cells = cells.where("n > 0")
+    if cells.isEmpty():
+        return cells.select(*MARGINS, F.lit(0.0).alias("prob"), F.lit(1.0).alias("weight"))
     small = cells.limit(one_task_cells + 1).count() <= one_task_cells
     held = (lambda df: df.coalesce(1)) if small else (lambda df: df)
-    cells = held(cells).withColumns({"one": F.lit(1), "w": F.col("n").cast("double")})
+    cells = held(cells).withColumn("w", F.col("n").cast("double"))
     for margin in MARGINS:
-        cells = with_target(cells, margin, (targets or {}).get(margin), ({**TEMPERATURE, **(temperature or {})})[margin])
-    for _ in range(passes):
-        cells = held(materialise(rake(cells, rounds), "mix-raked"))
-    everything = Window.partitionBy("one")
-    cells = cells.withColumns({"all_n": F.sum("n").over(everything).cast("double"), "all_w": F.sum("w").over(everything)})
-    cells = cells.withColumn("f", F.coalesce(F.try_divide(F.col("w") * F.col("all_n"), F.col("all_w") * F.col("n")), F.lit(0.0)))
-    # Cells by falling factor: if all before this one are taken whole, the scale for the rest.
-    before = everything.orderBy(F.desc("f"), *MARGINS).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumns({
-        "whole": F.coalesce(F.sum("n").over(before), F.lit(0)).cast("double"),
-        "spent": F.coalesce(F.sum(F.col("n") * F.col("f")).over(before), F.lit(0.0)),
-    })
-    rest = F.try_divide(F.lit(budget) * F.col("all_n") - F.col("whole"), F.col("all_n") - F.col("spent"))
-    cells = cells.withColumn("c", rest)
-    fits = (F.col("c") >= 0) & (F.col("c") * F.col("f") <= 1)
-    scale = F.min_by(F.when(fits, F.col("c")), F.when(fits, F.col("whole"))).over(everything)
-    cells = cells.withColumn("q", F.coalesce(scale, F.lit(float("inf"))))
-    q = F.when(F.col("f") == 0, F.lit(0.0)).otherwise(F.col("q") * F.col("f"))
-    return cells.select(*MARGINS, F.least(q, F.lit(1.0)).alias("prob"), F.greatest(q, F.lit(1.0)).alias("weight"))
+        cells = with_target(cells, margin, (targets or {}).get(margin), ({**TEMPERATURE, **(temperature or {})})[margin], scratch)
+    off = math.inf
+    while True:
+        cells = held(scratch.table(rake(cells, rounds if small else 1, small), "mix-raked"))
+        last, off = off, residual(cells)
+        if off <= tolerance or off >= 0.9 * last:
+            break
+    all_n, all_w = cells.agg(F.sum("n").cast("double"), F.sum("w")).first()
+    f = F.coalesce(F.try_divide(F.col("w") * F.lit(all_n), F.lit(all_w) * F.col("n")), F.lit(0.0))
+    cells = scratch.table(cells.withColumn("f", f), "mix-factors")
+    q = F.when(F.col("f") == 0, F.lit(0.0)).otherwise(F.lit(scale_of(cells, budget)) * F.col("f"))
+    out = cells.select(*MARGINS, F.least(q, F.lit(1.0)).alias("prob"), F.greatest(q, F.lit(1.0)).alias("weight"))
+    out = materialise(out, "mix-probs")
+    scratch.drop()
+    return out
 
 
 def uniform(id_col: Column, seed: int) -> Column:
@@ -115,22 +159,26 @@ def uniform(id_col: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, topic=default_topic,
-    broadcast_rows: int = 50_000, **options,
+def draw(
+    df: DataFrame, id_col: str = "doc_id", seed: int = 42, broadcast_rows: int = 50_000, **options,
 ) -> DataFrame:
-    """The drawn rows of docs with topic, n_tokens, prob and weight added."""
-    df = with_cells(docs, text_col, topic)
+    """The drawn rows of ``measured`` ones, with topic, n_tokens, prob and weight added."""
     cells = df.groupBy(*(F.col(f"__{m}").alias(m) for m in MARGINS)).agg(F.sum("__tokens").alias("n"))
     cells = materialise(cells, "mix-cells")
-    found = materialise(calibrated_cells(cells, **options), "mix-probs")
+    found = calibrated_cells(cells, **options)
     # Cells without a token are left out of the raking; their documents have none to weigh.
     empty = cells.where("n = 0").select(*MARGINS, F.lit(0.0).alias("prob"), F.lit(1.0).alias("weight"))
     found = found.unionByName(empty).select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("prob").alias("__p"), F.col("weight").alias("__w"))
     found = broadcast_if_small(found, broadcast_rows)
     drawn = df.withColumn("__u", uniform(F.col(id_col), seed)).join(found, [f"__{m}" for m in MARGINS]).where("__u < __p")
-    clash = {"topic", "n_tokens", "prob", "weight"}
-    own = [F.col(c) for c in docs.columns if c not in clash]
-    return drawn.select(
-        *own, F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__p").alias("prob"), F.col("__w").alias("weight")
-    )
+    made = {"topic": "__topic", "n_tokens": "__tokens", "prob": "__p", "weight": "__w"}
+    own = [F.col(c) for c in df.columns if c not in made and not c.startswith("__")]
+    return drawn.select(*own, *(F.col(c).alias(name) for name, c in made.items()))
+
+
+def mix_sources(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic=default_topic, tokens_col: str | None = None, **options,
+) -> DataFrame:
+    """The drawn rows of docs with topic, n_tokens, prob and weight added. The texts are
+    read twice; where they are not wanted, write ``measured`` rows without them and ``draw``."""
+    return draw(measured(docs, text_col, topic, tokens_col), id_col, **options)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, htmltext, lshforest, milquality, mixing, pseudonyms, rules, secrets, tokencount, warc
-from .common import table
+from .common import materialise, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    mixed = mixing.draw(materialise(mixing.measured(docs).drop("text"), "mix-measured"))
     rounded = [F.round(c, 6).alias(c) for c in ("prob", "weight")]
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", *rounded)
 
@@ -93,8 +94,8 @@ LEFT JOIN (SELECT u, count(*) AS n FROM both_ways GROUP BY u) k ON k.u = d.doc_i
 """
 
 
-def op7_sql(seed: int = 42, rounds: int = 10, budget: float = 0.5) -> str:
-    """The same raking as one chain of queries; rounds: all that the operator does."""
+def op7_sql(seed: int = 42, rounds: int = 20, budget: float = 0.5) -> str:
+    """The same raking as one chain of queries; after so many rounds nothing moves any more."""
     m = mixing.MARGINS
     out = r"""
 WITH d AS (

@@ -237,7 +237,7 @@ def test_raking_reaches_the_targets(spark, messy, empty):
     df = spark.createDataFrame(cells, "source string, lang string, topic string, n long")
     targets = {"source": spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.2), ("gone", 1.0)][:3], "v string, p double"),
                "lang": spark.createDataFrame([("en", 0.5), ("de", 0.5)], "v string, p double")}
-    out = mixing.calibrated_cells(df, targets, {"topic": 1.0}, rounds=10, passes=3).join(df, list(mixing.MARGINS)).collect()
+    out = mixing.calibrated_cells(df, targets, {"topic": 1.0}).join(df, list(mixing.MARGINS)).collect()
     total = sum(r.n for r in out)
     used = {r: r.n * r.prob * r.weight for r in out}
     all_used = sum(used.values())
