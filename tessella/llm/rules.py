@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialise
+from .common import SPACES, hashed_sample, materialise
 
 WINDOW = 8
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -150,7 +150,7 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, limit: int)
     """At most ``limit`` labelled ids, taken by a hash of the id; ``__bad``: label 0."""
     each = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     each = each.groupBy(F.col(id_col).cast("long").alias("__id")).agg((F.avg(label_col) < 0.5).cast("long").alias("__bad"))
-    return each.orderBy(F.xxhash64("__id"), "__id").limit(limit)
+    return hashed_sample(each, "__id", limit)
 
 
 def with_bins(rows: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:

@@ -7,11 +7,13 @@ once per distinct pre-token of the whole corpus and joined to the frequencies.
 Plan: (1) one Python pass writes each document's distinct pre-tokens and their
 frequencies; (2) the corpus vocabulary is aggregated from that table and its
 pieces counted; (3) the most frequent pre-tokens, a bounded number of bounded
-length, are broadcast, so that no hot word is ever shuffled; (4) the tail is
-joined by a shuffle. Sums are per row, so repeated rows each keep theirs.
+length, are broadcast, so that no hot word is ever shuffled: a histogram of their
+frequencies, a few hundred numbers, gives the cut; (4) the tail is joined by a
+shuffle. Sums are per row, so repeated rows each keep theirs.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows
-each give a row; other columns are ignored; an empty table gives none.
+each give a row; other columns are ignored, whatever they are called; an empty table
+gives none; very long texts are counted whole, and their pre-tokens are one row each.
 """
 
 from __future__ import annotations
@@ -82,6 +84,20 @@ class Splitter:
         return found
 
 
+def most_used(vocab: DataFrame) -> DataFrame:
+    """(pre, n_pieces) of the short pre-tokens used most, ``HOT_ROWS`` at most: those from a
+    frequency on that is found on a scale of eighths of powers of two."""
+    step = F.floor(F.log2("used") * 8).cast("int")
+    short = vocab.where(F.octet_length("pre") <= HOT_BYTES).withColumn("step", step)
+    rows, cut = 0, 1 << 30
+    for r in short.groupBy("step").count().orderBy(F.desc("step")).collect():  # 512 rows at most
+        rows += r["count"]
+        if rows > HOT_ROWS:
+            break
+        cut = r["step"]
+    return short.where(F.col("step") >= cut).select("pre", "n_pieces")
+
+
 def count_tokens(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -112,7 +128,7 @@ def count_tokens(
         tokenizer = load(vocabulary)
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            n = [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            n = [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["pre", "used", "n_pieces"]
             )
@@ -131,13 +147,7 @@ def count_tokens(
     long = held.select("row", F.inline(F.arrays_zip("pre", "freq")))
     used = held.select(F.inline(F.arrays_zip("pre", "freq"))).groupBy("pre").agg(F.sum("freq").alias("used"))
     vocab = materialise(used.mapInArrow(pieces, "pre string, used long, n_pieces long"), "token-vocab")
-    hot = (
-        vocab.where(F.octet_length("pre") <= HOT_BYTES)
-        .orderBy(F.desc("used"), "pre")
-        .limit(HOT_ROWS)
-        .select("pre", "n_pieces")
-    )
-    hot = materialise(hot, "token-hot")
+    hot = materialise(most_used(vocab), "token-hot")
     weight = (F.col("freq") * F.col("n_pieces")).alias("n")
     # Only ``row`` travels with the pre-tokens; each row's own values join its sum at the end.
     own = [F.lit(None).cast("long").alias(c) for c in ("doc_id", "n_bytes")]

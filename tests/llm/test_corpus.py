@@ -262,6 +262,44 @@ def test_classifier_on_held_out_documents(spark, messy, empty):
     assert milquality.score(messy, 0.5).where("score = 0.5 and predicted = 1").count() == messy.count()
 
 
+def test_classifier_scores_by_hand(spark, messy, monkeypatch):
+    """The query's scores against the formula, one passage and one document at a time."""
+    import math
+
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    model = milquality.fit(docs, labels, epochs=5)
+    p = {k: v.tolist() for k, v in model.p.items()}
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    dot = lambda x, w, j: sum(a * row[j] for a, row in zip(x, w, strict=True))
+
+    def by_hand(text):
+        hidden, marks = [], []
+        for row in milquality.encode(text or "").tolist():
+            x = [min(8, max(-8, (a - m) / s)) for a, m, s in zip(row, model.mean.tolist(), model.scale.tolist(), strict=True)]
+            h = [math.tanh(dot(x, p["W"], j) + b) for j, b in enumerate(p["b"])]
+            marks.append(sum(w * math.tanh(dot(h, p["V"], j)) * sig(dot(h, p["U"], j)) for j, w in enumerate(p["w"])))
+            hidden.append(h)
+        e = [math.exp(m) for m in marks]
+        z = [sum(a * h[j] for a, h in zip(e, hidden, strict=True)) / sum(e) for j in range(len(p["u"]))]
+        return sig(sum(a * b for a, b in zip(z, p["u"], strict=True)) + p["c"][0])
+
+    texts = docs.orderBy("doc_id").limit(40).unionByName(messy.select("doc_id", "text", "lang", "source", "n_chars").where("length(text) < 1000 or text is null").dropDuplicates(["doc_id"]).where("doc_id is not null").withColumn("doc_id", -F.col("doc_id")))
+    scores = {r.doc_id: r for r in milquality.score(texts, model).collect()}
+    for r in texts.collect():
+        assert scores[r.doc_id].score == pytest.approx(by_hand(r.text), abs=1e-5)
+        assert scores[r.doc_id].predicted == (scores[r.doc_id].score >= 0.5)
+
+
+def test_repeated_labels_and_long_texts_in_training(spark):
+    rows = [(i, "good words in a row here " * 30 if i % 2 else "### $$$ %%% " * 40) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(0, "zzz")] * 50 + [(1, "w " * 50_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] * 2 + [(2, 1), (3, None)], "doc_id long, quality int")
+    again = spark.createDataFrame(rows[::-1] + [(0, "zzz"), (1, "w " * 50_000)], "doc_id long, text string")
+    a, b = milquality.fit(docs, labels, epochs=3), milquality.fit(again, labels.dropDuplicates(), epochs=3)
+    assert all((a.p[k] == b.p[k]).all() for k in a.p)
+    assert len(milquality.spaced(milquality.encode("w " * 50_000), 64)) == 64
+
+
 def test_classifier_gradients():
     import numpy as np
 

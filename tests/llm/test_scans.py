@@ -96,6 +96,23 @@ def test_token_counts(spark, messy, empty):
     assert tokencount.count_tokens(empty).count() == 0
 
 
+def test_token_counts_of_documents(spark, small, monkeypatch):
+    """Every document against the library; with few hot pre-tokens the tail is joined too."""
+    tokenizer = tokencount.load("byte_bpe_50k.json")
+    docs = table(spark, small, "documents")
+    want = {r.doc_id: (len((r.text or "").encode()), len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect()}
+    for rows in (tokencount.HOT_ROWS, 50, 0):
+        monkeypatch.setattr(tokencount, "HOT_ROWS", rows)
+        assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in tokencount.count_tokens(docs).collect()} == want
+
+
+def test_most_used_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(tokencount, "HOT_ROWS", 10)
+    vocab = spark.createDataFrame([(f"w{i}", 1 + 1000 // (i + 1), 1) for i in range(40)] + [("x" * 60, 10**6, 1)], "pre string, used long, n_pieces long")
+    got = {r.pre for r in tokencount.most_used(vocab).collect()}
+    assert 5 <= len(got) <= 10 and got == {f"w{i}" for i in range(len(got))}
+
+
 def test_pseudonyms_permute_and_reverse(spark, messy, empty):
     p = pseudonyms.Permuter("k")
     assert sorted(p.of(i, 365, "x") for i in range(365)) == list(range(365))
