@@ -34,6 +34,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if state == last:
             break
         last = state
-    return now.select("u", F.col("v").alias("root")).unionAll(
-        now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct()
-    )
+    roots = now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct()
+    # Written, so that those who join it read even parts.
+    return scratch.table(now.select("u", F.col("v").alias("root")).unionAll(roots), "cc-roots")
