@@ -7,14 +7,22 @@ with few substitutions counts as an overlap.
 
 Words are maximal runs of letters, digits and underscores, in lower case. An item
 is found in a document if a segment has at least ``min(min_words, 0.8 n)`` equal
-words, n being the item's words, and 0.8 of its words equal. Short items have masks
-of their own, see ``MASKS``; those under five words are left out, as chance would
-find them. Null texts count as empty; repeated rows each count; an empty table on either
-side gives no rows.
+words, n being the item's words, and 0.8 of its words equal. Every such segment holds a
+window that some mask of ``MASKS`` meets: items of up to four words are hashed whole,
+longer ones have masks for every pattern of 0.2 n substitutions, and of 16 words of a
+longer item with 13 equal ones every pattern is met too. ``least_words`` leaves out
+items too short to tell from chance; by default none are.
 
 A fixed-size bitmap of the items' hashes drops windows that cannot match before
 they leave the scan; it grows with nothing, and when it fills the join still
-decides. Documents with hits keep only the words within ``reach`` of them.
+decides. Documents with hits keep the words as far around them as the longest item
+reaches, so that every alignment is compared over the whole item.
+
+Defined results: null and empty texts have no words and no overlaps; an item without
+words is in no document; repeated rows of documents each give rows, repeated items
+count once, items and documents with null ids like others; of equally many equal words
+the longer segment is reported; other columns are ignored, whatever they are called; an
+empty table on either side gives no rows; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -27,13 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise
+from .common import Scratch, broadcast_if_small, materialise, row_keys, slices
 
 WORD = re.compile(r"\w+")
 #: The masks for items of at least so many words. Each list finds every
 #: pattern of 0.2 n substitutions in an item of n words, up to 16 words: 1 in 5 to 9
 #: words, 2 in 10 to 14, 3 in 15 and 16.
 MASKS = {
+    1: ("1",),
+    2: ("11",),
+    3: ("111",),
+    4: ("1111",),
     5: ("1111", "11011", "10111", "11101"),
     7: ("111101", "1010111", "1101011"),
     10: ("1101111", "11110011", "110101011", "110011011", "10111101"),
@@ -100,29 +112,26 @@ def bit_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h >> np.uint64(64 - BITS), h & np.uint64((1 << BITS) - 1)
 
 
-def item_hashes(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, words, hash, at) of every window of every item."""
+def item_hashes(items: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
+    """(item, item_id, words, hash, at) of every window of every item; ``item`` numbers the rows."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, masks = Words(), {least: mask_list([least]) for least in MASKS}
         for batch in batches:
-            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for item, item_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = memo.hashes(text or "")
-                use = masks.get(family(len(words)), [])
+                use = masks.get(family(len(words)), []) if len(words) >= least_words else []
                 found = [(h, i) for mask, at in use for i, h in enumerate(window_hashes(words, mask, at).view(np.int64).tolist())]
                 if found:
+                    lists = [words.view(np.int64), [h for h, _ in found], [i for _, i in found]]
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([item], pa.int64()),
-                            pa.array([words.view(np.int64)], pa.list_(pa.int64())),
-                            pa.array([[h for h, _ in found]], pa.list_(pa.int64())),
-                            pa.array([[i for _, i in found]], pa.list_(pa.int64())),
-                        ],
-                        ["item_id", "words", "hash", "at"],
+                        [pa.array([item], pa.int64()), pa.array([item_id], pa.int64()), *(pa.array([x], pa.list_(pa.int64())) for x in lists)],
+                        ["item", "item_id", "words", "hash", "at"],
                     )
 
-    chosen = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(hashed, "item_id long, words array<long>, hash array<long>, at array<long>")
+    chosen = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).distinct()
+    chosen = chosen.select(F.monotonically_increasing_id().alias("item"), "item_id", "text")
+    return chosen.mapInArrow(hashed, "item long, item_id long, words array<long>, hash array<long>, at array<long>")
 
 
 def bitmap_of(hashes: DataFrame) -> np.ndarray:
@@ -148,8 +157,8 @@ def bitmap_of(hashes: DataFrame) -> np.ndarray:
 
 
 def hit_regions(docs: DataFrame, id_col: str, text_col: str, bitmap, families: list[int], reach: int) -> DataFrame:
-    """(row, doc_id, start, words, hash, at): parts of documents around windows
-    whose hash is in the bitmap; ``hash`` and ``at`` list those windows.
+    """(row, doc_id, key_a, key_b, start, words, hash, at): parts of documents around
+    windows whose hash is in the bitmap; ``hash`` and ``at`` list those windows.
     ``families``: the mask families that items use."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,17 +194,18 @@ def hit_regions(docs: DataFrame, id_col: str, text_col: str, bitmap, families: l
             return found
 
         def batch_of(found: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*found, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
+            cols = list(zip(*found, strict=True)) or [()] * 8
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 3
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "doc_id", "start", "words", "hash", "at"]
+                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+                ["row", "doc_id", "key_a", "key_b", "start", "words", "hash", "at"],
             )
 
         for batch in batches:
             rows, words, n = [], [], 0
-            for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text:
-                    rows.append((row, doc_id))
+                    rows.append(own)
                     words.append(memo.hashes(text))
                     n += len(words[-1])
                 if n > CHUNK_WORDS:
@@ -204,11 +214,10 @@ def hit_regions(docs: DataFrame, id_col: str, text_col: str, bitmap, families: l
             if words:
                 yield batch_of(regions(rows, words))
 
-    chosen = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).cast("string").alias("text"),
-    )
-    return chosen.mapInArrow(find, "row long, doc_id long, start long, words array<long>, hash array<long>, at array<long>")
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    chosen = docs.select(F.monotonically_increasing_id().alias("row"), doc_id.alias("doc_id"), *row_keys(doc_id, text), text.alias("text"))
+    schema = "row long, doc_id long, key_a long, key_b long, start long, words array<long>, hash array<long>, at array<long>"
+    return chosen.mapInArrow(find, schema)
 
 
 def best_segment(equal: np.ndarray, similarity: float = 0.8) -> tuple[int, int]:
@@ -224,37 +233,34 @@ def best_segment(equal: np.ndarray, similarity: float = 0.8) -> tuple[int, int]:
     return (len(inside), int(inside[-1] - inside[0]) + 1) if len(inside) else (0, 0)
 
 
-def find_overlaps(
+def overlaps(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
-    item_text_col: str = "text", min_words: int = 13, similarity: float = 0.8, reach: int = 128, broadcast_rows: int = 200_000,
+    item_text_col: str = "text", min_words: int = 13, similarity: float = 0.8, least_words: int = 1, broadcast_rows: int = 200_000,
 ) -> DataFrame:
-    """doc_id, item_id, n_equal, n_words: every document row and item that overlap,
-    with the best segment's equal words and length."""
+    """row, doc_id, key_a, key_b, item_id, n_equal, n_words of every document row and item that overlap."""
     spark = docs.sparkSession
-    held = materialise(item_hashes(items, item_id_col, item_text_col), "bench", small=True)
-    hashes = held.select("item_id", F.inline(F.arrays_zip("hash", "at")))
+    scratch = Scratch(spark)
+    held = scratch.table(item_hashes(items, item_id_col, item_text_col, least_words), "bench", small=True)
+    hashes = held.select("item", F.inline(F.arrays_zip("hash", "at")))
     bitmap = spark.sparkContext.broadcast(bitmap_of(hashes))
-    least = F.greatest(*(F.when(F.size("words") >= n, n) for n in MASKS)).alias("least")
-    families = sorted(r.least for r in held.select(least).distinct().collect())  # 4 at most
-    regions = materialise(hit_regions(docs, id_col, text_col, bitmap, families, reach), "bench-hits", small=True)
+    least = F.greatest(*(F.when(F.size("words") >= n, n) for n in MASKS))
+    longest, families = held.agg(F.max(F.size("words")), F.collect_set(least)).first()  # as many as MASKS at most
+    regions = scratch.table(hit_regions(docs, id_col, text_col, bitmap, families, longest or 0), "bench-hits", small=True)
     seeds = regions.select("row", "start", F.inline(F.arrays_zip("hash", F.col("at").alias("doc_at"))))
     windows = broadcast_if_small(hashes.withColumnRenamed("at", "item_at"), broadcast_rows)
-    found = (
-        seeds.join(windows, "hash")
-        .select("row", "start", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"))
-        .distinct()
-    )
-    full = found.join(regions.select("row", "start", "doc_id", "words"), ["row", "start"])
-    item_words = held.select("item_id", F.col("words").alias("item"))
-    item_words = broadcast_if_small(item_words, broadcast_rows, F.size("item"))
-    aligned = full.join(item_words, "item_id").select("row", "doc_id", "item_id", "shift", "words", "item")
+    # Alignments first, as numbers; each is compared once, however many seeds it has.
+    found = seeds.join(windows, "hash").select("row", "start", "item", (F.col("doc_at") - F.col("item_at")).alias("shift"))
+    found = scratch.table(found.distinct(), "bench-aligned")
+    full = found.join(regions.select("row", "start", "words"), ["row", "start"])
+    item_words = broadcast_if_small(held.select("item", F.col("words").alias("other")), broadcast_rows, F.size("other"))
+    aligned = full.join(item_words, "item").select("row", "item", "shift", "words", "other")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
-            row, doc_id, item_id, shift, words, item = batch.columns
+            row, item, shift, words, other = batch.columns
             for k in range(len(batch)):
-                a, b = words[k].values.to_numpy(), item[k].values.to_numpy()
+                a, b = words[k].values.to_numpy(), other[k].values.to_numpy()
                 s = shift[k].as_py()
                 lo, hi = max(0, -s), min(len(b), len(a) - s)
                 if hi > lo:
@@ -263,18 +269,30 @@ def find_overlaps(
                     if same.sum() >= similarity * len(b):  # the item as a whole, changed words at its ends too
                         equal, length = int(same.sum()), len(b)
                     if equal >= min(min_words, similarity * len(b)) and equal >= similarity * length:
-                        out.append((row[k].as_py(), doc_id[k].as_py(), item_id[k].as_py(), equal, length))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["row", "doc_id", "item_id", "n_equal", "n_words"])
+                        out.append((row[k].as_py(), item[k].as_py(), equal, length))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["row", "item", "n_equal", "n_words"])
+
+    verified = scratch.table(aligned.mapInArrow(verify, "row long, item long, n_equal long, n_words long"), "bench-found", small=True)
+    own = regions.select("row", "doc_id", "key_a", "key_b").distinct()
+    rows = verified.join(broadcast_if_small(held.select("item", "item_id"), broadcast_rows), "item")
+    best = rows.groupBy("row", "item_id").agg(F.max(F.struct("n_equal", "n_words")).alias("best"))
+    out = best.join(own, "row").select("row", "doc_id", "key_a", "key_b", "item_id", "best.n_equal", "best.n_words")
+    out = materialise(out, "bench-overlaps")
+    scratch.drop()
+    return out
 
-    verified = aligned.mapInArrow(verify, "row long, doc_id long, item_id long, n_equal long, n_words long")
-    best = verified.groupBy("row", "doc_id", "item_id").agg(F.max(F.struct("n_equal", "n_words")).alias("best"))
-    return best.select("doc_id", "item_id", "best.n_equal", "best.n_words")
+
+def find_overlaps(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """doc_id, item_id, n_equal, n_words: every document row and item that overlap,
+    with the best segment's equal words and length. ``options``: those of ``overlaps``."""
+    return overlaps(docs, items, **options).select("doc_id", "item_id", "n_equal", "n_words")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs whose id has no overlap with any item; null ids compare as
-    equal, and rows that share an id with an overlapping row go with it."""
-    found = find_overlaps(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("__found")).distinct()
-    found = broadcast_if_small(materialise(found, "bench-docs", small=True), 200_000)
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("__found")), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that overlap with no item, with their own columns; rows are told
+    apart by id and text, null ids too."""
+    found = overlaps(docs, items, id_col, text_col, **options).selectExpr("key_a AS __a", "key_b AS __b").distinct()
+    found = broadcast_if_small(materialise(found, "bench-docs"), 200_000)
+    made = dict(zip(("__a", "__b"), row_keys(F.col(id_col).cast("long"), F.col(text_col).cast("string")), strict=True))
+    return docs.withColumns(made).join(found, ["__a", "__b"], "left_anti").select(*docs.columns)

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, materialise, slices
+from .common import Scratch, broadcast_if_small, materialise, row_keys, slices
 from .components import components
 from .decontam import Words, factors
 
@@ -145,11 +145,6 @@ def deep_bits(depth: int, least: int) -> int:
     return min(32, 62 // max(1, depth - least))
 
 
-def row_keys(doc_id: Column, text: Column) -> list[Column]:
-    """128 bits of an id and a text, to find a row again; rows of equal keys are alike."""
-    return [F.xxhash64(doc_id, text).alias("key_a"), F.xxhash64(text, F.lit("b"), doc_id).alias("key_b")]
-
-
 def candidate_sets(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """(key_a, key_b, shingles) of the rows with the given keys, once per key. Sets take more
     room than texts, so they are made again for the few that need them; the texts move
