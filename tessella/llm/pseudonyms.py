@@ -7,10 +7,19 @@ every document, different values different ones, and each pseudonym is valid in
 same format. Holders of the key can reverse it.
 
 Found: payment cards (13 to 19 digits, single spaces or hyphens allowed), North
-American telephone numbers with an area code, social security numbers, IPv4
-addresses, ISO and d/m/y or d.m.y dates from 1900 to 2099 (m/d/y where the day is over
-12), and e-mail addresses, whose local part and first domain label are permuted letter
-by letter and digit by digit within their class. Numbers that fail their check stay.
+American telephone numbers with an area code, international ones that begin with a
+plus sign (8 to 15 digits), social security numbers, IPv4 addresses, ISO and d/m/y or
+d.m.y dates from 1900 to 2099 (m/d/y where the day is over 12), and e-mail addresses,
+whose local part and first domain label are permuted letter by letter and digit by
+digit within their class. Numbers that fail their check stay.
+
+Not sought, as nothing tells them from other numbers: ten digits in a row without a
+plus sign, numbers without an area code, dates with two digits of the year or with
+names of months. A value within a longer run of letters or digits is none.
+
+Any pseudonym but an IPv4 address is as long as its value: dates are permuted among those whose fields have
+the same widths, a field of two digits being padded; of an international number the
+first two digits, most of its country code, stay.
 
 Groups of digits between single spaces are read from left to right, at each group the
 shortest card first, then a telephone number of 3, 3 and 4 digits. All groups of a card
@@ -19,8 +28,9 @@ pseudonym is permuted on until it is read in the same way, so that it can be rev
 where groups before a card make another reading possible, it may differ from the one
 that the card has elsewhere.
 
-Defined results: a null text stays null; repeated rows each give a row; other
-columns are ignored; values within a longer run of letters or digits are none.
+Defined results: a null text stays null and an empty one empty, without values; repeated
+rows each give a row, with the same pseudonyms; other columns are ignored, whatever they
+are called; an empty table gives no rows; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -43,7 +53,9 @@ PATTERN = re.compile(
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
     |(?P<date>(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]))
     |(?P<phone>(?<![\w.+-])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\w-])
-        |(?<![\w.+-])(?:\+?1[ .-])?\d{3}[ ]\d{3}[.-]\d{4}(?![\w-]))""",
+        |(?<![\w.+-])(?:\+?1[ .-])?\d{3}[ ]\d{3}[.-]\d{4}(?![\w-])
+        |(?<![\w.+-])\+1\d{10}(?![\w-])
+        |(?<![\w.+-])\+[2-9]\d{0,2}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,12})){1,6}(?![\w-]))""",
     re.X | re.A,
 )
 #: Groups of digits; only spaces in a run border a value.
@@ -133,6 +145,11 @@ def ssn(value: str, p: Permuter, back: bool) -> str | None:
 def phone(value: str, p: Permuter, back: bool) -> str | None:
     """Numbers whose area and exchange begin with 2 to 9 stay among their like."""
     digits = re.sub(r"\D", "", value)
+    if value[0] == "+" and digits[0] != "1":
+        if not 8 <= len(digits) <= 15:
+            return None
+        head, n = digits[:2], len(digits) - 2
+        return fill(value, head + str(p.of(int(digits[2:]), 10**n, f"phone:{head}", back)).zfill(n))
     real = lambda d: d[0] >= "2" and d[3] >= "2"
     own = new = digits[-10:]
     while True:
@@ -162,16 +179,14 @@ def date(value: str, p: Permuter, back: bool) -> str | None:
         return None
     if not FIRST_DAY <= at <= LAST_DAY:
         return None
+    fits = lambda n, field: len(field) == 2 or n < 10
     while True:
         at = FIRST_DAY + p.of(at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", back)
         new = datetime.date.fromordinal(at)
-        if not american or new.day > 12:
+        if fits(new.day, day) and fits(new.month, month) and (not american or new.day > 12):
             break
-    if sep == "-":
-        return new.isoformat()
-    pad = "02d" if len(day) == len(month) == 2 else "d"
-    first, second = (new.month, new.day) if american else (new.day, new.month)
-    return f"{first:{pad}}{sep}{second:{pad}}{sep}{new.year:04d}"
+    fields = {"d": str(new.day).zfill(len(day)), "m": str(new.month).zfill(len(month)), "y": f"{new.year:04d}"}
+    return sep.join(fields[k] for k in ("ymd" if sep == "-" else "mdy" if american else "dmy"))
 
 
 def email(value: str, p: Permuter, back: bool) -> str | None:
