@@ -7,9 +7,9 @@ A string that passes is tested again in parts between its separators, as words o
 path or a name would hide a secret beside them.
 
 Defined results: a null text counts as empty and has no spans; repeated rows each
-give a row; other columns of the input are ignored; an empty table gives none.
-Candidates longer than ``WINDOW`` are tokenised in windows of that length, which
-bounds the work and adds at most one token a window.
+give a row; other columns of the input are ignored, whatever they are called; an empty
+table gives none; candidates of any length are tokenised whole; of spans with one start
+the kinds come in the order of ``KINDS``.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,7 +44,6 @@ ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: Lengths in hex digits of MD5, SHA-1, Tiger, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 KINDS = ("assign", "access", "hex", "random")
-WINDOW = 256
 
 SCHEMA = (
     "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string,"
@@ -95,10 +96,7 @@ class TokenEfficiency:
         )
 
     def tokens(self, candidate: str) -> int:
-        return sum(
-            len(self.encoding.encode_ordinary(candidate[i : i + WINDOW]))
-            for i in range(0, len(candidate), WINDOW)
-        )
+        return len(self.encoding.encode_ordinary(candidate))
 
     def ratio(self, candidate: str) -> float:
         return len(candidate) / max(1, self.tokens(candidate))
@@ -141,14 +139,20 @@ def random_spans(candidate: str, test: TokenEfficiency, max_ratio: float) -> lis
 
 def all_spans(text: str, test: TokenEfficiency, max_ratio: float) -> list[tuple[int, int, int]]:
     base = base_spans(text)
+    starts = [s for s, _, _ in base]
+    ends = list(accumulate((e for _, _, e in base), max))
+
+    def covered(start: int, end: int) -> bool:
+        """Whether a span of the fixed patterns holds all of it."""
+        i = bisect_right(starts, start)
+        return i > 0 and ends[i - 1] >= end
+
     more = []
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        if any(s <= start and end <= e for s, _, e in base):
-            continue
-        for a, b in random_spans(m[0], test, max_ratio):
-            if not any(s <= start + a and start + b <= e for s, _, e in base):
-                more.append((start + a, 3, start + b))
+        if not covered(start, end):
+            found = random_spans(m[0], test, max_ratio)
+            more += [(start + a, 3, start + b) for a, b in found if not covered(start + a, start + b)]
     return sorted(base + more)
 
 

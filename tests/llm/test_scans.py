@@ -73,6 +73,37 @@ def test_secrets_in_paths_and_names_are_found():
         assert not secrets.all_spans(known, test, 2.2), known
 
 
+def test_added_spans_of_documents(spark, small):
+    """Each added span says by itself why it is there, and no string is left that should be."""
+    test = secrets.TokenEfficiency("byte_bpe_50k.tiktoken")
+    docs = {r.doc_id: r.text or "" for r in table(spark, small, "documents").collect()}
+    for r in secrets.scan_secrets(table(spark, small, "documents")).collect():
+        text = docs[r.doc_id]
+        spans = [(int(a), secrets.KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        base, more = [x for x in spans if x[1] < 3], [x for x in spans if x[1] == 3]
+        assert base == brute_base(text) and spans == sorted(spans) and r.n_random == len(more)
+        inside = lambda a, b: any(s <= a and b <= e for s, _, e in base)  # noqa: B023, E731
+        for a, _, b in more:
+            assert re.fullmatch("[A-Za-z0-9+/_=-]{20,}", text[a:b]) and not secrets.is_public(text[a:b]) and not inside(a, b)
+            assert len(text[a:b]) / len(test.encoding.encode_ordinary(text[a:b])) <= 2.2
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+            if not inside(*m.span()) and not secrets.is_public(m[0]) and secrets.is_random(m[0], test, 2.2):
+                assert (m.start(), 3, m.end()) in more
+
+
+def test_very_long_candidates(spark):
+    import time
+
+    test = secrets.TokenEfficiency("byte_bpe_50k.tiktoken")
+    rng = random.Random(12)
+    long = "".join(rng.choices(string.ascii_letters + string.digits, k=300_000))
+    began = time.perf_counter()
+    assert secrets.all_spans(f"a {long} b", test, 2.2)[-1] == (2, 3, 300_002)
+    many = "deadbeefdeadbeef01 " * 20_000 + "token=abcdefabcdef " * 20_000 + "somewhere-over-the-rainbow " * 20_000
+    assert len(secrets.all_spans(many, test, 2.2)) == 40_000
+    assert time.perf_counter() - began < 20
+
+
 def test_secret_rows(spark, messy, empty):
     rows = secrets.scan_secrets(messy).collect()
     assert len(rows) == messy.count() and secrets.scan_secrets(empty).count() == 0
