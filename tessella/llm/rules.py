@@ -8,11 +8,13 @@ leave, and the next rule grows. Spark aggregates counts per feature and threshol
 the driver sees only those, a bounded number. The result is a chain of
 ``when(conditions, verdict)``.
 
-Defined results: a null text counts as empty and has no words; repeated rows each
-give a row; of a document's repeated labels the mean decides; without labels, or
-with one class only, the list is empty and keeps what the base rules keep; other
-columns are ignored, as long as none begins with two underscores. Columns named like
-results are replaced by them in ``apply_rules`` and kept as they are in ``passing``.
+Defined results: a null text counts as empty and has no words; texts of any length
+count whole; repeated rows each give a row; of a document's repeated labels the mean
+decides, a tie counting as good; of conditions with equal gain the first feature and
+least threshold is taken; without labels, or with one class only, the list is empty and
+keeps what the base rules keep; an empty table gives no rows and an empty list. Columns
+named like results are replaced by them in ``apply_rules``, all others are kept; in
+``passing`` every column is kept as it is.
 """
 
 from __future__ import annotations
@@ -65,10 +67,11 @@ def repeated_cover(hashes: Column) -> Column:
     return F.aggregate(at, start, step, lambda acc: acc["n"])
 
 
-def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the base counts and ``FEATURES`` of each text added."""
+def text_statistics(docs: DataFrame, text_col: str = "text", features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """docs with the base counts and the named ``FEATURES`` of each text added; only those are
+    computed. Names of docs are neither those nor begin with two underscores, but for __id and __bad."""
+    own = docs.columns
     t, w, h = F.col("__text"), F.col("__words"), F.col("__hash")
-    keep = docs.columns
     df = docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     df = df.withColumns({"__words": words_of(t), "__lines": F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")})
     df = df.withColumns({"__hash": F.transform(w, lambda x: F.xxhash64(x)), "n_words": F.size(w).cast("long")})
@@ -113,8 +116,8 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     })
     # Filters on the results would be pushed below, and repeat all of this per element
     # of the arrays above; they do not pass a generator.
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *FEATURES)
-    return df.select(*(F.col(c) for c in keep if c not in made), F.inline(F.array(F.struct(*made))))
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *features)
+    return df.select(*own, F.inline(F.array(F.struct(*made))))
 
 
 @dataclass(frozen=True)
@@ -257,14 +260,24 @@ def fit_rules(
     return learn_rules(materialise(stats, "rules-stats"), **options)
 
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def judged(docs: DataFrame, rules: list[Rule], text_col: str) -> DataFrame:
+    """``RESULTS`` beside the columns of docs, which are called own0, own1 and so on."""
+    used = tuple(f for f in FEATURES if any(c.feature == f for rule in rules for c in rule))
+    plain = docs.toDF(*(f"own{i}" for i in range(len(docs.columns))))
+    df = text_statistics(plain, f"own{docs.columns.index(text_col)}", used)
+    return df.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
 def apply_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """docs with the base counts, base_failed and kept."""
-    df = text_statistics(docs, text_col).withColumn("kept", ~F.col("base_failed") & verdict(rules))
-    return df.drop(*FEATURES)
+    own = [F.col(f"own{i}").alias(c) for i, c in enumerate(docs.columns) if c not in RESULTS]
+    return judged(docs, rules, text_col).select(*own, *RESULTS)
 
 
 def passing(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """The rows that apply_rules keeps, with their own columns only, whatever these are called."""
-    plain = docs.toDF(*(f"own{i}" for i in range(len(docs.columns))))
-    kept = apply_rules(plain, rules, plain.columns[docs.columns.index(text_col)]).where("kept")
-    return kept.select(*plain.columns).toDF(*docs.columns)
+    kept = judged(docs, rules, text_col).where("kept")
+    return kept.select(*(f"own{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)

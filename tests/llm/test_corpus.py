@@ -275,6 +275,38 @@ def test_text_counts(spark, messy, empty, small):
     assert out.count() == sum(r.kept for r in rules.apply_rules(df, []).collect())
 
 
+def test_learned_list_by_hand(spark, messy):
+    """``kept`` of a list of rules, against the same list followed by hand."""
+    import math
+
+    def by_hand(text):
+        n, chars, symbols, dups, repeats = brute_counts(text)
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        size, n_words = max(1, len(text)), max(1, n)
+        return {
+            "f_symbols": symbols / size, "f_digits": sum(c in "0123456789" for c in text) / size, "f_bangs": sum(c in "!?" for c in text) / size,
+            "f_punctuation": sum(c in ".,;:" for c in text) / size, "f_word_length": chars / n_words, "f_dup_lines": dups / max(1, len(lines)),
+            "f_repeats": repeats / n_words, "f_adjacent": sum(a == b for a, b in zip(w, w[1:])) / n_words, "f_distinct": len(set(w)) / n_words,
+            "f_line_words": n / max(1, len(lines)), "f_words": math.log2(n + 1), "f_upper": sum(c.isupper() for c in text) / size,
+        }
+
+    c = rules.Condition
+    listed = [(c("f_symbols", True, 0.02), c("f_words", True, 5.5)), (c("f_distinct", False, 0.4),), (c("f_upper", True, 0.03), c("f_word_length", False, 5.2), c("f_adjacent", False, 0.1))]
+    docs = table(spark, "/root/testdata/sf0.001", "documents").unionByName(messy.select("doc_id", "text", "lang", "source", "n_chars"))
+    verdicts = set()
+    for r in rules.apply_rules(docs.select("doc_id", "text"), listed).collect():
+        f = by_hand(r.text or "")
+        met = any(all((f[x.feature] > x.threshold) == x.above for x in rule) for rule in listed)
+        assert r.kept == (not r.base_failed and not met)
+        verdicts.add((r.base_failed, r.kept))
+    assert len(verdicts) == 3
+    clash = docs.selectExpr("doc_id", "text", "1 AS __text", "2 AS __words", "3 AS own0", "4 AS f_symbols", "'x' AS n_words")
+    out = rules.apply_rules(clash, listed)
+    assert set(clash.columns) <= set(out.columns) and out.where("__text <> 1 or __words <> 2 or own0 <> 3 or f_symbols <> 4").count() == 0
+    assert out.where("kept").count() == rules.apply_rules(docs, listed).where("kept").count()
+
+
 def test_learned_rules(spark, messy, empty):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     learned = rules.fit_rules(docs, labels)
