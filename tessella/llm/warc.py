@@ -8,6 +8,12 @@ directory; it never unpacks a member.
 
 Tasks write each package under a new name and report it in their output, so a
 package of a lost or repeated task is never read.
+
+Defined results: a null html is an empty payload, a null url an empty one; repeated rows
+each have a record, those with the largest id all as responses; rows with a null id have
+records and refer to the response like others; payloads of any length are stored whole;
+other columns are ignored, whatever they are called; an empty table gives no packages
+and no rows.
 """
 
 from __future__ import annotations

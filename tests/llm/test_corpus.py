@@ -411,7 +411,76 @@ def test_classifier_gradients():
         v[i] = kept
 
 
-def test_pipeline_stages(spark, messy, small):
+def test_pipeline_of_messy_rows(spark, messy, small):
+    """Null ids and texts, empty and very long texts, repeated rows and clashing columns go through all stages."""
+    import corpus_pipeline as c
+
+    docs, columns = messy, messy.columns
+    for name, stage in c.STAGES:
+        before = docs.count()
+        docs = c.materialise(stage(spark, docs, small), "test")
+        if name != c.STAGES[-1][0]:
+            assert docs.columns == columns and docs.count() <= before
+            assert docs.where("kept <> 'x' or n_words <> 'x' or digest <> 'x' or row <> 'x'").count() == 0
+        if name == "quality rules":
+            assert sorted(str(r.doc_id) for r in docs.collect()) == ["5", "5", "6", "7", "None"]
+        if name in ("near duplicates", "decontamination", "secret scan"):
+            assert [r.doc_id for r in docs.collect()] == [5]
+    assert set(docs.columns) == set(columns) | {"n_tokens", "prob", "weight"} and docs.dtypes[docs.columns.index("prob")][1] == "double"
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as c
+
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"),
+                         ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = c.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "text", "topic", "n_tokens", "prob", "weight"} <= set(out.columns)
+
+
+def test_secrets_go_before_the_mix_and_copies_before_the_benchmark(spark, small, tmp_path):
+    """Planted rows: each stage's decision takes effect in what the pipeline returns."""
+    import corpus_pipeline as c
+
+    rng = random.Random(14)
+    docs, bench = table(spark, small, "documents"), table(spark, small, "benchmark").where("text is not null").first().text
+    prose = lambda: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(120)) + "."
+    one, two = prose(), prose()
+    planted = [(10**6, one), (10**6 + 1, one), (10**6 + 2, one + " end"), (10**6 + 3, two + " " + bench), (10**6 + 4, "a b c")]
+    more = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in planted], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.unionByName(more.select(docs.columns)).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        table(spark, small, name).write.parquet(str(tmp_path / f"{name}.parquet"))
+    now = table(spark, str(tmp_path), "documents")
+    for _, stage in c.STAGES[:3]:
+        now = c.materialise(stage(spark, now, str(tmp_path)), "test")
+    assert {r.doc_id for r in now.where("doc_id >= 1000000").collect()} == {10**6}
+
+
+def test_mix_replaces_named_columns_only(spark, messy):
+    drawn = mixing.mix_sources(messy, budget=1.0)
+    assert set(drawn.columns) == set(messy.columns) | {"n_tokens", "prob", "weight"}
+    kinds = dict(drawn.dtypes)
+    assert (kinds["prob"], kinds["topic"], kinds["kept"]) == ("double", "string", "string") and drawn.where("topic = 'x' or kept <> 'x'").count() == 0
+    given = mixing.mix_sources(messy.withColumn("count", F.lit(7)), tokens_col="count").collect()
+    assert given and all(r.n_tokens == 7 for r in given)
+
+
+def test_raking_many_cells_by_joins(spark):
+    rng = random.Random(15)
+    cells = [(f"s{i % 13}", f"l{i % 7}", f"t{i % 5}", rng.randrange(1, 900)) for i in range(300)]
+    sums = Counter()
+    for *cell, n in cells:
+        sums[tuple(cell)] += n
+    df = spark.createDataFrame([(*c, n) for c, n in sums.items()], "source string, lang string, topic string, n long")
+    one = {tuple(r)[:3]: tuple(r)[3:] for r in mixing.calibrated_cells(df).collect()}
+    many = {tuple(r)[:3]: tuple(r)[3:] for r in mixing.calibrated_cells(df, one_task_cells=10).collect()}
+    assert one.keys() == many.keys() == sums.keys()
+    assert all(one[k] == pytest.approx(many[k], abs=1e-9) for k in one)
+
+
+def test_pipeline_stages(spark, small):
     import corpus_pipeline as c
 
     docs = table(spark, small, "documents")

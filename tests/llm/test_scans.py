@@ -282,6 +282,16 @@ def test_archive_round_trip(spark):
     assert warc.roundtrip(pages.limit(0)).count() == 0
 
 
+def test_archives_of_messy_pages(spark, messy):
+    pages = messy.selectExpr("doc_id AS page_id", "source AS url", "text AS html", "digest", "kept", "row", "prob AS refers_to", "topic AS n")
+    rows = warc.roundtrip(pages).collect()
+    sha = lambda s: hashlib.sha1((s or "").encode()).hexdigest()
+    want = sorted(str((r.page_id, sha(r.html), len((r.html or "").encode()))) for r in pages.collect())
+    assert sorted(str((r.page_id, r.payload_digest, r.payload_bytes)) for r in rows) == want
+    assert all(r.record_type == "response" for r in rows)  # the only long page does not repeat
+    assert warc.roundtrip(pages.where("page_id = 4").unionAll(pages.where("page_id = 4"))).where("record_type = 'response'").count() == 2
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar">
 <header><a href="/">Home</a></header><nav><ul><li><a>One</a><li><a>Two</a></ul></nav><div class="cookie-notice"><p>We use cookies to do things.</p></div>
 <article><header><h1>Head &amp; shoulders</h1></header><p>First <b>para</b>graph,<br>with  a   break.<p>Er.<ul><li>item</ul>
