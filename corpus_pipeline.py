@@ -1,7 +1,16 @@
 """A corpus pipeline of five stages, each written as Parquet and read again.
 
 Quality rules, near duplicates, benchmark overlaps, secrets, and the mix of sources.
-A stage keeps the columns of documents; the last adds topic, n_tokens, prob, weight.
+A stage keeps the columns of documents; the last adds topic, n_tokens (words), prob and
+weight. Personal data is not one of the stages: run the pseudonyms on the result where
+it may not stay.
+
+Defined results: rows with null or empty texts have no words and go in the first stage;
+rows with a null id are treated like others; repeated rows and near copies leave the row
+with the least id; texts of any length are read whole; other columns of documents are
+kept, but for those called like the four that the last stage adds, which it replaces; an
+empty table of documents gives an empty result, an empty table of labels no learned
+rules, and an empty table of benchmark items no overlaps.
 """
 
 from __future__ import annotations
