@@ -107,6 +107,34 @@ def ome_document(f: Column | None = None, uuid: Column | None = None, level_size
     )
 
 
+def merged_samples(features: dict[str, Column]) -> dict[str, Column]:
+    """Features of an image whose three channels are stored as samples of one."""
+    first = F.get(features["channels"], 0)
+    one = F.array(first.withField("Name", F.lit("RGB")).withField("SamplesPerPixel", F.lit(3)))
+    return features | {"channels": one, "interleaved": F.lit("true"), "plane_count": F.lit(1).cast("long")}
+
+
+def schema_error(spark, xml: str, xsd_path: str) -> str | None:
+    """Why a document does not satisfy a schema file, from the JVM's validator; null if it does."""
+    from py4j.protocol import Py4JJavaError
+
+    jvm = spark.sparkContext._jvm
+    factory = jvm.javax.xml.validation.SchemaFactory.newInstance("http://www.w3.org/2001/XMLSchema")
+    try:
+        check = factory.newSchema(jvm.java.io.File(xsd_path)).newValidator()
+        check.validate(jvm.javax.xml.transform.stream.StreamSource(jvm.java.io.StringReader(xml)))
+    except Py4JJavaError as e:
+        return e.java_exception.getMessage()
+    return None
+
+
+def pretty(xml: str) -> str:
+    """The document with indents, for logs."""
+    from xml.dom import minidom
+
+    return minidom.parseString(xml.encode()).toprettyxml(indent="  ")
+
+
 def schema_valid(xml: Column, xsd_path: str) -> Column:
     """Whether a document satisfies a schema file; false, never an error, if not."""
     checked = F.from_xml(xml, "_bad STRING", {"rowValidationXSDPath": xsd_path, "columnNameOfCorruptRecord": "_bad"})

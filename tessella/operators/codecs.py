@@ -1,4 +1,4 @@
-"""Tile codecs: none, LZW, Deflate, and the horizontal predictor."""
+"""Tile codecs: none, LZW, JPEG, Deflate, and the horizontal predictor."""
 
 from __future__ import annotations
 
@@ -6,111 +6,50 @@ import zlib
 
 import numpy as np
 
+from . import jpeg, lzw
+
 # Fixed values of the TIFF format.
 NONE, LZW, JPEG, DEFLATE, DEFLATE_OLD = 1, 5, 7, 8, 32946
-NAMES = {"Uncompressed": NONE, "LZW": LZW, "Deflate": DEFLATE}
-CLEAR, END, FIRST, MAX_BITS = 256, 257, 258, 12
-
-
-def lzw_encode(data: bytes) -> bytes:
-    """Variable-width codes from 9 to 12 bits, high bits first, widened one code early."""
-    out, acc, n_bits, width = bytearray(), 0, 0, 9
-    table = {bytes([i]): i for i in range(256)}
-    following = FIRST
-
-    def put(code: int) -> None:
-        nonlocal acc, n_bits
-        acc = (acc << width) | code
-        n_bits += width
-        while n_bits >= 8:
-            n_bits -= 8
-            out.append((acc >> n_bits) & 255)
-        acc &= (1 << n_bits) - 1
-
-    put(CLEAR)
-    word = b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
-            continue
-        put(table[word])
-        table[longer] = following
-        following += 1
-        word = data[i : i + 1]
-        if following == (1 << MAX_BITS) - 1:
-            put(CLEAR)
-            table = {bytes([k]): k for k in range(256)}
-            following, width = FIRST, 9
-        elif following + 1 > (1 << width) and width < MAX_BITS:
-            width += 1
-    if word:
-        put(table[word])
-        following += 1
-        if following + 1 > (1 << width) and width < MAX_BITS:
-            width += 1
-    put(END)
-    if n_bits:
-        out.append((acc << (8 - n_bits)) & 255)
-    return bytes(out)
-
-
-def lzw_decode(data: bytes) -> bytes:
-    out: list[bytes] = []
-    table: list[bytes] = [bytes([i]) for i in range(256)] + [b"", b""]
-    width, acc, n_bits, last = 9, 0, 0, None
-    for byte in data:
-        acc = ((acc << 8) | byte) & 0xFFFFFFFF
-        n_bits += 8
-        if n_bits < width:
-            continue
-        n_bits -= width
-        code = (acc >> n_bits) & ((1 << width) - 1)
-        if code == END:
-            break
-        if code == CLEAR:
-            del table[FIRST:]
-            width, last = 9, None
-            continue
-        if last is None:
-            entry = table[code]
-        else:
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table):
-                entry = last + last[:1]
-            else:
-                raise ValueError("broken LZW data")
-            table.append(last + entry[:1])
-            if len(table) + 1 >= (1 << width) and width < MAX_BITS:
-                width += 1
-        out.append(entry)
-        last = entry
-    return b"".join(out)
+NAMES = {"Uncompressed": NONE, "LZW": LZW, "JPEG": JPEG, "Deflate": DEFLATE}
+GREY, RGB, YCC = 1, 2, 6
 
 
 def decompress(data: bytes, compression: int) -> bytes:
     if compression == NONE:
         return data
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw.decode(data)
     if compression in (DEFLATE, DEFLATE_OLD):
         return zlib.decompress(data)
     raise NotImplementedError(f"TIFF compression {compression}")
 
 
-def compress(data: bytes, compression: int) -> bytes:
+def encode_blocks(blocks: list[np.ndarray], compression: int, quality: int = 90) -> list[bytes]:
+    """Full tiles (h, w, samples) of one type, compressed, with big-endian numbers."""
+    if compression == JPEG:
+        if any(b.dtype != np.uint8 for b in blocks):
+            raise ValueError("JPEG tiles need pixels of 8 bits")
+        return [jpeg.encode(b, quality) for b in blocks]
+    raw = [b.astype(b.dtype.newbyteorder(">")).tobytes() for b in blocks]
     if compression == NONE:
-        return data
+        return raw
     if compression == LZW:
-        return lzw_encode(data)
+        return lzw.encode_many(raw)
     if compression == DEFLATE:
-        return zlib.compress(data, 6)
+        return [zlib.compress(r, 6) for r in raw]
     raise NotImplementedError(f"TIFF compression {compression}")
 
 
-def decode_block(data: bytes, compression: int, predictor: int, dtype: str, h: int, w: int, samples: int, big: bool) -> np.ndarray:
+def decode_block(
+    data: bytes, compression: int, predictor: int, dtype: str, h: int, w: int, samples: int, big: bool,
+    photometric: int = GREY, tables: bytes | None = None,
+) -> np.ndarray:
     """(h, w, samples) of one strip or tile, in native byte order."""
+    if compression == JPEG:
+        block = jpeg.decode(data, tables)
+        if photometric == YCC and samples == 3:
+            block = jpeg.from_ycc(block)
+        return np.pad(block, ((0, max(0, h - block.shape[0])), (0, max(0, w - block.shape[1])), (0, 0)))[:h, :w]
     kind = np.dtype(dtype).newbyteorder(">" if big else "<")
     need = h * w * samples * kind.itemsize
     raw = decompress(data, compression)[:need].ljust(need, b"\0")

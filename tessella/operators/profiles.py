@@ -1,13 +1,12 @@
 """Vendor profiles: how each kind of image gives its features.
 
-A profile is a set of column expressions over grouped pages, so that features of
-any number of images are one plan.
+A profile is a set of column expressions over pages, so that features of any number of
+images are one plan. A new vendor is a subclass of ``Profile`` that overrides what
+differs, given to ``register``.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,28 +17,6 @@ from ..functions.omexml import EMBEDDED_XML, SCANNER_XML, parsed
 OME_TYPES = {"float32": "float", "float64": "double"}
 
 
-@dataclass(frozen=True)
-class Profile:
-    key: str
-    label: str
-    name: str
-    constant_channels: tuple[str, ...] = ()
-    embedded: bool = False  # features come from an OME document in the first page
-    needs_sizes: bool = False  # the caller gives physical sizes
-
-
-# The image types, their labels and image names.
-PROFILES = {
-    p.key: p
-    for p in (
-        Profile("qptiff_mif", "Akoya MIF QPTIFF", "WholeSlideMIF"),
-        Profile("qptiff_he", "Akoya HE QPTIFF", "WholeSlideHE", constant_channels=("RED", "GREEN", "BLUE")),
-        Profile("halo_mif", "Halo MIF TIFF", "WholeSlideMIF", embedded=True),
-        Profile("component", "Akoya Component TIFF", "Component", needs_sizes=True),
-    )
-}
-
-
 def channel(id_: Column, name: Column, samples: Column, color: Column | None = None) -> Column:
     color = F.lit(None).cast("string") if color is None else color
     return F.struct(id_.alias("ID"), name.alias("Name"), samples.cast("int").alias("SamplesPerPixel"), color.alias("Color"))
@@ -52,64 +29,168 @@ def ome_type(dtype: Column) -> Column:
     return out
 
 
-def image_features(
-    pages: DataFrame, profile: Profile, series: int = 0, physical_size_x: str | None = None,
-    physical_size_y: str | None = None, rename: dict[str, str] | None = None, significant_bits: int = 8,
+def numbered(names: Column) -> Column:
+    """Channels of one sample with the given names."""
+    return F.transform(names, lambda c, i: channel(F.concat(F.lit("Channel:0:"), i.cast("string")), c, F.lit(1)))
+
+
+class Profile:
+    """The page dialect: every page is a channel and describes itself.
+
+    ``description`` and ``page_name`` see pages (page, tags and their other columns); the
+    other methods see one row an image: n_pages, shaped, dtype, d (the description of
+    the first page), names (those of the pages, in order), physical_size_x and _y (from
+    the caller, or null).
+    """
+
+    key = "qptiff_mif"
+    label = "Akoya MIF QPTIFF"
+    image_name = "WholeSlideMIF"
+    needs_sizes = False  # the caller gives physical sizes
+
+    def description(self) -> Column:
+        return parsed(F.col("tags")["ImageDescription"], SCANNER_XML)
+
+    def page_name(self) -> Column:
+        return F.col("description")["Name"]
+
+    def physical_sizes(self) -> tuple[Column, Column]:
+        micrometres = F.col("d")["ScanProfile"]["root"]["ScanResolution"]["PixelSizeMicrons"]
+        return micrometres, micrometres
+
+    def sizes(self) -> tuple[Column, Column]:
+        return F.get("shaped", 3).cast("string"), F.get("shaped", 2).cast("string")
+
+    def size_c(self) -> Column:
+        return F.col("n_pages")
+
+    def channels(self) -> Column:
+        return numbered(F.col("names"))
+
+
+class ConstantChannels(Profile):
+    """One page of red, green and blue; only the first page is described."""
+
+    key, label, image_name = "qptiff_he", "Akoya HE QPTIFF", "WholeSlideHE"
+    names = ("RED", "GREEN", "BLUE")
+
+    def description(self) -> Column:
+        return F.when(F.col("page") == 0, super().description())
+
+    def size_c(self) -> Column:
+        return F.lit(len(self.names)).cast("long")
+
+    def channels(self) -> Column:
+        return numbered(F.array(*map(F.lit, self.names)))
+
+
+class EmbeddedDocument(Profile):
+    """The first page holds an OME document."""
+
+    key, label, image_name = "halo_mif", "Halo MIF TIFF", "WholeSlideMIF"
+
+    def description(self) -> Column:
+        return F.when(F.col("page") == 0, parsed(F.col("tags")["ImageDescription"], EMBEDDED_XML))
+
+    def page_name(self) -> Column:
+        return F.lit(None).cast("string")
+
+    def pixels(self) -> Column:
+        return F.col("d")["Image"]["Pixels"]
+
+    def physical_sizes(self) -> tuple[Column, Column]:
+        return self.pixels()["_PhysicalSizeX"], self.pixels()["_PhysicalSizeY"]
+
+    def sizes(self) -> tuple[Column, Column]:
+        x, y = super().sizes()
+        return F.coalesce(self.pixels()["_SizeX"], x), F.coalesce(self.pixels()["_SizeY"], y)
+
+    def channels(self) -> Column:
+        return F.transform(self.pixels()["Channel"], lambda c: channel(c["_ID"], c["_Name"], F.coalesce(c["_SamplesPerPixel"], F.lit(1)), c["_Color"]))
+
+
+class Component(Profile):
+    """The page dialect without physical sizes."""
+
+    key, label, image_name, needs_sizes = "component", "Akoya Component TIFF", "Component", True
+
+    def physical_sizes(self) -> tuple[Column, Column]:
+        return F.col("physical_size_x"), F.col("physical_size_y")
+
+
+PROFILES: dict[str, Profile] = {}
+
+
+def register(profile: Profile) -> Profile:
+    """Makes a profile known by its key."""
+    PROFILES[profile.key] = profile
+    return profile
+
+
+for _kind in (Profile, ConstantChannels, EmbeddedDocument, Component):
+    register(_kind())
+
+
+def type_label(image_type: Column) -> Column:
+    """The label of an image type by its key, or null."""
+    out = F.lit(None).cast("string")
+    for key, profile in PROFILES.items():
+        out = F.when(image_type == key, profile.label).otherwise(out)
+    return out
+
+
+def checked_sizes(profile: Profile, *sizes: str | None) -> None:
+    if profile.needs_sizes and None in sizes:
+        raise ValueError(f"{profile.key} images need physical_size_x and physical_size_y")
+    for value in sizes:
+        if value is not None and not float(value) > 0:
+            raise ValueError("physical sizes are positive numbers")
+
+
+def features_of(
+    pages: DataFrame, profile: Profile, rename: dict[str, str] | None = None, significant_bits: int = 8, by: tuple[str, ...] = ("path", "series"),
 ) -> DataFrame:
-    """One row per path with the fields of the OME document.
+    """One row per image with the fields of the OME document, from the pages of its full
+    size (level 0), which may have physical_size_x and physical_size_y columns.
 
     Channels of a page dialect come in page order. The default of eight significant
     bits holds for every type. ``rename`` maps channel names; names without an entry
     stay, entries without a name do nothing.
     """
-    if profile.needs_sizes and (physical_size_x is None or physical_size_y is None):
-        raise ValueError(f"{profile.key} images need physical_size_x and physical_size_y")
-    for value in (physical_size_x, physical_size_y):
-        if value is not None and not float(value) > 0:
-            raise ValueError("physical sizes are positive numbers")
-    top = pages.where((F.col("series") == series) & (F.col("level") == 0))
-    xml = F.col("tags")["ImageDescription"]
-    text = F.lit(None).cast("string")
-    if profile.embedded:
-        description = F.when(F.col("page") == 0, parsed(xml, EMBEDDED_XML))
-    elif profile.constant_channels:
-        description = F.when(F.col("page") == 0, parsed(xml, SCANNER_XML))
-    else:
-        description = parsed(xml, SCANNER_XML)
-    df = top.withColumn("description", description)
-    first = lambda c: F.min_by(c, F.col("page"))
-    name = F.col("description")["Name"] if not profile.embedded else text
-    df = df.groupBy("path", "series").agg(
-        F.count("*").alias("n_pages"), first(F.col("shaped")).alias("shaped"), first(F.col("dtype")).alias("dtype"),
-        first(F.col("description")).alias("d"), S.in_order(F.coalesce(name, F.lit("")), F.col("page")).alias("names"),
+    for n in ("physical_size_x", "physical_size_y"):
+        if n not in pages.columns:
+            pages = pages.withColumn(n, F.lit(None).cast("string"))
+    first = lambda c: F.min_by(c, F.col("page")).alias(c)
+    df = pages.withColumn("description", profile.description()).withColumn("d", F.col("description"))
+    df = df.groupBy(*by).agg(
+        F.count("*").alias("n_pages"), *(first(c) for c in ("shaped", "dtype", "d", "physical_size_x", "physical_size_y")),
+        S.in_order(F.coalesce(profile.page_name(), F.lit("")), F.col("page")).alias("names"),
     )
-    if profile.embedded:
-        p = F.col("d")["Image"]["Pixels"]
-        size_x, size_y = F.coalesce(p["_SizeX"], F.get("shaped", 3).cast("string")), F.coalesce(p["_SizeY"], F.get("shaped", 2).cast("string"))
-        px, py = p["_PhysicalSizeX"], p["_PhysicalSizeY"]
-        channels = F.transform(p["Channel"], lambda c: channel(c["_ID"], c["_Name"], F.coalesce(c["_SamplesPerPixel"], F.lit(1)), c["_Color"]))
-    else:
-        size_x, size_y = F.get("shaped", 3).cast("string"), F.get("shaped", 2).cast("string")
-        if profile.needs_sizes:
-            px, py = F.lit(str(physical_size_x)), F.lit(str(physical_size_y))
-        else:
-            px = py = F.col("d")["ScanProfile"]["root"]["ScanResolution"]["PixelSizeMicrons"]
-        names = F.array(*map(F.lit, profile.constant_channels)) if profile.constant_channels else F.col("names")
-        channels = F.transform(names, lambda c, i: channel(F.concat(F.lit("Channel:0:"), i.cast("string")), c, F.lit(1)))
+    channels, (px, py), (size_x, size_y) = profile.channels(), profile.physical_sizes(), profile.sizes()
+    plain = F.transform(channels, lambda c: c["Name"])
     if rename:
         mapping = F.create_map(*(F.lit(x) for pair in rename.items() for x in pair))
         channels = F.transform(channels, lambda c: c.withField("Name", S.renamed(c["Name"], mapping)))
-    size_c = F.lit(len(profile.constant_channels)).cast("long") if profile.constant_channels else F.col("n_pages")
     fixed = {
         "image_id": "Image:0", "big_endian": "true", "dimension_order": "XYZCT", "pixel_id": "Pixels:0",
         "interleaved": "false", "physical_size_x_unit": "µm", "physical_size_y_unit": "µm",
     }
     return df.select(
-        "path", "series", F.lit(profile.name).alias("name"), F.lit(profile.label).alias("input_type"),
+        *by, F.lit(profile.image_name).alias("name"), F.lit(profile.label).alias("input_type"),
         *(F.lit(v).alias(k) for k, v in fixed.items()), px.alias("physical_size_x"), py.alias("physical_size_y"),
-        F.lit(significant_bits).alias("significant_bits"), size_c.alias("size_c"), size_c.alias("plane_count"),
+        F.lit(significant_bits).alias("significant_bits"), profile.size_c().alias("size_c"), profile.size_c().alias("plane_count"),
         F.get("shaped", 0).alias("size_t"), F.get("shaped", 1).alias("size_z"), size_y.alias("size_y"), size_x.alias("size_x"),
-        ome_type(F.col("dtype")).alias("type"), channels.alias("channels"),
+        ome_type(F.col("dtype")).alias("type"), channels.alias("channels"), plain.alias("found_names"),
     )
 
 
+def image_features(
+    pages: DataFrame, profile: Profile, series: int = 0, physical_size_x: str | None = None,
+    physical_size_y: str | None = None, rename: dict[str, str] | None = None, significant_bits: int = 8,
+) -> DataFrame:
+    """``features_of`` one series, with physical sizes from the caller."""
+    checked_sizes(profile, physical_size_x, physical_size_y)
+    top = pages.where((F.col("series") == series) & (F.col("level") == 0))
+    given = {"physical_size_x": physical_size_x, "physical_size_y": physical_size_y}
+    top = top.withColumns({k: F.lit(None if v is None else str(v)).cast("string") for k, v in given.items()})
+    return features_of(top, profile, rename, significant_bits)

@@ -1,8 +1,12 @@
 """Regular grids of tiles and their reduced levels.
 
 Tiles are rows (path, series, level, c, ty, tx, h, w, height, width, dtype, data),
-h x w pixels of an image of height x width. Each shuffle groups a bounded number of
-blocks: those that meet one tile, or the four tiles below one.
+h x w pixels of an image of height x width. Blocks are the same with y0, x0 for ty, tx.
+
+A shuffle gathers the blocks of a square of 2^span x 2^span tiles, a bounded number; the
+square gives its tiles and, as its edges lie on even places, its own share of the next
+``span`` levels. So the pixels of a level are shuffled only once in ``span`` levels, and
+those in between never.
 """
 
 from __future__ import annotations
@@ -20,30 +24,56 @@ TILES = (
 )
 KEY = ["path", "series", "level", "c", "ty", "tx"]
 NAMES = [x.split()[0] for x in TILES.split(",")]
+LEAST = 256  # the longer side of the last level, at most
 
 
-def retile(blocks: DataFrame, size: int = 512) -> DataFrame:
-    """Blocks (with y0, x0) cut to a grid of size x size tiles, cut at the borders."""
+def squares(blocks: DataFrame, size: int, span: int, method: str, first: int, last: int, least: int = LEAST) -> DataFrame:
+    """Tiles of the blocks' own level + k for k from ``first`` to ``last``, at most ``span``,
+    as far as images have levels."""
     if size < 2 or size % 2:
         raise ValueError("the tile size is an even number")
-    last = lambda a, n: F.expr(f"({a} + {n} - 1) div {size}")
-    met = blocks.withColumn("ty", F.explode(F.sequence(F.expr(f"y0 div {size}"), last("y0", "h"))))
-    met = met.withColumn("tx", F.explode(F.sequence(F.expr(f"x0 div {size}"), last("x0", "w"))))
+    edge = size << span
+    last_of = lambda a, n: F.expr(f"({a} + {n} - 1) div {edge}")
+    met = blocks.withColumn("ty", F.explode(F.sequence(F.expr(f"y0 div {edge}"), last_of("y0", "h"))))
+    met = met.withColumn("tx", F.explode(F.sequence(F.expr(f"x0 div {edge}"), last_of("x0", "w"))))
 
-    def stitch(key, part):
-        ty, tx = key[-2], key[-1]
+    def cut(key, part):
+        *own, level, c, sy, sx = key
         one = part.iloc[0]
-        h, w = min(size, one.height - ty * size), min(size, one.width - tx * size)
-        out = np.zeros((h, w), one["dtype"])
+        height, width = int(one.height), int(one.width)
+        pixels = np.zeros((min(edge, height - sy * edge), min(edge, width - sx * edge)), one["dtype"])
+        h, w = pixels.shape
         for r in part.itertuples(index=False):
-            block = np.frombuffer(r.data, out.dtype).reshape(r.h, r.w)
-            y, x = r.y0 - ty * size, r.x0 - tx * size
+            block = np.frombuffer(r.data, pixels.dtype).reshape(r.h, r.w)
+            y, x = r.y0 - sy * edge, r.x0 - sx * edge
             a, b = max(0, -y), max(0, -x)
             src = block[a : h - y, b : w - x]
-            out[y + a : y + a + src.shape[0], x + b : x + b + src.shape[1]] = src
-        return pd.DataFrame([(*key, h, w, one.height, one.width, one["dtype"], out.tobytes())], columns=NAMES)
+            pixels[y + a : y + a + src.shape[0], x + b : x + b + src.shape[1]] = src
+        rows = []
+        for k in range(last + 1):
+            if k and k >= level_count(int(one.height), int(one.width), least):
+                break
+            if k >= first:
+                grid = 1 << (span - k)
+                for i in range(-(-pixels.shape[0] // size)):
+                    for j in range(-(-pixels.shape[1] // size)):
+                        tile = pixels[i * size : (i + 1) * size, j * size : (j + 1) * size]
+                        rows.append((*own, level + k, c, sy * grid + i, sx * grid + j, *tile.shape, height, width, one["dtype"], tile.tobytes()))
+            if k < last:
+                pixels, height, width = halved(pixels, method), (height + 1) // 2, (width + 1) // 2
+        return pd.DataFrame(rows, columns=NAMES)
+
+    return met.groupBy(*KEY).applyInPandas(cut, TILES)
 
-    return met.groupBy(*KEY).applyInPandas(stitch, TILES)
+
+def retile(blocks: DataFrame, size: int = 512) -> DataFrame:
+    """Blocks cut to a grid of size x size tiles, cut at the borders."""
+    return squares(blocks, size, 0, "simple", 0, 0)
+
+
+def as_blocks(tiles: DataFrame, size: int) -> DataFrame:
+    place = {"ty": (F.col("ty") * size).alias("y0"), "tx": (F.col("tx") * size).alias("x0")}
+    return tiles.select(*(place.get(n, F.col(n)) for n in NAMES))
 
 
 def halved(pixels: np.ndarray, method: str) -> np.ndarray:
@@ -59,24 +89,40 @@ def halved(pixels: np.ndarray, method: str) -> np.ndarray:
 
 
 def reduced(tiles: DataFrame, size: int = 512, method: str = "simple") -> DataFrame:
-    """The next level: tiles shrink before they are shuffled to the one above them."""
-
-    def shrink(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                small = halved(np.frombuffer(r.data, r.dtype).reshape(r.h, r.w), method)
-                y0, x0 = r.ty * size // 2, r.tx * size // 2
-                rows.append((r.path, r.series, r.level + 1, r.c, y0, x0, *small.shape, (r.height + 1) // 2, (r.width + 1) // 2, r.dtype, small.tobytes()))
-            yield pd.DataFrame(rows, columns=["path", "series", "level", "c", "y0", "x0", "h", "w", "height", "width", "dtype", "data"])
+    """The next level of every image, by one shuffle of 2 x 2 tiles."""
+    return squares(as_blocks(tiles, size), size, 1, method, 1, 1, least=1)
 
-    schema = TILES.replace("ty long, tx long", "y0 long, x0 long")
-    return retile(tiles.select(*NAMES).mapInPandas(shrink, schema), size)
 
-
-def level_count(height: int, width: int, least: int = 256) -> int:
+def level_count(height: int, width: int, least: int = LEAST) -> int:
     """Levels until the longer side is at most ``least``."""
     n = 1
     while max(height, width) > least:
         height, width, n = (height + 1) // 2, (width + 1) // 2, n + 1
     return n
+
+
+def pyramid(blocks: DataFrame, size: int, method: str, levels: int, write, span: int = 2) -> DataFrame:
+    """Tiles of all levels of all images, ``levels`` being the most that one has. ``write``
+    writes a DataFrame and reads it back; each step starts from what the last one wrote."""
+    tiles = write(squares(blocks, size, span, method, 0, min(span, levels - 1)))
+    out, done = tiles, min(span, levels - 1)
+    while done < levels - 1:
+        step = min(span, levels - 1 - done)
+        above = tiles.where((F.col("level") == done) & (levels_of(F.col("height"), F.col("width")) > 1))
+        tiles = write(squares(as_blocks(above, size), size, span, method, 1, step))
+        out, done = out.unionByName(tiles), done + step
+    return out
+
+
+def levels_of(height, width, least: int = LEAST):
+    """``level_count`` as a column."""
+    longer = F.greatest(height, width).cast("long")
+    halves = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda k: F.ceil(longer / F.pow(F.lit(2.0), k)))
+    return (F.size(F.filter(halves, lambda x: x > least)) + 1).cast("int")
+
+
+def level_sizes(height, width):
+    """'width height' of every reduced level."""
+    at = lambda n, k: F.ceil(n / F.pow(F.lit(2.0), k)).cast("string")
+    steps = F.when(levels_of(height, width) > 1, F.sequence(F.lit(1), levels_of(height, width) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(steps, lambda k: F.concat_ws(" ", at(width, k), at(height, k)))

@@ -1,4 +1,10 @@
-"""From a vendor image to a de-identified, pyramidal OME-TIFF and a report."""
+"""From vendor images to de-identified, pyramidal OME-TIFFs and reports.
+
+A manifest, one row an image, is converted as one job: pages, documents and tiles of all
+images are tables in a store, a folder that driver and executors share; tiles are
+compressed by many tasks, and each file is put together by one. A store can be kept and
+written again in another form. ``Converter`` is the same for one file.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +12,11 @@ import hashlib
 import json
 import logging
 import os
-import shutil
-import tempfile
 import time
-import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +24,15 @@ from .. import __version__
 from ..functions import omexml
 from ..functions import scalars as S
 from ..operators import pyramid
-from ..operators.profiles import PROFILES, image_features
+from ..operators.profiles import PROFILES, checked_sizes, features_of, type_label
 from ..sinks import ometiff
 from ..sources import tiff
+from ..sources.files import filesystem, remove_folder, shared_folder, size_of
 
 COMPRESSIONS = ("LZW", "JPEG", "Uncompressed")
+#: Columns of a manifest; those after the third may be left out.
+MANIFEST = {"path": "string", "output": "string", "image_type": "string", "series": "int", "physical_size_x": "string", "physical_size_y": "string"}
+KEY = ["path", "series"]
 log = logging.getLogger("tessella")
 
 
@@ -40,27 +49,247 @@ def checksums(paths: DataFrame, path_col: str = "path") -> DataFrame:
     """path, size_bytes, md5_checksum of many files, one task a file (the digest is sequential)."""
     def run(frames):
         for frame in frames:
-            frame["size_bytes"] = [os.path.getsize(p) for p in frame["path"]]
+            frame["size_bytes"] = [size_of(p) for p in frame["path"]]
             frame["md5_checksum"] = [md5_of_file(p) for p in frame["path"]]
             yield frame
 
-    return paths.select(F.col(path_col).alias("path")).mapInPandas(run, "path string, size_bytes long, md5_checksum string")
+    chosen = paths.select(F.col(path_col).alias("path")).distinct()
+    return chosen.repartition("path").mapInPandas(run, "path string, size_bytes long, md5_checksum string")
+
+
+def versions(spark: SparkSession | None = None) -> dict[str, str]:
+    """Versions of the engine and of what it runs on; Java's where a session runs."""
+    import pyspark
 
+    found = {"tessella": __version__, "spark": pyspark.__version__}
+    return found | ({"java": spark.sparkContext._jvm.System.getProperty("java.version")} if spark else {})
 
-def versions(spark: SparkSession) -> dict[str, str]:
-    java = spark.sparkContext._jvm.System.getProperty("java.version")
-    return {"tessella": __version__, "spark": spark.version, "java": java}
+
+def checked_manifest(manifest: DataFrame) -> DataFrame:
+    """The manifest with all its columns, or an error for what cannot be converted."""
+    for name, kind in MANIFEST.items():
+        if name not in manifest.columns:
+            manifest = manifest.withColumn(name, F.lit(0 if name == "series" else None).cast(kind))
+    m = manifest.select(*(F.col(n).cast(k).alias(n) for n, k in MANIFEST.items()))
+    kinds = [r.image_type for r in m.select("image_type").distinct().limit(len(PROFILES) + 1).collect()]
+    if unknown := sorted(str(k) for k in kinds if k not in PROFILES):
+        raise ValueError(f"image type is one of {', '.join(PROFILES)}, not {', '.join(unknown)}")
+    needy = [k for k, p in PROFILES.items() if p.needs_sizes]
+    sizes = [F.col(c) for c in ("physical_size_x", "physical_size_y")]
+    lacks = F.col("image_type").isin(needy) & (sizes[0].isNull() | sizes[1].isNull())
+    wrong = F.coalesce(~(sizes[0].try_cast("double") > 0), sizes[0].isNotNull()) | F.coalesce(~(sizes[1].try_cast("double") > 0), sizes[1].isNotNull())
+    if bad := m.where(lacks).first():
+        checked_sizes(PROFILES[bad.image_type], bad.physical_size_x, bad.physical_size_y)
+    if not m.where(wrong).isEmpty():
+        raise ValueError("physical sizes are positive numbers")
+    if not m.where("path is null or output is null or series is null").isEmpty():
+        raise ValueError("path, output and series are not null")
+    for columns in (KEY, ["output"]):
+        if not m.groupBy(*columns).count().where("count > 1").isEmpty():
+            raise ValueError(f"{' and '.join(columns)} stand twice in the manifest")
+    if not m.select(F.col("output").alias("path")).join(m.select("path"), "path", "left_semi").isEmpty():
+        raise ValueError("an output would replace an input")
+    return m
+
+
+@dataclass
+class TileStore:
+    """Tables of images in a folder: manifest, pages, documents and tiles of all levels."""
+
+    spark: SparkSession
+    folder: str
+
+    @classmethod
+    def create(
+        cls, manifest: DataFrame, folder: str, rename: dict[str, str] | None = None, display_uuid: bool = True, tile_size: int = 512,
+        downsample: str = "simple", rgb: bool = False,
+    ) -> TileStore:
+        spark = manifest.sparkSession
+        store = cls(spark, folder)
+        m = store.write(checked_manifest(manifest), "manifest")
+        pages = tiff.read_pages(m.select("path")).join(m.drop("output"), KEY)
+        pages = store.write(pages, "pages")
+        lost = m.join(pages, KEY, "left_anti").first()
+        if lost is not None:
+            raise ValueError(f"no series {lost.series} in {lost.path}")
+        top = pages.where("level = 0")
+        shapes = top.groupBy(*KEY).agg(F.max("height").alias("height"), F.max("width").alias("width"))
+        documents = None
+        for key in sorted(r.image_type for r in m.select("image_type").distinct().collect()):  # as many as PROFILES at most
+            f = features_of(top.where(F.col("image_type") == key), PROFILES[key], rename)
+            documents = f if documents is None else documents.unionByName(f)
+        if documents is None:
+            raise ValueError("the manifest is empty")
+        uuid = F.uuid() if display_uuid else F.lit(None).cast("string")
+        documents = store.write(documents.join(shapes, KEY).withColumn("uuid", uuid), "features")  # one uuid, once and for all
+        sizes = pyramid.level_sizes(F.col("height"), F.col("width"))
+        if rgb:
+            documents = documents.withColumns(omexml.merged_samples({n: F.col(n) for n in ("channels", "interleaved", "plane_count")}))
+        xml = omexml.ome_document(uuid=F.col("uuid"), level_sizes=sizes).alias("xml")
+        store.write(documents.select(*KEY, "uuid", xml, "found_names", F.lit(tile_size).alias("tile_size"), F.lit(rgb).alias("rgb")), "documents")
+        levels = shapes.agg(F.max(pyramid.levels_of(F.col("height"), F.col("width")))).first()[0]
+        steps = iter(range(levels))
+        pyramid.pyramid(tiff.read_blocks(top), tile_size, downsample, levels, lambda df: store.write(df, f"tiles/step={next(steps)}"))
+        return store
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.read(name)
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def tiles(self) -> DataFrame:
+        return self.read("tiles").drop("step")
+
+    def documents(self) -> DataFrame:
+        """path, series, uuid, xml of every image."""
+        return self.read("documents")
+
+    def summary(self) -> DataFrame:
+        """What the store holds: tiles and bytes by image, level and channel."""
+        grouped = self.tiles().groupBy(*KEY, "level", "c")
+        return grouped.agg(F.count("*").alias("n_tiles"), F.sum(F.octet_length("data")).alias("n_bytes"), F.max("height").alias("height"), F.max("width").alias("width"))
+
+    def tree(self) -> str:
+        """The summary as an indented text."""
+        lines, last = [], None
+        for r in self.summary().orderBy(*KEY, "level", "c").toLocalIterator():
+            if (r.path, r.series) != last:
+                last = (r.path, r.series)
+                lines.append(f"{r.path} series {r.series}")
+            lines.append(f"  level {r.level} channel {r.c}: {r.width} x {r.height}, {r.n_tiles} tiles, {r.n_bytes} bytes")
+        return "\n".join(lines)
+
+    def write_files(self, compression: str = "LZW", quality: int = 90) -> DataFrame:
+        """Writes every image's output, one task each; path, series and output of all."""
+        if compression not in COMPRESSIONS:
+            raise ValueError(f"compression is one of {', '.join(COMPRESSIONS)}")
+        documents = self.documents()
+        size, rgb = documents.select("tile_size", "rgb").first()
+        name = f"index-{compression}-{time.time_ns()}"
+        index = self.write(ometiff.write_segments(self.tiles(), f"{self.folder}/segments-{name}", compression, size, rgb, quality), name)
+
+        def put(key, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            output = own["output"].iloc[0]
+            ometiff.assemble(list(rows.itertuples(index=False)), output, own["xml"].iloc[0], compression, size)
+            return pd.DataFrame([(*key, output)], columns=[*KEY, "output"])
+
+        own = documents.select(*KEY, "xml").join(self.read("manifest").select(*KEY, "output"), KEY)
+        made = index.groupBy(*KEY).cogroup(own.groupBy(*KEY)).applyInPandas(put, "path string, series int, output string")
+        return self.write(made, f"outputs-{name}")
+
+    def remove(self) -> None:
+        remove_folder(self.spark, self.folder)
+
+
+def convert_images(
+    manifest: DataFrame, cache_directory: str | None = None, rename: dict[str, str] | None = None, display_uuid: bool = True,
+    deidentify_ome: bool = True, compression: str = "LZW", rgb: bool = False, quality: int = 90, schema_location: str | None = None,
+    strict: bool = False, tile_size: int = 512, downsample: str = "simple",
+) -> DataFrame:
+    """Converts all images of a manifest; one row each with the report as JSON fields:
+    path, series and the columns ome, input_file, output_file, options, conversion_stats.
+
+    ``strict``: an error for a document that the schema rejects, before any file is
+    written; otherwise it is reported and a warning logged. The result is local to the
+    driver, a few kilobytes an image.
+    """
+    started = time.time()
+    spark = manifest.sparkSession
+    if not deidentify_ome:
+        raise ValueError("only de-identified output is supported")
+    if compression not in COMPRESSIONS:
+        raise ValueError(f"compression is one of {', '.join(COMPRESSIONS)}")
+    folder = shared_folder(spark, cache_directory)
+    try:
+        store = TileStore.create(manifest, folder, rename, display_uuid, tile_size, downsample, rgb)
+        if log.isEnabledFor(logging.INFO):
+            log.info("tiles:\n%s", store.tree())
+            log.info("document:\n%s", omexml.pretty(store.documents().first()["xml"]))
+        for name in sorted(set(rename or {}) - {n for r in store.documents().select(F.explode("found_names").alias("n")).where(F.col("n").isin(list(rename or {}))).distinct().collect() for n in r}):
+            log.warning("no channel has the name %s", name)
+        valid = store.write(validated(store.documents(), schema_location, folder, strict), "validated")
+        outputs = store.write_files(compression, quality)
+        files = outputs.select("path").unionAll(outputs.select(F.col("output").alias("path")))
+        sums = store.write(checksums(files), "checksums")
+        stopped = time.time()
+        m = store.read("manifest")
+        struct = F.struct("path", "md5_checksum", "size_bytes")
+        found = m.join(sums.select("path", struct.alias("i")), "path").join(sums.select(F.col("path").alias("output"), struct.alias("o")), "output")
+        found = found.join(valid, KEY)
+        kind = lambda c, label: F.col(c).withField("type_description", label)
+        rows = found.select(
+            *KEY,
+            F.struct(F.col("xml").alias("xml_string"), F.lit(schema_location).cast("string").alias("schema_location"), "xml_is_valid", "uuid").alias("ome"),
+            kind("i", type_label(F.col("image_type"))).alias("input_file"), kind("o", F.lit("OME-TIFF")).alias("output_file"),
+            F.struct(
+                F.lit(compression).alias("compression"), F.lit(deidentify_ome).alias("deidentify_ome"), F.lit(display_uuid).alias("display_uuid"),
+                "series", F.from_json(F.lit(json.dumps(rename or {})), "map<string,string>").alias("rename_channels"),
+            ).alias("options"),
+            F.struct(
+                S.readable_time(F.timestamp_seconds(F.lit(started))).alias("start_time"), S.readable_time(F.timestamp_seconds(F.lit(stopped))).alias("stop_time"),
+                S.run_time(F.lit(stopped - started)).alias("run_time"), S.size_ratio(F.col("o.size_bytes"), F.col("i.size_bytes")).alias("compression_ratio"),
+            ).alias("conversion_stats"),
+        )
+        return spark.createDataFrame(rows.toArrow())
+    finally:
+        remove_folder(spark, folder)
+
+
+def validated(documents: DataFrame, schema_location: str | None, folder: str, strict: bool) -> DataFrame:
+    """path, series, uuid, xml and xml_is_valid, null if no schema was given: none comes with the engine."""
+    spark = documents.sparkSession
+    plain = documents.select(*KEY, "uuid", "xml")
+    if schema_location is None:
+        return plain.withColumn("xml_is_valid", F.lit(None).cast("boolean"))
+    path = local_schema(schema_location, folder)
+    spark.sparkContext.addFile(path)
+    checked = plain.withColumn("xml_is_valid", omexml.schema_valid(F.col("xml"), path))
+    for r in checked.where("not xml_is_valid").limit(10).collect():
+        reason = omexml.schema_error(spark, r.xml, path)
+        if strict:
+            raise ValueError(f"the OME document of {r.path} does not satisfy the schema: {reason}")
+        log.warning("the OME document of %s does not satisfy the schema: %s", r.path, reason)
+    return checked
+
+
+def local_schema(location: str, folder: str) -> str:
+    """A schema as a file: itself, or what a URL gives, in the store's folder."""
+    if not location.startswith(("https://", "http:")):
+        return location
+    import urllib.request
+
+    files, at = filesystem(folder)
+    if ":/" in folder and not folder.startswith("file:"):
+        raise ValueError("download the schema first: the cache folder is no local one")
+    with urllib.request.urlopen(location) as answer:
+        data = answer.read()
+    with files.open_output_stream(f"{at}/schema.xsd") as out:
+        out.write(data)
+    return f"{at}/schema.xsd"
+
+
+def series_rows(path: str, output: str, image_type: str, series: int | Sequence[int], **sizes: str | None) -> list[dict]:
+    """Manifest rows of one file. Several series have an output each, named by its number."""
+    row = {"path": path, "image_type": image_type, **sizes}
+    if isinstance(series, int):
+        return [row | {"output": output, "series": series}]
+    stem, end = os.path.splitext(output)
+    stem, end = (stem[:-4], ".ome" + end) if stem.endswith(".ome") else (stem, end)
+    return [row | {"output": f"{stem}.series{n}{end}", "series": int(n)} for n in series]
 
 
 @dataclass
 class Converter:
-    """One image to convert. ``series``: which of the file's series; ``rename_channels``:
-    new names by old; physical sizes in micrometres, for types that do not hold them."""
+    """One file to convert. ``series``: which of the file's series, one number or several;
+    ``rename_channels``: new names by old; physical sizes in micrometres, for types that do
+    not hold them."""
 
     spark: SparkSession
     path: str
     image_type: str
-    series: int = 0
+    series: int | Sequence[int] = 0
     rename_channels: dict[str, str] = field(default_factory=dict)
     physical_size_x: str | None = None
     physical_size_y: str | None = None
@@ -72,113 +301,42 @@ class Converter:
     def __post_init__(self):
         if self.image_type not in PROFILES:
             raise ValueError(f"image type is one of {', '.join(PROFILES)}")
-        if not isinstance(self.series, int):
-            raise ValueError("series is one number; convert several series as several images")
         self.profile = PROFILES[self.image_type]
 
+    def manifest(self, output: str = "") -> DataFrame:
+        rows = series_rows(self.path, output, self.image_type, self.series, physical_size_x=self.physical_size_x, physical_size_y=self.physical_size_y)
+        rows = [tuple(None if r[n] is None else str(r[n]) for n in MANIFEST) for r in rows]
+        return self.spark.createDataFrame(rows, ", ".join(f"{n} string" for n in MANIFEST))
+
     def pages(self) -> DataFrame:
         return tiff.read_pages(self.spark.createDataFrame([(self.path,)], "path string"))
 
-    def features(self, pages: DataFrame | None = None) -> DataFrame:
-        return image_features(
-            self.pages() if pages is None else pages, self.profile, self.series, self.physical_size_x,
-            self.physical_size_y, self.rename_channels,
-        )
+    def features(self) -> DataFrame:
+        """The fields of the OME document of every chosen series."""
+        checked_sizes(self.profile, self.physical_size_x, self.physical_size_y)
+        m = self.manifest().select("path", F.col("series").cast("int"), "physical_size_x", "physical_size_y")
+        return features_of(self.pages().where("level = 0").join(F.broadcast(m), KEY), self.profile, self.rename_channels)
 
-    def convert(self, output: str, display_uuid: bool = True, deidentify_ome: bool = True, compression: str = "LZW", strict: bool = False) -> dict:
-        """Writes ``output`` and returns the report. ``strict``: raise on a document
-        that the schema rejects; otherwise it is reported and a warning logged."""
-        started = time.time()
-        if not deidentify_ome:
-            raise ValueError("only de-identified output is supported")
-        if compression not in COMPRESSIONS:
-            raise ValueError(f"compression is one of {', '.join(COMPRESSIONS)}")
-        if compression == "JPEG":
-            raise NotImplementedError("JPEG tiles are not implemented")
-        if os.path.realpath(output) == os.path.realpath(self.path):
+    def convert(
+        self, output: str, display_uuid: bool = True, deidentify_ome: bool = True, compression: str = "LZW", strict: bool = False,
+        rgb: bool = False, quality: int = 90,
+    ) -> dict | list[dict]:
+        """Writes ``output`` and returns the report, a list of them for several series."""
+        if filesystem(output)[0] == filesystem(self.path)[0] and os.path.realpath(output) == os.path.realpath(self.path):
             raise ValueError("the output would replace the input")
-        work = tempfile.mkdtemp(prefix="tessella-", dir=self.cache_directory and self.made(self.cache_directory))
-        try:
-            pages = self.pages().where(F.col("series") == self.series)
-            pages.write.parquet(f"{work}/pages")
-            pages = self.spark.read.parquet(f"{work}/pages")
-            features = self.features(pages).first()
-            if features is None:
-                raise ValueError(f"no series {self.series} in {self.path}")
-            level0 = pages.where("level = 0")
-            height, width = level0.select("height", "width").first()
-            n = pyramid.level_count(height, width)
-            unused = set(self.rename_channels) - {c["Name"] for c in self.features_before_renaming(pages)}
-            if unused:
-                log.warning("no channel has the name %s", ", ".join(sorted(unused)))
-            own = str(uuid.uuid4()) if display_uuid else None
-            sizes, h, w = [], height, width
-            for _ in range(1, n):
-                h, w = (h + 1) // 2, (w + 1) // 2
-                sizes.append(f"{w} {h}")
-            one = self.spark.createDataFrame([features], self.features(pages).schema)
-            level_sizes = F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<string>")
-            xml = one.select(omexml.ome_document(uuid=F.lit(own).cast("string"), level_sizes=level_sizes).alias("x")).first()["x"]
-            valid = self.validated(xml)
-            if valid is False:
-                if strict:
-                    raise ValueError("the OME document does not satisfy the schema")
-                log.warning("the OME document does not satisfy the schema")
-            tiles = pyramid.retile(tiff.read_blocks(level0), self.tile_size)
-            index = []
-            for level in range(n):
-                tiles.write.parquet(f"{work}/tiles-{level}")
-                tiles = self.spark.read.parquet(f"{work}/tiles-{level}")
-                index += ometiff.write_segments(tiles, f"{work}/segments", compression, self.tile_size)
-                tiles = pyramid.reduced(tiles, self.tile_size, self.downsample)
-            ometiff.assemble(index, output, xml, compression, self.tile_size)
-        finally:
-            shutil.rmtree(work, ignore_errors=True)
-        stopped = time.time()
-        return self.report(output, xml, valid, own, started, stopped, compression, deidentify_ome, display_uuid)
-
-    def features_before_renaming(self, pages: DataFrame) -> list:
-        plain = image_features(pages, self.profile, self.series, self.physical_size_x, self.physical_size_y)
-        return plain.first()["channels"]
-
-    @staticmethod
-    def made(folder: str) -> str:
-        os.makedirs(folder, exist_ok=True)
-        return folder
-
-    def validated(self, xml: str) -> bool | None:
-        """Null if no schema was given: none comes with the engine."""
-        if self.schema_location is None:
-            return None
-        path = self.schema_location
-        if path.startswith(("https://", "http:")):
-            import urllib.request
-
-            with urllib.request.urlopen(path) as answer, tempfile.NamedTemporaryFile(suffix=".xsd", delete=False) as file:
-                file.write(answer.read())
-            path = file.name
-        self.spark.sparkContext.addFile(path)
-        one = self.spark.createDataFrame([(xml,)], "x string")
-        return one.select(omexml.schema_valid(F.col("x"), path).alias("v")).first()["v"]
-
-    def report(self, output, xml, valid, own, started, stopped, compression, deidentify_ome, display_uuid) -> dict:
-        size_in, size_out = os.path.getsize(self.path), os.path.getsize(output)
-        times = self.spark.createDataFrame([(started, stopped, size_in, size_out)], "a double, b double, i long, o long").select(
-            S.readable_time(F.timestamp_seconds("a")).alias("start_time"), S.readable_time(F.timestamp_seconds("b")).alias("stop_time"),
-            S.run_time(F.col("b") - F.col("a")).alias("run_time"), S.size_ratio(F.col("o"), F.col("i")).alias("compression_ratio"),
-        ).first().asDict()
-        return {
-            "ome": {"xml_string": xml, "schema_location": self.schema_location, "xml_is_valid": valid, "uuid": own},
-            "input_file": {"path": self.path, "md5_checksum": md5_of_file(self.path), "size_bytes": size_in, "type_description": self.profile.label},
-            "output_file": {"path": output, "md5_checksum": md5_of_file(output), "size_bytes": size_out, "type_description": "OME-TIFF"},
-            "options": {
-                "compression": compression, "deidentify_ome": deidentify_ome, "display_uuid": display_uuid,
-                "series": self.series, "rename_channels": dict(self.rename_channels),
-            },
-            "conversion_stats": times,
-            "versions": versions(self.spark),
-        }
-
-
-def report_text(report: dict) -> str:
+        rows = convert_images(
+            self.manifest(output), self.cache_directory, self.rename_channels, display_uuid, deidentify_ome, compression, rgb, quality,
+            self.schema_location, strict, self.tile_size, self.downsample,
+        ).orderBy("series").collect()
+        reports = [report_of(r.asDict(recursive=True), versions(self.spark)) for r in rows]
+        return reports[0] if isinstance(self.series, int) else reports
+
+
+def report_of(row: dict, found: dict[str, str]) -> dict:
+    """The report of a row of ``convert_images``; its names are public ones, which must stay."""
+    names = ("ome", "input_file", "output_file", "options", "conversion_stats")
+    return {n: row[n] for n in names} | {"versions": found}
+
+
+def report_text(report: dict | list[dict]) -> str:
     return json.dumps(report, indent=2)

@@ -1,16 +1,16 @@
 """Pyramidal OME-TIFF files.
 
-Tasks compress tiles into segment files of the shared folder and return where each
-tile lies; only that index, a few numbers a tile, comes to the driver, which copies
-the segments behind one header and writes the directories. Reduced levels hang as
-SubIFDs on the full-size page of their channel; the OME-XML is the description of
-the first page. A file that may pass 4 GiB becomes a BigTIFF. The file is written
-under a temporary name and renamed, so that a failed job leaves nothing half done.
+Tasks compress tiles into segment files of the shared folder and say where each tile
+lies. A file is put together by one task from its part of that index, a few numbers a
+tile: the layout is computed first, so that header, directories and segments are written
+in one go, on any file system. Reduced levels hang as SubIFDs on the full-size page of
+their channel; the OME-XML is the description of the first page. Numbers are big-endian,
+as the document says. A file that may pass 4 GiB becomes a BigTIFF. It is written under
+a temporary name and moved, so that a failed task leaves nothing half done.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -18,99 +18,120 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators.codecs import NAMES, compress
+from ..operators.codecs import JPEG, NAMES, RGB, YCC, encode_blocks
+from ..operators.pyramid import TILES
+from ..sources.files import filesystem
 
-INDEX = "segment string, offset long, length long, level int, c int, ty long, tx long, height long, width long, dtype string"
+INDEX = (
+    "path string, series int, segment string, offset long, length long, level int, c int, ty long, tx long, height long,"
+    " width long, dtype string, samples int"
+)
+COLUMNS = [x.split()[0] for x in INDEX.split(", ")]
 CLASSIC_LIMIT = (1 << 32) - (1 << 24)
+CHUNK_BYTES = 16 << 20
 
 
-def local(folder: str) -> str:
-    if folder.startswith("file:"):
-        folder = folder[5:]
-        return "/" + folder.lstrip("/")
-    if ":/" in folder:
-        raise ValueError("segments need a folder that is mounted on driver and executors")
-    return folder
+def interleaved(tiles: DataFrame) -> DataFrame:
+    """Tiles of three channels as one of three samples, channel c of every three first."""
+    def merge(key, part):
+        part = part.sort_values("c")
+        one = part.iloc[0]
+        if len(part) != 3:
+            raise ValueError("interleaved output needs channels in threes")
+        pixels = np.stack([np.frombuffer(d, one["dtype"]).reshape(one.h, one.w) for d in part["data"]], -1)
+        one = one.copy()
+        one["c"], one["data"], one["samples"] = one.c // 3, pixels.tobytes(), 3
+        return pd.DataFrame([one])
 
+    by = ["path", "series", "level", F.expr("c div 3").alias("three"), "ty", "tx"]
+    return tiles.withColumn("samples", F.lit(1)).groupBy(*by).applyInPandas(merge, TILES + ", samples int")
 
-def write_segments(tiles: DataFrame, folder: str, compression: str, size: int) -> list:
-    """Compresses tiles to segment files; returns the index rows."""
+
+def write_segments(tiles: DataFrame, folder: str, compression: str, size: int, rgb: bool = False, quality: int = 90) -> DataFrame:
+    """Compresses tiles to segment files in ``folder``; returns the index."""
     if compression not in NAMES:
         raise ValueError(f"compression is one of {', '.join(NAMES)}")
-    code, root = NAMES[compression], local(folder)
+    code = NAMES[compression]
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(root, exist_ok=True)
-        name, at = f"{root}/{uuid.uuid4().hex}", 0  # a repeated task writes another file
-        with open(name, "wb") as out:
+        files, root = filesystem(folder)
+        name, at, out = uuid.uuid4().hex, 0, None  # a repeated task writes another file
+        try:
             for frame in frames:
-                rows = []
-                for r in frame.itertuples(index=False):
-                    full = np.zeros((size, size), r.dtype)
-                    full[: r.h, : r.w] = np.frombuffer(r.data, r.dtype).reshape(r.h, r.w)
-                    data = compress(full.astype(full.dtype.newbyteorder("<")).tobytes(), code)
-                    out.write(data)
-                    rows.append((name, at, len(data), r.level, r.c, r.ty, r.tx, r.height, r.width, r.dtype))
-                    at += len(data)
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in INDEX.split(", ")])
-
-    return tiles.mapInPandas(write, INDEX).collect()
+                step = max(1, CHUNK_BYTES // (size * size * 4))
+                for lo in range(0, len(frame), step):
+                    part = frame.iloc[lo : lo + step]
+                    blocks = []
+                    for r in part.itertuples(index=False):
+                        full = np.zeros((size, size, r.samples), r.dtype)
+                        full[: r.h, : r.w] = np.frombuffer(r.data, r.dtype).reshape(r.h, r.w, r.samples)
+                        blocks.append(full)
+                    if out is None:
+                        files.create_dir(root, recursive=True)
+                        out = files.open_output_stream(f"{root}/{name}", compression=None)
+                    rows = []
+                    for r, data in zip(part.itertuples(index=False), encode_blocks(blocks, code, quality), strict=True):
+                        out.write(data)
+                        own = (r.path, r.series, f"{folder}/{name}", at, len(data), r.level, r.c, r.ty, r.tx, r.height, r.width, r.dtype, r.samples)
+                        rows.append(own)
+                        at += len(data)
+                    yield pd.DataFrame(rows, columns=COLUMNS)
+        finally:
+            if out is not None:
+                out.close()
+
+    made = interleaved(tiles) if rgb else tiles.withColumn("samples", F.lit(1))
+    return made.mapInPandas(write, INDEX)
 
 
 class Layout:
-    """Writes the numbers of a classic TIFF or a BigTIFF, little-endian."""
-
-    def __init__(self, out, big: bool):
-        self.out, self.big = out, big
-        self.word = "Q" if big else "I"
-
-    def header(self) -> None:
-        self.out.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0) if self.big else struct.pack("<2sHI", b"II", 42, 0))
-
-    def point_header_at(self, offset: int) -> None:
-        self.out.seek(8 if self.big else 4)
-        self.out.write(struct.pack("<" + self.word, offset))
-
-    def directory(self, tags: list[tuple[int, str, object]]) -> tuple[int, int]:
-        """Writes a directory and its values; returns its place and that of its link."""
-        inline = 8 if self.big else 4
-        entries = []
-        for tag, letter, value in sorted(tags):
-            if letter == "s":
-                kind, number, data = 2, len(value) + 1, value + b"\0"
-            else:
-                letter = self.word if letter == "o" else letter
-                kind, number = {"H": 3, "I": 4, "Q": 16}[letter], len(value)
-                data = struct.pack(f"<{number}{letter}", *value)
-            if len(data) > inline:
-                self.align()
-                place = self.out.tell()
-                self.out.write(data)
-                data = struct.pack("<" + self.word, place)
-            entries.append(struct.pack("<HH" + self.word, tag, kind, number) + data.ljust(inline, b"\0"))
-        self.align()
-        start = self.out.tell()
-        self.out.write(struct.pack("<Q" if self.big else "<H", len(entries)) + b"".join(entries))
-        link = self.out.tell()
-        self.out.write(struct.pack("<" + self.word, 0))
-        return start, link
-
-    def align(self) -> None:
-        self.out.write(b"\0" * (-self.out.tell() % 8))
-
-
-def page_tags(rows: list, size: int, compression: int, places: dict, reduced: bool, xml: bytes | None, subs: list[int]) -> list:
+    """Sizes and bytes of directories of a classic TIFF or a BigTIFF, big-endian."""
+
+    def __init__(self, big: bool):
+        self.big = big
+        self.word, self.inline = ("Q", 8) if big else ("I", 4)
+
+    def header(self, first: int) -> bytes:
+        return struct.pack(">2sHHHQ", b"MM", 43, 8, 0, first) if self.big else struct.pack(">2sHI", b"MM", 42, first)
+
+    def values(self, letter: str, value) -> tuple[int, int, bytes]:
+        if letter == "s":
+            return 2, len(value) + 1, value + b"\0"
+        letter = self.word if letter == "o" else letter
+        return {"H": 3, "I": 4, "Q": 16}[letter], len(value), struct.pack(f">{len(value)}{letter}", *value)
+
+    def directory(self, tags: list[tuple[int, str, object]], at: int, following: int) -> bytes:
+        """A directory that lies at ``at``, with its long values behind it, in multiples of 8 bytes."""
+        entries, behind = [], b""
+        start = at + (8 if self.big else 2) + len(tags) * (20 if self.big else 12) + self.inline
+        pad = -start % 8
+        for tag, letter, value in sorted(tags, key=lambda x: x[0]):
+            kind, number, data = self.values(letter, value)
+            if len(data) > self.inline:
+                place = start + pad + len(behind)
+                behind += data + b"\0" * (-len(data) % 8)
+                data = struct.pack(">" + self.word, place)
+            entries.append(struct.pack(">HH" + self.word, tag, kind, number) + data.ljust(self.inline, b"\0"))
+        head = struct.pack(">Q" if self.big else ">H", len(entries))
+        out = head + b"".join(entries) + struct.pack(">" + self.word, following) + b"\0" * pad + behind
+        return out + b"\0" * (-(at + len(out)) % 8)
+
+
+def page_tags(rows: list, size: int, compression: int, data: int, reduced: bool, xml: bytes | None, subs: list[int]) -> list:
+    """Tags of a page whose tiles, in order, lie at their offsets from ``data`` on."""
     one = rows[0]
-    kind = np.dtype(one["dtype"])
-    across = -(-one["width"] // size)
-    rows = sorted(rows, key=lambda r: r["ty"] * across + r["tx"])
+    kind, samples = np.dtype(one.dtype), one.samples
+    photometric = 1 if samples == 1 else YCC if compression == JPEG else RGB
     tags = [
-        (254, "I", [1 if reduced else 0]), (256, "I", [one["width"]]), (257, "I", [one["height"]]),
-        (258, "H", [kind.itemsize * 8]), (259, "H", [compression]), (262, "H", [1]), (277, "H", [1]), (284, "H", [1]),
-        (322, "I", [size]), (323, "I", [size]), (324, "o", [places[r["segment"]] + r["offset"] for r in rows]),
-        (325, "o", [r["length"] for r in rows]), (339, "H", [{"u": 1, "i": 2, "f": 3}[kind.kind]]),
+        (254, "I", [1 if reduced else 0]), (256, "I", [one.width]), (257, "I", [one.height]),
+        (258, "H", [kind.itemsize * 8] * samples), (259, "H", [compression]), (262, "H", [photometric]), (277, "H", [samples]),
+        (284, "H", [1]), (322, "I", [size]), (323, "I", [size]), (324, "o", [data + r.offset for r in rows]),
+        (325, "o", [r.length for r in rows]), (339, "H", [{"u": 1, "i": 2, "f": 3}[kind.kind]] * samples),
     ]
+    if photometric == YCC:
+        tags.append((530, "H", [1, 1]))
     if xml is not None:
         tags.append((270, "s", xml))
     if subs:
@@ -119,39 +140,64 @@ def page_tags(rows: list, size: int, compression: int, places: dict, reduced: bo
 
 
 def assemble(index: list, output: str, xml: str, compression: str, size: int) -> None:
-    """One file from the segments; replaces ``output`` when whole."""
-    total = sum(r["length"] for r in index)
-    big = total + 64 * len(index) + len(xml) > CLASSIC_LIMIT
-    temporary = f"{output}.{uuid.uuid4().hex}.part"
+    """One file from index rows and their segments; replaces ``output`` when whole. Only
+    the tiles of this index are copied, runs of neighbours at a time."""
+    code, document = NAMES[compression], xml.encode()
+    total = sum(r.length for r in index)
+    layout = Layout(total + 96 * len(index) + len(document) > CLASSIC_LIMIT)
+    runs, placed = copied_runs(index)
+    pages: dict[tuple[int, int], list] = {}
+    for r in placed:
+        pages.setdefault((r.c, r.level), []).append(r)
+    for rows in pages.values():
+        across = -(-rows[0].width // size)
+        rows.sort(key=lambda r: r.ty * across + r.tx)
+    channels = sorted({c for c, _ in pages})
+    order = [(c, level) for c in channels for level in sorted(k for x, k in pages if x == c)]
+    lowest = {c: min(k for x, k in pages if x == c) for c in channels}
+
+    def tags(c: int, level: int, at: dict, data: int) -> list:
+        subs = [at[c, k] for x, k in order if x == c and k != lowest[c]] if level == lowest[c] else []
+        first = (c, level) == order[0]
+        return page_tags(pages[c, level], size, code, data, level != lowest[c], document if first else None, subs)
+
+    # Sizes do not depend on the places, so that these follow from a first pass.
+    at, end = dict.fromkeys(order, 0), 16
+    for key in order:
+        at[key] = end
+        end += len(layout.directory(tags(*key, at, 0), end, 0))
+    after = dict(zip(channels, channels[1:], strict=False))
+    files, place = filesystem(output)
+    temporary = f"{place}.{uuid.uuid4().hex}.part"
     try:
-        with open(temporary, "wb") as out:
-            layout = Layout(out, big)
-            layout.header()
-            places = {}
-            for name in sorted({r["segment"] for r in index}):
-                layout.align()
-                places[name] = out.tell()
-                with open(name, "rb") as segment:
-                    while chunk := segment.read(8 << 20):
+        with files.open_output_stream(temporary, compression=None) as out:
+            out.write(layout.header(16).ljust(16, b"\0"))
+            for c, level in order:
+                main = level == lowest[c] and c in after
+                out.write(layout.directory(tags(c, level, at, end), at[c, level], at[after[c], lowest[after[c]]] if main else 0))
+            for segment, lo, hi in runs:
+                own, name = filesystem(segment)
+                with own.open_input_file(name) as source:
+                    source.seek(lo)
+                    while lo < hi and (chunk := source.read(min(8 << 20, hi - lo))):
                         out.write(chunk)
-            pages: dict[tuple[int, int], list] = {}
-            for r in index:
-                pages.setdefault((r["c"], r["level"]), []).append(r)
-            links, starts = [], []
-            for c in sorted({c for c, _ in pages}):
-                levels = sorted(level for k, level in pages if k == c)
-                make = lambda level, xml=None, subs=(), c=c: layout.directory(
-                    page_tags(pages[c, level], size, NAMES[compression], places, level > levels[0], xml, list(subs))
-                )
-                subs = [make(level)[0] for level in levels[1:]]
-                start, link = make(levels[0], None if starts else xml.encode(), subs)
-                starts.append(start)
-                links.append(link)
-            for link, following in zip(links, starts[1:], strict=False):
-                out.seek(link)
-                out.write(struct.pack("<" + layout.word, following))
-            layout.point_header_at(starts[0])
-        os.replace(temporary, output)
+                        lo += len(chunk)
+                if lo < hi:
+                    raise OSError(f"{segment} ends too early")
+        files.move(temporary, place)
     finally:
-        if os.path.exists(temporary):
-            os.remove(temporary)
+        if files.get_file_info(temporary).size is not None:
+            files.delete_file(temporary)
+
+
+def copied_runs(index: list) -> tuple[list, list]:
+    """(segment, from, to) runs of neighbouring tiles, and the rows with their places in the copy."""
+    runs, placed, total = [], [], 0
+    for r in sorted(index, key=lambda r: (r.segment, r.offset)):
+        if runs and runs[-1][0] == r.segment and runs[-1][2] == r.offset:
+            runs[-1][2] += r.length
+        else:
+            runs.append([r.segment, r.offset, r.offset + r.length])
+        placed.append(r._replace(offset=total))
+        total += r.length
+    return runs, placed

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 from ..operators.codecs import decode_block
+from .files import filesystem
 
 # Fixed values of the TIFF format: sizes of field types, their struct letters, and tags.
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
@@ -32,7 +34,8 @@ KINDS = {1: "uint", 2: "int", 3: "float"}
 PAGES = (
     "path string, series int, level int, page int, ifd_offset long, dtype string, shaped array<long>, width long,"
     " height long, samples int, tags map<string,string>, block_w long, block_h long, tiled boolean,"
-    " offsets array<long>, byte_counts array<long>, compression int, predictor int, planar_config int, big_endian boolean"
+    " offsets array<long>, byte_counts array<long>, compression int, predictor int, planar_config int, big_endian boolean,"
+    " photometric int, jpeg_tables binary"
 )
 BLOCKS = (
     "path string, series int, level int, c int, y0 long, x0 long, h long, w long, height long, width long,"
@@ -41,9 +44,7 @@ BLOCKS = (
 
 
 def open_file(path: str):
-    from pyarrow import fs
-
-    files, at = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    files, at = filesystem(path)
     return files.open_input_file(at)
 
 
@@ -116,6 +117,7 @@ def page_row(offset: int, tags: dict, big_endian: bool) -> dict:
         "block_w": one(322, w), "block_h": one(323, min(one(278, h), h)), "tiled": tiled,
         "offsets": tags.get(324 if tiled else 273, []), "byte_counts": tags.get(325 if tiled else 279, []),
         "compression": one(259, 1), "predictor": one(317, 1), "planar_config": one(284, 1), "big_endian": big_endian,
+        "photometric": one(262, 1), "jpeg_tables": tags.get(347),
     }
 
 
@@ -160,7 +162,8 @@ def pages_of(path: str) -> list[dict]:
 
 
 def read_pages(images: DataFrame, path_col: str = "path") -> DataFrame:
-    """The pages of every file; a file that is no TIFF fails the job."""
+    """The pages of every file, a task for each of them where there are enough tasks; a
+    file that is no TIFF fails the job."""
     names = images.sparkSession.createDataFrame([], PAGES).columns
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,7 +180,7 @@ def read_blocks(pages: DataFrame) -> DataFrame:
     interleaved page's samples both become channels."""
     at = F.posexplode(F.arrays_zip("offsets", "byte_counts")).alias("block", "range")
     per = ["path", "series", "level", "page", "dtype", "width", "height", "samples", "block_w", "block_h", "tiled",
-           "compression", "predictor", "planar_config", "big_endian"]
+           "compression", "predictor", "planar_config", "big_endian", "photometric", "jpeg_tables"]
     ranges = pages.select(*per, at).select(*per, "block", "range.offsets", "range.byte_counts")
     names = pages.sparkSession.createDataFrame([], BLOCKS).columns
 
@@ -200,7 +203,8 @@ def decoded(file, r) -> list[tuple]:
     samples = 1 if r.planar_config == 2 else r.samples
     file.seek(r.offsets)
     pixels = decode_block(
-        file.read(r.byte_counts), r.compression, r.predictor, r.dtype, r.block_h if r.tiled else h, r.block_w, samples, r.big_endian
+        file.read(r.byte_counts), r.compression, r.predictor, r.dtype, r.block_h if r.tiled else h, r.block_w, samples, r.big_endian,
+        r.photometric, r.jpeg_tables,
     )[:h, :w]
     first = r.page * r.samples + plane
     return [
@@ -209,9 +213,12 @@ def decoded(file, r) -> list[tuple]:
     ]
 
 
+PUSHED = ("series", "level", "page")
+
+
 class TiffPages(DataSource):
     """spark.read.format("tiff_pages").load(path): the pages of one file or, with
-    commas, several; equality filters on series and level are pushed down."""
+    commas, several; equality filters on series, level and page are pushed down."""
 
     @classmethod
     def name(cls) -> str:
@@ -230,16 +237,60 @@ class TiffPagesReader(DataSourceReader):
 
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute in (("series",), ("level",), ("page",)):
+            if isinstance(f, EqualTo) and len(f.attribute) == 1 and f.attribute[0] in PUSHED:
                 self.wanted[f.attribute[0]] = f.value
             else:
                 yield f
 
+    def rows(self, path: str) -> list[dict]:
+        return [r for r in pages_of(path) if all(r[k] == v for k, v in self.wanted.items())]
+
     def partitions(self):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition):
-        names = [x.strip().split(" ", 1)[0] for x in PAGES.replace("map<string,string>", "map").split(",")]
-        for row in pages_of(partition.value):
-            if all(row[k] == v for k, v in self.wanted.items()):
-                yield tuple(row[n] for n in names)
+        for row in self.rows(partition.value):
+            yield tuple(row[n] for n in names_of(PAGES))
+
+
+class TiffBlocks(TiffPages):
+    """spark.read.format("tiff_blocks").load(path): decoded strips and tiles. Filters on
+    series, level and page are pushed down, so that only their bytes are read; option
+    ``blocks`` says how many a task reads."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tiff_blocks"
+
+    def schema(self) -> str:
+        return BLOCKS.replace("c int", "c int, page int")
+
+    def reader(self, schema):
+        return TiffBlocksReader(self.options["path"].split(","), int(self.options.get("blocks", 64)))
+
+
+class TiffBlocksReader(TiffPagesReader):
+    def __init__(self, paths: list[str], step: int):
+        super().__init__(paths)
+        self.step = step
+
+    def partitions(self):
+        """Directories are read on the driver, a few kilobytes a file; offsets stay out of the partitions."""
+        return [
+            InputPartition((p, r["ifd_offset"], r["series"], r["level"], r["page"], lo))
+            for p in self.paths for r in self.rows(p) for lo in range(0, len(r["offsets"]), self.step)
+        ]
+
+    def read(self, partition):
+        path, ifd, series, level, page, lo = partition.value
+        with open_file(path) as file:
+            d = Directories(file)
+            row = page_row(ifd, d.read(ifd)[0], d.order == ">") | {"path": path, "series": series, "level": level, "page": page}
+            ranges = list(zip(row.pop("offsets"), row.pop("byte_counts"), strict=True))
+            for block, (offset, count) in enumerate(ranges[lo : lo + self.step], lo):
+                for x in decoded(file, SimpleNamespace(**row, block=block, offsets=offset, byte_counts=count)):
+                    yield (*x[:4], page, *x[4:])
+
+
+def names_of(schema: str) -> list[str]:
+    return [x.strip().split(" ", 1)[0] for x in schema.replace("map<string,string>", "map").split(",")]
