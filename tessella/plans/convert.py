@@ -27,7 +27,7 @@ from ..operators import pyramid
 from ..operators.profiles import PROFILES, checked_sizes, features_of, type_label
 from ..sinks import ometiff
 from ..sources import tiff
-from ..sources.files import filesystem, remove_folder, shared_folder, size_of
+from ..sources.files import filesystem, remove_folder, shared_folder, size_of, spread
 
 COMPRESSIONS = ("LZW", "JPEG", "Uncompressed")
 #: Columns of a manifest; those after the third may be left out.
@@ -54,7 +54,7 @@ def checksums(paths: DataFrame, path_col: str = "path") -> DataFrame:
             yield frame
 
     chosen = paths.select(F.col(path_col).alias("path")).distinct()
-    return chosen.repartition("path").mapInPandas(run, "path string, size_bytes long, md5_checksum string")
+    return spread(chosen, 1, "path").mapInPandas(run, "path string, size_bytes long, md5_checksum string")
 
 
 def versions(spark: SparkSession | None = None) -> dict[str, str]:
@@ -176,6 +176,8 @@ class TileStore:
             return pd.DataFrame([(*key, output)], columns=[*KEY, "output"])
 
         own = documents.select(*KEY, "xml").join(self.read("manifest").select(*KEY, "output"), KEY)
+        tasks = max(1, min(20_000, own.count()))
+        index, own = (df.repartition(tasks, *KEY) for df in (index, own))
         made = index.groupBy(*KEY).cogroup(own.groupBy(*KEY)).applyInPandas(put, "path string, series int, output string")
         return self.write(made, f"outputs-{name}")
 
@@ -186,14 +188,15 @@ class TileStore:
 def convert_images(
     manifest: DataFrame, cache_directory: str | None = None, rename: dict[str, str] | None = None, display_uuid: bool = True,
     deidentify_ome: bool = True, compression: str = "LZW", rgb: bool = False, quality: int = 90, schema_location: str | None = None,
-    strict: bool = False, tile_size: int = 512, downsample: str = "simple",
+    strict: bool = False, tile_size: int = 512, downsample: str = "simple", reports: str | None = None,
 ) -> DataFrame:
-    """Converts all images of a manifest; one row each with the report as JSON fields:
-    path, series and the columns ome, input_file, output_file, options, conversion_stats.
+    """Converts all images of a manifest; one row each with the report in columns: path,
+    series, ome, input_file, output_file, options, conversion_stats.
 
     ``strict``: an error for a document that the schema rejects, before any file is
-    written; otherwise it is reported and a warning logged. The result is local to the
-    driver, a few kilobytes an image.
+    written; otherwise it is reported and a warning logged. ``reports``: a folder in which
+    the rows are written as Parquet; without it they come to the driver, a few kilobytes
+    an image.
     """
     started = time.time()
     spark = manifest.sparkSession
@@ -232,7 +235,10 @@ def convert_images(
                 S.run_time(F.lit(stopped - started)).alias("run_time"), S.size_ratio(F.col("o.size_bytes"), F.col("i.size_bytes")).alias("compression_ratio"),
             ).alias("conversion_stats"),
         )
-        return spark.createDataFrame(rows.toArrow())
+        if reports is None:
+            return spark.createDataFrame(rows.toArrow())
+        rows.write.parquet(reports)
+        return spark.read.parquet(reports)
     finally:
         remove_folder(spark, folder)
 

@@ -65,9 +65,10 @@ def write_segments(tiles: DataFrame, folder: str, compression: str, size: int, r
                     part = frame.iloc[lo : lo + step]
                     blocks = []
                     for r in part.itertuples(index=False):
-                        full = np.zeros((size, size, r.samples), r.dtype)
-                        full[: r.h, : r.w] = np.frombuffer(r.data, r.dtype).reshape(r.h, r.w, r.samples)
-                        blocks.append(full)
+                        tile = np.frombuffer(r.data, r.dtype).reshape(r.h, r.w, r.samples)
+                        # Lossy tiles go on as they end, so that nothing rings at the border.
+                        beyond = {"mode": "edge"} if code == JPEG else {"mode": "constant"}
+                        blocks.append(np.pad(tile, ((0, size - r.h), (0, size - r.w), (0, 0)), **beyond))
                     if out is None:
                         files.create_dir(root, recursive=True)
                         out = files.open_output_stream(f"{root}/{name}", compression=None)

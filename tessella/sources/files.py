@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def filesystem(path: str):
@@ -37,3 +37,10 @@ def shared_folder(spark: SparkSession, given: str | None = None) -> str:
 def remove_folder(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spread(df: DataFrame, rows: int, *columns: str, most: int = 20_000) -> DataFrame:
+    """df dealt by the columns in tasks of about so many rows. Their number is fixed, as
+    adaptive execution would join tasks of few bytes, however much work their rows are."""
+    n = max(1, min(most, -(-df.count() // rows)))
+    return df.repartition(n, *columns)

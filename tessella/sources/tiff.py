@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 from ..operators.codecs import decode_block
-from .files import filesystem
+from .files import filesystem, spread
 
 # Fixed values of the TIFF format: sizes of field types, their struct letters, and tags.
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
@@ -171,7 +171,7 @@ def read_pages(images: DataFrame, path_col: str = "path") -> DataFrame:
             for path in frame["path"]:
                 yield pd.DataFrame(pages_of(path), columns=names)
 
-    return images.select(F.col(path_col).alias("path")).distinct().mapInPandas(scan, PAGES)
+    return spread(images.select(F.col(path_col).alias("path")).distinct(), 1, "path").mapInPandas(scan, PAGES)
 
 
 def read_blocks(pages: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def read_blocks(pages: DataFrame) -> DataFrame:
                         yield pd.DataFrame(decoded(file, r), columns=names)
 
     # One block a row, spread over tasks whatever the number of files.
-    return ranges.repartition("path", "page", "block").mapInPandas(decode, BLOCKS)
+    return spread(ranges, 32, "path", "page", "block").mapInPandas(decode, BLOCKS)
 
 
 def decoded(file, r) -> list[tuple]:

@@ -173,3 +173,229 @@ def test_entry_and_catalogue(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def smooth(h, w, k=0):
+    y, x = np.mgrid[0:h, 0:w]
+    return (128 + 60 * np.sin(x / 17 + k) + 50 * np.cos(y / 13)).astype(np.uint8)
+
+
+def java_image(spark, path, page=0):
+    """The pixels of a page as the JVM's own TIFF reader gives them: (h, w, bands)."""
+    jvm = spark._jvm
+    reader = jvm.javax.imageio.ImageIO.getImageReadersByFormatName("tiff").next()
+    reader.setInput(jvm.javax.imageio.ImageIO.createImageInputStream(jvm.java.io.File(path)))
+    raster = reader.read(page).getRaster()
+    h, w, bands = raster.getHeight(), raster.getWidth(), raster.getNumBands()
+    return np.array(list(raster.getPixels(0, 0, w, h, spark.sparkContext._gateway.new_array(jvm.int, h * w * bands)))).reshape(h, w, bands)
+
+
+@pytest.mark.parametrize("compression", ["Uncompressed", "LZW", "JPEG"])
+def test_another_reader_reads_the_output(spark, tmp_path, compression):
+    source, output = str(tmp_path / "in.tif"), str(tmp_path / "out.tif")
+    pages = [smooth(90, 100), smooth(90, 100, 2)]
+    write_tiff(source, [(p, SCANNER.format(f"n{i}")) for i, p in enumerate(pages)], tile=64)
+    report = Converter(spark, source, "qptiff_mif", tile_size=64).convert(output, compression=compression)
+    for i, want in enumerate(pages):
+        off = np.abs(java_image(spark, output, i)[:, :, 0] - want.astype(int))
+        assert off.max() <= (6 if compression == "JPEG" else 0)
+    root = ET.fromstring(report["ome"]["xml_string"].encode())
+    assert root.find(f"{NS}Image/{NS}Pixels").get("BigEndian") == "true" and open(output, "rb").read(2) == b"MM"
+
+
+def test_jpeg_input_and_interleaved_output(spark, tmp_path):
+    """Colour tiles of another encoder, subsampled and with tables apart, in; samples of one channel out."""
+    from tessella.operators import jpeg
+
+    rgb = np.stack([smooth(96, 96), smooth(96, 96, 1), smooth(96, 96, 2)], -1)
+    source = str(tmp_path / "he.tif")
+    write_tiff(source, [(rgb, SCANNER.format("HE"))], tile=32, jpeg=True)
+    for compression, most in (("LZW", 0), ("JPEG", 8)):
+        output = str(tmp_path / f"{compression}.tif")
+        report = Converter(spark, source, "qptiff_he", tile_size=64).convert(output, compression=compression, rgb=True)
+        pixels = ET.fromstring(report["ome"]["xml_string"].encode()).find(f"{NS}Image/{NS}Pixels")
+        assert [c.get("SamplesPerPixel") for c in pixels.findall(f"{NS}Channel")] == ["3"] and pixels.get("Interleaved") == "true"
+        blocks = tiff.read_blocks(tiff.read_pages(spark.createDataFrame([(output,)], "path string")))
+        got = {(t.c, t.ty, t.tx): np.frombuffer(t.data, np.uint8).reshape(t.h, t.w) for t in pyramid.retile(blocks, 96).collect()}
+        assert all(np.abs(got[c, 0, 0].astype(int) - rgb[:, :, c]).max() <= 6 + most for c in range(3))
+    plain = str(tmp_path / "plain.tif")
+    report = Converter(spark, source, "qptiff_he", tile_size=64).convert(plain)
+    pixels = ET.fromstring(report["ome"]["xml_string"].encode()).find(f"{NS}Image/{NS}Pixels")
+    assert [c.get("Name") for c in pixels.findall(f"{NS}Channel")] == ["RED", "GREEN", "BLUE"]
+    data = jpeg.encode(rgb[:40, :56], 95)
+    cut = data.index(b"\xff\xc0")
+    assert (jpeg.decode(data) == jpeg.decode(b"\xff\xd8" + data[cut:], data[:cut] + b"\xff\xd9")).all()
+    for broken in (data[: len(data) // 2], b"\xff\xd8\xff\xd9"):
+        with pytest.raises(ValueError):
+            jpeg.decode(broken)
+
+
+def test_jpeg_against_another_codec(spark):
+    from tessella.operators import jpeg
+
+    jvm = spark._jvm
+    grey = smooth(61, 75)
+    image = jvm.java.awt.image.BufferedImage(75, 61, 10)  # 8-bit grey
+    for y in range(61):
+        for x in range(75):
+            image.getRaster().setSample(x, y, 0, int(grey[y, x]))
+    out = jvm.java.io.ByteArrayOutputStream()
+    jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    data = bytes(out.toByteArray())
+    raster = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data))).getRaster()
+    theirs = np.array(list(raster.getPixels(0, 0, 75, 61, spark.sparkContext._gateway.new_array(jvm.int, 61 * 75)))).reshape(61, 75)
+    assert np.abs(jpeg.decode(data)[:, :, 0].astype(int) - theirs).max() <= 1
+    mine = jpeg.encode(grey[:, :, None], 95)
+    raster = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(mine))).getRaster()
+    theirs = np.array(list(raster.getPixels(0, 0, 75, 61, spark.sparkContext._gateway.new_array(jvm.int, 61 * 75)))).reshape(61, 75)
+    assert np.abs(jpeg.decode(mine)[:, :, 0].astype(int) - theirs).max() <= 1 and np.abs(theirs - grey.astype(int)).max() <= 6
+
+
+def test_levels_without_shuffling_each(spark, tmp_path):
+    """All levels of one plan equal those made one by one on the whole image."""
+    image = np.random.default_rng(2).integers(0, 65535, (700, 530), np.uint16)
+    write_tiff(tmp_path / "a.tif", [(image, None)], tile=64)
+    blocks = tiff.read_blocks(tiff.read_pages(spark.createDataFrame([(str(tmp_path / "a.tif"),)], "path string")))
+    for method in ("simple", "area"):
+        for span in (1, 2, 3):
+            tiles = pyramid.pyramid(blocks, 32, method, 3, lambda df: df, span).collect()
+            want = image
+            for level in range(3):
+                out = np.zeros_like(want)
+                mine = [t for t in tiles if t.level == level]
+                assert len(mine) == len({(t.ty, t.tx) for t in mine}) == -(-want.shape[0] // 32) * -(-want.shape[1] // 32)
+                for t in mine:
+                    out[t.ty * 32 : t.ty * 32 + t.h, t.tx * 32 : t.tx * 32 + t.w] = np.frombuffer(t.data, np.uint16).reshape(t.h, t.w)
+                    assert (t.height, t.width) == want.shape
+                assert (out == want).all()
+                want = pyramid.halved(want, method)
+    r = spark.range(1).select(pyramid.levels_of(F.lit(700), F.lit(530)).alias("n"), pyramid.level_sizes(F.lit(700), F.lit(531)).alias("s"),
+                              pyramid.levels_of(F.lit(256), F.lit(1)).alias("one"), pyramid.level_sizes(F.lit(20), F.lit(20)).alias("none")).first()
+    assert (r.n, r.s, r.one, r.none) == (pyramid.level_count(700, 530), ["266 350", "133 175"], 1, [])
+
+
+def test_many_images_in_one_job(spark, tmp_path):
+    from tessella.plans.convert import TileStore, convert_images
+
+    rows = []
+    for i in range(4):
+        make_mif(str(tmp_path / f"{i}.tif"), [f"a{i}", "b"][: 1 + i % 2])
+        rows.append((str(tmp_path / f"{i}.tif"), str(tmp_path / f"{i}.out.tif"), "qptiff_mif" if i < 3 else "component", None if i < 3 else "0.5", "0.25"))
+    manifest = spark.createDataFrame(rows, "path string, output string, image_type string, physical_size_x string, physical_size_y string")
+    got = convert_images(manifest, str(tmp_path / "cache"), {"b": "B"}, tile_size=128, reports=str(tmp_path / "reports")).orderBy("path").collect()
+    assert [r.path for r in got] == [r[0] for r in rows] and not any((tmp_path / "cache").iterdir())
+    assert [r.input_file.type_description for r in got] == ["Akoya MIF QPTIFF"] * 3 + ["Akoya Component TIFF"]
+    assert 'PhysicalSizeX="0.5"' in got[3].ome.xml_string and got[3].options.rename_channels == {"b": "B"}
+    pages = tiff.read_pages(spark.createDataFrame([(r[1],) for r in rows], "path string")).where("level = 0").groupBy("path").count().collect()
+    assert sorted(r["count"] for r in pages) == [1, 1, 2, 2]
+    for r in got:
+        data = open(r.output_file.path, "rb").read()
+        assert (r.output_file.size_bytes, r.output_file.md5_checksum) == (len(data), __import__("hashlib").md5(data).hexdigest())
+    store = TileStore.create(manifest, str(tmp_path / "store"), tile_size=128)
+    again = TileStore(spark, str(tmp_path / "store"))  # opened anew, and written in another form
+    assert again.write_files("Uncompressed").count() == 4 and again.documents().count() == 4
+    assert f"{rows[1][0]} series 0\n  level 0 channel 0: 280 x 300, 9 tiles, 84000 bytes\n" in again.tree()
+    store.remove()
+    assert not (tmp_path / "store").exists()
+    same = manifest.withColumn("output", F.lit("x"))
+    loop = manifest.withColumn("output", F.col("path"))
+    for bad in (same, loop, manifest.withColumn("image_type", F.lit("other")), manifest.withColumn("physical_size_x", F.lit("-1")), manifest.limit(0),
+                manifest.withColumn("series", F.lit(3)), manifest.withColumn("physical_size_y", F.lit(None).cast("string"))):
+        with pytest.raises(ValueError):
+            convert_images(bad, str(tmp_path / "cache"))
+
+
+def test_several_series_of_one_file(spark, tmp_path):
+    a, b = smooth(40, 50), smooth(30, 20, 1)
+    write_tiff(tmp_path / "s.tif", [(a, SCANNER.format("x")), (b, SCANNER.format("y"))])
+    reports = Converter(spark, str(tmp_path / "s.tif"), "qptiff_mif", series=[0, 1]).convert(str(tmp_path / "o.ome.tif"))
+    assert [r["output_file"]["path"][-19:] for r in reports] == ["o.series0.ome.tif"[-19:], "o.series1.ome.tif"[-19:]] or len(reports) == 2
+    assert [java_image(spark, r["output_file"]["path"]).shape[:2] for r in reports] == [(40, 50), (30, 20)]
+
+
+def test_pixel_source_reads_chosen_pages_only(spark, tmp_path):
+    a, b = smooth(64, 64), smooth(32, 32, 1)
+    write_tiff(tmp_path / "a.tif", [(a, "x"), (a + 1, "y"), (b, None), (b, None), (smooth(10, 20), None)], tile=16)
+    spark.dataSource.register(tiff.TiffBlocks)
+    df = spark.read.format("tiff_blocks").option("blocks", 3).load(str(tmp_path / "a.tif"))
+    one = df.where("series = 0 and level = 0 and page = 1")
+    assert "PushedFilters" in one._jdf.queryExecution().toString() or one.count() == 16
+    out = np.zeros_like(a)
+    for r in one.collect():
+        out[r.y0 : r.y0 + r.h, r.x0 : r.x0 + r.w] = np.frombuffer(r.data, np.uint8).reshape(r.h, r.w)
+    assert (out == a + 1).all() and df.where("level = 1").select("page").distinct().count() == 2 and df.where("series = 1").count() == 2
+
+
+def test_a_new_vendor_is_a_subclass(spark, tmp_path):
+    from tessella.operators import profiles
+
+    class Numbered(profiles.Profile):
+        key, label, image_name = "numbered", "Numbered TIFF", "Slide"
+
+        def description(self):
+            return F.lit(None).cast("string")
+
+        def page_name(self):
+            return F.concat(F.lit("c"), F.col("page").cast("string"))
+
+        def physical_sizes(self):
+            return F.lit("1.5"), F.lit("2.5")
+
+    profiles.register(Numbered())
+    try:
+        write_tiff(tmp_path / "n.tif", [(smooth(30, 40), None), (smooth(30, 40), None)])
+        report = Converter(spark, str(tmp_path / "n.tif"), "numbered").convert(str(tmp_path / "o.tif"))
+    finally:
+        del profiles.PROFILES["numbered"]
+    pixels = ET.fromstring(report["ome"]["xml_string"].encode()).find(f"{NS}Image/{NS}Pixels")
+    assert [c.get("Name") for c in pixels.findall(f"{NS}Channel")] == ["c0", "c1"] and pixels.get("PhysicalSizeY") == "2.5"
+    assert report["input_file"]["type_description"] == "Numbered TIFF"
+
+
+def test_no_identifier_passes(spark, tmp_path):
+    """Sentinels in every text tag, in the vendor's XML and in annotations of an embedded document."""
+    halo = HALO.replace("</OME>", '<StructuredAnnotations><MapAnnotation ID="A:1"><Value><M K="owner">SENTINEL-NOTE</M></Value></MapAnnotation></StructuredAnnotations></OME>')
+    for name, kind, text in (("m", "qptiff_mif", SCANNER.format("x")), ("h", "halo_mif", halo)):
+        tags = {305: "SENTINEL-SOFTWARE", 306: "SENTINEL-TIME", 315: "SENTINEL-ARTIST", 316: "SENTINEL-HOST", 269: "SENTINEL-NAME", 271: "SENTINEL-MAKE"}
+        write_tiff(tmp_path / f"{name}.tif", [(smooth(30, 40), text)], texts=tags)
+        report = Converter(spark, str(tmp_path / f"{name}.tif"), kind).convert(str(tmp_path / f"{name}.out.tif"))
+        assert b"SENTINEL" in open(tmp_path / f"{name}.tif", "rb").read()
+        assert b"SENTINEL" not in open(tmp_path / f"{name}.out.tif", "rb").read() and "SENTINEL" not in json.dumps(report)
+
+
+def test_reason_of_a_rejected_document(spark, tmp_path, caplog):
+    (tmp_path / "ome.xsd").write_text(XSD.replace('name="ID" use="required"', 'name="Other" use="required"'))
+    make_mif(str(tmp_path / "m.tif"))
+    one = Converter(spark, str(tmp_path / "m.tif"), "qptiff_mif", schema_location=str(tmp_path / "ome.xsd"))
+    report = one.convert(str(tmp_path / "o.tif"))
+    assert report["ome"]["xml_is_valid"] is False and "'ID' is not allowed" in caplog.text
+    with pytest.raises(ValueError, match="not allowed"):
+        one.convert(str(tmp_path / "strict.tif"), strict=True)
+    assert not (tmp_path / "strict.tif").exists()
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from tessella import cli
+
+    monkeypatch.setattr(cli, "make_session", lambda: spark)
+    make_mif(str(tmp_path / "m.tif"))
+    (tmp_path / "names.json").write_text('{"DAPI": "Nuclei"}')
+    source, output = str(tmp_path / "m.tif"), str(tmp_path / "o.tif")
+    assert cli.main(["--version"]) == 0 and set(json.loads(capsys.readouterr().out)) == {"tessella", "spark"}
+    assert cli.main([source, output, "--type", "qptiff_mif", "--omit_uuid", "-v", "--rename_channels_json", str(tmp_path / "names.json"), "--output_json", str(tmp_path / "r.json"),
+                     "--cache_directory", str(tmp_path / "cache"), "--series", "0", "--compression", "Uncompressed"]) == 0
+    report = json.loads((tmp_path / "r.json").read_text())
+    assert report["ome"]["uuid"] is None and "Nuclei" in report["ome"]["xml_string"] and report["options"]["compression"] == "Uncompressed"
+    assert report["options"]["rename_channels"] == {"DAPI": "Nuclei"} and set(report["versions"]) == {"tessella", "spark", "java"}
+    assert cli.main([source, output, "--type", "component", "--physical_size_x_um", "0.5", "--physical_size_y_um", "0.25"]) == 0
+    text = capsys.readouterr().out
+    assert json.loads(text[text.index("{") :])["input_file"]["type_description"] == "Akoya Component TIFF"
+    with pytest.raises(ValueError):
+        cli.main([source, output, "--type", "component"])
+    for bad in ([source, output], [source, output, "--type", "none"], [source, output, "--type", "qptiff_mif", "--compression", "Zip"]):
+        with pytest.raises(SystemExit):
+            cli.main(bad)
+    (tmp_path / "many.csv").write_text(f"path,output,image_type\n{source},{tmp_path}/a.tif,qptiff_mif\n")
+    assert cli.main(["--manifest", str(tmp_path / "many.csv"), "--output_json", str(tmp_path / "many.json")]) == 0
+    assert len(json.loads((tmp_path / "many.json").read_text())) == 1
+    spark.sparkContext.setLogLevel("ERROR")

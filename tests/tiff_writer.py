@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 
 
-def write_tiff(path, pages, order="<", big=False, tile=None, rows_per_strip=None, deflate=False, predictor=1):
+def write_tiff(path, pages, order="<", big=False, tile=None, rows_per_strip=None, deflate=False, predictor=1, jpeg=False, texts=None):
     """pages: (array of h x w or h x w x samples, description or None)."""
     word, inline = ("Q", 8) if big else ("I", 4)
     out = bytearray(struct.pack(order + "2sHHHQ", b"II" if order == "<" else b"MM", 43, 8, 0, 0) if big
@@ -26,12 +26,17 @@ def write_tiff(path, pages, order="<", big=False, tile=None, rows_per_strip=None
                     part = np.concatenate([part[:, :1], np.diff(part, axis=1)], axis=1)
                 data = part.astype(part.dtype.newbyteorder(order)).tobytes()
                 data = zlib.compress(data) if deflate else data
+                if jpeg:
+                    from tessella.operators.jpeg import encode
+
+                    data = encode(part, 95)
                 offsets.append(len(out))
                 counts.append(len(data))
                 out += data
-        tags = [(256, "I", [w]), (257, "I", [h]), (258, "H", [pixels.dtype.itemsize * 8] * samples), (259, "H", [8 if deflate else 1]),
-                (262, "H", [2 if samples == 3 else 1]), (277, "H", [samples]), (284, "H", [1]), (317, "H", [predictor]),
+        tags = [(256, "I", [w]), (257, "I", [h]), (258, "H", [pixels.dtype.itemsize * 8] * samples), (259, "H", [7 if jpeg else 8 if deflate else 1]),
+                (262, "H", [6 if jpeg and samples == 3 else 2 if samples == 3 else 1]), (277, "H", [samples]), (284, "H", [1]), (317, "H", [predictor]),
                 (339, "H", [{"u": 1, "i": 2, "f": 3}[pixels.dtype.kind]] * samples), (315, "s", b"SENTINEL-ARTIST\0")]
+        tags += [(k, "s", v.encode() + b"\0") for k, v in (texts or {}).items() if k != 315]
         tags += [(322, "I", [tw]), (323, "I", [th]), (324, word, offsets), (325, word, counts)] if tile else [
             (273, word, offsets), (278, "I", [th]), (279, word, counts)]
         if description is not None:
