@@ -37,10 +37,6 @@ def tool_version(text: Column) -> Column:
     return F.nullif(F.regexp_extract(F.trim(text), r"Version = (\S+)", 1), F.lit(""))
 
 
-def is_url(location: Column) -> Column:
-    return location.rlike("^(https://|http:)")
-
-
 def last_wins(names: Column, values: Column) -> Column:
     """A map of paired arrays in which later pairs replace earlier ones, whatever the session's policy."""
     at = F.sequence(F.lit(0), F.size(names) - 1)
@@ -55,10 +51,6 @@ def in_order(value: Column, ordinal: Column) -> Column:
     return F.transform(pairs, lambda x: x["v"])
 
 
-def prefixed_uuid(value: Column) -> Column:
-    return F.concat(F.lit("urn:uuid:"), value)
-
-
 def argument_list(*arguments: Column) -> Column:
     """Arguments that are not null, in order."""
     return F.filter(F.array(*arguments), lambda x: x.isNotNull())

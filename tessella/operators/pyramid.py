@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ TILES = (
 )
 KEY = ["path", "series", "level", "c", "ty", "tx"]
 NAMES = [x.split()[0] for x in TILES.split(",")]
+HELD = 32 << 20  # bytes of finished tiles that a task holds
 LEAST = 256  # the longer side of the last level, at most
 
 
@@ -37,33 +39,61 @@ def squares(blocks: DataFrame, size: int, span: int, method: str, first: int, la
     met = blocks.withColumn("ty", F.explode(F.sequence(F.expr(f"y0 div {edge}"), last_of("y0", "h"))))
     met = met.withColumn("tx", F.explode(F.sequence(F.expr(f"x0 div {edge}"), last_of("x0", "w"))))
 
-    def cut(key, part):
+    def cut(key: tuple, parts: list[tuple]) -> list[tuple]:
         *own, level, c, sy, sx = key
-        one = part.iloc[0]
-        height, width = int(one.height), int(one.width)
-        pixels = np.zeros((min(edge, height - sy * edge), min(edge, width - sx * edge)), one["dtype"])
+        _, _, _, _, height, width, dtype, _ = parts[0]
+        whole = height, width
+        pixels = np.zeros((min(edge, height - sy * edge), min(edge, width - sx * edge)), dtype)
         h, w = pixels.shape
-        for r in part.itertuples(index=False):
-            block = np.frombuffer(r.data, pixels.dtype).reshape(r.h, r.w)
-            y, x = r.y0 - sy * edge, r.x0 - sx * edge
+        for y0, x0, bh, bw, _, _, _, data in parts:
+            block = np.frombuffer(data, pixels.dtype).reshape(bh, bw)
+            y, x = y0 - sy * edge, x0 - sx * edge
             a, b = max(0, -y), max(0, -x)
             src = block[a : h - y, b : w - x]
             pixels[y + a : y + a + src.shape[0], x + b : x + b + src.shape[1]] = src
         rows = []
         for k in range(last + 1):
-            if k and k >= level_count(int(one.height), int(one.width), least):
+            if k and k >= level_count(*whole, least):
                 break
             if k >= first:
                 grid = 1 << (span - k)
                 for i in range(-(-pixels.shape[0] // size)):
                     for j in range(-(-pixels.shape[1] // size)):
                         tile = pixels[i * size : (i + 1) * size, j * size : (j + 1) * size]
-                        rows.append((*own, level + k, c, sy * grid + i, sx * grid + j, *tile.shape, height, width, one["dtype"], tile.tobytes()))
+                        rows.append((*own, level + k, c, sy * grid + i, sx * grid + j, *tile.shape, height, width, dtype, tile.tobytes()))
             if k < last:
                 pixels, height, width = halved(pixels, method), (height + 1) // 2, (width + 1) // 2
-        return pd.DataFrame(rows, columns=NAMES)
-
-    return met.groupBy(*KEY).applyInPandas(cut, TILES)
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of their keys; a square is cut when the next one begins."""
+        now, parts, out, held = None, [], [], 0
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                rows = zip(*(x.to_pylist() for x in batch.slice(lo, 256).columns), strict=True)
+                for row in rows:
+                    key = row[: len(KEY)]
+                    if key != now and parts:
+                        made, parts = cut(now, parts), []
+                        out += made
+                        held += sum(len(x[-1]) for x in made)
+                        if held > HELD or len(out) >= 4096:
+                            yield tile_batch(out)
+                            out, held = [], 0
+                    now = key
+                    parts.append(row[len(KEY) :])
+        if parts:
+            out += cut(now, parts)
+        yield tile_batch(out)
+
+    met = met.select(*KEY, "y0", "x0", "h", "w", "height", "width", "dtype", "data")
+    return met.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(run, TILES)
+
+
+def tile_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    columns = list(zip(*rows, strict=True)) or [()] * len(NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(columns, TILES.split(","), strict=True)], NAMES)
 
 
 def retile(blocks: DataFrame, size: int = 512) -> DataFrame:
@@ -114,6 +144,41 @@ def pyramid(blocks: DataFrame, size: int, method: str, levels: int, write, span:
     return out
 
 
+def blocks_of_arrays(df: DataFrame, path, y0, height, array: str, h: int, w: int, dtype: str) -> DataFrame:
+    """Blocks of h x w pixels, at the left border, from numbers in an array column."""
+    at = {"path": path.cast("string"), "y0": y0.cast("long"), "height": height.cast("long"), "v": F.col(array)}
+    fixed = {"series": F.lit(0), "level": F.lit(0), "c": F.lit(0), "x0": F.lit(0).cast("long"), "h": F.lit(h).cast("long"), "w": F.lit(w).cast("long"),
+             "width": F.lit(w).cast("long"), "dtype": F.lit(dtype)}
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame["data"] = [np.asarray(v, dtype).tobytes() for v in frame["v"]]
+            yield frame[order]
+
+    order = [{"ty": "y0", "tx": "x0"}.get(n, n) for n in NAMES]
+    chosen = df.select(*(c.alias(n) for n, c in {**at, **fixed}.items()))
+    return chosen.mapInPandas(pack, TILES.replace("ty long, tx long", "y0 long, x0 long"))
+
+
+def pixels_of(blocks: DataFrame) -> DataFrame:
+    """(path, series, level, c, y, x, v) of every pixel of blocks, v as a double."""
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 64):
+                part = batch.slice(lo, 64)
+                *_, y0, x0, width, dtype, data = (c.to_pylist() for c in part.columns)
+                v = [np.frombuffer(d, k).astype(np.float64) for d, k in zip(data, dtype, strict=True)]
+                each = np.repeat(np.arange(len(v)), [len(x) for x in v])
+                i = np.concatenate([np.arange(len(x)) for x in v])
+                y, x = np.divmod(i, np.array(width)[each])
+                own = part.select(["path", "series", "level", "c"]).take(pa.array(each))
+                places = [pa.array(np.array(y0)[each] + y), pa.array(np.array(x0)[each] + x), pa.array(np.concatenate(v))]
+                yield pa.RecordBatch.from_arrays([*own.columns, *places], ["path", "series", "level", "c", "y", "x", "v"])
+
+    chosen = blocks.select("path", "series", "level", "c", *(F.col(n).cast("long") for n in ("y0", "x0", "w")), "dtype", "data")
+    return chosen.mapInArrow(unpack, "path string, series int, level int, c int, y long, x long, v double")
+
+
 def levels_of(height, width, least: int = LEAST):
     """``level_count`` as a column."""
     longer = F.greatest(height, width).cast("long")

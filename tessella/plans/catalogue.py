@@ -1,19 +1,24 @@
-"""Queries over the driver's tables, one for each relational operator of the engine.
+"""Queries over the driver's tables, through the operators of the engine.
 
-The tables know nothing of images, so each query runs an operator by analogy: a
-conversation's turns stand for pages, an order's lines for a series, an embedding of
-64 numbers for an 8 x 8 image.
+The tables know nothing of images, so they are taken for some: an embedding of 64
+numbers is an image of 8 x 8 pixels, or a row of one image of all embeddings; the turns
+of a conversation are the pages of an image, with a scanner's description each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import omexml
 from ..functions import scalars as S
+from ..operators import profiles, pyramid
+from ..sinks import ometiff
+from ..sources import tiff
+from ..sources.files import filesystem, shared_folder
+from .convert import checksums, convert_images
 
 RENAMES = {"NATION_0": "Argentina", "NATION_3": "Canada", "NATION_9": "Indonesia", "NATION_99": "unused"}
 
@@ -22,28 +27,222 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    return at.select("vec_id", F.expr("i div 8").alias("y"), (F.col("i") % 8).cast("long").alias("x"), F.col("v").cast("double").alias("v"))
+def small_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as a block of 8 x 8 pixels of an image of its own."""
+    v = t(spark, sf_dir, "embeddings")
+    return pyramid.blocks_of_arrays(v, F.col("vec_id"), F.lit(0), F.lit(8), "embedding", 8, 8, "float64")
+
+
+def one_image(spark: SparkSession, sf_dir: str, dtype: str = "float32") -> DataFrame:
+    """All embeddings as the rows of one image, in blocks of one row."""
+    v = t(spark, sf_dir, "embeddings")
+    return pyramid.blocks_of_arrays(v, F.lit("all"), F.col("vec_id"), F.lit(v.agg(F.max("vec_id")).first()[0] + 1), "embedding", 1, 64, dtype)
+
+
+def pixel_rows(tiles: DataFrame, size: int) -> DataFrame:
+    p = pyramid.pixels_of(pyramid.as_blocks(tiles, size))
+    return p.select(F.col("path").cast("long").alias("vec_id"), "y", "x", F.round("v", 6).alias("v"))
 
 
 def pyramid_area(spark, sf_dir):
-    """The next pyramid level by means of 2 x 2 pixels."""
-    up = pixels(spark, sf_dir).groupBy("vec_id", F.expr("y div 2").alias("y"), F.expr("x div 2").alias("x"))
-    return up.agg(F.round(F.avg("v"), 6).alias("v"))
+    """The next level of small images by means of 2 x 2 pixels."""
+    return pixel_rows(pyramid.reduced(pyramid.retile(small_images(spark, sf_dir), 4), 4, "area"), 4)
 
 
 def pyramid_simple(spark, sf_dir):
-    """The next pyramid level by every second pixel."""
-    kept = pixels(spark, sf_dir).where("y % 2 = 0 and x % 2 = 0")
-    return kept.select("vec_id", F.expr("y div 2").alias("y"), F.expr("x div 2").alias("x"), F.round("v", 6).alias("v"))
+    """The next level of small images by every second pixel."""
+    return pixel_rows(pyramid.reduced(pyramid.retile(small_images(spark, sf_dir), 4), 4, "simple"), 4)
 
 
 def tile_retile(spark, sf_dir):
-    """Pixels regrouped into 4 x 4 tiles, in row order."""
-    p = pixels(spark, sf_dir).withColumns({"ty": F.expr("y div 4"), "tx": F.expr("x div 4"), "i": F.expr("y * 8 + x")})
-    return p.groupBy("vec_id", "ty", "tx").agg(
-        F.array_join(S.in_order(F.col("i").cast("string"), F.col("i")), ",").alias("positions"), F.round(F.sum("v"), 4).alias("total")
+    """Small images cut to tiles of 6 x 6 pixels, smaller ones at the borders."""
+    tiles = pyramid.retile(small_images(spark, sf_dir), 6)
+    own = tiles.select(F.concat_ws("/", "path", "ty", "tx").alias("path"), "series", "level", "c", F.lit(0).alias("y0"), F.lit(0).alias("x0"), "h", "w", "dtype", "data")
+    sums = pyramid.pixels_of(own).groupBy("path").agg(
+        F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"), F.round(F.min_by("v", F.struct("y", "x")), 6).alias("first")
+    )
+    at = F.split("path", "/")
+    return sums.select(at[0].cast("long").alias("vec_id"), at[1].cast("long").alias("ty"), at[2].cast("long").alias("tx"), "n", "total", "first")
+
+
+def pyramid_levels(spark, sf_dir):
+    """All levels of one image of all embeddings, as far as it has levels."""
+    blocks = one_image(spark, sf_dir)
+    n = t(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+    folder = shared_folder(spark)
+    steps = iter(range(99))
+
+    def write(df: DataFrame) -> DataFrame:
+        at = f"{folder}/step-{next(steps)}"
+        df.write.parquet(at)
+        return spark.read.parquet(at)
+
+    tiles = pyramid.pyramid(blocks, 16, "simple", pyramid.level_count(n, 64), write)
+    return pyramid.pixels_of(pyramid.as_blocks(tiles, 16)).select("level", "y", "x", F.round("v", 6).alias("v"))
+
+
+def written_image(spark, sf_dir, compression: str, dtype: str = "float32") -> str:
+    """The path of a pyramidal OME-TIFF of all embeddings, two levels where there are more than 256 rows."""
+    folder = shared_folder(spark)
+    base = pyramid.retile(one_image(spark, sf_dir, dtype), 32)
+    tiles = base.unionByName(pyramid.reduced(base.where("height > 256"), 32)).where("level < 2")
+    index = ometiff.write_segments(tiles, f"{folder}/segments", compression, 32)
+    index.write.parquet(f"{folder}/index")
+    own = spark.createDataFrame([("all", 0, "<OME/>", f"{folder}/all.tif")], "path string, series int, xml string, output string")
+    return ometiff.write_images(spark.read.parquet(f"{folder}/index"), own, compression, 32).first()["output"]
+
+
+def tiff_pixels_lzw(spark, sf_dir):
+    """Pixels of an image that was written with LZW and read by its pages' blocks."""
+    path = written_image(spark, sf_dir, "LZW")
+    pages = tiff.read_pages(spark.createDataFrame([(path,)], "path string")).where("level = 0")
+    return pyramid.pixels_of(tiff.read_blocks(pages)).select("y", "x", F.round("v", 6).alias("v"))
+
+
+def tiff_pixels_of_level(spark, sf_dir):
+    """Pixels of the reduced level, by the pixel source's pushed filter."""
+    path = written_image(spark, sf_dir, "Deflate")
+    spark.dataSource.register(tiff.TiffBlocks)
+    blocks = spark.read.format("tiff_blocks").load(path).where("level = 1")
+    return pyramid.pixels_of(blocks).select("y", "x", F.round("v", 6).alias("v"))
+
+
+def tiff_pixels_jpeg(spark, sf_dir):
+    """Bytes written as JPEG tiles and read again, to within 24 of what they were, at ninety percent quality."""
+    v = t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.least(F.greatest(F.floor(128 + 20 * x), F.lit(0)), F.lit(255))).alias("embedding"))
+    n = v.agg(F.max("vec_id")).first()[0] + 1
+    tiles = pyramid.retile(pyramid.blocks_of_arrays(v, F.lit("all"), F.col("vec_id"), F.lit(n), "embedding", 1, 64, "uint8"), 32)
+    folder = shared_folder(spark)
+    ometiff.write_segments(tiles, f"{folder}/segments", "JPEG", 32).write.parquet(f"{folder}/index")
+    own = spark.createDataFrame([("all", 0, "<OME/>", f"{folder}/all.tif")], "path string, series int, xml string, output string")
+    path = ometiff.write_images(spark.read.parquet(f"{folder}/index"), own, "JPEG", 32).first()["output"]
+    read = pyramid.pixels_of(tiff.read_blocks(tiff.read_pages(spark.createDataFrame([(path,)], "path string"))))
+    was = v.select(F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "was"))
+    both = read.join(was.select("y", F.col("x").cast("long").alias("x"), "was"), ["y", "x"])
+    return both.groupBy("y").agg(F.count("*").alias("n"), F.max((F.abs(F.col("v") - F.col("was")) > 24).cast("int")).alias("off"))
+
+
+def tiff_page_structure(spark, sf_dir):
+    """One row a page and level of a written image, without pixels, by the page source."""
+    path = written_image(spark, sf_dir, "Uncompressed", "float64")
+    spark.dataSource.register(tiff.TiffPages)
+    p = spark.read.format("tiff_pages").load(path)
+    return p.select("series", "level", "page", "height", "width", "dtype", "samples", F.size("offsets").alias("n_blocks"), "compression", "big_endian",
+                    F.col("tags")["ImageDescription"].alias("description"))
+
+
+SCANNED = (
+    "<PerkinElmer-QPI-ImageDescription><Name>%s</Name><Operator>SENTINEL</Operator><ScanProfile><root><ScanResolution><PixelSizeMicrons>0.%d0"
+    "</PixelSizeMicrons></ScanResolution></root></ScanProfile></PerkinElmer-QPI-ImageDescription>"
+)
+
+
+def scanned_pages(spark, sf_dir) -> DataFrame:
+    """The turns of every conversation as pages of an image, in the shape of ``read_pages``."""
+    c = t(spark, sf_dir, "conversations")
+    xml = F.format_string(SCANNED, F.concat_ws("-", "role", "turn"), F.col("conv_id"))
+    size = lambda n: (F.lit(n) + F.col("turn")).cast("long")
+    return c.select(
+        F.col("conv_id").cast("string").alias("path"), F.lit(0).alias("series"), F.lit(0).alias("level"), F.col("turn").cast("int").alias("page"),
+        F.when(F.col("conv_id") % 3 == 0, "float32").when(F.col("conv_id") % 3 == 1, "uint16").otherwise("float64").alias("dtype"),
+        F.array(F.lit(1).cast("long"), F.lit(1).cast("long"), size(300), size(400)).alias("shaped"),
+        F.create_map(F.lit("ImageDescription"), xml, F.lit("Artist"), F.lit("SENTINEL")).alias("tags"),
+    )
+
+
+def fields(features: DataFrame) -> DataFrame:
+    f = features.select("*", F.array_join(F.transform("channels", lambda c: F.concat_ws(":", c["ID"], c["Name"])), "|").alias("listed"))
+    return f.select(
+        F.col("path").cast("long").alias("conv_id"), "name", "input_type", "size_c", "plane_count", "size_t", "size_z", "size_x", "size_y", "type",
+        "physical_size_x", "physical_size_y", "big_endian", "dimension_order", "significant_bits", "listed",
+    )
+
+
+def features_page_dialect(spark, sf_dir):
+    """Features of images whose pages are described one by one, some channels renamed."""
+    return fields(profiles.image_features(scanned_pages(spark, sf_dir), profiles.PROFILES["qptiff_mif"], rename={"user-0": "First", "none-1": "unused"}))
+
+
+def features_constant_channels(spark, sf_dir):
+    return fields(profiles.image_features(scanned_pages(spark, sf_dir), profiles.PROFILES["qptiff_he"]))
+
+
+def features_with_given_sizes(spark, sf_dir):
+    return fields(profiles.image_features(scanned_pages(spark, sf_dir), profiles.PROFILES["component"], physical_size_x="0.50", physical_size_y="0.25"))
+
+
+def features_embedded_document(spark, sf_dir):
+    """Features of images whose first page holds an OME document."""
+    xml = F.format_string(
+        '<OME xmlns="%s"><Image><Pixels PhysicalSizeX="0.%d" PhysicalSizeY="0.5" SizeX="%d"><Channel ID="C:%d" Name="n%d"/><Channel ID="D" Name="m" Color="7"/></Pixels></Image></OME>',
+        F.lit(omexml.OME_NAMESPACE), *(F.col("path").cast("long") for _ in range(4)),
+    )
+    pages = scanned_pages(spark, sf_dir).withColumn("tags", F.create_map(F.lit("ImageDescription"), F.when(F.col("page") == 0, xml).otherwise("no XML")))
+    return fields(profiles.image_features(pages, profiles.PROFILES["halo_mif"]))
+
+
+def ome_document_text(spark, sf_dir):
+    """Whole documents, without identifiers of the pages they come from."""
+    f = profiles.image_features(scanned_pages(spark, sf_dir), profiles.PROFILES["component"], physical_size_x="0.50", physical_size_y="0.25")
+    h, w = F.col("size_y").cast("long"), F.col("size_x").cast("long")
+    xml = omexml.ome_document(uuid=F.concat(F.lit("u-"), F.col("path")), level_sizes=pyramid.level_sizes(h, w))
+    return f.select(F.col("path").cast("long").alias("conv_id"), xml.alias("xml"), xml.contains("SENTINEL").alias("leaks"))
+
+
+SMALL_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="part"><xs:complexType>
+<xs:attribute name="size" type="xs:positiveInteger" use="required"/></xs:complexType></xs:element></xs:schema>"""
+
+
+def schema_predicate(spark, sf_dir):
+    """Whether documents satisfy a schema; every third lacks what it asks for."""
+    folder = shared_folder(spark)
+    files, at = filesystem(folder)
+    files.create_dir(at, recursive=True)
+    with files.open_output_stream(f"{at}/part.xsd") as out:
+        out.write(SMALL_XSD.encode())
+    spark.sparkContext.addFile(f"{folder}/part.xsd")
+    size = F.when(F.col("p_partkey") % 3 > 0, F.col("p_size"))
+    return t(spark, sf_dir, "part").select("p_partkey", omexml.schema_valid(omexml.element("part", {"size": size}), f"{at}/part.xsd").alias("valid"))
+
+
+def file_checksums(spark, sf_dir):
+    """Digests and sizes of files, one for each nation, that hold its name."""
+    folder = shared_folder(spark)
+
+    def put(frames):
+        files, at = filesystem(folder)
+        files.create_dir(at, recursive=True)
+        for frame in frames:
+            for key, name in zip(frame["n_nationkey"], frame["n_name"], strict=True):
+                with files.open_output_stream(f"{at}/{key}.txt", compression=None) as out:
+                    out.write(name.encode())
+            yield frame[["path"]]
+
+    named = t(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.concat(F.lit(folder + "/"), F.col("n_nationkey").cast("string"), F.lit(".txt")).alias("path"))
+    named.mapInPandas(put, "path string").write.parquet(f"{folder}/paths")
+    sums = checksums(spark.read.parquet(f"{folder}/paths"))
+    return sums.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("int").alias("n_nationkey"), "md5_checksum", "size_bytes")
+
+
+def conversion_report(spark, sf_dir):
+    """Reports of one job that converts an image for each region, named after it."""
+    folder = shared_folder(spark)
+    r = t(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    pixels = r.withColumn("v", F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: (i + F.col("r_regionkey")) % 251))
+    path = F.concat(F.lit(folder + "/"), F.col("r_regionkey").cast("string"), F.lit(".tif"))
+    blocks = pyramid.blocks_of_arrays(pixels, path, F.lit(0), F.lit(1), "v", 1, 300, "uint8")
+    ometiff.write_segments(pyramid.retile(blocks, 64), f"{folder}/segments", "LZW", 64).write.parquet(f"{folder}/index")
+    xml = F.format_string(SCANNED, F.col("r_name"), F.col("r_regionkey"))
+    own = r.select(path.alias("path"), F.lit(0).alias("series"), xml.alias("xml"), path.alias("output"))
+    ometiff.write_images(spark.read.parquet(f"{folder}/index"), own, "LZW", 64).write.parquet(f"{folder}/written")
+    manifest = spark.read.parquet(f"{folder}/written").select("path", F.concat("path", F.lit(".ome.tif")).alias("output"), F.lit("qptiff_mif").alias("image_type"))
+    rows = convert_images(manifest, rename={"ASIA": "East"}, compression="LZW", tile_size=64, display_uuid=False)
+    pixels = omexml.parsed(F.col("ome.xml_string"), omexml.EMBEDDED_XML)["Image"]["Pixels"]
+    return rows.select(
+        F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("int").alias("r_regionkey"), F.get(pixels["Channel"], 0)["_Name"].alias("channel"),
+        pixels["_SizeX"].alias("size_x"), pixels["_PhysicalSizeX"].alias("physical_size_x"), F.col("input_file.type_description").alias("input_type"),
+        F.col("output_file.type_description").alias("output_type"), F.col("options.compression").alias("compression"), F.col("ome.uuid").alias("uuid"),
+        (F.col("conversion_stats.compression_ratio") > 0).alias("has_ratio"), F.length("output_file.md5_checksum").alias("digits"),
     )
 
 
@@ -114,14 +313,6 @@ def channels_ordered_collect(spark, sf_dir):
     return grouped.agg(F.array_join(S.in_order(F.col("role"), F.col("turn")), "|").alias("channels"))
 
 
-def tag_map_last_wins(spark, sf_dir):
-    return t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("value"))
-
-
-def first_page_select(spark, sf_dir):
-    return t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_text"))
-
-
 def page_ordinals(spark, sf_dir):
     """Pages paired with their ordinals, as enumerate does."""
     listed = t(spark, sf_dir, "conversations").groupBy("conv_id").agg(S.in_order(F.col("role"), F.col("turn")).alias("roles"))
@@ -132,39 +323,12 @@ def series_page_count(spark, sf_dir):
     return t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("size_c"), F.count("*").alias("plane_count"))
 
 
-def series_select(spark, sf_dir):
-    return t(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_quantity")
-
-
-def dtype_map(spark, sf_dir):
-    return t(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_type") == "ECONOMY", "float").otherwise(F.col("p_type")).alias("type"))
-
-
-def type_dispatch(spark, sf_dir):
-    """Image type to label by a conditional chain, unknown ones to null."""
-    kind = F.col("event_type")
-    label: Column = F.lit(None).cast("string")
-    for k, v in (("click", "first"), ("view", "second"), ("purchase", "third")):
-        label = F.when(kind == k, v).otherwise(label)
-    return t(spark, sf_dir, "events").select("event_id", label.alias("label"))
-
-
 def compression_ratio(spark, sf_dir):
     lines = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("s"))
     both = t(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     return both.select("o_orderkey", F.round(S.size_ratio(F.col("s"), F.col("o_totalprice")), 6).alias("ratio"))
 
 
-def deidentify_projection(spark, sf_dir):
-    return t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-
-
-def features_annotation_merge(spark, sf_dir):
-    """Features joined one to one with what the other store holds, kept without a match."""
-    notes = t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("note"))
-    return t(spark, sf_dir, "documents").select("doc_id", "lang").join(notes, "doc_id", "left")
-
-
 def argument_filter(spark, sf_dir):
     """A command's arguments without those that are null."""
     flag = F.when(F.col("o_orderpriority").startswith("1"), "-p")
@@ -172,26 +336,6 @@ def argument_filter(spark, sf_dir):
     return t(spark, sf_dir, "orders").select("o_orderkey", F.array_join(made, " ").alias("command"))
 
 
-def shape_positions(spark, sf_dir):
-    """Positions of an array as sizes, null past its end."""
-    e = F.col("embedding")
-    return t(spark, sf_dir, "embeddings").select(
-        "vec_id", F.size(e).cast("long").alias("n"), F.round(F.get(e, 3).cast("double"), 6).alias("size_x"), F.get(e, 64).cast("double").alias("none")
-    )
-
-
-def conversion_report(spark, sf_dir):
-    """The report's nested record read back from its own JSON."""
-    d = t(spark, sf_dir, "documents").select("doc_id", F.struct(
-        F.struct(F.col("source").alias("path"), F.md5(F.col("text")).alias("md5_checksum"), F.col("n_chars").alias("size_bytes")).alias("input_file"),
-        F.struct(F.lit("LZW").alias("compression"), F.lit(None).cast("string").alias("uuid")).alias("options"),
-    ).alias("r"))
-    text = F.to_json("r", {"ignoreNullFields": "false"})
-    back = F.from_json(text, d.schema["r"].dataType.simpleString())
-    return d.select("doc_id", back["input_file"]["path"].alias("path"), back["input_file"]["md5_checksum"].alias("md5_checksum"),
-                    back["input_file"]["size_bytes"].alias("size_bytes"), back["options"]["compression"].alias("compression"))
-
-
 def ome_xml_roundtrip(spark, sf_dir):
     """Documents rendered from parts and parsed again."""
     p = t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
@@ -203,18 +347,100 @@ def ome_xml_roundtrip(spark, sf_dir):
     return q.select("p_partkey", F.col("x._SizeX").alias("size_x"), F.get("x.Channel", 0)["_Name"].alias("name"))
 
 
+def tag_map_last_wins(spark, sf_dir):
+    """Of a conversation's turns by role, the last of each role."""
+    c = t(spark, sf_dir, "conversations").groupBy("conv_id")
+    c = c.agg(S.in_order(F.col("role"), F.col("turn")).alias("names"), S.in_order(F.col("turn").cast("string"), F.col("turn")).alias("turns"))
+    tags = S.last_wins(F.col("names"), F.col("turns"))
+    return c.select("conv_id", tags["user"].alias("user"), tags["assistant"].alias("assistant"), F.size(F.map_keys(tags)).alias("n_roles"))
+
+
+def dtype_map(spark, sf_dir):
+    """Pixel types under the names of the document."""
+    dtype = F.element_at(F.array(*map(F.lit, ("uint8", "uint16", "float32", "float64"))), F.pmod(F.col("p_partkey"), F.lit(4)).cast("int") + 1)
+    return t(spark, sf_dir, "part").select("p_partkey", profiles.ome_type(dtype).alias("type"))
+
+
+def type_dispatch(spark, sf_dir):
+    """Labels of image types, of unknown ones null."""
+    kind = F.element_at(F.array(*map(F.lit, ("qptiff_mif", "qptiff_he", "halo_mif", "component", "other"))), F.pmod(F.col("event_id"), F.lit(5)).cast("int") + 1)
+    return t(spark, sf_dir, "events").select("event_id", profiles.type_label(kind).alias("label"))
+
+
+def features_annotation_merge(spark, sf_dir):
+    """Features joined one to one with the first annotation of a document, kept without one."""
+    l = t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))  # noqa: E741
+    note = lambda name: F.format_string('<MapAnnotation ID="%s" Namespace="n"><Value><M K="k">%d</M></Value></MapAnnotation>', F.lit(name), F.col(name))
+    notes = F.when(F.col("doc_id") % 2 == 0, F.concat(note("quality"), note("toxic"))).otherwise("")
+    xml = F.concat(F.lit("<OME><StructuredAnnotations>"), notes, F.lit("</StructuredAnnotations></OME>"))
+    found = l.select("doc_id", omexml.first_annotation(xml).alias("a"))
+    found = found.select("doc_id", F.col("a._ID").alias("note_id"), F.get("a.Value.M", 0)["_VALUE"].alias("note"))
+    return t(spark, sf_dir, "documents").select("doc_id", "lang").join(found, "doc_id", "left")
+
+
 PIXELS = """
 p AS (SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, CAST(embedding[i] AS DOUBLE) AS v
       FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))"""
 
+ROWS = """
+p AS (SELECT vec_id AS y, i - 1 AS x, CAST(embedding[i] AS DOUBLE) AS v
+      FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))"""
+
+_TYPE = "['float', 'uint16', 'double'][conv_id % 3 + 1]"
+
+
+def _features(name: str, kind: str, size_c: str, px: str, py: str, listed: str, size_x: str = "'400'") -> str:
+    return f"""SELECT conv_id, {name} AS name, {kind} AS input_type, CAST({size_c} AS BIGINT) AS size_c, CAST({size_c} AS BIGINT) AS plane_count,
+        CAST(1 AS BIGINT) AS size_t, CAST(1 AS BIGINT) AS size_z, {size_x} AS size_x, '300' AS size_y, {_TYPE} AS type, {px} AS physical_size_x, {py} AS physical_size_y,
+        'true' AS big_endian, 'XYZCT' AS dimension_order, 8 AS significant_bits, {listed} AS listed FROM conversations GROUP BY conv_id"""
+
+
 _RENAME = "CASE n_name " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in RENAMES.items()) + " ELSE n_name END"
 
 SQL = {
     "pyramid_area": f"WITH {PIXELS} SELECT vec_id, y // 2 AS y, x // 2 AS x, round(avg(v), 6) AS v FROM p GROUP BY ALL",
     "pyramid_simple": f"WITH {PIXELS} SELECT vec_id, y // 2 AS y, x // 2 AS x, round(v, 6) AS v FROM p WHERE y % 2 = 0 AND x % 2 = 0",
-    "tile_retile": f"""WITH {PIXELS} SELECT vec_id, y // 4 AS ty, x // 4 AS tx,
-        string_agg(CAST(y * 8 + x AS VARCHAR), ',' ORDER BY y * 8 + x) AS positions, round(sum(v), 4) AS total
-        FROM p GROUP BY vec_id, y // 4, x // 4""",
+    "tile_retile": f"""WITH {PIXELS} SELECT vec_id, y // 6 AS ty, x // 6 AS tx, count(*) AS n, round(sum(v), 4) AS total,
+        round(arg_min(v, y * 8 + x), 6) AS first FROM p GROUP BY vec_id, y // 6, x // 6""",
+    "pyramid_levels": f"""WITH {ROWS}, l AS (SELECT unnest(range(0, 30)) AS level), n AS (SELECT greatest(max(y) + 1, 64) AS n FROM p)
+        SELECT CAST(level AS INTEGER) AS level, y // (1 << level) AS y, x // (1 << level) AS x, round(v, 6) AS v FROM p, l, n
+        WHERE (level = 0 OR ceil(n / pow(2, level - 1)) > 256) AND y % (1 << level) = 0 AND x % (1 << level) = 0""",
+    "tiff_pixels_lzw": f"WITH {ROWS} SELECT y, x, round(v, 6) AS v FROM p",
+    "tiff_pixels_of_level": f"""WITH {ROWS} SELECT y // 2 AS y, x // 2 AS x, round(v, 6) AS v FROM p
+        WHERE y % 2 = 0 AND x % 2 = 0 AND (SELECT max(y) + 1 FROM p) > 256""",
+    "tiff_pixels_jpeg": f"WITH {ROWS} SELECT y, count(*) AS n, 0 AS off FROM p GROUP BY y",
+    "tiff_page_structure": f"""WITH {ROWS}, n AS (SELECT max(y) + 1 AS n FROM p), l AS (
+        SELECT 0 AS level, n AS height, 64 AS width FROM n UNION ALL SELECT 1, (n + 1) // 2, 32 FROM n WHERE n > 256)
+        SELECT 0 AS series, level, 0 AS page, height, CAST(width AS BIGINT) AS width, 'float64' AS dtype, 1 AS samples,
+        CAST(ceil(height / 32) * ceil(width / 32) AS INTEGER) AS n_blocks, 1 AS compression, true AS big_endian,
+        CASE WHEN level = 0 THEN '<OME/>' END AS description FROM l""",
+    "features_page_dialect": _features("'WholeSlideMIF'", "'Akoya MIF QPTIFF'", "count(*)", "'0.' || conv_id || '0'", "'0.' || conv_id || '0'",
+        "string_agg('Channel:0:' || turn || ':' || CASE WHEN role = 'user' AND turn = 0 THEN 'First' ELSE role || '-' || turn END, '|' ORDER BY turn)"),
+    "features_constant_channels": _features("'WholeSlideHE'", "'Akoya HE QPTIFF'", "3", "'0.' || conv_id || '0'", "'0.' || conv_id || '0'",
+        "'Channel:0:0:RED|Channel:0:1:GREEN|Channel:0:2:BLUE'"),
+    "features_with_given_sizes": _features("'Component'", "'Akoya Component TIFF'", "count(*)", "'0.50'", "'0.25'",
+        "string_agg('Channel:0:' || turn || ':' || role || '-' || turn, '|' ORDER BY turn)"),
+    "features_embedded_document": _features("'WholeSlideMIF'", "'Halo MIF TIFF'", "count(*)", "'0.' || conv_id", "'0.5'",
+        "'C:' || conv_id || ':n' || conv_id || '|D:m'", "CAST(conv_id AS VARCHAR)"),
+    "ome_document_text": f"""SELECT conv_id, '<?xml version=''1.0'' encoding=''utf-8''?>' || chr(10) ||
+        '<OME xmlns="{omexml.OME_NAMESPACE}" xmlns:xsi="{omexml.XSI}" xsi:schemaLocation="{omexml.OME_NAMESPACE} {omexml.OME_SCHEMA}" UUID="urn:uuid:u-'
+        || conv_id || '"><Image ID="Image:0" Name="Component"><Pixels BigEndian="true" DimensionOrder="XYZCT" ID="Pixels:0" Interleaved="false" PhysicalSizeX="0.50"'
+        || ' PhysicalSizeXUnit="µm" PhysicalSizeY="0.25" PhysicalSizeYUnit="µm" SignificantBits="8" SizeC="' || count(*) || '" SizeT="1" SizeX="400" SizeY="300" SizeZ="1" Type="'
+        || {_TYPE} || '">' || string_agg('<Channel ID="Channel:0:' || turn || '" Name="' || role || '-' || turn || '" SamplesPerPixel="1"><LightPath/></Channel>', '' ORDER BY turn)
+        || '<TiffData IFD="0" PlaneCount="' || count(*) || '"/></Pixels></Image><StructuredAnnotations><MapAnnotation ID="Annotation:Resolution:0"'
+        || ' Namespace="{omexml.PYRAMID_NAMESPACE}"><Value><M K="1">200 150</M></Value></MapAnnotation></StructuredAnnotations></OME>' AS xml, false AS leaks
+        FROM conversations GROUP BY conv_id""",
+    "schema_predicate": "SELECT p_partkey, p_partkey % 3 > 0 AS valid FROM part",
+    "file_checksums": "SELECT n_nationkey, md5(n_name) AS md5_checksum, CAST(strlen(n_name) AS BIGINT) AS size_bytes FROM nation",
+    "conversion_report": """SELECT r_regionkey, CASE r_name WHEN 'ASIA' THEN 'East' ELSE r_name END AS channel, '300' AS size_x, '0.' || r_regionkey || '0' AS physical_size_x,
+        'Akoya MIF QPTIFF' AS input_type, 'OME-TIFF' AS output_type, 'LZW' AS compression, CAST(NULL AS VARCHAR) AS uuid, true AS has_ratio, 32 AS digits FROM region""",
+    "tag_map_last_wins": """SELECT conv_id, CAST(max(turn) FILTER (role = 'user') AS VARCHAR) AS "user", CAST(max(turn) FILTER (role = 'assistant') AS VARCHAR) AS assistant,
+        CAST(count(DISTINCT role) AS INTEGER) AS n_roles FROM conversations GROUP BY conv_id""",
+    "dtype_map": "SELECT p_partkey, ['uint8', 'uint16', 'float', 'double'][p_partkey % 4 + 1] AS type FROM part",
+    "type_dispatch": """SELECT event_id, ['Akoya MIF QPTIFF', 'Akoya HE QPTIFF', 'Halo MIF TIFF', 'Akoya Component TIFF', NULL][event_id % 5 + 1] AS label FROM events""",
+    "features_annotation_merge": """SELECT d.doc_id, lang, CASE WHEN d.doc_id % 2 = 0 AND q IS NOT NULL THEN 'quality' END AS note_id,
+        CASE WHEN d.doc_id % 2 = 0 THEN CAST(q AS VARCHAR) END AS note FROM documents d
+        LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) n ON d.doc_id = n.doc_id""",
     "md5_checksum": "SELECT doc_id, md5(text) AS md5_checksum, strlen(text) AS size_bytes FROM documents",
     "duplicate_file_groups": "SELECT md5(text) AS md5_checksum, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "channel_rename": f"SELECT n_nationkey, {_RENAME} AS n_name FROM nation",
@@ -230,21 +456,11 @@ SQL = {
         conv_id, turn, role) AS element FROM conversations""",
     "xml_escape": """SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages""",
     "channels_ordered_collect": "SELECT conv_id, string_agg(role, '|' ORDER BY turn) AS channels FROM conversations GROUP BY conv_id",
-    "tag_map_last_wins": "SELECT conv_id, arg_max(role, turn) AS value FROM conversations GROUP BY conv_id",
-    "first_page_select": "SELECT conv_id, arg_min(text, turn) AS first_text FROM conversations GROUP BY conv_id",
     "page_ordinals": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role FROM conversations",
     "series_page_count": "SELECT l_orderkey, count(*) AS size_c, count(*) AS plane_count FROM lineitem GROUP BY l_orderkey",
-    "series_select": "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_linenumber = 1",
-    "dtype_map": "SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 'float' ELSE p_type END AS type FROM part",
-    "type_dispatch": "SELECT event_id, CASE event_type WHEN 'click' THEN 'first' WHEN 'view' THEN 'second' WHEN 'purchase' THEN 'third' END AS label FROM events",
     "compression_ratio": """SELECT o_orderkey, round(s / nullif(o_totalprice, 0), 6) AS ratio FROM orders
         JOIN (SELECT l_orderkey, sum(l_extendedprice) AS s FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""",
-    "deidentify_projection": "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer",
-    "features_annotation_merge": """SELECT d.doc_id, lang, note FROM documents d
-        LEFT JOIN (SELECT doc_id, max(quality) AS note FROM labels GROUP BY 1) n ON d.doc_id = n.doc_id""",
     "argument_filter": "SELECT o_orderkey, concat_ws(' ', 'run', CASE WHEN o_orderpriority LIKE '1%' THEN '-p' END, o_orderstatus) AS command FROM orders",
-    "shape_positions": "SELECT vec_id, len(embedding) AS n, round(CAST(embedding[4] AS DOUBLE), 6) AS size_x, CAST(embedding[65] AS DOUBLE) AS none FROM embeddings",
-    "conversion_report": "SELECT doc_id, source AS path, md5(text) AS md5_checksum, n_chars AS size_bytes, 'LZW' AS compression FROM documents",
     "ome_xml_roundtrip": "SELECT p_partkey, CAST(p_size AS VARCHAR) AS size_x, p_name AS name FROM part",
 }
 

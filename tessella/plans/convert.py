@@ -15,8 +15,9 @@ import os
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,22 +72,26 @@ def checked_manifest(manifest: DataFrame) -> DataFrame:
         if name not in manifest.columns:
             manifest = manifest.withColumn(name, F.lit(0 if name == "series" else None).cast(kind))
     m = manifest.select(*(F.col(n).cast(k).alias(n) for n, k in MANIFEST.items()))
-    kinds = [r.image_type for r in m.select("image_type").distinct().limit(len(PROFILES) + 1).collect()]
-    if unknown := sorted(str(k) for k in kinds if k not in PROFILES):
-        raise ValueError(f"image type is one of {', '.join(PROFILES)}, not {', '.join(unknown)}")
-    needy = [k for k, p in PROFILES.items() if p.needs_sizes]
+    known, needy = list(PROFILES), [k for k, p in PROFILES.items() if p.needs_sizes]
     sizes = [F.col(c) for c in ("physical_size_x", "physical_size_y")]
     lacks = F.col("image_type").isin(needy) & (sizes[0].isNull() | sizes[1].isNull())
-    wrong = F.coalesce(~(sizes[0].try_cast("double") > 0), sizes[0].isNotNull()) | F.coalesce(~(sizes[1].try_cast("double") > 0), sizes[1].isNotNull())
-    if bad := m.where(lacks).first():
-        checked_sizes(PROFILES[bad.image_type], bad.physical_size_x, bad.physical_size_y)
-    if not m.where(wrong).isEmpty():
+    wrong = reduce(or_, (x.isNotNull() & ~F.coalesce(x.try_cast("double") > 0, F.lit(False)) for x in sizes))
+    odd = F.when(~F.coalesce(F.col("image_type").isin(known), F.lit(False)), F.coalesce("image_type", F.lit("null")))
+    a = m.agg(
+        F.min(odd).alias("unknown"), F.min(F.when(lacks, F.col("image_type"))).alias("lacks"), F.max(wrong).alias("wrong"), F.count("*").alias("n"),
+        F.count(F.when(F.col("path").isNotNull() & F.col("output").isNotNull() & F.col("series").isNotNull(), 1)).alias("whole"),
+        F.count_distinct(*KEY).alias("keys"), F.count_distinct("output").alias("outputs"),
+    ).first()
+    if a.unknown is not None:
+        raise ValueError(f"image type is one of {', '.join(known)}, not {a.unknown}")
+    if a.lacks is not None:
+        raise ValueError(f"{a.lacks} images need physical_size_x and physical_size_y")
+    if a.wrong:
         raise ValueError("physical sizes are positive numbers")
-    if not m.where("path is null or output is null or series is null").isEmpty():
-        raise ValueError("path, output and series are not null")
-    for columns in (KEY, ["output"]):
-        if not m.groupBy(*columns).count().where("count > 1").isEmpty():
-            raise ValueError(f"{' and '.join(columns)} stand twice in the manifest")
+    if not a.n or a.whole < a.n:
+        raise ValueError("a manifest has rows, whose path, output and series are not null")
+    if min(a.keys, a.outputs) < a.n:
+        raise ValueError("an image or an output stands twice in the manifest")
     if not m.select(F.col("output").alias("path")).join(m.select("path"), "path", "left_semi").isEmpty():
         raise ValueError("an output would replace an input")
     return m
@@ -118,8 +123,6 @@ class TileStore:
         for key in sorted(r.image_type for r in m.select("image_type").distinct().collect()):  # as many as PROFILES at most
             f = features_of(top.where(F.col("image_type") == key), PROFILES[key], rename)
             documents = f if documents is None else documents.unionByName(f)
-        if documents is None:
-            raise ValueError("the manifest is empty")
         uuid = F.uuid() if display_uuid else F.lit(None).cast("string")
         documents = store.write(documents.join(shapes, KEY).withColumn("uuid", uuid), "features")  # one uuid, once and for all
         sizes = pyramid.level_sizes(F.col("height"), F.col("width"))
@@ -170,15 +173,8 @@ class TileStore:
         name = f"index-{compression}-{time.time_ns()}"
         index = self.write(ometiff.write_segments(self.tiles(), f"{self.folder}/segments-{name}", compression, size, rgb, quality), name)
 
-        def put(key, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-            output = own["output"].iloc[0]
-            ometiff.assemble(list(rows.itertuples(index=False)), output, own["xml"].iloc[0], compression, size)
-            return pd.DataFrame([(*key, output)], columns=[*KEY, "output"])
-
         own = documents.select(*KEY, "xml").join(self.read("manifest").select(*KEY, "output"), KEY)
-        tasks = max(1, min(20_000, own.count()))
-        index, own = (df.repartition(tasks, *KEY) for df in (index, own))
-        made = index.groupBy(*KEY).cogroup(own.groupBy(*KEY)).applyInPandas(put, "path string, series int, output string")
+        made = ometiff.write_images(index, own, compression, size)
         return self.write(made, f"outputs-{name}")
 
     def remove(self) -> None:
@@ -210,8 +206,10 @@ def convert_images(
         if log.isEnabledFor(logging.INFO):
             log.info("tiles:\n%s", store.tree())
             log.info("document:\n%s", omexml.pretty(store.documents().first()["xml"]))
-        for name in sorted(set(rename or {}) - {n for r in store.documents().select(F.explode("found_names").alias("n")).where(F.col("n").isin(list(rename or {}))).distinct().collect() for n in r}):
-            log.warning("no channel has the name %s", name)
+        if rename:
+            names = store.documents().select(F.explode("found_names").alias("n")).where(F.col("n").isin(list(rename))).distinct()
+            for name in sorted(set(rename) - {r.n for r in names.collect()}):
+                log.warning("no channel has the name %s", name)
         valid = store.write(validated(store.documents(), schema_location, folder, strict), "validated")
         outputs = store.write_files(compression, quality)
         files = outputs.select("path").unionAll(outputs.select(F.col("output").alias("path")))

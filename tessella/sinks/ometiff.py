@@ -191,6 +191,22 @@ def assemble(index: list, output: str, xml: str, compression: str, size: int) ->
             files.delete_file(temporary)
 
 
+def write_images(index: DataFrame, documents: DataFrame, compression: str, size: int, most: int = 20_000) -> DataFrame:
+    """Puts every image together, a task each: ``index`` from ``write_segments``, and one
+    (path, series, xml, output) row an image. Returns path, series, output."""
+    key = ["path", "series"]
+
+    def put(at, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        output = own["output"].iloc[0]
+        assemble(list(rows.itertuples(index=False)), output, own["xml"].iloc[0], compression, size)
+        return pd.DataFrame([(*at, output)], columns=[*key, "output"])
+
+    # The number of tasks is fixed, as adaptive execution would join those of short index rows.
+    tasks = max(1, min(most, documents.count()))
+    index, documents = (df.repartition(tasks, *key) for df in (index, documents))
+    return index.groupBy(*key).cogroup(documents.groupBy(*key)).applyInPandas(put, "path string, series int, output string")
+
+
 def copied_runs(index: list) -> tuple[list, list]:
     """(segment, from, to) runs of neighbouring tiles, and the rows with their places in the copy."""
     runs, placed, total = [], [], 0

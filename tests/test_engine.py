@@ -161,11 +161,11 @@ def test_scalars(spark):
     r = spark.range(1).select(
         S.run_time(F.lit(59.996)).alias("a"), S.run_time(F.lit(360000.5)).alias("b"),
         S.last_wins(F.array(F.lit("k"), F.lit("m"), F.lit("k")), F.array(F.lit("1"), F.lit("2"), F.lit("3"))).alias("m"),
-        S.size_ratio(F.lit(1), F.lit(0)).alias("z"), S.is_url(F.lit("https://a")).alias("u"), S.tool_version(F.lit("none")).alias("v"),
+        S.size_ratio(F.lit(1), F.lit(0)).alias("z"), S.tool_version(F.lit("none")).alias("v"),
         S.renamed(F.lit("a"), F.create_map(F.lit("a"), F.lit(None).cast("string"))).alias("n"),
         omexml.first_annotation(F.lit("<OME><StructuredAnnotations/></OME>")).alias("f"),
     ).first()
-    assert (r.a, r.b, r.m, r.z, r.u, r.v, r.n, r.f) == ("00:00:60.00", "100:00:00.50", {"m": "2", "k": "3"}, None, True, None, None, None)
+    assert (r.a, r.b, r.m, r.z, r.v, r.n, r.f) == ("00:00:60.00", "100:00:00.50", {"m": "2", "k": "3"}, None, None, None, None)
 
 
 def test_entry_and_catalogue(spark):
@@ -399,3 +399,18 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["--manifest", str(tmp_path / "many.csv"), "--output_json", str(tmp_path / "many.json")]) == 0
     assert len(json.loads((tmp_path / "many.json").read_text())) == 1
     spark.sparkContext.setLogLevel("ERROR")
+
+
+def test_arriving_files_are_converted(spark, tmp_path):
+    from tessella.streaming.watch import arriving_files, convert_arriving
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    folders = {"output_folder": str(tmp_path / "out"), "checkpoint": str(tmp_path / "check"), "reports": str(tmp_path / "reports")}
+    for round_ in range(2):
+        make_mif(str(tmp_path / "in" / f"s{round_}.tif"), ["a"])
+        (tmp_path / "in" / "note.txt").write_text("no image")
+        convert_arriving(arriving_files(spark, str(tmp_path / "in")), "qptiff_mif", cache_directory=str(tmp_path / "cache"), **folders).awaitTermination()
+        assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"s{k}.ome.tif" for k in range(round_ + 1)]
+    reports = spark.read.parquet(str(tmp_path / "reports"))
+    assert sorted(r.batch for r in reports.collect()) == [0, 1] and reports.where("output_file.type_description = 'OME-TIFF'").count() == 2
