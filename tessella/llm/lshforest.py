@@ -349,7 +349,7 @@ def near_duplicates(
     """
     scratch = Scratch(docs.sparkSession)
     least = shortest_prefix(threshold, trees, depth, recall)
-    held = scratch.table(signatures(docs, id_col, text_col, n, trees, depth, least), "lsh-sets")
+    held = scratch.table(signatures(docs, id_col, text_col, n, trees, depth, least), "lsh-sets", small=True)
     classes = held.where("n_shingles > 0").groupBy("digest")
     classes = scratch.table(classes.agg(F.min("row").alias("rep"), F.count("*").alias("weight")), "lsh-classes")
     reps = held.join(classes.select(F.col("rep").alias("row"), "weight"), "row")
