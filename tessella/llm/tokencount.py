@@ -24,18 +24,22 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Characters whose classes (letter, number, space, other) every Unicode version
-#: agrees on. Texts with others are split by the tokenizer's own splitter.
+#: Characters whose classes (letter, decimal digit, space, other) every Unicode version
+#: and the standard library agree on. Texts with others are split by the tokenizer's own
+#: splitter.
 UNSTABLE = re.compile(
-    "[^\t\n\r -~\xa1-\xac\xae-ɏΑ-ΡΣ-Ωα-ωА-я"
+    "[^\t\n\r -~\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-ɏΑ-ΡΣ-Ωα-ωА-я"
     "–—‘-”•…€ぁ-ゖァ-ヺ一-龥가-힣]"
 )
+#: The vocabulary's pattern for such texts, in the standard library's words.
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Longest pre-token, in bytes, and number of pre-tokens that may be broadcast: 12 MB at most.
 HOT_BYTES, HOT_ROWS = 48, 200_000
 #: Rows whose frequencies a task holds at once.
@@ -56,12 +60,10 @@ class Splitter:
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
-        import regex
         from tokenizers import pre_tokenizers
 
         with open(public_tokenizers.path(vocabulary), encoding="utf-8") as file:
             spec = json.load(file)
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
         # The whole tokenizer takes much memory; its splitter is all that is used here.
         self.own = pre_tokenizers.ByteLevel(add_prefix_space=spec["pre_tokenizer"]["add_prefix_space"])
         special = [t["content"] for t in spec["added_tokens"]]
@@ -71,7 +73,7 @@ class Splitter:
         if UNSTABLE.search(text):
             cut = self.own.pre_tokenize_str(text)
             return [text[a:b] for _, (a, b) in cut]
-        return self.split(text)
+        return SPLIT.findall(text)
 
     def count(self, text: str) -> Counter:
         found: Counter = Counter()
@@ -111,17 +113,15 @@ def count_tokens(
         splitter = Splitter(vocabulary)
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
             row, doc_id, text = batch.columns
-            counts = [splitter.count(x or "") for x in text.to_pylist()]
-            n_bytes = [len((x or "").encode()) for x in text.to_pylist()]
+            texts = [x or "" for x in text.to_pylist()]
+            counts = [splitter.count(x) for x in texts]
+            ends = np.cumsum([0, *map(len, counts)])
+            pairs = pa.StructArray.from_arrays(
+                [pa.array([k for c in counts for k in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())], ["pre", "freq"]
+            )
+            n_bytes = pa.array([len(x.encode()) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [
-                    row,
-                    doc_id,
-                    pa.array(n_bytes, pa.int64()),
-                    pa.array([list(c) for c in counts], pa.list_(pa.string())),
-                    pa.array([list(c.values()) for c in counts], pa.list_(pa.int64())),
-                ],
-                ["row", "doc_id", "n_bytes", "pre", "freq"],
+                [row, doc_id, n_bytes, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], ["row", "doc_id", "n_bytes", "counts"]
             )
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,12 +140,12 @@ def count_tokens(
     )
     held = materialise(
         chosen.mapInArrow(
-            frequencies, "row long, doc_id long, n_bytes long, pre array<string>, freq array<long>"
+            frequencies, "row long, doc_id long, n_bytes long, counts array<struct<pre: string, freq: bigint>>"
         ),
         "token-freq",
     )
-    long = held.select("row", F.inline(F.arrays_zip("pre", "freq")))
-    used = held.select(F.inline(F.arrays_zip("pre", "freq"))).groupBy("pre").agg(F.sum("freq").alias("used"))
+    long = held.select("row", F.inline("counts"))
+    used = held.select(F.inline("counts")).groupBy("pre").agg(F.sum("freq").alias("used"))
     vocab = materialise(used.mapInArrow(pieces, "pre string, used long, n_pieces long"), "token-vocab")
     hot = materialise(most_used(vocab), "token-hot")
     weight = (F.col("freq") * F.col("n_pieces")).alias("n")

@@ -137,6 +137,20 @@ def test_token_counts_of_documents(spark, small, monkeypatch):
         assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in tokencount.count_tokens(docs).collect()} == want
 
 
+def test_splitter_of_stable_characters():
+    """The standard library's pattern cuts like the vocabulary's, for every character it is used on."""
+    import public_tokenizers
+    import regex
+
+    own = regex.compile(public_tokenizers.PATTERN).findall
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    stable = [c for c in every if not tokencount.UNSTABLE.search(c)]
+    assert len(stable) > 30_000
+    for shape in ("{}", "a{}", " {}1", "{} _{}", "'s{}'ll", "{}\n {}", "9{}{}"):
+        text = "\t".join(shape.replace("{}", c) for c in stable)
+        assert own(text) == tokencount.SPLIT.findall(text)
+
+
 def test_most_used_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(tokencount, "HOT_ROWS", 10)
     vocab = spark.createDataFrame([(f"w{i}", 1 + 1000 // (i + 1), 1) for i in range(40)] + [("x" * 60, 10**6, 1)], "pre string, used long, n_pieces long")
