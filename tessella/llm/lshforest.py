@@ -353,8 +353,9 @@ def near_duplicates(
     classes = held.where("n_shingles > 0").groupBy("digest")
     classes = scratch.table(classes.agg(F.min("row").alias("rep"), F.count("*").alias("weight")), "lsh-classes")
     reps = held.join(classes.select(F.col("rep").alias("row"), "weight"), "row")
+    reps = scratch.table(reps.select("row", "nodes", "deep"), "lsh-reps")
     members = reps.select("row", F.posexplode(F.arrays_zip("nodes", "deep")).alias("tree", "at")).select("row", "tree", F.col("at.nodes").alias("node"), "at.deep")
-    nodes = forest(scratch.table(members, "lsh-prefixes"), threshold, trees, depth, least, recall, scratch)
+    nodes = forest(members, threshold, trees, depth, least, recall, scratch)
     groups = components(nodes.select(F.col("row").alias("u"), F.col("head").alias("v")), scratch)
     wide = groups.withColumnRenamed("u", "row").join(held.select("row", "key_a", "key_b", "n_shingles"), "row")
     wide = scratch.table(wide.join(classes.select(F.col("rep").alias("row"), "weight"), "row"), "lsh-wide")
