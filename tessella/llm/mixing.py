@@ -63,18 +63,23 @@ def measured(docs: DataFrame, text_col: str = "text", topic=default_topic, token
     })
 
 
-def with_target(cells: DataFrame, margin: str, given: DataFrame | None, temperature: float, scratch: Scratch) -> DataFrame:
+def with_target(cells: DataFrame, margin: str, given: DataFrame | None, temperature: float, small: bool, scratch: Scratch) -> DataFrame:
     """cells with ``t_<margin>``, the share its value is to have."""
-    values = cells.groupBy(margin).agg(F.sum("n").cast("double").alias("own"))
-    if given is None:
-        values = values.select(margin, F.pow("own", F.lit(temperature)).alias("t"))
-    else:
+    if given is not None:
         name, share = given.columns[:2]
         given = given.groupBy(F.col(name).cast("string").alias(margin)).agg(F.sum(F.col(share).cast("double")).alias("t"))
-        values = values.join(given, margin, "left").select(margin, F.coalesce("t", F.lit(0.0)).alias("t"))
-    values = scratch.table(values, "mix-targets")
-    total = values.agg(F.sum("t")).first()[0]
-    values = values.select(margin, F.try_divide("t", F.lit(total)).alias(f"t_{margin}"))
+    wanted = F.pow("own", F.lit(temperature)) if given is None else F.coalesce("t", F.lit(0.0))
+    if small:
+        own = cells.withColumn("own", F.sum("n").over(Window.partitionBy(margin)).cast("double"))
+        own = own if given is None else own.join(broadcast_if_small(given, MANY), margin, "left")
+        own = own.withColumn("t", wanted)
+        # A value's cells count it once between them.
+        total = F.sum(F.col("t") * F.col("n") / F.col("own")).over(Window.partitionBy(F.lit(1)))
+        return own.withColumn(f"t_{margin}", F.try_divide("t", total)).drop("own", "t")
+    values = cells.groupBy(margin).agg(F.sum("n").cast("double").alias("own"))
+    values = values if given is None else values.join(given, margin, "left")
+    values = scratch.table(values.select(margin, wanted.alias("t")), "mix-targets")
+    values = values.select(margin, F.try_divide("t", F.lit(values.agg(F.sum("t")).first()[0])).alias(f"t_{margin}"))
     return cells.join(broadcast_if_small(values, MANY), margin)
 
 
@@ -98,11 +103,11 @@ def rake(cells: DataFrame, rounds: int, small: bool) -> DataFrame:
 
 def residual(cells: DataFrame) -> float:
     """The largest difference between a value's share of w and its target."""
-    off = [
-        cells.groupBy(m).agg(F.sum("w").alias("s"), F.max(f"t_{m}").alias("t")).agg(F.max(F.abs(F.col("s") - F.col("t"))).alias("off"))
-        for m in MARGINS
-    ]
-    return max((r.off or 0.0 for x in off for r in x.collect()), default=0.0)
+    off = None
+    for m in MARGINS:
+        x = cells.groupBy(m).agg(F.sum("w").alias("s"), F.max(f"t_{m}").alias("t")).select(F.abs(F.col("s") - F.col("t")).alias("off"))
+        off = x if off is None else off.unionAll(x)
+    return off.agg(F.max("off")).first()[0] or 0.0
 
 
 def scale_of(cells: DataFrame, budget: float) -> float:
@@ -130,13 +135,14 @@ def calibrated_cells(
     ``rounds`` rakings the table is written and the residual tested."""
     scratch = Scratch(cells.sparkSession)
     cells = cells.where("n > 0")
-    if cells.isEmpty():
+    found = cells.limit(one_task_cells + 1).count()
+    if not found:
         return cells.select(*MARGINS, F.lit(0.0).alias("prob"), F.lit(1.0).alias("weight"))
-    small = cells.limit(one_task_cells + 1).count() <= one_task_cells
+    small = found <= one_task_cells
     held = (lambda df: df.coalesce(1)) if small else (lambda df: df)
     cells = held(cells).withColumn("w", F.col("n").cast("double"))
     for margin in MARGINS:
-        cells = with_target(cells, margin, (targets or {}).get(margin), ({**TEMPERATURE, **(temperature or {})})[margin], scratch)
+        cells = with_target(cells, margin, (targets or {}).get(margin), ({**TEMPERATURE, **(temperature or {})})[margin], small, scratch)
     off = math.inf
     while True:
         cells = held(scratch.table(rake(cells, rounds if small else 1, small), "mix-raked"))
