@@ -63,7 +63,9 @@ KEEP_WORDS = {
     "content", "main", "article", "post", "entry", "story", "body", "wrapper", "container", "page", "layout", "text",
     "has", "with", "without", "no",
 }
-READER_WORDS = {"comment", "comments", "disqus", "respond", "replies", "reply"}
+READER_WORDS = {"comment", "comments", "disqus", "respond", "responses", "replies", "reply"}
+#: Words of a name that says header and nothing about an article.
+HEADER_WORDS = {"header", "site", "top", "global"}
 CLOSED_BY = {
     "p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
     "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"},
@@ -95,6 +97,14 @@ def names_other_part(tag: str, attrs: dict[str, str]) -> bool:
     return False
 
 
+def names_header(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether an element is a header by its tag or its name; within articles it belongs to them."""
+    if tag == "header":
+        return True
+    names = [{x.lower() for x in WORDS.findall(n)} for n in [*attrs.get("class", "").split(), attrs.get("id", "")]]
+    return tag in BLOCK and any("header" in n and n <= HEADER_WORDS for n in names)
+
+
 class Line:
     __slots__ = ("container", "heading", "links", "other", "parts", "tags", "text")
 
@@ -172,7 +182,7 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         found = {k: v or "" for k, v in attrs}
-        other = names_other_part(tag, found) or (tag == "header" and not self.is_open("article", "main"))
+        other = names_other_part(tag, found) or (names_header(tag, found) and not self.is_open("article", "main"))
         container = 0
         if tag in SCOPE:
             container = len(self.containers)

@@ -391,6 +391,14 @@ def test_title_before_the_region():
     assert htmltext.main_text(page).startswith("Title By me one one") and htmltext.main_text(page).endswith("two two")
 
 
+def test_headers_by_name():
+    body = "<p>" + "words of the text " * 30 + "</p>"
+    for head in ("<header>Site</header>", "<div id='header'><h1>Site</h1></div>", "<div class='site-header'>Site</div>"):
+        assert htmltext.main_text(f"<body>{head}{body}</body>").startswith("words of")
+    assert htmltext.main_text(f"<article><div class='header'><h1>Title</h1></div>{body}</article>").startswith("Title words")
+    assert htmltext.main_text(f"<body><div class='article-header'><h1>Title</h1></div>{body}</body>").startswith("Title words")
+
+
 def test_deep_long_and_empty_pages(spark, messy):
     import time
 
