@@ -374,6 +374,25 @@ def test_reason_of_a_rejected_document(spark, tmp_path, caplog):
     assert not (tmp_path / "strict.tif").exists()
 
 
+def test_schema_from_a_url(spark, tmp_path):
+    import functools
+    import http.server
+    import threading
+
+    (tmp_path / "web").mkdir()
+    (tmp_path / "web" / "ome.xsd").write_text(XSD)
+    handler = functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path / "web"))
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        make_mif(str(tmp_path / "m.tif"))
+        url = f"http://127.0.0.1:{server.server_port}/ome.xsd"
+        report = Converter(spark, str(tmp_path / "m.tif"), "qptiff_mif", schema_location=url).convert(str(tmp_path / "o.tif"))
+    finally:
+        server.shutdown()
+    assert report["ome"]["xml_is_valid"] is True and report["ome"]["schema_location"] == url
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     from tessella import cli
 
