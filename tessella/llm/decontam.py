@@ -112,26 +112,26 @@ def bit_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h >> np.uint64(64 - BITS), h & np.uint64((1 << BITS) - 1)
 
 
-def item_hashes(items: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """(item, item_id, words, hash, at) of every window of every item; ``item`` numbers the rows."""
+def item_hashes(texts: DataFrame, least_words: int) -> DataFrame:
+    """(item, digest, words, hash, at) of every window of every text of (digest, text) rows;
+    ``item`` numbers the rows."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, masks = Words(), {least: mask_list([least]) for least in MASKS}
         for batch in batches:
-            for item, item_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for item, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = memo.hashes(text or "")
                 use = masks.get(family(len(words)), []) if len(words) >= least_words else []
                 found = [(h, i) for mask, at in use for i, h in enumerate(window_hashes(words, mask, at).view(np.int64).tolist())]
                 if found:
                     lists = [words.view(np.int64), [h for h, _ in found], [i for _, i in found]]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([item], pa.int64()), pa.array([item_id], pa.int64()), *(pa.array([x], pa.list_(pa.int64())) for x in lists)],
-                        ["item", "item_id", "words", "hash", "at"],
+                        [pa.array([item], pa.int64()), pa.array([digest], pa.string()), *(pa.array([x], pa.list_(pa.int64())) for x in lists)],
+                        ["item", "digest", "words", "hash", "at"],
                     )
 
-    chosen = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).distinct()
-    chosen = chosen.select(F.monotonically_increasing_id().alias("item"), "item_id", "text")
-    return chosen.mapInArrow(hashed, "item long, item_id long, words array<long>, hash array<long>, at array<long>")
+    chosen = texts.select(F.monotonically_increasing_id().alias("item"), "digest", "text")
+    return chosen.mapInArrow(hashed, "item long, digest string, words array<long>, hash array<long>, at array<long>")
 
 
 def bitmap_of(hashes: DataFrame) -> np.ndarray:
@@ -240,7 +240,11 @@ def overlaps(
     """row, doc_id, key_a, key_b, item_id, n_equal, n_words of every document row and item that overlap."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    held = scratch.table(item_hashes(items, item_id_col, item_text_col, least_words), "bench", small=True)
+    text = F.col(item_text_col).cast("string")
+    named = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.md5(text).alias("digest"), text.alias("text")).where("text is not null")
+    # Items of equal texts are compared as one.
+    texts = named.groupBy("digest").agg(F.first("text").alias("text"))
+    held = scratch.table(item_hashes(texts, least_words), "bench", small=True)
     hashes = held.select("item", F.inline(F.arrays_zip("hash", "at")))
     bitmap = spark.sparkContext.broadcast(bitmap_of(hashes))
     least = F.greatest(*(F.when(F.size("words") >= n, n) for n in MASKS))
@@ -275,7 +279,8 @@ def overlaps(
 
     verified = scratch.table(aligned.mapInArrow(verify, "row long, item long, n_equal long, n_words long"), "bench-found", small=True)
     own = regions.select("row", "doc_id", "key_a", "key_b").distinct()
-    rows = verified.join(broadcast_if_small(held.select("item", "item_id"), broadcast_rows), "item")
+    ids = scratch.table(named.select("item_id", "digest").distinct().join(held.select("item", "digest"), "digest"), "bench-ids")
+    rows = verified.join(broadcast_if_small(ids.select("item", "item_id"), broadcast_rows), "item")
     best = rows.groupBy("row", "item_id").agg(F.max(F.struct("n_equal", "n_words")).alias("best"))
     out = best.join(own, "row").select("row", "doc_id", "key_a", "key_b", "item_id", "best.n_equal", "best.n_words")
     out = materialise(out, "bench-overlaps")

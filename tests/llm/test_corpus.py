@@ -120,7 +120,7 @@ def brute_overlaps(docs, items, min_words=13, similarity=0.8):
 def test_overlaps_against_every_alignment(spark):
     rng = random.Random(11)
     items = [(n, " ".join(words(rng, n))) for n in (2, 3, 4, 6, 8, 11, 14, 16, 25, 60, 150)]
-    items += [(items[-1][0], items[-1][1]), (None, " ".join(words(rng, 20))), (500, "")]
+    items += [(items[-1][0], items[-1][1]), (None, " ".join(words(rng, 20))), (500, ""), (600, items[7][1]), (601, items[7][1])]
     docs = []
     for k in range(120):
         text = words(rng, rng.randrange(30))
