@@ -254,8 +254,7 @@ def overlaps(
     windows = broadcast_if_small(hashes.withColumnRenamed("at", "item_at"), broadcast_rows)
     # Alignments first, as numbers; each is compared once, however many seeds it has.
     found = seeds.join(windows, "hash").select("row", "start", "item", (F.col("doc_at") - F.col("item_at")).alias("shift"))
-    found = scratch.table(found.distinct(), "bench-aligned")
-    full = found.join(regions.select("row", "start", "words"), ["row", "start"])
+    full = found.distinct().join(regions.select("row", "start", "words"), ["row", "start"])
     item_words = broadcast_if_small(held.select("item", F.col("words").alias("other")), broadcast_rows, F.size("other"))
     aligned = full.join(item_words, "item").select("row", "item", "shift", "words", "other")
 
@@ -277,13 +276,13 @@ def overlaps(
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["row", "item", "n_equal", "n_words"])
 
-    verified = scratch.table(aligned.mapInArrow(verify, "row long, item long, n_equal long, n_words long"), "bench-found", small=True)
+    verified = aligned.mapInArrow(verify, "row long, item long, n_equal long, n_words long")
     own = regions.select("row", "doc_id", "key_a", "key_b").distinct()
-    ids = scratch.table(named.select("item_id", "digest").distinct().join(held.select("item", "digest"), "digest"), "bench-ids")
-    rows = verified.join(broadcast_if_small(ids.select("item", "item_id"), broadcast_rows), "item")
+    ids = named.select("item_id", "digest").distinct().join(held.select("item", "digest"), "digest").select("item", "item_id")
+    rows = verified.join(ids, "item")
     best = rows.groupBy("row", "item_id").agg(F.max(F.struct("n_equal", "n_words")).alias("best"))
     out = best.join(own, "row").select("row", "doc_id", "key_a", "key_b", "item_id", "best.n_equal", "best.n_words")
-    out = materialise(out, "bench-overlaps")
+    out = materialise(out, "bench-overlaps", small=True)
     scratch.drop()
     return out
 

@@ -151,7 +151,7 @@ def calibrated_cells(
             break
     all_n, all_w = cells.agg(F.sum("n").cast("double"), F.sum("w")).first()
     f = F.coalesce(F.try_divide(F.col("w") * F.lit(all_n), F.lit(all_w) * F.col("n")), F.lit(0.0))
-    cells = scratch.table(cells.withColumn("f", f), "mix-factors")
+    cells = cells.withColumn("f", f)
     q = F.when(F.col("f") == 0, F.lit(0.0)).otherwise(F.lit(scale_of(cells, budget)) * F.col("f"))
     out = cells.select(*MARGINS, F.least(q, F.lit(1.0)).alias("prob"), F.greatest(q, F.lit(1.0)).alias("weight"))
     out = materialise(out, "mix-probs")
