@@ -326,6 +326,30 @@ def test_pixel_source_reads_chosen_pages_only(spark, tmp_path):
     assert (out == a + 1).all() and df.where("level = 1").select("page").distinct().count() == 2 and df.where("series = 1").count() == 2
 
 
+@pytest.fixture
+def plain(spark):
+    """A session that has not turned the push-down of filters to Python sources on, as Spark's own sessions."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    return session
+
+
+def test_page_structure_in_any_session(spark, plain):
+    from tessella.plans import catalogue
+
+    small = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").agg(F.max("vec_id")).first()[0] + 1
+    want = [(0, 0, 0, rows, 64, "float64", 1, -(-rows // 32) * 2, 1, True, "<OME/>")]
+    half = (rows + 1) // 2
+    want.append((0, 1, 0, half, 32, "float64", 1, -(-half // 32), 1, True, None))
+    assert rows > 256
+    for session in (plain, spark):
+        p = catalogue.tiff_page_structure(session, small)
+        assert sorted(map(tuple, p.collect())) == want
+        assert [tuple(r) for r in p.where("level = 1").collect()] == want[1:]
+        assert sorted(map(tuple, p.collect())) == want and p.where("level = 0").union(p.where("level = 1")).count() == 2
+
+
 def test_a_new_vendor_is_a_subclass(spark, tmp_path):
     from tessella.operators import profiles
 
