@@ -350,6 +350,37 @@ def test_page_structure_in_any_session(spark, plain):
         assert sorted(map(tuple, p.collect())) == want and p.where("level = 0").union(p.where("level = 1")).count() == 2
 
 
+@pytest.mark.parametrize("rows", [1, 256, 257])
+def test_pixels_of_level_in_any_session(spark, plain, tmp_path, rows):
+    from tessella.plans import catalogue
+
+    v = np.random.default_rng(2).normal(size=(rows, 64)).astype(np.float32)
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "vec_id long, embedding array<float>")
+    table.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    df = catalogue.tiff_pixels_of_level(plain, str(tmp_path))
+    want = {(y, x): v[2 * y, 2 * x] for y in range((rows + 1) // 2) for x in range(32)} if rows > 256 else {}
+    for _ in range(2):
+        got = df.collect()
+        assert len(got) == df.count() == len(want) and {(r.y, r.x): r.v for r in got} == pytest.approx(want, abs=1e-6)
+
+
+def test_pixel_source_reuses_a_load(spark, plain, tmp_path):
+    a, b = smooth(64, 64), smooth(32, 32, 1)
+    write_tiff(tmp_path / "a.tif", [(a, None), (b, None)], tile=16)
+    for session in (plain, spark):
+        session.createDataFrame([], "k int")  # makes it the active one, which Spark looks at to register a source
+        session.dataSource.register(tiff.TiffBlocks)
+        df = session.read.format("tiff_blocks").load(str(tmp_path / "a.tif"))
+        assert df.where("level = 1").count() == 4 and df.count() == 20
+        both = df.where("level = 0").union(df.where("level = 1")).groupBy("level").count()
+        assert sorted(map(tuple, both.collect())) == [(0, 16), (1, 4)]
+    df = spark.read.format("tiff_blocks").options(push=True, blocks=4)
+    load = lambda: df.load(str(tmp_path / "a.tif"))
+    assert load().rdd.getNumPartitions() == 5 and load().where("level = 1").rdd.getNumPartitions() == 1
+    assert load().where("level = 1").count() == 4 and load().where("page = 7").count() == 0
+    assert load().where("level = 0").where("level = 1").count() == 0
+
+
 def test_a_new_vendor_is_a_subclass(spark, tmp_path):
     from tessella.operators import profiles
 
