@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, lshforest, milquality, mixing, pseudonyms, rules, secrets, tokencount, warc
+from . import decontam, htmltext, lshforest, milquality, mixing, periodic, pseudonyms, rules, secrets, tokencount, warc
 from .common import materialise, table
 
 
@@ -60,6 +60,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with planted runs, as the result is defined on; written without the texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.with_planted_runs(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.find_runs(docs)
+    return materialise(found.select("doc_id", *(c.alias(n) for n, c in periodic.digests(F.col("runs")).items()), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words"), "runs", small=True)
+
+
 OP2_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS payload_digest,
@@ -135,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_secret_scan, op2_warc_archive, op3_decontamination, op4_quality_classifier, op5_pii_pseudonyms,
         op6_token_counts, op7_source_mixing, op8_ngram_jaccard, op9_quality_rules, op10_html_extraction,
+        op12_periodic_runs,
     )
     return {f.__name__: f for f in ops}
 
