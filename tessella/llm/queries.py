@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, lshforest, milquality, mixing, periodic, pseudonyms, rules, secrets, tokencount, warc
+from . import decontam, htmltext, lshforest, milquality, mixing, periodic, pseudonyms, rules, secrets, tokencount, treapsearch, warc
 from .common import materialise, table
 
 
@@ -67,6 +67,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(found.select("doc_id", *(c.alias(n) for n, c in periodic.digests(F.col("runs")).items()), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words"), "runs", small=True)
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = materialise(treapsearch.build_index(table(spark, sf_dir, "documents")), "search-index", small=True)
+    return treapsearch.search(index, table(spark, sf_dir, "benchmark"))
+
+
 OP2_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS payload_digest,
@@ -100,6 +105,53 @@ LEFT JOIN (SELECT u, min(v) AS least FROM reach GROUP BY u) r ON r.u = d.doc_id
 LEFT JOIN (SELECT u, count(*) AS n FROM both_ways GROUP BY u) k ON k.u = d.doc_id
 """
 
+OP12_SQL = r"""
+WITH crc AS (  -- the table of the checksum, by its rule
+  SELECT list_transform(range(256), lambda x : list_reduce(range(8), lambda c, k : CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS t),
+h AS (
+  SELECT d.*, xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x : CAST(ascii(x) AS BIGINT)),
+    lambda c, b : xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS own
+  FROM documents d, crc),
+g AS (SELECT *, len(own) AS n, CASE WHEN h % 10 = 0 AND len(own) > 0 THEN (h // 10) % len(own) END AS a, 3 + (h // 10) % 8 AS f FROM h),
+w AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN own ELSE
+    list_transform(range(n), lambda i : CASE WHEN i < a THEN own[i + 1] ELSE own[a + (i - a) % (1 + (n - a) // f) + 1] END) END AS w FROM g),
+u AS (SELECT doc_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM w),
+pairs AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.x = b.x AND a.i < b.i AND 4 * (b.i - a.i) <= a.n),
+islands AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS m
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs) GROUP BY doc_id, q, k
+  HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, s, m, min(q) AS q FROM islands GROUP BY ALL),
+r AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min({'s': s, 'm': m, 'q': q}, (-m, s, q)) AS b, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS l
+  FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + m)) AS i FROM runs),
+kept AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY i) AS c FROM u ANTI JOIN gone USING (doc_id, i) GROUP BY u.doc_id)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.m AS length, b.q AS period, 1000 * b.m // b.q AS exponent_milli,
+       sha256(coalesce(l, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256, n AS n_words
+FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+s AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM c),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, nd),
+x AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // l)))) AS BIGINT) AS score
+  FROM i JOIN p USING (term) JOIN w USING (term) JOIN c USING (doc_id), s GROUP BY item_id, doc_id HAVING score > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM x QUALIFY rank <= 10
+"""
+
 
 def op7_sql(seed: int = 42, rounds: int = 20, budget: float = 0.5) -> str:
     """The same raking as one chain of queries; after so many rounds nothing moves any more."""
@@ -142,10 +194,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_secret_scan, op2_warc_archive, op3_decontamination, op4_quality_classifier, op5_pii_pseudonyms,
         op6_token_counts, op7_source_mixing, op8_ngram_jaccard, op9_quality_rules, op10_html_extraction,
-        op12_periodic_runs,
+        op12_periodic_runs, op13_ranked_search,
     )
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_archive": OP2_SQL, "op7_source_mixing": op7_sql(), "op8_ngram_jaccard": OP8_SQL}
+    return {"op2_warc_archive": OP2_SQL, "op7_source_mixing": op7_sql(), "op8_ngram_jaccard": OP8_SQL, "op12_periodic_runs": OP12_SQL, "op13_ranked_search": OP13_SQL}
