@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, lshforest, milquality, mixing, periodic, pseudonyms, rules, secrets, tokencount, treapsearch, warc
+from . import decontam, htmltext, lshforest, milquality, mixing, periodic, pseudonyms, rules, secrets, tokencount, toxicity, treapsearch, warc
 from .common import materialise, table
 
 
@@ -60,6 +60,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return materialise(scored.select("doc_id", "held_out", "score", "predicted"), "toxicity", small=True)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts with planted runs, as the result is defined on; written without the texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", periodic.with_planted_runs(F.col("doc_id"), F.col("text")).alias("text"))
@@ -194,7 +200,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_secret_scan, op2_warc_archive, op3_decontamination, op4_quality_classifier, op5_pii_pseudonyms,
         op6_token_counts, op7_source_mixing, op8_ngram_jaccard, op9_quality_rules, op10_html_extraction,
-        op12_periodic_runs, op13_ranked_search,
+        op11_toxicity, op12_periodic_runs, op13_ranked_search,
     )
     return {f.__name__: f for f in ops}
 
