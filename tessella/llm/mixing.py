@@ -2,8 +2,10 @@
 
 Documents are counted in cells of source, language and topic. The cells' token
 weights are raked to the target share of each margin in turn, until every margin's
-shares are within ``tolerance`` of their targets, or come no nearer, as where targets
-contradict the empty cells; a cell's factor is its raked by its own share of tokens. A
+shares are within ``tolerance`` of their targets. Targets that contradict each other or the
+empty cells are never met: once fifty rakings bring the shares less than a hundredth nearer,
+or after ``most`` rakings, that is where it ends, and the difference left is logged as a
+warning. A cell's factor is its raked by its own share of tokens. A
 document is kept with probability min(1, scale x factor), the scale being such that the
 expected tokens are ``budget`` of all; where that reaches 1, ``weight`` (scale x factor)
 says how often to repeat the document so that shares come out exactly.
@@ -26,6 +28,7 @@ all others are kept, as long as none begins with two underscores.
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +40,9 @@ from .rules import words_of
 MARGINS = ("source", "lang", "topic")
 #: Values of a margin whose sums may be broadcast.
 MANY = 100_000
+#: Tests of the residual over which it has to fall by a hundredth.
+PATIENCE = 10
+log = logging.getLogger("tessella")
 TEMPERATURE = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 
 
@@ -91,14 +97,34 @@ def margin_sum(cells: DataFrame, margin: str, small: bool) -> DataFrame:
     return cells.join(broadcast_if_small(sums, MANY), margin)
 
 
-def rake(cells: DataFrame, rounds: int, small: bool) -> DataFrame:
-    """``w`` scaled to each margin's targets in turn, ``rounds`` times."""
+def rake(cells: DataFrame, rounds: int, small: bool, write) -> DataFrame:
+    """``w`` scaled to each margin's targets in turn, ``rounds`` times. Cells of many tasks are
+    written after each margin, whose sums and rows are both made of them."""
     for _ in range(rounds):
         for margin in MARGINS:
             cells = margin_sum(cells, margin, small)
             w = F.coalesce(F.try_divide(F.col("w") * F.col(f"t_{margin}"), F.col("own")), F.lit(0.0))
             cells = cells.withColumn("w", w).drop("own")
-    return cells
+            cells = cells if small else write(cells)
+    return write(cells) if small else cells
+
+
+def raked(cells: DataFrame, rounds: int, tolerance: float, most: int, small: bool) -> tuple[DataFrame, float, Scratch]:
+    """The cells as near to their targets as they come, how near that is, and what holds
+    them. The residual is tested after every ``rounds`` rakings, however cells are raked."""
+    held, past = None, []
+    for _ in range(max(1, -(-most // rounds))):
+        last, held = held, Scratch(cells.sparkSession)
+        cells = rake(cells, rounds, small, lambda df, held=held: held.table(df.coalesce(1) if small else df, "mix-raked"))
+        cells = cells.coalesce(1) if small else cells
+        past.append(residual(cells))
+        if last:
+            last.drop()
+        if past[-1] <= tolerance or len(past) > PATIENCE and past[-1] > 0.99 * past[-1 - PATIENCE]:
+            break
+    if past[-1] > max(tolerance, 1e-9):
+        log.warning("targets are not met: after %d rakings shares differ by up to %.3g", rounds * len(past), past[-1])
+    return cells, past[-1], held
 
 
 def residual(cells: DataFrame) -> float:
@@ -129,26 +155,19 @@ def scale_of(cells: DataFrame, budget: float) -> float:
 
 def calibrated_cells(
     cells: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: dict[str, float] | None = None,
-    rounds: int = 5, tolerance: float = 1e-12, budget: float = 0.5, one_task_cells: int = 100_000,
+    rounds: int = 5, tolerance: float = 1e-12, most: int = 1000, budget: float = 0.5, one_task_cells: int = 100_000,
 ) -> DataFrame:
-    """source, lang, topic, prob, weight of (source, lang, topic, n) rows. After every
-    ``rounds`` rakings the table is written and the residual tested."""
+    """source, lang, topic, prob, weight of (source, lang, topic, n) rows."""
     scratch = Scratch(cells.sparkSession)
     cells = cells.where("n > 0")
     found = cells.limit(one_task_cells + 1).count()
     if not found:
         return cells.select(*MARGINS, F.lit(0.0).alias("prob"), F.lit(1.0).alias("weight"))
     small = found <= one_task_cells
-    held = (lambda df: df.coalesce(1)) if small else (lambda df: df)
-    cells = held(cells).withColumn("w", F.col("n").cast("double"))
+    cells = (cells.coalesce(1) if small else cells).withColumn("w", F.col("n").cast("double"))
     for margin in MARGINS:
         cells = with_target(cells, margin, (targets or {}).get(margin), ({**TEMPERATURE, **(temperature or {})})[margin], small, scratch)
-    off = math.inf
-    while True:
-        cells = held(scratch.table(rake(cells, rounds if small else 1, small), "mix-raked"))
-        last, off = off, residual(cells)
-        if off <= tolerance or off >= 0.9 * last:
-            break
+    cells, _, last = raked(cells, rounds, tolerance, most, small)
     all_n, all_w = cells.agg(F.sum("n").cast("double"), F.sum("w")).first()
     f = F.coalesce(F.try_divide(F.col("w") * F.lit(all_n), F.lit(all_w) * F.col("n")), F.lit(0.0))
     cells = cells.withColumn("f", f)
@@ -156,6 +175,7 @@ def calibrated_cells(
     out = cells.select(*MARGINS, F.least(q, F.lit(1.0)).alias("prob"), F.greatest(q, F.lit(1.0)).alias("weight"))
     out = materialise(out, "mix-probs")
     scratch.drop()
+    last.drop()
     return out
 
 

@@ -513,3 +513,28 @@ def test_registered():
 
     found = e.queries()
     assert all(sum(n.startswith(f"op{k}_") for n in found) == 1 for k in range(1, 11)) and "pipeline" in found
+
+
+@pytest.mark.parametrize("one_task_cells", [100_000, 1])
+def test_strained_targets_are_met_on_either_path(spark, one_task_cells):
+    n = {("a", "x"): 100_000, ("b", "y"): 100_000, ("a", "y"): 100, ("b", "x"): 100}
+    cells = spark.createDataFrame([(s, la, "t", k) for (s, la), k in n.items()], "source string, lang string, topic string, n long")
+    targets = {"source": spark.createDataFrame([("a", 0.8), ("b", 0.2)], "v string, s double"), "lang": spark.createDataFrame([("x", 0.3), ("y", 0.7)], "v string, s double")}
+    got = mixing.calibrated_cells(cells, targets, budget=0.001, one_task_cells=one_task_cells).collect()
+    share = {(r.source, r.lang): n[r.source, r.lang] * r.prob * r.weight for r in got}
+    every = sum(share.values())
+    assert (share["a", "x"] + share["a", "y"]) / every == pytest.approx(0.8, abs=1e-9)
+    assert (share["a", "x"] + share["b", "x"]) / every == pytest.approx(0.3, abs=1e-9)
+
+
+def test_contradictory_targets_end_with_their_residual(spark, caplog):
+    cells = [("a", "x", "t", 10), ("b", "y", "t", 10)]  # a and x, b and y stand for the same documents
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, n long").withColumn("w", F.col("n").cast("double"))
+    df = df.withColumns({"t_source": F.when(F.col("source") == "a", 0.9).otherwise(0.1), "t_lang": F.when(F.col("lang") == "x", 0.4).otherwise(0.6), "t_topic": F.lit(1.0)})
+    for small in (True, False):
+        _, off, held = mixing.raked(df, 1, 1e-12, 1000, small)
+        held.drop()
+        assert off == pytest.approx(0.5) and "shares differ by up to 0.5" in caplog.text
+        caplog.clear()
+    _, off, held = mixing.raked(df.withColumn("t_lang", F.col("t_source")), 1, 1e-12, 1000, True)
+    assert off < 1e-12 and not caplog.text
