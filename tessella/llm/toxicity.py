@@ -105,8 +105,9 @@ class Lexicon:
         return weigh
 
 
-def features(text: str, weigh) -> list[float]:
-    """FEATURES of one text."""
+def features(text: str, weigh, whole) -> list[float]:
+    """FEATURES of one text. ``weigh`` leaves the text's own part out, ``whole`` does not: that is
+    for words which it does not hold as they are."""
     words = WORD.findall(text)
     n = len(words)
     if not n:
@@ -124,7 +125,7 @@ def features(text: str, weigh) -> list[float]:
     tokens = TOKEN.findall(text)
     signs = [t for t in tokens if INNER.search(t)]
     drawn = [t for t in tokens if LONG.search(t)]
-    hidden = sum(any(x in INSULTS or weigh(x) >= STRONG for x in uncovered(t)) for t in {*signs, *drawn})
+    hidden = sum(any(x in INSULTS or whole(x) >= STRONG for x in uncovered(t)) for t in {*signs, *drawn})
     letters = sum(map(len, words))
     return [
         100 * sum(k for w, k in counts.items() if w in INSULTS) / n, 100 * len(learned) / n,
@@ -210,7 +211,7 @@ def described(rows: DataFrame, lexicon: Lexicon, kept: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weighers = {y: lexicon.weigher(y) for y in (None, 0, 1)}
         for batch in slices(batches):
-            x = [features(t or "", weighers[y]) for y, t in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)]
+            x = [features(t or "", weighers[y], weighers[None]) for y, t in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) + 1], pa.array(x, pa.list_(pa.float64()))], [*names, "y", "x"])
 
     names = [c.split()[0] for c in kept.split(", ")]

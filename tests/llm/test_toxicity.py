@@ -13,7 +13,7 @@ NONE = toxicity.Lexicon({}, 0, 0)
 
 
 def named(text, lexicon=NONE, label=None):
-    return dict(zip(toxicity.FEATURES, toxicity.features(text, lexicon.weigher(label)), strict=True))
+    return dict(zip(toxicity.FEATURES, toxicity.features(text, lexicon.weigher(label), lexicon.weigher(None)), strict=True))
 
 
 def test_features_by_hand():
@@ -27,6 +27,9 @@ def test_features_by_hand():
     assert named("cooooool 3rd b2b")["hidden_insults"] == 0 and named("no signs here")["drawn_out"] == 0
     assert named("") == named("?! 12 _") == dict.fromkeys(toxicity.FEATURES, 0.0)
 
+    lexicon = toxicity.Lexicon({"foulest$": (8, 0)}, 10, 90)
+    assert named("f0ulest of them", lexicon, 0)["hidden_insults"] > 0  # it has no part in a word that it hides
+
 
 def test_weights_leave_a_texts_own_part_out():
     lexicon = toxicity.Lexicon({"foul$": (8, 0), "fou": (9, 30), "rare$": (3, 0)}, 10, 90)
