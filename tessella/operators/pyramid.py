@@ -3,10 +3,13 @@
 Tiles are rows (path, series, level, c, ty, tx, h, w, height, width, dtype, data),
 h x w pixels of an image of height x width. Blocks are the same with y0, x0 for ty, tx.
 
-A shuffle gathers the blocks of a square of 2^span x 2^span tiles, a bounded number; the
-square gives its tiles and, as its edges lie on even places, its own share of the next
-``span`` levels. So the pixels of a level are shuffled only once in ``span`` levels, and
-those in between never.
+Blocks are cut where they lie, at the borders of squares of 2^span x 2^span tiles, and a
+shuffle gathers the parts of each square, a bounded number of pixels; the square gives its
+tiles and, as its edges lie on even places, its own share of the next ``span`` levels. So
+the pixels of a level are shuffled only once in ``span`` levels, and those in between never.
+A filter that reaches over a square's edges gets a rim of pixels with it, which its
+neighbours' blocks are cut for too: 2^span - 1 pixels wide, so that the rim of each level
+in between comes with it.
 """
 
 from __future__ import annotations
@@ -29,40 +32,85 @@ HELD = 32 << 20  # bytes of finished tiles that a task holds
 LEAST = 256  # the longer side of the last level, at most
 
 
+BLOCK_KINDS = TILES.replace("ty long, tx long", "ty long, tx long, y0 long, x0 long")
+METHODS = ("simple", "area", "binomial")
+#: Bytes of parts that a task gathers before it hands them on.
+CUT_BYTES = 16 << 20
+
+
+def met_by(start: int, n: int, whole: int, edge: int, halo: int) -> range:
+    """The squares along one side whose stretch, rim included, a block has part in."""
+    last = -(-whole // edge) - 1
+    return range(max(0, (start - halo) // edge), min(last, -(-(start + n + halo) // edge) - 1) + 1)
+
+
+def cut_parts(blocks: DataFrame, edge: int, halo: int = 0) -> DataFrame:
+    """The parts of blocks that fall into each square (ty, tx), rim included; without a rim, every
+    pixel once."""
+    names = [x.split()[0] for x in BLOCK_KINDS.split(",")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(zip(*rows, strict=True), BLOCK_KINDS.split(","), strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for lo in range(0, len(batch), 64):
+                for *own, y0, x0, h, w, height, width, dtype, data in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns), strict=True):
+                    block = np.frombuffer(data, dtype).reshape(h, w)
+                    for sy in met_by(y0, h, height, edge, halo):
+                        a, b = max(y0, sy * edge - halo), min(y0 + h, (sy + 1) * edge + halo)
+                        for sx in met_by(x0, w, width, edge, halo):
+                            c, d = max(x0, sx * edge - halo), min(x0 + w, (sx + 1) * edge + halo)
+                            part = block[a - y0 : b - y0, c - x0 : d - x0]
+                            rows.append((*own, sy, sx, a, c, *part.shape, height, width, dtype, data if part.size == block.size else part.tobytes()))
+                            held += part.nbytes
+                            if held > CUT_BYTES:
+                                yield out(rows)
+                                rows, held = [], 0
+        if rows:
+            yield out(rows)
+
+    chosen = blocks.select(*KEY[:4], *(F.col(n).cast("long").alias(n) for n in ("y0", "x0", "h", "w", "height", "width")), "dtype", "data")
+    return chosen.mapInArrow(run, BLOCK_KINDS)
+
+
 def squares(blocks: DataFrame, size: int, span: int, method: str, first: int, last: int, least: int = LEAST) -> DataFrame:
     """Tiles of the blocks' own level + k for k from ``first`` to ``last``, at most ``span``,
     as far as images have levels."""
     if size < 2 or size % 2:
         raise ValueError("the tile size is an even number")
+    if method not in METHODS:
+        raise ValueError(f"method is one of {', '.join(METHODS)}")
     edge = size << span
-    last_of = lambda a, n: F.expr(f"({a} + {n} - 1) div {edge}")
-    met = blocks.withColumn("ty", F.explode(F.sequence(F.expr(f"y0 div {edge}"), last_of("y0", "h"))))
-    met = met.withColumn("tx", F.explode(F.sequence(F.expr(f"x0 div {edge}"), last_of("x0", "w"))))
+    halo = (1 << last) - 1 if method == "binomial" else 0
 
     def cut(key: tuple, parts: list[tuple]) -> list[tuple]:
         *own, level, c, sy, sx = key
         _, _, _, _, height, width, dtype, _ = parts[0]
         whole = height, width
-        pixels = np.zeros((min(edge, height - sy * edge), min(edge, width - sx * edge)), dtype)
-        h, w = pixels.shape
-        for y0, x0, bh, bw, _, _, _, data in parts:
-            block = np.frombuffer(data, pixels.dtype).reshape(bh, bw)
-            y, x = y0 - sy * edge, x0 - sx * edge
-            a, b = max(0, -y), max(0, -x)
-            src = block[a : h - y, b : w - x]
-            pixels[y + a : y + a + src.shape[0], x + b : x + b + src.shape[1]] = src
+        top, left = max(0, sy * edge - halo), max(0, sx * edge - halo)
+        pixels = np.zeros((min((sy + 1) * edge + halo, height) - top, min((sx + 1) * edge + halo, width) - left), dtype)
+        for y0, x0, h, w, _, _, _, data in parts:
+            pixels[y0 - top : y0 - top + h, x0 - left : x0 - left + w] = np.frombuffer(data, pixels.dtype).reshape(h, w)
         rows = []
         for k in range(last + 1):
             if k and k >= level_count(*whole, least):
                 break
             if k >= first:
                 grid = 1 << (span - k)
-                for i in range(-(-pixels.shape[0] // size)):
-                    for j in range(-(-pixels.shape[1] // size)):
-                        tile = pixels[i * size : (i + 1) * size, j * size : (j + 1) * size]
-                        rows.append((*own, level + k, c, sy * grid + i, sx * grid + j, *tile.shape, height, width, dtype, tile.tobytes()))
+                for ty in range(sy * grid, min((sy + 1) * grid, -(-height // size))):
+                    for tx in range(sx * grid, min((sx + 1) * grid, -(-width // size))):
+                        y, x = ty * size, tx * size
+                        tile = pixels[y - top : min(y + size, height) - top, x - left : min(x + size, width) - left]
+                        rows.append((*own, level + k, c, ty, tx, *tile.shape, height, width, dtype, tile.tobytes()))
             if k < last:
-                pixels, height, width = halved(pixels, method), (height + 1) // 2, (width + 1) // 2
+                if method == "binomial":
+                    pixels, top, left = smoothed(pixels, top, left, height, width)
+                else:
+                    pixels, top, left = halved(pixels, method), top // 2, left // 2
+                height, width = (height + 1) // 2, (width + 1) // 2
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +134,7 @@ def squares(blocks: DataFrame, size: int, span: int, method: str, first: int, la
             out += cut(now, parts)
         yield tile_batch(out)
 
-    met = met.select(*KEY, "y0", "x0", "h", "w", "height", "width", "dtype", "data")
+    met = cut_parts(blocks, edge, halo).select(*KEY, "y0", "x0", "h", "w", "height", "width", "dtype", "data")
     return met.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(run, TILES)
 
 
@@ -118,6 +166,28 @@ def halved(pixels: np.ndarray, method: str) -> np.ndarray:
     return (mean if pixels.dtype.kind == "f" else np.floor(mean + 0.5)).astype(pixels.dtype)
 
 
+#: What a pixel of the next level takes of four, from the one before its pair on.
+TAPS = (1 / 8, 3 / 8, 3 / 8, 1 / 8)
+
+
+def taps(values: np.ndarray, begin: int, whole: int) -> tuple[np.ndarray, int]:
+    """Along the first axis: the next level of ``whole`` values, as far as those from ``begin`` on tell
+    it, and where it begins. Beyond the image its last values go on."""
+    end = begin + len(values)
+    lo = 0 if begin == 0 else (begin + 2) // 2
+    hi = (whole + 1) // 2 if end == whole else (end - 1) // 2
+    at = 2 * np.arange(lo, hi)
+    return sum(t * values[np.clip(at + d, 0, whole - 1) - begin] for t, d in zip(TAPS, (-1, 0, 1, 2), strict=True)), lo
+
+
+def smoothed(pixels: np.ndarray, top: int, left: int, height: int, width: int) -> tuple[np.ndarray, int, int]:
+    """The next level of part of an image by a binomial filter of 4 x 4 pixels, as far as the part
+    tells it, and where that begins."""
+    rows, top = taps(pixels.astype(np.float64), top, height)
+    both, left = taps(rows.T, left, width)
+    return (both.T if pixels.dtype.kind == "f" else np.floor(both.T + 0.5)).astype(pixels.dtype), top, left
+
+
 def reduced(tiles: DataFrame, size: int = 512, method: str = "simple") -> DataFrame:
     """The next level of every image, by one shuffle of 2 x 2 tiles."""
     return squares(as_blocks(tiles, size), size, 1, method, 1, 1, least=1)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import omexml
@@ -39,6 +39,18 @@ def one_image(spark: SparkSession, sf_dir: str, dtype: str = "float32") -> DataF
     return pyramid.blocks_of_arrays(v, F.lit("all"), F.col("vec_id"), F.lit(v.agg(F.max("vec_id")).first()[0] + 1), "embedding", 1, 64, dtype)
 
 
+#: Rows of an image of many embeddings.
+TALL = 300
+
+
+def tall_images(spark: SparkSession, sf_dir: str, dtype: str = "float32", pixel=lambda x: x) -> DataFrame:
+    """Three hundred embeddings an image, as its rows, in blocks of one row."""
+    v = t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", pixel).alias("embedding"))
+    n = v.agg(F.max("vec_id")).first()[0] + 1
+    k = F.floor(F.col("vec_id") / TALL)
+    return pyramid.blocks_of_arrays(v, k, F.col("vec_id") % TALL, F.least(F.lit(TALL), F.lit(n) - TALL * k), "embedding", 1, 64, dtype)
+
+
 def pixel_rows(tiles: DataFrame, size: int) -> DataFrame:
     p = pyramid.pixels_of(pyramid.as_blocks(tiles, size))
     return p.select(F.col("path").cast("long").alias("vec_id"), "y", "x", F.round("v", 6).alias("v"))
@@ -54,6 +66,22 @@ def pyramid_simple(spark, sf_dir):
     return pixel_rows(pyramid.reduced(pyramid.retile(small_images(spark, sf_dir), 4), 4, "simple"), 4)
 
 
+def pyramid_binomial(spark, sf_dir):
+    """The next level of small images by a filter that reaches over the tiles' borders."""
+    return pixel_rows(pyramid.reduced(pyramid.retile(small_images(spark, sf_dir), 4), 4, "binomial"), 4)
+
+
+def strip_retile(spark, sf_dir):
+    """Strips of 64 embeddings side by side, cut to tiles of 32 x 32 pixels."""
+    v = t(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.floor(F.col("vec_id") / 64).alias("row"))
+    strips = v.groupBy("row").agg(F.flatten(S.in_order(F.col("embedding"), F.col("vec_id"))).alias("v")).where(F.size("v") == 4096)
+    n = strips.count()
+    blocks = pyramid.blocks_of_arrays(strips, F.lit("strips"), F.col("row"), F.lit(n), "v", 1, 4096, "float32")
+    p = pyramid.pixels_of(pyramid.as_blocks(pyramid.retile(blocks, 32), 32))
+    return p.groupBy(F.floor(F.col("y") / 32).alias("ty"), F.floor(F.col("x") / 32).alias("tx")).agg(
+        F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"), F.round(F.min_by("v", F.struct("y", "x")), 6).alias("first"))
+
+
 def tile_retile(spark, sf_dir):
     """Small images cut to tiles of 6 x 6 pixels, smaller ones at the borders."""
     tiles = pyramid.retile(small_images(spark, sf_dir), 6)
@@ -81,54 +109,93 @@ def pyramid_levels(spark, sf_dir):
     return pyramid.pixels_of(pyramid.as_blocks(tiles, 16)).select("level", "y", "x", F.round("v", 6).alias("v"))
 
 
-def written_image(spark, sf_dir, compression: str, dtype: str = "float32") -> str:
-    """The path of a pyramidal OME-TIFF of all embeddings, two levels where there are more than 256 rows."""
+def written_images(tiles: DataFrame, size: int, compression: str, **options) -> DataFrame:
+    """Writes tiles as OME-TIFFs; (path, output) of every image, outputs being called like paths."""
+    spark = tiles.sparkSession
     folder = shared_folder(spark)
-    base = pyramid.retile(one_image(spark, sf_dir, dtype), 32)
-    tiles = base.unionByName(pyramid.reduced(base.where("height > 256"), 32)).where("level < 2")
-    index = ometiff.write_segments(tiles, f"{folder}/segments", compression, 32)
-    index.write.parquet(f"{folder}/index")
-    own = spark.createDataFrame([("all", 0, "<OME/>", f"{folder}/all.tif")], "path string, series int, xml string, output string")
-    return ometiff.write_images(spark.read.parquet(f"{folder}/index"), own, compression, 32).first()["output"]
+    forms = {k: v for k, v in options.items() if k in ("predictor", "bits")}
+    ometiff.write_segments(tiles, f"{folder}/segments", compression, size, **forms).write.parquet(f"{folder}/index")
+    index = spark.read.parquet(f"{folder}/index")
+    own = index.select("path", "series").distinct().withColumns({"xml": F.lit("<OME/>"), "output": F.concat(F.lit(folder + "/"), "path", F.lit(".tif"))})
+    return ometiff.write_images(index, own, compression, size, **options)
+
+
+def two_levels(spark, sf_dir, dtype: str = "float32") -> DataFrame:
+    """Tiles of tall images, with a second level where there are more than 256 rows."""
+    base = pyramid.retile(tall_images(spark, sf_dir, dtype), 32)
+    return base.unionByName(pyramid.reduced(base.where("height > 256"), 32)).where("level < 2")
+
+
+def image_number(path: Column) -> Column:
+    return F.regexp_extract(path, r"(\d+)(\.ome)?\.tif$", 1).cast("long")
+
+
+def read_pixels(blocks: DataFrame) -> DataFrame:
+    return pyramid.pixels_of(blocks).select(image_number(F.col("path")).alias("image"), "y", "x", F.round("v", 6).alias("v"))
+
+
+def full_size(images: DataFrame) -> DataFrame:
+    """Pixels of the images' full size."""
+    return read_pixels(tiff.read_blocks(tiff.read_pages(images.select(F.col("output").alias("path"))).where("level = 0")))
 
 
 def tiff_pixels_lzw(spark, sf_dir):
-    """Pixels of an image that was written with LZW and read by its pages' blocks."""
-    path = written_image(spark, sf_dir, "LZW")
-    pages = tiff.read_pages(spark.createDataFrame([(path,)], "path string")).where("level = 0")
-    return pyramid.pixels_of(tiff.read_blocks(pages)).select("y", "x", F.round("v", 6).alias("v"))
+    """Pixels of images that were written with LZW and read by their pages' blocks."""
+    return full_size(written_images(two_levels(spark, sf_dir), 32, "LZW"))
+
+
+def tiff_pixels_many_writers(spark, sf_dir):
+    """The same with each file written by many tasks, in ranges of 20,000 bytes."""
+    return full_size(written_images(two_levels(spark, sf_dir), 32, "Uncompressed", part_bytes=20_000, part_rows=1))
+
+
+def tiff_pixels_sink(spark, sf_dir):
+    """The same written by Spark's own writing, with differences of neighbours as bytes (predictor 3)."""
+    folder = shared_folder(spark)
+    spark.dataSource.register(ometiff.OmeTiff)
+    tiles = pyramid.retile(tall_images(spark, sf_dir), 32)
+    tiles.write.format("ome_tiff").mode("append").options(tile_size=32, compression="Deflate", predictor=3).save(folder)
+    return full_size(tiles.select("path").distinct().select(F.concat(F.lit(folder + "/"), "path", F.lit(".ome.tif")).alias("output")))
+
+
+def tiff_pixels_packbits(spark, sf_dir):
+    """Numbers of 8 bits, their neighbours' differences packed by runs of bytes."""
+    pixels = tall_images(spark, sf_dir, "uint8", lambda x: F.least(F.greatest(F.floor(128 + 4 * x), F.lit(0)), F.lit(255)))
+    return full_size(written_images(pyramid.retile(pixels, 32), 32, "PackBits", predictor=2))
+
+
+def tiff_pixels_twelve_bits(spark, sf_dir):
+    pixels = tall_images(spark, sf_dir, "uint16", lambda x: F.least(F.greatest(F.floor(2048 + 400 * x), F.lit(0)), F.lit(4095)))
+    return full_size(written_images(pyramid.retile(pixels, 32), 32, "LZW", bits=12))
+
+
+def tiff_pixels_one_bit(spark, sf_dir):
+    return full_size(written_images(pyramid.retile(tall_images(spark, sf_dir, "uint8", lambda x: (x > 0).cast("int")), 32), 32, "PackBits", bits=1))
 
 
 def tiff_pixels_of_level(spark, sf_dir):
-    """Pixels of the reduced level, by the pixel source's pushed filter."""
-    path = written_image(spark, sf_dir, "Deflate")
-    tiff.allow_push(spark)
+    """Pixels of the reduced level, which alone the pixel source reads."""
+    images = written_images(two_levels(spark, sf_dir), 32, "Deflate")
     spark.dataSource.register(tiff.TiffBlocks)
-    blocks = spark.read.format("tiff_blocks").option("push", True).load(path).where("level = 1")
-    return pyramid.pixels_of(blocks).select("y", "x", F.round("v", 6).alias("v"))
+    blocks = spark.read.format("tiff_blocks").option("level", 1).load(",".join(r.output for r in images.select("output").collect()))  # a name for many vectors
+    return read_pixels(blocks)
 
 
 def tiff_pixels_jpeg(spark, sf_dir):
     """Bytes written as JPEG tiles and read again, to within 24 of what they were, at ninety percent quality."""
-    v = t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.least(F.greatest(F.floor(128 + 20 * x), F.lit(0)), F.lit(255))).alias("embedding"))
-    n = v.agg(F.max("vec_id")).first()[0] + 1
-    tiles = pyramid.retile(pyramid.blocks_of_arrays(v, F.lit("all"), F.col("vec_id"), F.lit(n), "embedding", 1, 64, "uint8"), 32)
-    folder = shared_folder(spark)
-    ometiff.write_segments(tiles, f"{folder}/segments", "JPEG", 32).write.parquet(f"{folder}/index")
-    own = spark.createDataFrame([("all", 0, "<OME/>", f"{folder}/all.tif")], "path string, series int, xml string, output string")
-    path = ometiff.write_images(spark.read.parquet(f"{folder}/index"), own, "JPEG", 32).first()["output"]
-    read = pyramid.pixels_of(tiff.read_blocks(tiff.read_pages(spark.createDataFrame([(path,)], "path string"))))
-    was = v.select(F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "was"))
-    both = read.join(was.select("y", F.col("x").cast("long").alias("x"), "was"), ["y", "x"])
-    return both.groupBy("y").agg(F.count("*").alias("n"), F.max((F.abs(F.col("v") - F.col("was")) > 24).cast("int")).alias("off"))
+    byte = lambda x: F.least(F.greatest(F.floor(128 + 20 * x), F.lit(0)), F.lit(255))
+    read = full_size(written_images(pyramid.retile(tall_images(spark, sf_dir, "uint8", byte), 32), 32, "JPEG"))
+    was = t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.transform("embedding", byte)).alias("x", "was"))
+    both = read.withColumn("vec_id", F.col("image") * TALL + F.col("y")).join(was.withColumn("x", F.col("x").cast("long")), ["vec_id", "x"])
+    return both.groupBy("vec_id").agg(F.count("*").alias("n"), F.max((F.abs(F.col("v") - F.col("was")) > 24).cast("int")).alias("off"))
 
 
 def tiff_page_structure(spark, sf_dir):
-    """One row a page and level of a written image, without pixels, by the page source."""
-    path = written_image(spark, sf_dir, "Uncompressed", "float64")
+    """One row a page and level of written images, without pixels, by the page source."""
+    images = written_images(two_levels(spark, sf_dir, "float64"), 32, "Uncompressed")
     spark.dataSource.register(tiff.TiffPages)
-    p = spark.read.format("tiff_pages").load(path)
-    return p.select("series", "level", "page", "height", "width", "dtype", "samples", F.size("offsets").alias("n_blocks"), "compression", "big_endian",
+    p = spark.read.format("tiff_pages").load(",".join(r.output for r in images.select("output").collect()))
+    return p.select(image_number(F.col("path")).alias("image"), "series", "level", "page", "height", "width", "dtype", "samples", F.size("offsets").alias("n_blocks"), "compression", "big_endian",
                     F.col("tags")["ImageDescription"].alias("description"))
 
 
@@ -387,6 +454,11 @@ ROWS = """
 p AS (SELECT vec_id AS y, i - 1 AS x, CAST(embedding[i] AS DOUBLE) AS v
       FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))"""
 
+TALLS = f"""
+p AS (SELECT vec_id // {TALL} AS image, vec_id % {TALL} AS y, i - 1 AS x, CAST(embedding[i] AS DOUBLE) AS v
+      FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)),
+n AS (SELECT image, max(y) + 1 AS n FROM p GROUP BY image)"""
+
 _TYPE = "['float', 'uint16', 'double'][conv_id % 3 + 1]"
 
 
@@ -403,16 +475,28 @@ SQL = {
     "pyramid_simple": f"WITH {PIXELS} SELECT vec_id, y // 2 AS y, x // 2 AS x, round(v, 6) AS v FROM p WHERE y % 2 = 0 AND x % 2 = 0",
     "tile_retile": f"""WITH {PIXELS} SELECT vec_id, y // 6 AS ty, x // 6 AS tx, count(*) AS n, round(sum(v), 4) AS total,
         round(arg_min(v, y * 8 + x), 6) AS first FROM p GROUP BY vec_id, y // 6, x // 6""",
+    "pyramid_binomial": f"""WITH {PIXELS}, k AS (SELECT unnest([-1, 0, 1, 2]) AS d, unnest([1, 3, 3, 1]) AS t)
+        SELECT o.vec_id, o.y // 2 AS y, o.x // 2 AS x, round(sum(a.t * b.t * p.v) / 64, 6) AS v FROM p o, k a, k b, p
+        WHERE o.y % 2 = 0 AND o.x % 2 = 0 AND p.vec_id = o.vec_id AND p.y = least(greatest(o.y + a.d, 0), 7) AND p.x = least(greatest(o.x + b.d, 0), 7)
+        GROUP BY o.vec_id, o.y, o.x""",
+    "strip_retile": """WITH p AS (SELECT vec_id // 64 AS y, (vec_id % 64) * 64 + i - 1 AS x, CAST(embedding[i] AS DOUBLE) AS v
+          FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings) WHERE vec_id // 64 < (SELECT (max(vec_id) + 1) // 64 FROM embeddings))
+        SELECT y // 32 AS ty, x // 32 AS tx, count(*) AS n, round(sum(v), 4) AS total, round(arg_min(v, y * 4096 + x), 6) AS first FROM p GROUP BY y // 32, x // 32""",
     "pyramid_levels": f"""WITH {ROWS}, l AS (SELECT unnest(range(0, 30)) AS level), n AS (SELECT greatest(max(y) + 1, 64) AS n FROM p)
         SELECT CAST(level AS INTEGER) AS level, y // (1 << level) AS y, x // (1 << level) AS x, round(v, 6) AS v FROM p, l, n
         WHERE (level = 0 OR ceil(n / pow(2, level - 1)) > 256) AND y % (1 << level) = 0 AND x % (1 << level) = 0""",
-    "tiff_pixels_lzw": f"WITH {ROWS} SELECT y, x, round(v, 6) AS v FROM p",
-    "tiff_pixels_of_level": f"""WITH {ROWS} SELECT y // 2 AS y, x // 2 AS x, round(v, 6) AS v FROM p
-        WHERE y % 2 = 0 AND x % 2 = 0 AND (SELECT max(y) + 1 FROM p) > 256""",
-    "tiff_pixels_jpeg": f"WITH {ROWS} SELECT y, count(*) AS n, 0 AS off FROM p GROUP BY y",
-    "tiff_page_structure": f"""WITH {ROWS}, n AS (SELECT max(y) + 1 AS n FROM p), l AS (
-        SELECT 0 AS level, n AS height, 64 AS width FROM n UNION ALL SELECT 1, (n + 1) // 2, 32 FROM n WHERE n > 256)
-        SELECT 0 AS series, level, 0 AS page, height, CAST(width AS BIGINT) AS width, 'float64' AS dtype, 1 AS samples,
+    "tiff_pixels_lzw": f"WITH {TALLS} SELECT image, y, x, round(v, 6) AS v FROM p",
+    "tiff_pixels_many_writers": f"WITH {TALLS} SELECT image, y, x, round(v, 6) AS v FROM p",
+    "tiff_pixels_sink": f"WITH {TALLS} SELECT image, y, x, round(v, 6) AS v FROM p",
+    "tiff_pixels_packbits": f"WITH {TALLS} SELECT image, y, x, least(greatest(floor(128 + 4 * v), 0), 255) AS v FROM p",
+    "tiff_pixels_twelve_bits": f"WITH {TALLS} SELECT image, y, x, least(greatest(floor(2048 + 400 * v), 0), 4095) AS v FROM p",
+    "tiff_pixels_one_bit": f"WITH {TALLS} SELECT image, y, x, CAST(v > 0 AS DOUBLE) AS v FROM p",
+    "tiff_pixels_of_level": f"""WITH {TALLS} SELECT image, y // 2 AS y, x // 2 AS x, round(v, 6) AS v FROM p JOIN n USING (image)
+        WHERE y % 2 = 0 AND x % 2 = 0 AND n > 256""",
+    "tiff_pixels_jpeg": "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, 0 AS off FROM embeddings",
+    "tiff_page_structure": f"""WITH {TALLS}, l AS (
+        SELECT image, 0 AS level, n AS height, 64 AS width FROM n UNION ALL SELECT image, 1, (n + 1) // 2, 32 FROM n WHERE n > 256)
+        SELECT image, 0 AS series, level, 0 AS page, height, CAST(width AS BIGINT) AS width, 'float64' AS dtype, 1 AS samples,
         CAST(ceil(height / 32) * ceil(width / 32) AS INTEGER) AS n_blocks, 1 AS compression, true AS big_endian,
         CASE WHEN level = 0 THEN '<OME/>' END AS description FROM l""",
     "features_page_dialect": _features("'WholeSlideMIF'", "'Akoya MIF QPTIFF'", "count(*)", "'0.' || conv_id || '0'", "'0.' || conv_id || '0'",

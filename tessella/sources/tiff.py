@@ -13,11 +13,14 @@ from collections.abc import Iterator
 from types import SimpleNamespace
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..operators.codecs import decode_block
+from ..operators.codecs import container, decode_block
 from .files import filesystem, spread
 
 # Fixed values of the TIFF format: sizes of field types, their struct letters, and tags.
@@ -35,7 +38,7 @@ PAGES = (
     "path string, series int, level int, page int, ifd_offset long, dtype string, shaped array<long>, width long,"
     " height long, samples int, tags map<string,string>, block_w long, block_h long, tiled boolean,"
     " offsets array<long>, byte_counts array<long>, compression int, predictor int, planar_config int, big_endian boolean,"
-    " photometric int, jpeg_tables binary"
+    " photometric int, jpeg_tables binary, bits int"
 )
 BLOCKS = (
     "path string, series int, level int, c int, y0 long, x0 long, h long, w long, height long, width long,"
@@ -108,16 +111,20 @@ def page_row(offset: int, tags: dict, big_endian: bool) -> dict:
     one = lambda tag, default=None: tags[tag][0] if tag in tags else default
     w, h = one(256), one(257)
     bits, kind, samples = one(258, 1), KINDS.get(one(339, 1), "uint"), one(277, 1)
+    try:
+        dtype = container(kind, bits)
+    except NotImplementedError:  # what only reading the pixels refuses
+        dtype = f"{kind}{bits}"
     tiled = 322 in tags
     text = lambda v: v if isinstance(v, str) else None if isinstance(v, bytes) else ",".join(map(str, v))
     return {
-        "ifd_offset": offset, "dtype": f"{kind}{bits}", "width": w, "height": h, "samples": samples,
+        "ifd_offset": offset, "dtype": dtype, "width": w, "height": h, "samples": samples,
         "shaped": [1, 1, h, w] + ([samples] if samples > 1 else []),
         "tags": {TAGS.get(k, str(k)): t for k, v in tags.items() if k not in (273, 279, 324, 325) and (t := text(v)) is not None},
         "block_w": one(322, w), "block_h": one(323, min(one(278, h), h)), "tiled": tiled,
         "offsets": tags.get(324 if tiled else 273, []), "byte_counts": tags.get(325 if tiled else 279, []),
         "compression": one(259, 1), "predictor": one(317, 1), "planar_config": one(284, 1), "big_endian": big_endian,
-        "photometric": one(262, 1), "jpeg_tables": tags.get(347),
+        "photometric": one(262, 1), "jpeg_tables": tags.get(347), "bits": bits,
     }
 
 
@@ -180,7 +187,7 @@ def read_blocks(pages: DataFrame) -> DataFrame:
     interleaved page's samples both become channels."""
     at = F.posexplode(F.arrays_zip("offsets", "byte_counts")).alias("block", "range")
     per = ["path", "series", "level", "page", "dtype", "width", "height", "samples", "block_w", "block_h", "tiled",
-           "compression", "predictor", "planar_config", "big_endian", "photometric", "jpeg_tables"]
+           "compression", "predictor", "planar_config", "big_endian", "photometric", "jpeg_tables", "bits"]
     ranges = pages.select(*per, at).select(*per, "block", "range.offsets", "range.byte_counts")
     names = pages.sparkSession.createDataFrame([], BLOCKS).columns
 
@@ -202,9 +209,11 @@ def decoded(file, r) -> list[tuple]:
     h, w = min(r.block_h, r.height - y0), min(r.block_w, r.width - x0)
     samples = 1 if r.planar_config == 2 else r.samples
     file.seek(r.offsets)
+    data = file.read(r.byte_counts)
+    if len(data) < r.byte_counts:
+        raise ValueError(f"{r.path} ends within block {r.block} of page {r.page}")
     pixels = decode_block(
-        file.read(r.byte_counts), r.compression, r.predictor, r.dtype, r.block_h if r.tiled else h, r.block_w, samples, r.big_endian,
-        r.photometric, r.jpeg_tables,
+        data, r.compression, r.predictor, r.dtype, r.block_h if r.tiled else h, r.block_w, samples, r.big_endian, r.photometric, r.jpeg_tables, r.bits
     )[:h, :w]
     first = r.page * r.samples + plane
     return [
@@ -213,19 +222,12 @@ def decoded(file, r) -> list[tuple]:
     ]
 
 
-PUSHED = ("series", "level", "page")
-
-
-def allow_push(spark: SparkSession) -> None:
-    """Spark refuses sources that push filters down unless this is set. It looks when a result
-    is computed, so it stays set; sources that push nothing are read as before."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+CHOSEN = ("series", "level", "page")
 
 
 class TiffPages(DataSource):
     """spark.read.format("tiff_pages").load(path): the pages of one file or, with commas,
-    several. Filters are left to Spark: all directories are read anyway, and Spark would keep
-    the pushed filters of one result for the next one of the same load."""
+    several. Filters are left to Spark."""
 
     @classmethod
     def name(cls) -> str:
@@ -235,15 +237,15 @@ class TiffPages(DataSource):
         return PAGES
 
     def reader(self, schema):
-        return TiffPagesReader(self.options["path"].split(","))
+        return TiffPagesReader(self.options["path"].split(","), {})
 
 
 class TiffPagesReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, paths: list[str], wanted: dict[str, set[int]]):
+        self.paths, self.wanted = paths, wanted
 
     def rows(self, path: str) -> list[dict]:
-        return pages_of(path)
+        return [r for r in pages_of(path) if all(r[k] in v for k, v in self.wanted.items())]
 
     def partitions(self):
         return [InputPartition(p) for p in self.paths]
@@ -254,11 +256,11 @@ class TiffPagesReader(DataSourceReader):
 
 
 class TiffBlocks(TiffPages):
-    """spark.read.format("tiff_blocks").load(path): decoded strips and tiles; option ``blocks``
-    says how many a task reads. With option ``push``, equality filters on series, level and page
-    are pushed down, so that only their bytes are read. That is for one filter a load, as Spark
-    4.1 keeps the pushed filters of one result for the next one of the same load, and for
-    sessions after ``allow_push``; without it Spark filters, in any session."""
+    """spark.read.format("tiff_blocks").load(path): decoded strips and tiles, an Arrow batch a block.
+
+    Options ``series``, ``level`` and ``page``, numbers with commas, say which are read, so that
+    no other bytes are. Filters of a load are left to Spark, as it keeps those that are pushed
+    into a source for the load's next result. ``blocks`` says how many a task reads."""
 
     @classmethod
     def name(cls) -> str:
@@ -268,14 +270,14 @@ class TiffBlocks(TiffPages):
         return BLOCKS.replace("c int", "c int, page int")
 
     def reader(self, schema):
-        kind = PushedBlocksReader if self.options.get("push", "").lower() == "true" else TiffBlocksReader
-        return kind(self.options["path"].split(","), int(self.options.get("blocks", 64)))
+        wanted = {k: {int(x) for x in self.options[k].split(",")} for k in CHOSEN if self.options.get(k)}
+        return TiffBlocksReader(self.options["path"].split(","), wanted, int(self.options.get("blocks", 64)), schema)
 
 
 class TiffBlocksReader(TiffPagesReader):
-    def __init__(self, paths: list[str], step: int):
-        super().__init__(paths)
-        self.step = step
+    def __init__(self, paths: list[str], wanted: dict[str, set[int]], step: int, schema: StructType):
+        super().__init__(paths, wanted)
+        self.step, self.schema = step, to_arrow_schema(schema)
 
     def partitions(self):
         """Directories are read on the driver, a few kilobytes a file; offsets stay out of the partitions."""
@@ -293,24 +295,9 @@ class TiffBlocksReader(TiffPagesReader):
             row = page_row(ifd, d.read(ifd)[0], d.order == ">") | {"path": path, "series": series, "level": level, "page": page}
             ranges = list(zip(row.pop("offsets"), row.pop("byte_counts"), strict=True))
             for block, (offset, count) in enumerate(ranges[lo : lo + self.step], lo):
-                for x in decoded(file, SimpleNamespace(**row, block=block, offsets=offset, byte_counts=count)):
-                    yield (*x[:4], page, *x[4:])
-
-
-class PushedBlocksReader(TiffBlocksReader):
-    def __init__(self, paths: list[str], step: int):
-        super().__init__(paths, step)
-        self.wanted = {}
-
-    def rows(self, path: str) -> list[dict]:
-        return [r for r in super().rows(path) if all(r[k] == v for k, v in self.wanted.items())]
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1 and f.attribute[0] in PUSHED and f.attribute[0] not in self.wanted:
-                self.wanted[f.attribute[0]] = f.value
-            else:
-                yield f
+                found = decoded(file, SimpleNamespace(**row, block=block, offsets=offset, byte_counts=count))
+                columns = zip(*((*x[:4], page, *x[4:]) for x in found), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema)
 
 
 def names_of(schema: str) -> list[str]:
