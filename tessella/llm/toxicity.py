@@ -28,8 +28,8 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -49,9 +49,8 @@ SECOND = frozenset("you your yours yourself ya u du dich dir dein deine ihr euch
 #: Signs that stand for letters.
 UNDONE = str.maketrans("013457@$!", "oieastasi")
 
-TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\W\d_]+")
-INNER = re.compile(r"[^\W\d_][\d@$!*]+[^\W\d_]")
+INNER = re.compile(r"[\d@$!*](?<=[^\W\d_].)[\d@$!*]*(?=[^\W\d_])")
 LONG = re.compile(r"([^\W\d_])\1\1")
 LONG_RUN = re.compile(r"(.)\1{2,}")
 MARKS = re.compile(r"[!?]{2,}")
@@ -68,10 +67,9 @@ MANY = 2_000_000
 MEMORY = 200_000
 
 
-def units(word: str) -> Iterator[str]:
-    """The whole word, marked as such, and its beginnings."""
-    yield word + "$"
-    yield from (word[:n] for n in range(3, min(9, len(word))))
+def units(words: set[str]) -> set[str]:
+    """The whole words, marked as such, and their beginnings."""
+    return {w + "$" for w in words} | {w[:n] for w in words for n in range(3, min(9, len(w)))}
 
 
 @dataclass
@@ -91,20 +89,23 @@ class Lexicon:
     def weigher(self, label: int | None):
         """A word's weight, the greatest of its units; without one text of ``label``."""
         less = {None: (0, 0), 1: (1, 0), 0: (0, 1)}[label]
-        known: dict[str, float] = {}
+        weights = {u: self.weight(a - less[0], max(0, b - less[1])) for u, (a, b) in self.counts.items()}
+        heads = {u[:3] for u in weights}  # what no unit begins like has no weight
 
         def weigh(word: str) -> float:
-            if (w := known.get(word)) is None:
-                found = (self.counts[u] for u in units(word) if u in self.counts)
-                w = max((self.weight(a - less[0], b - less[1]) for a, b in found), default=0.0)
-                if len(known) >= MEMORY:
-                    known.clear()
-                known[word] = w
-            return w
+            head = word[:3] if len(word) > 2 else word + "$"
+            return max(weights.get(u, 0.0) for u in units({word})) if head in heads else 0.0
 
         return weigh
 
 
+def has_triple(text: str) -> bool:
+    """Whether any character stands three times in a row; most texts need no closer look."""
+    raw = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    same = raw[1:] == raw[:-1]
+    return bool((same[1:] & same[:-1]).any())
+
+
 def features(text: str, weigh, whole) -> list[float]:
     """FEATURES of one text. ``weigh`` leaves the text's own part out, ``whole`` does not: that is
     for words which it does not hold as they are."""
@@ -112,29 +113,40 @@ def features(text: str, weigh, whole) -> list[float]:
     n = len(words)
     if not n:
         return [0.0] * len(FEATURES)
-    low = [w.lower() for w in words]
-    counts = Counter(low)
-    weights = {w: weigh(w) for w in counts}
-    learned = [i for i, w in enumerate(low) if weights[w] >= SOME or w in INSULTS]
-    second = [i for i, w in enumerate(low) if w in SECOND]
+    counts: dict[str, int] = {}
+    upper = shouted = 0
+    for w, k in Counter(words).items():
+        if not w.islower():
+            upper += k * sum(map(str.isupper, w))
+            shouted += k * (len(w) > 1 and w.isupper())
+            w = w.lower()
+        counts[w] = counts.get(w, 0) + k
+    weights = {w: x for w in counts if (x := weigh(w))}
+    insults = counts.keys() & INSULTS
+    hits = insults | {w for w, x in weights.items() if x >= SOME}
+    n_hits = sum(counts[w] for w in hits)
+    n_second = sum(counts[w] for w in counts.keys() & SECOND)
     near = 0
-    for i in learned:
-        j = bisect_left(second, i)
-        near += any(abs(k - i) <= REACH for k in islice(second, max(0, j - 1), j + 1))
-    top = sorted((x for x in weights.values() if x), reverse=True)[:2]
-    tokens = TOKEN.findall(text)
-    signs = [t for t in tokens if INNER.search(t)]
-    drawn = [t for t in tokens if LONG.search(t)]
+    if n_hits and n_second:
+        low = [w.lower() for w in words]
+        second = [i for i, w in enumerate(low) if w in SECOND]
+        for i, w in enumerate(low):
+            if w in hits:
+                j = bisect_left(second, i)
+                near += any(abs(k - i) <= REACH for k in second[max(0, j - 1) : j + 1])
+    top = sorted(weights.values(), reverse=True)[:2]
+    tokens = text.split()
+    signs = [t for t in tokens if INNER.search(t)] if INNER.search(text) else []
+    drawn = [t for t in tokens if LONG.search(t)] if has_triple(text) else []
     hidden = sum(any(x in INSULTS or whole(x) >= STRONG for x in uncovered(t)) for t in {*signs, *drawn})
-    letters = sum(map(len, words))
     return [
-        100 * sum(k for w, k in counts.items() if w in INSULTS) / n, 100 * len(learned) / n,
+        100 * sum(counts[w] for w in insults) / n, 100 * n_hits / n,
         math.log1p(sum(x >= SOME for x in weights.values())), math.log1p(sum(x >= STRONG for x in weights.values())),
-        sum(weights[w] * k for w, k in counts.items()) / n, *(top + [0.0, 0.0])[:2], near / max(1, len(learned)), 100 * len(second) / n,
-        sum(c.isupper() for c in text) / letters, sum(w.isupper() for w in words if len(w) > 1) / n,
+        sum(x * counts[w] for w, x in weights.items()) / n, *(top + [0.0, 0.0])[:2], near / max(1, n_hits), 100 * n_second / n,
+        upper / sum(map(len, words)), shouted / n,
         100 * (text.count("!") + text.count("?")) / len(tokens), 100 * len(MARKS.findall(text)) / len(tokens),
         100 * len(signs) / len(tokens), 100 * len(drawn) / len(tokens), math.log1p(hidden), math.log(n),
-        sum(text.count(c) for c in "#*$%&@") / len(text), len(counts) / n,
+        sum(map(text.count, "#*$%&@")) / len(text), len(counts) / n,
     ]
 
 
@@ -174,7 +186,7 @@ def counted_units(rows: DataFrame) -> DataFrame:
         for batch in slices(batches):
             for y, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = {w.lower() for w in WORD.findall(text or "")}
-                found[y].update({u for w in words for u in units(w)})
+                found[y].update(units(words))
                 found[y][""] += 1
             if len(found[0]) + len(found[1]) > 2 * MEMORY:
                 yield flushed()
@@ -209,9 +221,10 @@ def described(rows: DataFrame, lexicon: Lexicon, kept: str) -> DataFrame:
     text had no part in the lexicon."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = lexicon.weigher(None)
         weighers = {y: lexicon.weigher(y) for y in (None, 0, 1)}
         for batch in slices(batches):
-            x = [features(t or "", weighers[y], weighers[None]) for y, t in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)]
+            x = [features(t or "", weighers[y], whole) for y, t in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) + 1], pa.array(x, pa.list_(pa.float64()))], [*names, "y", "x"])
 
     names = [c.split()[0] for c in kept.split(", ")]
