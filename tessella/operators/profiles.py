@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..functions.omexml import EMBEDDED_XML, SCANNER_XML, parsed
+from .lineage import leaves
 
 #: Pixel types that OME names otherwise.
 OME_TYPES = {"float32": "float", "float64": "double"}
@@ -34,6 +36,14 @@ def numbered(names: Column) -> Column:
     return F.transform(names, lambda c, i: channel(F.concat(F.lit("Channel:0:"), i.cast("string")), c, F.lit(1)))
 
 
+def described(schema: T.StructType) -> frozenset[str]:
+    return frozenset(f"tags.ImageDescription/{x}" for x in leaves(schema.jsonValue()))
+
+
+#: Columns of pages and manifests that documents are made of, beside what a profile reads.
+PLAIN_SOURCES = frozenset(("path", "series", "page", "shaped", "dtype", "physical_size_x", "physical_size_y"))
+
+
 class Profile:
     """The page dialect: every page is a channel and describes itself.
 
@@ -48,6 +58,10 @@ class Profile:
     image_name = "WholeSlideMIF"
     needs_sizes = False  # the caller gives physical sizes
 
+    #: What is read of the first page's description: all that may come from a tag. A profile that
+    #: reads other tags or fields has to list them, as tags.Name, or tags.Name/Field of a text.
+    reads = described(SCANNER_XML)
+
     def description(self) -> Column:
         return parsed(F.col("tags")["ImageDescription"], SCANNER_XML)
 
@@ -88,6 +102,7 @@ class EmbeddedDocument(Profile):
     """The first page holds an OME document."""
 
     key, label, image_name = "halo_mif", "Halo MIF TIFF", "WholeSlideMIF"
+    reads = described(EMBEDDED_XML)
 
     def description(self) -> Column:
         return F.when(F.col("page") == 0, parsed(F.col("tags")["ImageDescription"], EMBEDDED_XML))

@@ -109,6 +109,12 @@ def pyramid_levels(spark, sf_dir):
     return pyramid.pixels_of(pyramid.as_blocks(tiles, 16)).select("level", "y", "x", F.round("v", 6).alias("v"))
 
 
+def register(spark: SparkSession, source: type) -> None:
+    """Makes a source known to this session, and this session the active one, in which Spark looks for it."""
+    spark.createDataFrame([], "k int")
+    spark.dataSource.register(source)
+
+
 def written_images(tiles: DataFrame, size: int, compression: str, **options) -> DataFrame:
     """Writes tiles as OME-TIFFs; (path, output) of every image, outputs being called like paths."""
     spark = tiles.sparkSession
@@ -152,7 +158,7 @@ def tiff_pixels_many_writers(spark, sf_dir):
 def tiff_pixels_sink(spark, sf_dir):
     """The same written by Spark's own writing, with differences of neighbours as bytes (predictor 3)."""
     folder = shared_folder(spark)
-    spark.dataSource.register(ometiff.OmeTiff)
+    register(spark, ometiff.OmeTiff)
     tiles = pyramid.retile(tall_images(spark, sf_dir), 32)
     tiles.write.format("ome_tiff").mode("append").options(tile_size=32, compression="Deflate", predictor=3).save(folder)
     return full_size(tiles.select("path").distinct().select(F.concat(F.lit(folder + "/"), "path", F.lit(".ome.tif")).alias("output")))
@@ -176,7 +182,7 @@ def tiff_pixels_one_bit(spark, sf_dir):
 def tiff_pixels_of_level(spark, sf_dir):
     """Pixels of the reduced level, which alone the pixel source reads."""
     images = written_images(two_levels(spark, sf_dir), 32, "Deflate")
-    spark.dataSource.register(tiff.TiffBlocks)
+    register(spark, tiff.TiffBlocks)
     blocks = spark.read.format("tiff_blocks").option("level", 1).load(",".join(r.output for r in images.select("output").collect()))  # a name for many vectors
     return read_pixels(blocks)
 
@@ -193,7 +199,7 @@ def tiff_pixels_jpeg(spark, sf_dir):
 def tiff_page_structure(spark, sf_dir):
     """One row a page and level of written images, without pixels, by the page source."""
     images = written_images(two_levels(spark, sf_dir, "float64"), 32, "Uncompressed")
-    spark.dataSource.register(tiff.TiffPages)
+    register(spark, tiff.TiffPages)
     p = spark.read.format("tiff_pages").load(",".join(r.output for r in images.select("output").collect()))
     return p.select(image_number(F.col("path")).alias("image"), "series", "level", "page", "height", "width", "dtype", "samples", F.size("offsets").alias("n_blocks"), "compression", "big_endian",
                     F.col("tags")["ImageDescription"].alias("description"))

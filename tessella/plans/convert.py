@@ -1,9 +1,9 @@
 """From vendor images to de-identified, pyramidal OME-TIFFs and reports.
 
 A manifest, one row an image, is converted as one job: pages, documents and tiles of all
-images are tables in a store, a folder that driver and executors share; tiles are
-compressed by many tasks, and each file is put together by one. A store can be kept and
-written again in another form. ``Converter`` is the same for one file.
+images are tables in a store, a folder that driver and executors share, without the
+sources' tags; tiles are compressed and files put together by many tasks. A store can be
+kept and written again in another form. ``Converter`` is the same for one file.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from .. import __version__
 from ..functions import omexml
 from ..functions import scalars as S
 from ..operators import pyramid
-from ..operators.profiles import PROFILES, checked_sizes, features_of, type_label
+from ..operators.lineage import check_sources
+from ..operators.profiles import PLAIN_SOURCES, PROFILES, checked_sizes, features_of, type_label
 from ..sinks import ometiff
 from ..sources import tiff
 from ..sources.files import filesystem, remove_folder, shared_folder, size_of, spread
@@ -112,8 +113,8 @@ class TileStore:
         spark = manifest.sparkSession
         store = cls(spark, folder)
         m = store.write(checked_manifest(manifest), "manifest")
-        pages = tiff.read_pages(m.select("path")).join(m.drop("output"), KEY)
-        pages = store.write(pages, "pages")
+        read = tiff.read_pages(m.select("path")).join(m.drop("output"), KEY)
+        pages = store.write(read.drop("tags"), "pages")  # the store holds no tag of a source
         lost = m.join(pages, KEY, "left_anti").first()
         if lost is not None:
             raise ValueError(f"no series {lost.series} in {lost.path}")
@@ -121,7 +122,8 @@ class TileStore:
         shapes = top.groupBy(*KEY).agg(F.max("height").alias("height"), F.max("width").alias("width"))
         documents = None
         for key in sorted(r.image_type for r in m.select("image_type").distinct().collect()):  # as many as PROFILES at most
-            f = features_of(top.where(F.col("image_type") == key), PROFILES[key], rename)
+            f = features_of(read.where((F.col("level") == 0) & (F.col("image_type") == key)), PROFILES[key], rename)
+            check_sources(f, PLAIN_SOURCES | PROFILES[key].reads)
             documents = f if documents is None else documents.unionByName(f)
         uuid = F.uuid() if display_uuid else F.lit(None).cast("string")
         documents = store.write(documents.join(shapes, KEY).withColumn("uuid", uuid), "features")  # one uuid, once and for all
@@ -165,7 +167,7 @@ class TileStore:
         return "\n".join(lines)
 
     def write_files(self, compression: str = "LZW", quality: int = 90) -> DataFrame:
-        """Writes every image's output, one task each; path, series and output of all."""
+        """Writes every image's output; path, series, output and the second at which each was there."""
         if compression not in COMPRESSIONS:
             raise ValueError(f"compression is one of {', '.join(COMPRESSIONS)}")
         documents = self.documents()
@@ -191,8 +193,8 @@ def convert_images(
 
     ``strict``: an error for a document that the schema rejects, before any file is
     written; otherwise it is reported and a warning logged. ``reports``: a folder in which
-    the rows are written as Parquet; without it they come to the driver, a few kilobytes
-    an image.
+    the rows are written as Parquet; without it one beside the intermediate data, which
+    stays. An image's run ends when its own file is there.
     """
     started = time.time()
     spark = manifest.sparkSession
@@ -214,8 +216,7 @@ def convert_images(
         outputs = store.write_files(compression, quality)
         files = outputs.select("path").unionAll(outputs.select(F.col("output").alias("path")))
         sums = store.write(checksums(files), "checksums")
-        stopped = time.time()
-        m = store.read("manifest")
+        m = store.read("manifest").join(outputs.select(*KEY, "finished"), KEY)
         struct = F.struct("path", "md5_checksum", "size_bytes")
         found = m.join(sums.select("path", struct.alias("i")), "path").join(sums.select(F.col("path").alias("output"), struct.alias("o")), "output")
         found = found.join(valid, KEY)
@@ -229,12 +230,11 @@ def convert_images(
                 "series", F.from_json(F.lit(json.dumps(rename or {})), "map<string,string>").alias("rename_channels"),
             ).alias("options"),
             F.struct(
-                S.readable_time(F.timestamp_seconds(F.lit(started))).alias("start_time"), S.readable_time(F.timestamp_seconds(F.lit(stopped))).alias("stop_time"),
-                S.run_time(F.lit(stopped - started)).alias("run_time"), S.size_ratio(F.col("o.size_bytes"), F.col("i.size_bytes")).alias("compression_ratio"),
+                S.readable_time(F.timestamp_seconds(F.lit(started))).alias("start_time"), S.readable_time(F.timestamp_seconds("finished")).alias("stop_time"),
+                S.run_time(F.col("finished") - F.lit(started)).alias("run_time"), S.size_ratio(F.col("o.size_bytes"), F.col("i.size_bytes")).alias("compression_ratio"),
             ).alias("conversion_stats"),
         )
-        if reports is None:
-            return spark.createDataFrame(rows.toArrow())
+        reports = reports or f"{folder}-reports"
         rows.write.parquet(reports)
         return spark.read.parquet(reports)
     finally:
@@ -328,10 +328,14 @@ class Converter:
         """Writes ``output`` and returns the report, a list of them for several series."""
         if filesystem(output)[0] == filesystem(self.path)[0] and os.path.realpath(output) == os.path.realpath(self.path):
             raise ValueError("the output would replace the input")
-        rows = convert_images(
-            self.manifest(output), self.cache_directory, self.rename_channels, display_uuid, deidentify_ome, compression, rgb, quality,
-            self.schema_location, strict, self.tile_size, self.downsample,
-        ).orderBy("series").collect()
+        folder = shared_folder(self.spark, self.cache_directory)
+        try:
+            rows = convert_images(
+                self.manifest(output), self.cache_directory, self.rename_channels, display_uuid, deidentify_ome, compression, rgb, quality,
+                self.schema_location, strict, self.tile_size, self.downsample, folder,
+            ).orderBy("series").collect()
+        finally:
+            remove_folder(self.spark, folder)
         reports = [report_of(r.asDict(recursive=True), versions(self.spark)) for r in rows]
         return reports[0] if isinstance(self.series, int) else reports
 

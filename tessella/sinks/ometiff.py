@@ -18,6 +18,7 @@ tiles, and its commit, a single process, lays the files out and copies the segme
 from __future__ import annotations
 
 import struct
+import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -51,13 +52,15 @@ PART_BYTES = 64 << 20
 @dataclass(frozen=True)
 class Form:
     """How tiles are stored: the compression's name, the side of a tile, JPEG's quality, the
-    predictor, and the bits of a sample where they are not those of its type."""
+    predictor, the bits of a sample where they are not those of its type, and whether the
+    file is a BigTIFF whatever its size."""
 
     compression: str
     size: int
     quality: int = 90
     predictor: int = PLAIN
     bits: int | None = None
+    big: bool = False
 
     def __post_init__(self):
         if self.compression not in NAMES:
@@ -205,7 +208,7 @@ PLAN = "at long, following long, subs array<long>, data long, big boolean, size
 def planned(pages: pd.DataFrame, form: Form, xml_bytes: int) -> pd.DataFrame:
     """The PLAN of an image's pages (c, level, n_tiles, n_bytes, height, width, dtype, samples)."""
     pages = pages.sort_values(["c", "level"], kind="stable").reset_index(drop=True)
-    layout = Layout(int(pages["n_bytes"].sum()) + 96 * int(pages["n_tiles"].sum()) + xml_bytes > CLASSIC_LIMIT)
+    layout = Layout(form.big or int(pages["n_bytes"].sum()) + 96 * int(pages["n_tiles"].sum()) + xml_bytes > CLASSIC_LIMIT)
     lowest = pages.groupby("c")["level"].transform("min")
     reduced = (pages["level"] != lowest).tolist()
     n_subs = pages.groupby("c")["level"].transform("size") - 1
@@ -244,13 +247,14 @@ def placed(index: DataFrame) -> DataFrame:
 
 def write_images(
     index: DataFrame, documents: DataFrame, compression: str, size: int, predictor: int = PLAIN, bits: int | None = None, part_bytes: int = PART_BYTES,
-    part_rows: int = 4,
+    part_rows: int = 4, big: bool = False,
 ) -> DataFrame:
     """Writes every image: ``index`` from ``write_segments``, and one (path, series, xml, output)
-    row an image. Returns path, series, output once all files are there.
+    row an image. Returns path, series, output and ``finished``, the second at which each was
+    there, once all are.
 
     A task writes ``part_rows`` ranges, a directory or up to ``part_bytes`` of tiles each."""
-    spark, form = index.sparkSession, Form(compression, size, predictor=predictor, bits=bits)
+    spark, form = index.sparkSession, Form(compression, size, predictor=predictor, bits=bits, big=big)
     folder = shared_folder(spark)
     mark = uuid.uuid4().hex
 
@@ -267,7 +271,7 @@ def write_images(
         page = keep(page.select(*KEY, "c", "level", "height", "width", "dtype", "samples", "n_tiles", "n_bytes", "tiles.place", "tiles.length"), "pages")
         own = documents.select(*KEY, "xml", "output")
 
-        def plan(_, pages: pd.DataFrame) -> pd.DataFrame:
+        def plan(pages: pd.DataFrame) -> pd.DataFrame:
             return planned(pages, form, int(pages["xml_bytes"].iloc[0]))
 
         summary = [n for n in page.columns if n not in ("place", "length")]
@@ -290,9 +294,10 @@ def write_images(
         listed = spread(listed, part_rows, "output", "at").mapInPandas(lambda frames: put_directories(frames, form, mark), "output string, n long")
         written = keep(copied.unionAll(listed), "written").groupBy("output").agg(F.sum("n").alias("n"))
         whole = images.join(written, "output", "left").select("output", "size", "n")
-        moved = spread(whole, 1, "output").mapInPandas(lambda frames: joined(frames, mark), "output string")
-        keep(moved, "moved")
-        return documents.select(*KEY, "output")
+        moved = spread(whole, 1, "output").mapInPandas(lambda frames: joined(frames, mark), "output string, finished double")
+        done = documents.select(*KEY, "output").join(keep(moved, "moved"), "output").select(*KEY, "output", "finished")
+        done.write.parquet(f"{folder}-outputs")  # of a short row an image, which stays
+        return spark.read.parquet(f"{folder}-outputs")
     except BaseException:
         for r in documents.select("output").toLocalIterator():
             Ranges(r.output, mark).drop()
@@ -339,7 +344,7 @@ def joined(frames: Iterator[pd.DataFrame], mark: str) -> Iterator[pd.DataFrame]:
             if r.n != r.size:
                 raise OSError(f"{r.output} has {r.n} of {r.size} bytes")
             Ranges(r.output, mark).commit(int(r.size))
-        yield frame[["output"]]
+        yield frame[["output"]].assign(finished=time.time())
 
 
 @dataclass

@@ -15,9 +15,13 @@ def arriving_files(spark: SparkSession, folder: str, pattern: str = "*.tif*") ->
     return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", "modificationTime")
 
 
-def convert_arriving(files: DataFrame, image_type: str, output_folder: str, checkpoint: str, reports: str, **options) -> StreamingQuery:
+def convert_arriving(
+    files: DataFrame, image_type: str, output_folder: str, checkpoint: str, reports: str, trigger: dict | None = None, **options,
+) -> StreamingQuery:
     """Starts converting each batch of ``arriving_files`` as one job. Outputs are called like
-    their inputs, with .ome.tif at the end; reports go to a folder a batch. A batch that is
+    their inputs, with .ome.tif at the end; reports go to a folder a batch. ``trigger`` is
+    Spark's: {"processingTime": "1 minute"} goes on as files arrive; without one, what is there
+    is converted and the query ends. A batch that is
     repeated after a failure writes the same files again."""
     output = F.concat(F.lit(output_folder.rstrip("/") + "/"), F.regexp_extract("path", r"([^/]+?)(\.\w+)?$", 1), F.lit(".ome.tif"))
 
@@ -27,4 +31,4 @@ def convert_arriving(files: DataFrame, image_type: str, output_folder: str, chec
             rows = convert_images(manifest, **options)
             rows.write.mode("overwrite").parquet(f"{reports}/batch={number}")
 
-    return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
