@@ -1,14 +1,17 @@
-"""Baseline JPEG tiles in NumPy.
+"""JPEG tiles in NumPy: baseline is written and read, progressive read.
 
 Encoding is vectorised over all blocks of a tile, entropy codes included. Decoding reads
 the entropy codes in one loop over symbols, of which a tile has far fewer than pixels,
-and does everything else at once. Tables may come apart from the data, as in TIFF files.
+and does everything else at once. A progressive stream has several scans, each of some
+coefficients of some components, or of one more bit of them (see ``progressive.py``).
+Tables may come apart from the data, as in TIFF files.
 """
 
 from __future__ import annotations
 
 import functools
 import struct
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -27,7 +30,7 @@ AC_SYMBOLS = bytes.fromhex(
     "434445464748494a535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aa"
     "b2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"
 )
-SOI, EOI, SOF0, SOF1, DHT, DQT, SOS, DRI = 0xD8, 0xD9, 0xC0, 0xC1, 0xC4, 0xDB, 0xDA, 0xDD
+SOI, EOI, SOF0, SOF1, SOF2, DHT, DQT, SOS, DRI = 0xD8, 0xD9, 0xC0, 0xC1, 0xC2, 0xC4, 0xDB, 0xDA, 0xDD
 
 
 def zigzag() -> np.ndarray:
@@ -151,15 +154,42 @@ def lookup(lengths: bytes, symbols: bytes) -> list[int]:
     return out.tolist()
 
 
+@dataclass(frozen=True)
+class Scan:
+    """A scan of a progressive stream: its components' tables, the coefficients and the bits that it
+    has, and its entropy-coded data."""
+
+    tables: dict[int, int]
+    first: int
+    last: int
+    above: int  # the bit that was read before, 0 in the first scan of these coefficients
+    low: int  # the bit that this scan goes down to
+    huffman: dict[int, list[int]]
+    restart: int
+    data: bytes
+
+
+def entropy_end(data: bytes, at: int) -> int:
+    """Where the next marker is that ends a scan."""
+    while True:
+        at = data.find(b"\xff", at)
+        if at < 0 or at + 1 >= len(data):
+            return len(data)
+        if data[at + 1] and data[at + 1] != 0xFF and not 0xD0 <= data[at + 1] <= 0xD7:
+            return at
+        at += 1 if data[at + 1] == 0xFF else 2
+
+
 class Stream:
     """Tables, frame and scan of one stream, and of the tables that came before it."""
 
     def __init__(self):
         self.quantum, self.huffman, self.restart, self.frame, self.scan = {}, {}, 0, None, None
+        self.progressive, self.scans, self.ended = False, [], False
 
     def read(self, data: bytes) -> Stream:
         at = 2
-        while at + 4 <= len(data):
+        while at + 2 <= len(data):
             if data[at] != 0xFF:
                 raise ValueError("broken JPEG data")
             marker = data[at + 1]
@@ -167,6 +197,9 @@ class Stream:
                 at += 1 if marker == 0xFF else 2
                 continue
             if marker == EOI:
+                self.ended = True
+                break
+            if at + 4 > len(data):
                 break
             size = struct.unpack_from(">H", data, at + 2)[0]
             body = data[at + 4 : at + 2 + size]
@@ -182,17 +215,22 @@ class Stream:
                     n = sum(body[1:17])
                     self.huffman[body[0]] = lookup(bytes(body[1:17]), bytes(body[17 : 17 + n]))
                     body = body[17 + n :]
-            elif marker in (SOF0, SOF1):
+            elif marker in (SOF0, SOF1, SOF2):
+                self.progressive = marker == SOF2
                 h, w, n = struct.unpack_from(">HHB", body, 1)
                 self.frame = (h, w, [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)])
             elif 0xC2 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
-                raise NotImplementedError("only baseline JPEG is read")
+                raise NotImplementedError("only baseline and progressive JPEG are read")
             elif marker == DRI:
                 self.restart = struct.unpack(">H", body)[0]
             elif marker == SOS:
                 tables = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
-                self.scan = (tables, data[at:])
-                break
+                if not self.progressive:
+                    self.scan = (tables, data[at:])
+                    break
+                end = entropy_end(data, at)
+                self.scans.append(Scan(tables, *body[-3:-1], body[-1] >> 4, body[-1] & 15, dict(self.huffman), self.restart, data[at:end]))
+                at = end
         return self
 
 
@@ -202,7 +240,7 @@ def decode(data: bytes, tables: bytes | None = None) -> np.ndarray:
     if tables:
         s.read(tables)
     s.read(data)
-    if s.frame is None or s.scan is None:
+    if s.frame is None or not (s.scan or s.scans):
         raise ValueError("JPEG data without a frame or a scan")
     h, w, parts = s.frame
     high, wide = max(v for _, _, v, _ in parts), max(x for _, x, _, _ in parts)
@@ -210,7 +248,14 @@ def decode(data: bytes, tables: bytes | None = None) -> np.ndarray:
     if len(parts) == 1:  # blocks of a single component stand in rows, whatever its factors
         parts, high, wide = [(parts[0][0], 1, 1, parts[0][3])], 1, 1
         down, across = -(-h // 8), -(-w // 8)
-    coded = coefficients(s, parts, down * across)
+    if s.progressive and not s.ended:
+        raise ValueError("JPEG data ends too early")  # scans may be missing, which would not show
+    if s.progressive:
+        from .progressive import gathered
+
+        coded = gathered(s.scans, parts, h, w, high, wide)
+    else:
+        coded = coefficients(s, parts, down * across)
     planes = []
     for (_, x, v, q), c in zip(parts, coded, strict=True):
         flat = np.zeros((len(c), 64), np.float32)

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessella.operators import codecs, packbits, pyramid
+from tessella.operators import codecs, jpeg, packbits, pyramid
 from tessella.sinks import ometiff
 from tessella.sources import tiff
 from tessella.sources.files import Ranges
@@ -218,3 +218,51 @@ def test_blocks_are_cut_before_the_shuffle(spark):
     assert n(blocks) < n(pyramid.cut_parts(blocks, 32, 3)) < 1.6 * n(blocks)
     plan = pyramid.retile(blocks, 32)._jdf.queryExecution().toString()
     assert "Generate" not in plan and plan.count("MapInArrow") >= 2
+
+
+def java_pictures(spark, pixels, progressive, quality=0.9):
+    """JPEG data as the JVM writes it, and its pixels as the JVM reads them."""
+    jvm = spark._jvm
+    h, w, samples = pixels.shape
+    image = jvm.java.awt.image.BufferedImage(w, h, 5 if samples == 3 else 10)
+    values = spark.sparkContext._gateway.new_array(jvm.int, h * w * samples)
+    for i, v in enumerate(pixels.ravel().tolist()):
+        values[i] = v
+    image.getRaster().setPixels(0, 0, w, h, values)
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpg").next()
+    how = writer.getDefaultWriteParam()
+    if progressive:
+        how.setProgressiveMode(1)  # the usual scans
+    how.setCompressionMode(2)
+    how.setCompressionQuality(quality)
+    out = jvm.java.io.ByteArrayOutputStream()
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), how)
+    stream.close()
+    data = bytes(out.toByteArray())
+    raster = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data))).getRaster()
+    none = spark.sparkContext._gateway.jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Integer.TYPE, h * w * samples)
+    return data, np.array(list(raster.getPixels(0, 0, w, h, none))).reshape(h, w, samples)
+
+
+@pytest.mark.parametrize("samples", [1, 3])
+@pytest.mark.parametrize("quality", [0.5, 0.95])
+def test_progressive_jpeg_against_another_reader(spark, samples, quality):
+    rng = np.random.default_rng(7)
+    y, x = np.mgrid[0:45, 0:61]
+    pixels = np.stack([128 + 60 * np.sin(x / (5 + k)) + 40 * np.cos(y / 7) + rng.normal(0, 6, x.shape) for k in range(samples)], -1).clip(0, 255).astype(np.uint8)
+    data, theirs = java_pictures(spark, pixels, True, quality)
+    assert b"\xff\xc2" in data and data.count(b"\xff\xda") > 5
+    plain, same_pixels = java_pictures(spark, pixels, False, quality)
+    mine, baseline = jpeg.decode(data), jpeg.decode(plain)
+    assert (mine == baseline).all()  # the same coefficients in another order
+    shown = jpeg.from_ycc(mine) if samples == 3 else mine
+    if samples == 1:
+        assert np.abs(shown.astype(int) - theirs).max() <= 1
+    else:  # colours at half the size are spread otherwise by each reader
+        assert np.abs(shown.astype(int) - theirs).mean() < 3 and (theirs == same_pixels).all()
+    scans = [i for i in range(len(data)) if data[i : i + 2] == b"\xff\xda"]
+    for n in (60, len(data) // 3, len(data) // 2, scans[2], scans[-1], len(data) - 2):
+        with pytest.raises(ValueError):
+            jpeg.decode(data[:n])
