@@ -90,11 +90,15 @@ class Lexicon:
         """A word's weight, the greatest of its units; without one text of ``label``."""
         less = {None: (0, 0), 1: (1, 0), 0: (0, 1)}[label]
         weights = {u: self.weight(a - less[0], max(0, b - less[1])) for u, (a, b) in self.counts.items()}
-        heads = {u[:3] for u in weights}  # what no unit begins like has no weight
+        ways = {u[:n] for u in weights for n in range(1, len(u) + 1)}  # beginnings of units: where none goes on, the search ends
 
         def weigh(word: str) -> float:
-            head = word[:3] if len(word) > 2 else word + "$"
-            return max(weights.get(u, 0.0) for u in units({word})) if head in heads else 0.0
+            best = 0.0
+            for n in range(3, min(9, len(word))):
+                if word[:n] not in ways:
+                    return best
+                best = max(best, weights.get(word[:n], 0.0))
+            return max(best, weights.get(word + "$", 0.0))
 
         return weigh
 

@@ -39,6 +39,18 @@ def test_weights_leave_a_texts_own_part_out():
     assert lexicon.weigher(None)("rare") > 0 and lexicon.weigher(1)("rare") == 0 and lexicon.weigher(None)("fine") == 0
 
 
+def test_weights_are_those_of_all_units():
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(1, 12)))
+    counts = {u: (rng.randrange(3, 9), rng.randrange(3)) for _ in range(60) for u in list(toxicity.units({word()}))[:2]}
+    lexicon = toxicity.Lexicon(counts, 10, 90)
+    weigh = lexicon.weigher(None)
+    for w in {word() for _ in range(2000)}:
+        assert weigh(w) == max((lexicon.weight(*counts[u]) for u in toxicity.units({w}) if u in counts), default=0.0)
+
+
 def test_units_are_counted_once_a_text(spark):
     rows = spark.createDataFrame([(1, 1, "Foulest foulest foul"), (2, 0, "foul"), (3, 0, None), (4, 1, "fo")], "id long, y int, text string")
     got = {r.unit: (r.toxic, r.other) for r in toxicity.counted_units(rows).collect()}
