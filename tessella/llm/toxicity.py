@@ -200,14 +200,16 @@ def counted_units(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, "unit string, toxic long, other long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def learn_lexicon(rows: DataFrame, scratch: Scratch, units: int = 20_000, least: int = 3) -> Lexicon:
-    """The ``units`` of the greatest weights; of equal ones those that sort first."""
+def learn_lexicon(rows: DataFrame, scratch: Scratch, units: int = 20_000, least: int = 3, share: float = 0.002) -> Lexicon:
+    """The ``units`` of the greatest weights; of equal ones those that sort first. Each is in ``least``
+    toxic texts, and in that share of them: of very many texts, chance gives rare words to some."""
     counts = scratch.table(counted_units(rows), "toxic-units", small=True)
     total = counts.where("unit = ''").first()
     if total is None:
         return Lexicon({}, 0, 0, least)
-    share = lambda c, n: (F.col(c) + 0.5) / F.lit(n + 1.0)
-    ratio = share("toxic", total.toxic) / share("other", total.other)
+    least = max(least, math.ceil(share * total.toxic))
+    part = lambda c, n: (F.col(c) + 0.5) / F.lit(n + 1.0)
+    ratio = part("toxic", total.toxic) / part("other", total.other)
     found = counts.where((F.col("unit") != "") & (F.col("toxic") >= least) & (ratio >= math.exp(SOME / 2)))
     found = found.orderBy(ratio.desc(), "unit").limit(units).collect()
     return Lexicon({r.unit: (r.toxic, r.other) for r in found}, total.toxic, total.other, least)
