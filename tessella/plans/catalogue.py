@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import omexml
+from ..functions import omexml, xsd
 from ..functions import scalars as S
 from ..operators import profiles, pyramid
 from ..sinks import ometiff
@@ -279,6 +279,23 @@ def schema_predicate(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", omexml.schema_valid(omexml.element("part", {"size": size}), f"{at}/part.xsd").alias("valid"))
 
 
+ORDER_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="part"><xs:complexType>
+<xs:sequence><xs:element name="name" type="xs:string"/><xs:element name="size" type="xs:positiveInteger" minOccurs="0" maxOccurs="2"/></xs:sequence>
+<xs:attribute name="key" type="xs:integer" use="required"/></xs:complexType></xs:element></xs:schema>"""
+
+
+def schema_reasons(spark, sf_dir):
+    """Where documents leave their schema: five of six do, each kind in its own way."""
+    name, size = omexml.element("name", {}, omexml.escaped(F.col("p_name"))), omexml.element("size", {}, F.col("p_size").cast("string"))
+    kind = F.pmod(F.col("p_partkey"), F.lit(6))
+    inner = (
+        F.when(kind == 1, F.concat(size, name)).when(kind == 2, F.concat(name, size, size, size))
+        .when(kind == 3, F.concat(name, F.lit("<size>0</size>"))).when(kind == 4, F.lit("")).otherwise(F.concat(name, size))
+    )
+    xml = omexml.element("part", {"key": F.when(kind != 5, F.col("p_partkey"))}, inner)
+    return t(spark, sf_dir, "part").select("p_partkey", xsd.schema_reason(xml, ORDER_XSD).alias("reason"))
+
+
 def file_checksums(spark, sf_dir):
     """Digests and sizes of files, one for each nation, that hold its name."""
     folder = shared_folder(spark)
@@ -522,6 +539,9 @@ SQL = {
         || ' Namespace="{omexml.PYRAMID_NAMESPACE}"><Value><M K="1">200 150</M></Value></MapAnnotation></StructuredAnnotations></OME>' AS xml, false AS leaks
         FROM conversations GROUP BY conv_id""",
     "schema_predicate": "SELECT p_partkey, p_partkey % 3 > 0 AS valid FROM part",
+    "schema_reasons": """SELECT p_partkey, CASE p_partkey % 6 WHEN 1 THEN '/part: element ''size'' is not expected, but name'
+        WHEN 2 THEN '/part: element ''size'' is not expected' WHEN 3 THEN '/part/size: ''0'' is no positiveInteger'
+        WHEN 4 THEN '/part: element ''name'' is missing' WHEN 5 THEN '/part: attribute ''key'' is missing' END AS reason FROM part""",
     "file_checksums": "SELECT n_nationkey, md5(n_name) AS md5_checksum, CAST(strlen(n_name) AS BIGINT) AS size_bytes FROM nation",
     "conversion_report": """SELECT r_regionkey, CASE r_name WHEN 'ASIA' THEN 'East' ELSE r_name END AS channel, '300' AS size_x, '0.' || r_regionkey || '0' AS physical_size_x,
         'Akoya MIF QPTIFF' AS input_type, 'OME-TIFF' AS output_type, 'LZW' AS compression, CAST(NULL AS VARCHAR) AS uuid, true AS has_ratio, 32 AS digits FROM region""",

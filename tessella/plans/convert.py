@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__
-from ..functions import omexml
+from ..functions import omexml, xsd
 from ..functions import scalars as S
 from ..operators import pyramid
 from ..operators.lineage import check_sources
@@ -189,7 +189,8 @@ def convert_images(
     strict: bool = False, tile_size: int = 512, downsample: str = "simple", reports: str | None = None,
 ) -> DataFrame:
     """Converts all images of a manifest; one row each with the report in columns: path,
-    series, ome, input_file, output_file, options, conversion_stats.
+    series, ome, input_file, output_file, options, conversion_stats; and invalid_reason, where
+    the schema rejects the document.
 
     ``strict``: an error for a document that the schema rejects, before any file is
     written; otherwise it is reported and a warning logged. ``reports``: a folder in which
@@ -212,7 +213,7 @@ def convert_images(
             names = store.documents().select(F.explode("found_names").alias("n")).where(F.col("n").isin(list(rename))).distinct()
             for name in sorted(set(rename) - {r.n for r in names.collect()}):
                 log.warning("no channel has the name %s", name)
-        valid = store.write(validated(store.documents(), schema_location, folder, strict), "validated")
+        valid = validated(store.documents(), schema_location, folder, strict)
         outputs = store.write_files(compression, quality)
         files = outputs.select("path").unionAll(outputs.select(F.col("output").alias("path")))
         sums = store.write(checksums(files), "checksums")
@@ -233,6 +234,7 @@ def convert_images(
                 S.readable_time(F.timestamp_seconds(F.lit(started))).alias("start_time"), S.readable_time(F.timestamp_seconds("finished")).alias("stop_time"),
                 S.run_time(F.col("finished") - F.lit(started)).alias("run_time"), S.size_ratio(F.col("o.size_bytes"), F.col("i.size_bytes")).alias("compression_ratio"),
             ).alias("conversion_stats"),
+            "invalid_reason",
         )
         reports = reports or f"{folder}-reports"
         rows.write.parquet(reports)
@@ -242,19 +244,32 @@ def convert_images(
 
 
 def validated(documents: DataFrame, schema_location: str | None, folder: str, strict: bool) -> DataFrame:
-    """path, series, uuid, xml and xml_is_valid, null if no schema was given: none comes with the engine."""
+    """path, series, uuid, xml, xml_is_valid, which is null if no schema was given (none comes with
+    the engine), and invalid_reason, which every document has that the schema rejects."""
     spark = documents.sparkSession
     plain = documents.select(*KEY, "uuid", "xml")
+    none = F.lit(None).cast("string").alias("invalid_reason")
     if schema_location is None:
-        return plain.withColumn("xml_is_valid", F.lit(None).cast("boolean"))
+        return plain.select("*", F.lit(None).cast("boolean").alias("xml_is_valid"), none)
     path = local_schema(schema_location, folder)
     spark.sparkContext.addFile(path)
     checked = plain.withColumn("xml_is_valid", omexml.schema_valid(F.col("xml"), path))
-    for r in checked.where("not xml_is_valid").limit(10).collect():
-        reason = omexml.schema_error(spark, r.xml, path)
+    with open(path, encoding="utf-8") as file:
+        text = file.read()
+    try:
+        xsd.Schema(text)
+        found = xsd.schema_reason(F.when(~F.col("xml_is_valid"), F.col("xml")), text)
+    except NotImplementedError as e:
+        log.warning("reasons are not told under this schema: %s", e)
+        found = F.lit(None).cast("string")
+    unknown = F.when(~F.col("xml_is_valid"), "it does not satisfy the schema")
+    checked = checked.withColumn("invalid_reason", F.coalesce(found, unknown))
+    checked.write.parquet(f"{folder}/reasons")
+    checked = spark.read.parquet(f"{folder}/reasons")
+    for r in checked.where("not xml_is_valid").limit(10).collect():  # to the log; all are in the result
         if strict:
-            raise ValueError(f"the OME document of {r.path} does not satisfy the schema: {reason}")
-        log.warning("the OME document of %s does not satisfy the schema: %s", r.path, reason)
+            raise ValueError(f"the OME document of {r.path} does not satisfy the schema: {r.invalid_reason}")
+        log.warning("the OME document of %s does not satisfy the schema: %s", r.path, r.invalid_reason)
     return checked
 
 
