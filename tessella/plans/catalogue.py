@@ -16,7 +16,7 @@ from ..functions import omexml, xsd
 from ..functions import scalars as S
 from ..operators import profiles, pyramid
 from ..sinks import ometiff
-from ..sources import tiff
+from ..sources import arraystore, tiff
 from ..sources.files import filesystem, shared_folder
 from .convert import checksums, convert_images
 
@@ -179,6 +179,25 @@ def tiff_pixels_one_bit(spark, sf_dir):
     return full_size(written_images(pyramid.retile(tall_images(spark, sf_dir, "uint8", lambda x: (x > 0).cast("int")), 32), 32, "PackBits", bits=1))
 
 
+def stored_image(spark, sf_dir) -> str:
+    """The path of a chunked array store of all embeddings, a chunk 32 x 32 pixels."""
+    folder = shared_folder(spark)
+    arraystore.write_store(pyramid.retile(one_image(spark, sf_dir), 32), folder, 32)
+    return f"{folder}/all"
+
+
+def store_pixels(spark, sf_dir):
+    """Pixels of a chunked array store."""
+    p = pyramid.pixels_of(pyramid.as_blocks(arraystore.open_store(spark, stored_image(spark, sf_dir)), 32))
+    return p.select("y", "x", F.round("v", 6).alias("v"))
+
+
+def store_pixels_of_chunks(spark, sf_dir):
+    """Pixels of the chunks in the right half of every other row of chunks; no other file is opened."""
+    tiles = arraystore.read_store(spark, stored_image(spark, sf_dir), "tx = 1 AND ty % 2 = 1")
+    return pyramid.pixels_of(pyramid.as_blocks(tiles, 32)).select("y", "x", F.round("v", 6).alias("v"))
+
+
 def tiff_pixels_of_level(spark, sf_dir):
     """Pixels of the reduced level, which alone the pixel source reads."""
     images = written_images(two_levels(spark, sf_dir), 32, "Deflate")
@@ -514,6 +533,8 @@ SQL = {
     "tiff_pixels_packbits": f"WITH {TALLS} SELECT image, y, x, least(greatest(floor(128 + 4 * v), 0), 255) AS v FROM p",
     "tiff_pixels_twelve_bits": f"WITH {TALLS} SELECT image, y, x, least(greatest(floor(2048 + 400 * v), 0), 4095) AS v FROM p",
     "tiff_pixels_one_bit": f"WITH {TALLS} SELECT image, y, x, CAST(v > 0 AS DOUBLE) AS v FROM p",
+    "store_pixels": f"WITH {ROWS} SELECT y, x, round(v, 6) AS v FROM p",
+    "store_pixels_of_chunks": f"WITH {ROWS} SELECT y, x, round(v, 6) AS v FROM p WHERE x >= 32 AND y // 32 % 2 = 1",
     "tiff_pixels_of_level": f"""WITH {TALLS} SELECT image, y // 2 AS y, x // 2 AS x, round(v, 6) AS v FROM p JOIN n USING (image)
         WHERE y % 2 = 0 AND x % 2 = 0 AND n > 256""",
     "tiff_pixels_jpeg": "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, 0 AS off FROM embeddings",
