@@ -7,6 +7,10 @@ place in it.
 
 from __future__ import annotations
 
+import io
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +54,61 @@ def first_annotation(xml: Column) -> Column:
     return F.get(parsed(xml, MAP_XML, strict=False)["StructuredAnnotations"]["MapAnnotation"], 0)
 
 
+FOUND = "array<struct<path:string,attributes:map<string,string>,texts:array<struct<path:string,key:string,value:string>>>>"
+
+
+def found_elements(xml: str, name: str, namespace: str | None, most: int | None) -> list[dict]:
+    """Elements of a name, wherever they stand and whatever prefix they have, in the order in which
+    they begin; of none within another one of them. Read as events, with the names above."""
+    above: list[str] = []
+    out: list[dict] = []
+    inside = 0  # how deep within an element that was found
+    wanted = name if namespace is None else f"{{{namespace}}}{name}"
+    plain = lambda tag: tag.rpartition("}")[2]
+    for event, node in ElementTree.iterparse(io.BytesIO(xml.encode()), ["start", "end"]):
+        if event == "start":
+            above.append(plain(node.tag))
+            if inside:
+                inside += 1
+            elif (plain(node.tag) if namespace is None else node.tag) == wanted:
+                inside = 1
+                out.append({"path": "/" + "/".join(above), "attributes": {plain(k): v for k, v in node.attrib.items()}, "texts": []})
+            continue
+        if inside:
+            if node.text and node.text.strip():
+                place = "/".join(above[len(above) - inside + 1 :])
+                out[-1]["texts"].append({"path": place, "key": node.get("K"), "value": node.text.strip()})
+            inside -= 1
+            if not inside and len(out) == most:
+                break
+        else:
+            node.clear()  # what lies behind is needed no more
+        above.pop()
+    return out
+
+
+def descendants(xml: Column, name: str, namespace: str | None = OME_NAMESPACE, most: int | None = None) -> Column:
+    """path, attributes, and texts (path, K and value) of the elements of a name anywhere in a document,
+    the first ``most``; in any namespace if that is None. Null for null and malformed documents."""
+
+    @F.pandas_udf(FOUND)
+    def find(texts: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                return None if text is None else found_elements(text, name, namespace, most)
+            except ElementTree.ParseError:
+                return None
+
+        return texts.map(one)
+
+    return find(xml)
+
+
+def first_map_annotation(xml: Column) -> Column:
+    """The first MapAnnotation of a document, anywhere in its tree, or null."""
+    return F.get(descendants(xml, "MapAnnotation", most=1), 0)
+
+
 def escaped(value: Column) -> Column:
     """Text for an XML attribute or element."""
     out = value.cast("string")

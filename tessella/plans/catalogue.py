@@ -488,6 +488,18 @@ def features_annotation_merge(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", "lang").join(found, "doc_id", "left")
 
 
+def annotation_anywhere(spark, sf_dir):
+    """The first annotation of documents that hold it deep in their trees, with and without a prefix,
+    beside others of a foreign namespace."""
+    l = t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))  # noqa: E741
+    deep = '<{0}Image><{0}Plane><{0}MapAnnotation ID="A:%d" Namespace="n"><{0}Value><{0}M K="quality">%d</{0}M></{0}Value></{0}MapAnnotation></{0}Plane></{0}Image>'
+    head = '<{1}OME xmlns{0}="' + omexml.OME_NAMESPACE + '"><MapAnnotation xmlns="urn:other" ID="foreign"/>'
+    made = lambda prefix, mark: F.format_string(head.format(mark, prefix) + deep.format(prefix) + f"</{prefix}OME>", "doc_id", F.coalesce("quality", F.lit(9)))
+    xml = F.when(F.col("doc_id") % 3 == 0, made("o:", ":o")).when(F.col("doc_id") % 3 == 1, made("", "")).otherwise('<OME><MapAnnotation ID="none"/></OME>')
+    a = omexml.first_map_annotation(xml)
+    return l.select("doc_id", a.alias("a")).select("doc_id", "a.path", F.col("a.attributes")["ID"].alias("note_id"), F.get("a.texts", 0)["value"].alias("note"))
+
+
 PIXELS = """
 p AS (SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, CAST(embedding[i] AS DOUBLE) AS v
       FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))"""
@@ -573,6 +585,8 @@ SQL = {
     "features_annotation_merge": """SELECT d.doc_id, lang, CASE WHEN d.doc_id % 2 = 0 AND q IS NOT NULL THEN 'quality' END AS note_id,
         CASE WHEN d.doc_id % 2 = 0 THEN CAST(q AS VARCHAR) END AS note FROM documents d
         LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) n ON d.doc_id = n.doc_id""",
+    "annotation_anywhere": """SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN '/OME/Image/Plane/MapAnnotation' END AS path, CASE WHEN doc_id % 3 < 2 THEN 'A:' || doc_id END AS note_id,
+        CASE WHEN doc_id % 3 < 2 THEN CAST(coalesce(max(quality), 9) AS VARCHAR) END AS note FROM labels GROUP BY doc_id""",
     "md5_checksum": "SELECT doc_id, md5(text) AS md5_checksum, strlen(text) AS size_bytes FROM documents",
     "duplicate_file_groups": "SELECT md5(text) AS md5_checksum, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "channel_rename": f"SELECT n_nationkey, {_RENAME} AS n_name FROM nation",

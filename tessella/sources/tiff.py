@@ -8,6 +8,7 @@ paths and scale with files and blocks. Files open through pyarrow's file systems
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 from types import SimpleNamespace
@@ -145,7 +146,9 @@ def grouped(rows: list[dict], subs: list[list[dict]]) -> list[dict]:
         main = keys[0]
         ratio = main[0] / key[0]
         near = abs(main[1] / key[1] - ratio) <= 0.1 * ratio
-        if key != main and key[2:] == main[2:] and len(groups[key]) == len(groups[main]) and near and ratio > 1.5:
+        halvings = math.log2(ratio)
+        near = near and round(halvings) >= 1 and abs(halvings - round(halvings)) < 0.1
+        if key != main and key[2:] == main[2:] and len(groups[key]) == len(groups[main]) and near:
             level += 1
             place = (0, level)
         else:

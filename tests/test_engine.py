@@ -82,6 +82,9 @@ def test_page_source_groups_series(spark, tmp_path):
     got = sorted((r.series, r.level, r.page) for r in df.collect())
     assert got == [(0, 0, 0), (0, 0, 1), (0, 1, 0), (0, 1, 1), (1, 0, 0)]
     assert df.where("series = 1").count() == 1
+    thumbnail = np.zeros((21, 21), np.uint8)  # in proportion, but no halves of anything
+    write_tiff(tmp_path / "b.tif", [(a[:, :, None], "x"), (b, None), (thumbnail, None)])
+    assert sorted((r["series"], r["level"], r["height"]) for r in tiff.pages_of(str(tmp_path / "b.tif"))) == [(0, 0, 64), (0, 1, 32), (1, 0, 21)]
 
 
 def make_mif(path, names=("DAPI", "CD<8> & \"x\" µ")):

@@ -83,3 +83,17 @@ def test_reasons_of_many_documents(spark, tmp_path):
     docs = spark.createDataFrame([(x,) for x in ("<part key='1'><name/></part>", "<part/>", None, "<part", "")], "xml string")
     rows = docs.select("xml", xsd.schema_reason(F.col("xml"), catalogue.ORDER_XSD).alias("r")).collect()
     assert [r.r is None for r in rows] == [True, False, True, False, False]
+
+
+def test_elements_anywhere(spark):
+    ns = omexml.OME_NAMESPACE
+    xml = (
+        f'<p:OME xmlns:p="{ns}"><MapAnnotation xmlns="urn:x" ID="no"/><p:A><p:B><p:MapAnnotation ID="1"><p:Value><p:M K="a"> 5 </p:M><p:M K="b">6</p:M></p:Value>'
+        f'<p:MapAnnotation ID="within"/></p:MapAnnotation></p:B></p:A><MapAnnotation xmlns="{ns}" ID="2"/></p:OME>'
+    )
+    found = omexml.found_elements(xml, "MapAnnotation", ns, None)
+    assert [(f["path"], f["attributes"]["ID"]) for f in found] == [("/OME/A/B/MapAnnotation", "1"), ("/OME/MapAnnotation", "2")]
+    assert [(x["path"], x["key"], x["value"]) for x in found[0]["texts"]] == [("Value/M", "a", "5"), ("Value/M", "b", "6")]
+    assert len(omexml.found_elements(xml, "MapAnnotation", ns, 1)) == 1 and len(omexml.found_elements(xml, "MapAnnotation", None, None)) == 3
+    rows = spark.createDataFrame([(xml,), (None,), ("<a",), ("<OME/>",)], "xml string").select(omexml.first_map_annotation(F.col("xml")).alias("a")).collect()
+    assert rows[0].a.attributes == {"ID": "1"} and [r.a for r in rows[1:]] == [None] * 3
