@@ -129,9 +129,10 @@ def data_offset(reader: RangeReader, member: Member) -> int:
     return member.header_offset + LOCAL_LEN + names + extras
 
 
-def read_index(reader: RangeReader, members: dict[str, Member]) -> list[dict]:
+def read_index(reader: RangeReader, members: dict[str, Member], begin: int = 0, length: int | None = None) -> list[dict]:
+    """The entries of the index, or of a stretch of its bytes."""
     at = data_offset(reader, members[INDEX])
-    text = reader.read(at, members[INDEX].size).decode()
+    text = reader.read(at + begin, members[INDEX].size - begin if length is None else length).decode()
     return [json.loads(line.split(" ", 2)[2]) for line in text.split("\n") if line]
 
 
@@ -187,12 +188,13 @@ class PackageWriter:
     def __init__(self, sink):
         self.zip = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED, allowZip64=True)
         self.records = self.zip.open(zipfile.ZipInfo(RECORDS), "w", force_zip64=True)
-        self.at, self.index = 0, io.StringIO()
-        self.n = 0
+        self.at, self.index = 0, io.BytesIO()
+        self.n, self.lines = 0, []  # where every record's line of the index begins
 
     def add(self, url: str | None, record: bytes) -> None:
         entry = {"url": url or "", "offset": self.at, "length": len(record)}
-        self.index.write(f"{clean_header(url or '-').replace(' ', '%20') or '-'} 20240101000000 {json.dumps(entry)}\n")
+        self.lines.append(self.index.tell())
+        self.index.write(f"{clean_header(url or '-').replace(' ', '%20') or '-'} 20240101000000 {json.dumps(entry)}\n".encode())
         self.records.write(record)
         self.at += len(record)
         self.n += 1
@@ -231,7 +233,8 @@ def with_revisits(
 
 def write_packages(records: DataFrame, folder: str, roll_bytes: int = 64 << 20, split: int = 2000) -> DataFrame:
     """Writes ``with_revisits`` rows as packages in ``folder``; returns (path,
-    first, n) rows, each a run of at most ``split`` records of a package."""
+    first, n, begin, length) rows, each a run of at most ``split`` records of a package, and the
+    bytes of its index that tell where they are."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = filesystem(folder)
@@ -241,7 +244,8 @@ def write_packages(records: DataFrame, folder: str, roll_bytes: int = 64 << 20,
         def finish():
             writer.close()
             sink.close()
-            done.extend((f"{folder}/{name}", i, min(split, writer.n - i)) for i in range(0, writer.n, split))
+            marks = [*writer.lines[::split], writer.index.tell()]
+            done.extend((f"{folder}/{name}", k * split, min(split, writer.n - k * split), a, b - a) for k, (a, b) in enumerate(zip(marks, marks[1:], strict=False)))
 
         for batch in batches:
             for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -255,13 +259,10 @@ def write_packages(records: DataFrame, folder: str, roll_bytes: int = 64 << 20,
                     writer = None
         if writer is not None:
             finish()
-        cols = list(zip(*done, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())],
-            ["path", "first", "n"],
-        )
+        cols = list(zip(*done, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["path", "first", "n", "begin", "length"])
 
-    return materialise(records.mapInArrow(write, "path string, first long, n long"), "warc-parts")
+    return materialise(records.mapInArrow(write, "path string, first long, n long, begin long, length long"), "warc-parts")
 
 
 RECORD_SCHEMA = (
@@ -281,19 +282,19 @@ def read_packages(parts: DataFrame, with_payload: bool = False) -> DataFrame:
             ("record_id", pa.string()), ("payload", pa.binary()),
         ])
         for batch in batches:
-            for path, first, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, begin, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 files, at = filesystem(path)
                 rows = []
                 with files.open_input_file(at) as file:
                     reader = RangeReader(file, file.size())
                     members = directory(reader)
                     start = data_offset(reader, members[RECORDS])
-                    for entry in read_index(reader, members)[first : first + n]:
+                    for entry in read_index(reader, members, begin, length):
                         headers, block = parse_record(reader.read(start + entry["offset"], entry["length"]))
                         rows.append(record_row(headers, block, with_payload))
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    spread = parts.repartition(max(1, min(4096, parts.count())))
+    spread = parts.select("path", "begin", "length").repartition(max(1, min(4096, parts.count())))
     return spread.mapInArrow(read, RECORD_SCHEMA)
 
 
