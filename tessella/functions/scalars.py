@@ -6,6 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What a schema's location begins with if it is to be downloaded.
+REMOTE = "^(https://|http:)"
+
+
+def is_remote(location: Column) -> Column:
+    return location.rlike(REMOTE)
+
+
+def number_list(numbers: Column) -> Column:
+    """Whole numbers with commas, as the pixel source's options and the command line take them."""
+    return F.array_join(F.transform(numbers, lambda n: n.cast("string")), ",")
+
+
 def renamed(name: Column, mapping: Column) -> Column:
     """The mapped name where there is one, null targets included, else the name itself."""
     return F.when(F.coalesce(F.map_contains_key(mapping, name), F.lit(False)), mapping[name]).otherwise(name)

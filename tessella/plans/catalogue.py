@@ -8,6 +8,7 @@ of a conversation are the pages of an image, with a scanner's description each.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,7 +121,7 @@ def written_images(tiles: DataFrame, size: int, compression: str, **options) ->
     spark = tiles.sparkSession
     folder = shared_folder(spark)
     forms = {k: v for k, v in options.items() if k in ("predictor", "bits")}
-    ometiff.write_segments(tiles, f"{folder}/segments", compression, size, **forms).write.parquet(f"{folder}/index")
+    ometiff.write_segments(tiles, f"{folder}/segments", compression, size, options.pop("rgb", False), **forms).write.parquet(f"{folder}/index")
     index = spark.read.parquet(f"{folder}/index")
     own = index.select("path", "series").distinct().withColumns({"xml": F.lit("<OME/>"), "output": F.concat(F.lit(folder + "/"), "path", F.lit(".tif"))})
     return ometiff.write_images(index, own, compression, size, **options)
@@ -179,6 +180,27 @@ def tiff_pixels_one_bit(spark, sf_dir):
     return full_size(written_images(pyramid.retile(tall_images(spark, sf_dir, "uint8", lambda x: (x > 0).cast("int")), 32), 32, "PackBits", bits=1))
 
 
+def tiff_pixels_rgb(spark, sf_dir):
+    """Three channels stored as samples of one, read as channels again."""
+    byte = lambda k: lambda x: F.least(F.greatest(F.floor(128 + 30 * x + 10 * k), F.lit(0)), F.lit(255))
+    parts = [pyramid.retile(tall_images(spark, sf_dir, "uint8", byte(k)).withColumn("c", F.lit(k)), 32) for k in range(3)]
+    images = written_images(reduce(DataFrame.unionAll, parts), 32, "LZW", rgb=True)
+    blocks = tiff.read_blocks(tiff.read_pages(images.select(F.col("output").alias("path"))))
+    return pyramid.pixels_of(blocks).select(image_number(F.col("path")).alias("image"), "c", "y", "x", "v")
+
+
+def series_list(spark, sf_dir):
+    """Numbers of an order's lines, as a list of series is given."""
+    lines = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("n"))
+    return lines.select("l_orderkey", S.number_list(F.col("n")).alias("series"))
+
+
+def remote_locations(spark, sf_dir):
+    """Which locations would be downloaded; every third here is a file's."""
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/schemas/"), "url")).otherwise(F.col("url"))
+    return t(spark, sf_dir, "pages").select("page_id", S.is_remote(url).alias("remote"))
+
+
 def stored_image(spark, sf_dir) -> str:
     """The path of a chunked array store of all embeddings, a chunk 32 x 32 pixels."""
     folder = shared_folder(spark)
@@ -545,6 +567,10 @@ SQL = {
     "tiff_pixels_packbits": f"WITH {TALLS} SELECT image, y, x, least(greatest(floor(128 + 4 * v), 0), 255) AS v FROM p",
     "tiff_pixels_twelve_bits": f"WITH {TALLS} SELECT image, y, x, least(greatest(floor(2048 + 400 * v), 0), 4095) AS v FROM p",
     "tiff_pixels_one_bit": f"WITH {TALLS} SELECT image, y, x, CAST(v > 0 AS DOUBLE) AS v FROM p",
+    "tiff_pixels_rgb": f"""WITH {TALLS}, k AS (SELECT CAST(unnest(range(3)) AS INTEGER) AS c)
+        SELECT image, c, y, x, least(greatest(floor(128 + 30 * v + 10 * c), 0), 255) AS v FROM p, k""",
+    "series_list": "SELECT l_orderkey, string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) AS series FROM lineitem GROUP BY l_orderkey",
+    "remote_locations": "SELECT page_id, page_id % 3 > 0 AND (starts_with(url, 'https://') OR starts_with(url, 'http:')) AS remote FROM pages",
     "store_pixels": f"WITH {ROWS} SELECT y, x, round(v, 6) AS v FROM p",
     "store_pixels_of_chunks": f"WITH {ROWS} SELECT y, x, round(v, 6) AS v FROM p WHERE x >= 32 AND y // 32 % 2 = 1",
     "tiff_pixels_of_level": f"""WITH {TALLS} SELECT image, y // 2 AS y, x // 2 AS x, round(v, 6) AS v FROM p JOIN n USING (image)

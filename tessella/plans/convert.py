@@ -12,6 +12,7 @@ import hashlib
 import json
 import logging
 import os
+import re
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -275,7 +276,7 @@ def validated(documents: DataFrame, schema_location: str | None, folder: str, st
 
 def local_schema(location: str, folder: str) -> str:
     """A schema as a file: itself, or what a URL gives, in the store's folder."""
-    if not location.startswith(("https://", "http:")):
+    if not re.match(S.REMOTE, location):
         return location
     import urllib.request
 

@@ -290,10 +290,10 @@ def write_images(
         )
         copied = spread(ranges, part_rows, "output", "at").mapInPandas(lambda frames: copy_ranges(frames, mark), "output string, n long")
         listed = plans.join(page.select(*KEY, "c", "level", "place", "length"), [*KEY, "c", "level"])
-        listed = listed.join(own.select(*KEY, "xml"), KEY).withColumn("xml", F.when(F.col("first"), F.col("xml")))
+        listed = listed.join(own.select(*KEY, "xml", F.lit(True).alias("first")), [*KEY, "first"], "left")  # its document, for the first page alone
         listed = spread(listed, part_rows, "output", "at").mapInPandas(lambda frames: put_directories(frames, form, mark), "output string, n long")
         written = keep(copied.unionAll(listed), "written").groupBy("output").agg(F.sum("n").alias("n"))
-        whole = images.join(written, "output", "left").select("output", "size", "n")
+        whole = own.select("output").join(images.select("output", "size"), "output", "left").join(written, "output", "left")  # no tiles are an error
         moved = spread(whole, 1, "output").mapInPandas(lambda frames: joined(frames, mark), "output string, finished double")
         done = documents.select(*KEY, "output").join(keep(moved, "moved"), "output").select(*KEY, "output", "finished")
         done.write.parquet(f"{folder}-outputs")  # of a short row an image, which stays

@@ -160,6 +160,10 @@ def test_failed_ranges_leave_nothing(spark, tmp_path, images):
     with pytest.raises(Exception, match="ends too early"):
         ometiff.write_images(spark.read.parquet(f"{tmp_path}/index"), own, "LZW", 16, part_bytes=500)
     assert os.listdir(tmp_path / "out") == []
+    more = own.unionAll(spark.createDataFrame([("none", 0, "<OME/>", f"{tmp_path}/out/none.tif")], own.schema))
+    with pytest.raises(Exception, match="none.tif has"):
+        ometiff.write_images(spark.read.parquet(f"{tmp_path}/index").where("path = 'none'"), more.where("path = 'none'"), "LZW", 16)
+    assert os.listdir(tmp_path / "out") == []
 
 
 def test_ranges_where_files_cannot_be_written_in_the_middle(tmp_path):
