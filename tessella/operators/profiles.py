@@ -57,6 +57,8 @@ class Profile:
     label = "Akoya MIF QPTIFF"
     image_name = "WholeSlideMIF"
     needs_sizes = False  # the caller gives physical sizes
+    #: What this kind of image is written with, whatever the caller says: compression, quality, predictor.
+    writer: dict[str, str | int] = {}
 
     #: What is read of the first page's description: all that may come from a tag. A profile that
     #: reads other tags or fields has to list them, as tags.Name, or tags.Name/Field of a text.

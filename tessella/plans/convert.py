@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__
@@ -173,12 +173,20 @@ class TileStore:
             raise ValueError(f"compression is one of {', '.join(COMPRESSIONS)}")
         documents = self.documents()
         size, rgb = documents.select("tile_size", "rgb").first()
-        name = f"index-{compression}-{time.time_ns()}"
-        index = self.write(ometiff.write_segments(self.tiles(), f"{self.folder}/segments-{name}", compression, size, rgb, quality), name)
-
-        own = documents.select(*KEY, "xml").join(self.read("manifest").select(*KEY, "output"), KEY)
-        made = ometiff.write_images(index, own, compression, size)
-        return self.write(made, f"outputs-{name}")
+        own = documents.select(*KEY, "xml").join(self.read("manifest").select(*KEY, "output", "image_type"), KEY)
+        kinds: dict[tuple, list[str]] = {}  # images that are written alike go together
+        for r in own.select("image_type").distinct().collect():  # as many as PROFILES at most
+            kinds.setdefault(tuple(sorted(PROFILES[r.image_type].writer.items())), []).append(r.image_type)
+        done, apart = [], len(kinds) > 1
+        for k, (form, types) in enumerate(sorted(kinds.items())):
+            how = {"compression": compression, "quality": quality, "predictor": 1} | dict(form)
+            name = f"{how['compression']}-{time.time_ns()}-{k}"
+            mine = own.where(F.col("image_type").isin(types)).drop("image_type")
+            tiles = self.tiles().join(mine.select(*KEY), KEY, "left_semi") if apart else self.tiles()
+            index = ometiff.write_segments(tiles, f"{self.folder}/segments-{name}", how["compression"], size, rgb, how["quality"], how["predictor"])
+            made = ometiff.write_images(self.write(index, f"index-{name}"), mine, how["compression"], size, how["predictor"])
+            done.append(self.write(made, f"outputs-{name}"))
+        return reduce(DataFrame.unionAll, done)
 
     def remove(self) -> None:
         remove_folder(self.spark, self.folder)
@@ -228,7 +236,7 @@ def convert_images(
             F.struct(F.col("xml").alias("xml_string"), F.lit(schema_location).cast("string").alias("schema_location"), "xml_is_valid", "uuid").alias("ome"),
             kind("i", type_label(F.col("image_type"))).alias("input_file"), kind("o", F.lit("OME-TIFF")).alias("output_file"),
             F.struct(
-                F.lit(compression).alias("compression"), F.lit(deidentify_ome).alias("deidentify_ome"), F.lit(display_uuid).alias("display_uuid"),
+                written_with(F.col("image_type"), compression).alias("compression"), F.lit(deidentify_ome).alias("deidentify_ome"), F.lit(display_uuid).alias("display_uuid"),
                 "series", F.from_json(F.lit(json.dumps(rename or {})), "map<string,string>").alias("rename_channels"),
             ).alias("options"),
             F.struct(
@@ -244,6 +252,14 @@ def convert_images(
         remove_folder(spark, folder)
 
 
+def written_with(image_type: Column, compression: str) -> Column:
+    """The compression of an image's file: its profile's own, or what the caller asks for."""
+    out = F.lit(compression)
+    for key, profile in PROFILES.items():
+        out = F.when(image_type == key, profile.writer["compression"]).otherwise(out) if "compression" in profile.writer else out
+    return out
+
+
 def validated(documents: DataFrame, schema_location: str | None, folder: str, strict: bool) -> DataFrame:
     """path, series, uuid, xml, xml_is_valid, which is null if no schema was given (none comes with
     the engine), and invalid_reason, which every document has that the schema rejects."""

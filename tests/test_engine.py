@@ -422,6 +422,29 @@ def test_a_new_vendor_is_a_subclass(spark, tmp_path):
     assert report["input_file"]["type_description"] == "Numbered TIFF"
 
 
+def test_a_profile_sets_how_it_is_written(spark, tmp_path):
+    from tessella.operators import profiles
+    from tessella.plans.convert import convert_images
+
+    class Packed(profiles.Profile):
+        key, writer = "packed", {"compression": "PackBits", "predictor": 2}
+
+    profiles.register(Packed())
+    try:
+        for n in "ab":
+            write_tiff(tmp_path / f"{n}.tif", [(smooth(30, 40), SCANNER.format("x"))])
+        rows = [(f"{tmp_path}/{n}.tif", f"{tmp_path}/{n}.out.tif", k) for n, k in (("a", "packed"), ("b", "qptiff_mif"))]
+        reports = convert_images(spark.createDataFrame(rows, "path string, output string, image_type string"), tile_size=32)
+        assert sorted(r.options.compression for r in reports.collect()) == ["LZW", "PackBits"]
+    finally:
+        del profiles.PROFILES["packed"]
+    found = {n: tiff.pages_of(f"{tmp_path}/{n}.out.tif")[0] for n in "ab"}
+    assert [(r["compression"], r["predictor"]) for r in found.values()] == [(32773, 2), (5, 1)]
+    for n in "ab":
+        blocks = tiff.read_blocks(tiff.read_pages(spark.createDataFrame([(f"{tmp_path}/{n}.out.tif",)], "path string"))).collect()
+        assert sum(np.frombuffer(b.data, np.uint8).astype(int).sum() for b in blocks) == smooth(30, 40).astype(int).sum()
+
+
 def test_no_identifier_passes(spark, tmp_path):
     """Sentinels in every text tag, in the vendor's XML and in annotations of an embedded document."""
     halo = HALO.replace("</OME>", '<StructuredAnnotations><MapAnnotation ID="A:1"><Value><M K="owner">SENTINEL-NOTE</M></Value></MapAnnotation></StructuredAnnotations></OME>')
