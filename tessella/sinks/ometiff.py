@@ -35,7 +35,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from ..operators.codecs import JPEG, NAMES, PLAIN, RGB, YCC, encode_blocks
 from ..operators.pyramid import TILES
-from ..sources.files import Ranges, filesystem, remove_folder, shared_folder, spread
+from ..sources.files import Ranges, filesystem, remove_folder, shared_folder
 
 INDEX = (
     "path string, series int, segment string, offset long, length long, level int, c int, ty long, tx long, height long,"
@@ -47,6 +47,7 @@ CLASSIC_LIMIT = (1 << 32) - (1 << 24)
 CHUNK_BYTES = 16 << 20
 #: Bytes of a range that a task writes at once, at most but for a directory.
 PART_BYTES = 64 << 20
+MOST_TASKS = 20_000
 
 
 @dataclass(frozen=True)
@@ -281,6 +282,9 @@ def write_images(
         plans = keep(plans.groupBy(*KEY).applyInPandas(plan, schema), "plans")
 
         images = plans.where("first").select(*KEY, "output", "data", "size")
+        n_pages, n_images, n_bytes = plans.agg(F.count("*"), F.count_if("first"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+        # Tasks of about part_rows rows; fixed, as adaptive execution would join those of few bytes.
+        tasks = lambda n: max(1, min(MOST_TASKS, -(-n // part_rows)))
         ranges = rows.groupBy(*KEY, "segment", (F.col("offset") - F.col("inner")).alias("run")).agg(
             F.min("offset").alias("lo"), F.max(F.col("offset") + F.col("length")).alias("hi"), F.min("place").alias("place"))
         ranges = ranges.where("hi > lo").withColumn("begin", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(part_bytes))))
@@ -288,15 +292,14 @@ def write_images(
             "output", "size", (F.col("data") + F.col("place") + F.col("begin") - F.col("lo")).alias("at"), "segment", "begin",
             F.least(F.col("begin") + part_bytes, "hi").alias("stop"),
         )
-        copied = spread(ranges, part_rows, "output", "at").mapInPandas(lambda frames: copy_ranges(frames, mark), "output string, n long")
+        copied = ranges.repartition(tasks(n_images + n_bytes // part_bytes), "output", "at").mapInPandas(lambda frames: copy_ranges(frames, mark), "output string, n long")
         listed = plans.join(page.select(*KEY, "c", "level", "place", "length"), [*KEY, "c", "level"])
         listed = listed.join(own.select(*KEY, "xml", F.lit(True).alias("first")), [*KEY, "first"], "left")  # its document, for the first page alone
-        listed = spread(listed, part_rows, "output", "at").mapInPandas(lambda frames: put_directories(frames, form, mark), "output string, n long")
+        listed = listed.repartition(tasks(n_pages), "output", "at").mapInPandas(lambda frames: put_directories(frames, form, mark), "output string, n long")
         written = keep(copied.unionAll(listed), "written").groupBy("output").agg(F.sum("n").alias("n"))
-        whole = own.select("output").join(images.select("output", "size"), "output", "left").join(written, "output", "left")  # no tiles are an error
-        moved = spread(whole, 1, "output").mapInPandas(lambda frames: joined(frames, mark), "output string, finished double")
-        done = documents.select(*KEY, "output").join(keep(moved, "moved"), "output").select(*KEY, "output", "finished")
-        done.write.parquet(f"{folder}-outputs")  # of a short row an image, which stays
+        whole = own.drop("xml").join(images.select("output", "size"), "output", "left").join(written, "output", "left")  # no tiles are an error
+        moved = whole.repartition(tasks(part_rows * n_images), "output").mapInPandas(lambda frames: joined(frames, mark), "path string, series int, output string, finished double")
+        moved.write.parquet(f"{folder}-outputs")  # of a short row an image, which stays
         return spark.read.parquet(f"{folder}-outputs")
     except BaseException:
         for r in documents.select("output").toLocalIterator():
@@ -344,7 +347,7 @@ def joined(frames: Iterator[pd.DataFrame], mark: str) -> Iterator[pd.DataFrame]:
             if r.n != r.size:
                 raise OSError(f"{r.output} has {r.n} of {r.size} bytes")
             Ranges(r.output, mark).commit(int(r.size))
-        yield frame[["output"]].assign(finished=time.time())
+        yield frame[[*KEY, "output"]].assign(finished=time.time())
 
 
 @dataclass
