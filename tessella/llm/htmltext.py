@@ -7,6 +7,10 @@ is the logarithm of its characters by its tags; the ratios are smoothed by a Gau
 and split in two clusters, content and the rest. The content lines choose the region:
 the deepest container that holds all of them. A page without content lines has no text.
 
+Side parts that no markup names, such as footers with a sentence, read like content line
+by line. So where one branch of a container holds most content, its branches are split in
+two clusters again, by the length of their lines, and the lower ones go.
+
 Markup only settles what clusters leave open. A region inside an article or main part
 grows to that part; otherwise a heading before it joins it. Where no container holds
 all content (lines of several articles, or straight in the body), the region is the
@@ -26,6 +30,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import accumulate
@@ -271,13 +276,65 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def around(parser: Lines, content: list[int]) -> int:
+    """The deepest container that can be a region and holds all ``content`` lines."""
+    lines, boxes = parser.lines, parser.containers
+    top = lines[content[0]].container
+    while boxes[top].hi <= content[-1] or boxes[top].kind in NO_REGION:
+        top = boxes[top].parent
+    return top
+
+
+def without_side_parts(parser: Lines, content: list[int], majority: float, share: float) -> list[int]:
+    """``content`` without the lines of side parts, such as a footer that no markup names.
+
+    Where one branch of the container around the content holds the majority of it, the
+    branches' own values are split in two clusters too, the value being the logarithm of
+    the length of the line that a character of the branch stands in on average. The lower
+    cluster goes, but for branches with at least ``share`` of the length in the majority's
+    branch, and for those in or around an article or main part. Where nothing else is left,
+    this goes on inside the majority's branch."""
+    lines, boxes = parser.lines, parser.containers
+    sizes, squares, straight = [0] * (len(lines) + 1), [0] * (len(lines) + 1), defaultdict(list)
+    for i in content:
+        sizes[i + 1], squares[i + 1] = len(lines[i].text), len(lines[i].text) ** 2
+        straight[lines[i].container].append(i)
+    sizes, squares = list(accumulate(sizes)), list(accumulate(squares))
+    inner, named = defaultdict(list), set()
+    for c, box in enumerate(boxes):
+        if c and sizes[box.hi] > sizes[box.lo]:
+            inner[box.parent].append(c)
+            while box.named and c not in named:
+                named.add(c)
+                c = boxes[c].parent
+    top, gone = around(parser, content), bytearray(len(lines))
+    while inner[top]:
+        mass = {c: sizes[boxes[c].hi] - sizes[boxes[c].lo] for c in inner[top]}
+        square = {c: squares[boxes[c].hi] - squares[boxes[c].lo] for c in inner[top]}
+        if straight[top]:  # these lines are one more branch
+            mass[top] = sum(len(lines[i].text) for i in straight[top])
+            square[top] = sum(len(lines[i].text) ** 2 for i in straight[top])
+        most = max(mass, key=mass.get)
+        if most == top or mass[most] < majority * sum(mass.values()):
+            break
+        length = {c: square[c] / mass[c] for c in mass}
+        cut = threshold([math.log1p(x) for x in length.values()])
+        side = {c for c, x in length.items() if math.log1p(x) <= cut and x < share * length[most]} - named
+        for c in side - {top}:
+            gone[boxes[c].lo : boxes[c].hi] = b"\1" * (boxes[c].hi - boxes[c].lo)
+        for i in straight[top] if top in side else ():
+            gone[i] = 1
+        if len(side) < len(mass) - 1 or boxes[most].kind in NO_REGION:
+            break
+        top = most
+    return [i for i in content if not gone[i]]
+
+
 def region_of(parser: Lines, content: list[int], majority: float) -> list[int]:
     """The numbers of the lines of the region that the ``content`` lines choose."""
     lines, boxes = parser.lines, parser.containers
     first, last = content[0], content[-1]
-    top = lines[first].container
-    while boxes[top].hi <= last or boxes[top].kind in NO_REGION:
-        top = boxes[top].parent
+    top = around(parser, content)
     plain = [i for i, x in enumerate(lines) if not x.other]
     sums = [0] * (len(lines) + 1)
     for i in content:
@@ -324,7 +381,7 @@ def heading_before(lines: list[Line], plain: list[int], start: int, reach: int =
     return begin
 
 
-def main_text(html: str, sigma: float = 1.0, majority: float = 0.8) -> str:
+def main_text(html: str, sigma: float = 1.0, majority: float = 0.7, share: float = 0.5) -> str:
     """The text of a page's main region; see the module's description."""
     at = html.rfind("<")
     if at >= 0 and html[at + 1 : at + 2].strip(" =<0123456789") and ">" not in html[at:]:
@@ -341,6 +398,7 @@ def main_text(html: str, sigma: float = 1.0, majority: float = 0.8) -> str:
     content = [i for i, r in zip(plain, ratios, strict=True) if r > cut]
     if not content:
         return ""
+    content = without_side_parts(parser, content, majority, share)
     return " ".join(parser.lines[i].text for i in region_of(parser, content, majority))
 
 

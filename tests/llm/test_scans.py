@@ -385,6 +385,39 @@ def test_clusters_decide_on_the_pages(spark, small, monkeypatch):
     assert not any(htmltext.main_text(x) for x in html)
 
 
+def test_clusters_choose_the_pages_text_without_their_names(spark, monkeypatch):
+    """With its sections all called div, a page's text is still told by the clusters: at
+    least nine of ten pages are as before, and none is where everything counts as content.
+    The rest are articles of a few words, shorter than the footer, which nothing else tells;
+    of the 50 pages of the smallest tables they are six, so this reads 250."""
+    import html as h
+
+    plain = wrong = 0
+    pages = table(spark, "/root/testdata/sf0.01", "pages").collect()
+    for r in pages:
+        inner = re.search(r"<article>(.*?)(</article>|<footer>|$)", r.html, re.S)[1]
+        want = " ".join(h.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+        bare = re.sub(r"<(/?)(?:article|main|nav|aside|header|footer)\b", r"<\1div", r.html)
+        plain += htmltext.main_text(bare) == want
+        with monkeypatch.context() as m:
+            m.setattr(htmltext, "threshold", lambda values: min(values) - 1)
+            wrong += htmltext.main_text(bare) == want
+    assert plain >= 0.9 * len(pages) and wrong == 0
+
+
+def test_side_parts_go_further_in_and_in_linear_time():
+    import time
+
+    text = "".join(f"<p>{w * 60}</p>" for w in ("one ", "two ", "three "))
+    foot = "<div>Made by a small firm in a small town.</div>"
+    page = f"<body><div><div><div><div>{text}</div>{foot}</div></div>{foot}</div>{foot}</body>"
+    assert htmltext.main_text(page).split() == ["one"] * 60 + ["two"] * 60 + ["three"] * 60
+    began = time.perf_counter()
+    deep = "<body>" + "<div><p>side part</p><div>" * 30_000 + f"<p>{'long words ' * 200_000}</p>"
+    assert htmltext.main_text(deep).endswith("long words")
+    assert time.perf_counter() - began < 20
+
+
 def test_title_before_the_region():
     body = "".join(f"<p>{w * 60}</p>" for w in ("one ", "two "))
     page = f"<div><div><a href='/'>Home</a></div><h1>Title</h1><div>By me</div><div>{body}</div></div>"
