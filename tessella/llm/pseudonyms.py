@@ -17,20 +17,23 @@ Not sought, as nothing tells them from other numbers: ten digits in a row withou
 plus sign, numbers without an area code, dates with two digits of the year or with
 names of months. A value within a longer run of letters or digits is none.
 
-Any pseudonym but an IPv4 address is as long as its value: dates are permuted among those whose fields have
-the same widths, a field of two digits being padded; of an international number the
-first two digits, most of its country code, stay.
+Values are delimited before any is permuted, so a value has one pseudonym in every
+context and every way of writing it: cards, telephone and social security numbers by their
+digits, e-mail addresses without regard to case, dates by the day. Dates are permuted among
+those whose day (1 to 9, 10 to 12, 13 to 31) and month (1 to 9, 10 to 12) are alike, so that
+each fits every way of writing it. Any pseudonym but an IPv4 address is as long as its
+value; of an international number the first two digits, most of its country code, stay.
 
 Groups of digits between single spaces are read from left to right, at each group the
 shortest card first, then a telephone number of 3, 3 and 4 digits. All groups of a card
-but its last have four digits or more, unless the card is all that stands there. A
-pseudonym is permuted on until it is read in the same way, so that it can be reversed;
-where groups before a card make another reading possible, it may differ from the one
-that the card has elsewhere.
+but its last have four digits or more, unless the card is all that stands there. Beside
+other digits a pseudonym could be read in another way than its value was, so texts are
+restored by the places of the pseudonyms (``new_spans``), not by a second search.
 
 Defined results: a null text stays null and an empty one empty, without values; repeated
 rows each give a row, with the same pseudonyms; other columns are ignored, whatever they
-are called; an empty table gives no rows; texts of any length are read whole.
+are called; an empty table gives no rows; texts of any length are read whole. A text
+without places (null or empty) is restored as it is.
 """
 
 from __future__ import annotations
@@ -62,7 +65,9 @@ PATTERN = re.compile(
 RUN = re.compile(r"(?<![\w.-])\d(?:[ -]?\d)*(?![\w-])", re.A)
 GROUP = re.compile(r"\d+(?:-\d+)*")
 ROUNDS = 10
-FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+YEARS = range(1900, 2100)
+#: Days and months that dates keep to: as wide as before, and not read as the other field.
+DAY_BANDS, MONTH_BANDS = (range(1, 10), range(10, 13), range(13, 32)), (range(1, 10), range(10, 13))
 
 
 class Permuter:
@@ -114,10 +119,17 @@ def fill(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
-def card(value: str, p: Permuter, back: bool) -> str | None:
-    digits = re.sub(r"\D", "", value)
-    if luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
-        return None
+def digits_of(value: str) -> str:
+    return re.sub(r"\D", "", value)
+
+
+def is_card(value: str) -> bool:
+    digits = digits_of(value)
+    return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and luhn_digit(digits[:-1]) == digits[-1]
+
+
+def card(value: str, p: Permuter, back: bool) -> str:
+    digits = digits_of(value)
     n = len(digits) - 1
     # The n repeats of one digit that a valid number may not be are walked past.
     x = int(digits[:-1])
@@ -129,25 +141,29 @@ def card(value: str, p: Permuter, back: bool) -> str | None:
             return fill(value, new)
 
 
-def ssn(value: str, p: Permuter, back: bool) -> str | None:
+def is_ssn(value: str) -> bool:
     area, group, serial = map(int, value.split("-"))
-    valid = lambda a, g, s: 0 < a < 900 and a != 666 and g and s
-    if not valid(area, group, serial):
-        return None
-    x = int(value.replace("-", ""))
+    return 0 < area < 900 and area != 666 and group > 0 and serial > 0
+
+
+def ssn(value: str, p: Permuter, back: bool) -> str:
+    x = int(digits_of(value))
     while True:
         x = p.of(x, 10**9, "ssn", back)
-        d = str(x).zfill(9)
-        if valid(int(d[:3]), int(d[3:5]), int(d[5:])):
-            return fill(value, d)
+        new = fill(value, str(x).zfill(9))
+        if is_ssn(new):
+            return new
+
+
+def is_phone(value: str) -> bool:
+    digits = digits_of(value)
+    return value[0] != "+" or digits[0] == "1" or 8 <= len(digits) <= 15
 
 
-def phone(value: str, p: Permuter, back: bool) -> str | None:
+def phone(value: str, p: Permuter, back: bool) -> str:
     """Numbers whose area and exchange begin with 2 to 9 stay among their like."""
-    digits = re.sub(r"\D", "", value)
+    digits = digits_of(value)
     if value[0] == "+" and digits[0] != "1":
-        if not 8 <= len(digits) <= 15:
-            return None
         head, n = digits[:2], len(digits) - 2
         return fill(value, head + str(p.of(int(digits[2:]), 10**n, f"phone:{head}", back)).zfill(n))
     real = lambda d: d[0] >= "2" and d[3] >= "2"
@@ -158,65 +174,82 @@ def phone(value: str, p: Permuter, back: bool) -> str | None:
             return fill(value, digits[:-10] + new)
 
 
-def ip(value: str, p: Permuter, back: bool) -> str | None:
-    parts = value.split(".")
-    if any(int(x) > 255 or (len(x) > 1 and x[0] == "0") for x in parts):
-        return None
-    x = p.of(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, "ip", back)
+def is_ip(value: str) -> bool:
+    return all(int(x) < 256 and (len(x) == 1 or x[0] != "0") for x in value.split("."))
+
+
+def ip(value: str, p: Permuter, back: bool) -> str:
+    x = p.of(int.from_bytes(bytes(map(int, value.split("."))), "big"), 1 << 32, "ip", back)
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
-def date(value: str, p: Permuter, back: bool) -> str | None:
+def date_fields(value: str) -> tuple[str, str]:
+    """The sign between the fields, and their order."""
     sep = next(c for c in value if not c.isdigit())
-    parts = value.split(sep)
-    year, month, day = parts if sep == "-" else parts[::-1]
-    american = sep != "-" and int(month) > 12
-    if american:
-        month, day = day, month
-    try:
-        at = datetime.date(int(year), int(month), int(day)).toordinal()
-    except ValueError:
-        return None
-    if not FIRST_DAY <= at <= LAST_DAY:
-        return None
-    fits = lambda n, field: len(field) == 2 or n < 10
-    while True:
-        at = FIRST_DAY + p.of(at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", back)
-        new = datetime.date.fromordinal(at)
-        if fits(new.day, day) and fits(new.month, month) and (not american or new.day > 12):
-            break
-    fields = {"d": str(new.day).zfill(len(day)), "m": str(new.month).zfill(len(month)), "y": f"{new.year:04d}"}
-    return sep.join(fields[k] for k in ("ymd" if sep == "-" else "mdy" if american else "dmy"))
+    if sep == "-":
+        return sep, "ymd"
+    return sep, "mdy" if int(value.split(sep)[1]) > 12 else "dmy"
+
 
+def is_date(value: str) -> bool:
+    sep, order = date_fields(value)
+    at = dict(zip(order, map(int, value.split(sep)), strict=True))
+    return at["y"] in YEARS and day_exists(at["y"], at["m"], at["d"])
 
-def email(value: str, p: Permuter, back: bool) -> str | None:
+
+def day_exists(year: int, month: int, day: int) -> bool:
+    try:
+        return bool(datetime.date(year, month, day))
+    except ValueError:
+        return False
+
+
+def date(value: str, p: Permuter, back: bool) -> str:
+    sep, order = date_fields(value)
+    parts = dict(zip(order, value.split(sep), strict=True))
+    at = {k: int(v) for k, v in parts.items()}
+    days = next(band for band in DAY_BANDS if at["d"] in band)
+    months = next(band for band in MONTH_BANDS if at["m"] in band)
+    n = len(YEARS) * len(months) * len(days)
+    x = ((at["y"] - YEARS[0]) * len(months) + at["m"] - months[0]) * len(days) + at["d"] - days[0]
+    while True:  # days that a month does not have are walked past
+        x = p.of(x, n, f"date:{days[0]}:{months[0]}", back)
+        rest, d = divmod(x, len(days))
+        y, m = divmod(rest, len(months))
+        at = {"y": YEARS[y], "m": months[m], "d": days[d]}
+        if day_exists(at["y"], at["m"], at["d"]):
+            return sep.join(str(at[k]).zfill(len(parts[k])) for k in order)
+
+
+def email(value: str, p: Permuter, back: bool) -> str:
     local, _, domain = value.partition("@")
     first, _, rest = domain.partition(".")
     return f"{spelling(local, p, back)}@{spelling(first, p, back)}.{rest}"
 
 
 def spelling(word: str, p: Permuter, back: bool) -> str:
-    """Permutes all words of the same shape: letters keep their case, digits and signs their place."""
-    bases = [26 if c.isalpha() else 10 if c.isdigit() else 1 for c in word]
-    starts = ["a" if c.islower() else "A" if c.isalpha() else "0" for c in word]
+    """Permutes all words of the same shape, in lower case; letters keep their case, digits and signs their place."""
+    low = word.lower()
+    bases = [26 if c.isalpha() else 10 if c.isdigit() else 1 for c in low]
+    starts = ["a" if c.isalpha() else "0" for c in low]
     x = 0
-    for c, base, start in zip(word, bases, starts, strict=True):
+    for c, base, start in zip(low, bases, starts, strict=True):
         x = x * base + (ord(c) - ord(start) if base > 1 else 0)
-    shape = "".join(s if b > 1 else c for c, s, b in zip(word, starts, bases, strict=True))
+    shape = "".join(s if b > 1 else c for c, s, b in zip(low, starts, bases, strict=True))
     x = p.of(x, math.prod(bases), f"word:{shape}", back)
     out = []
     for c, base, start in zip(reversed(word), reversed(bases), reversed(starts), strict=True):
         x, d = divmod(x, base)
-        out.append(chr(ord(start) + d) if base > 1 else c)
+        new = chr(ord(start) + d) if base > 1 else c
+        out.append(new.upper() if c.isupper() else new)
     return "".join(reversed(out))
 
 
+#: By kind: whether a match is a value, and what makes its pseudonym.
+CHECKS = {"email": lambda value: True, "card": is_card, "ssn": is_ssn, "phone": is_phone, "ip": is_ip, "date": is_date}
 MAKERS = {"email": email, "card": card, "ssn": ssn, "phone": phone, "ip": ip, "date": date}
 
-
-def is_card(value: str) -> bool:
-    digits = re.sub(r"\D", "", value)
-    return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and luhn_digit(digits[:-1]) == digits[-1]
+Spans = list[tuple[str, int, int]]
 
 
 def value_at(run: str, groups: list[tuple[int, int]], i: int) -> tuple[str, int] | None:
@@ -233,80 +266,97 @@ def value_at(run: str, groups: list[tuple[int, int]], i: int) -> tuple[str, int]
     return None
 
 
-def replace_run(run: str, p: Permuter, back: bool) -> tuple[str, list[tuple[str, int, int]]]:
-    """Pseudonyms are as long as their values, so the groups stay."""
-    groups, found, i, since = [m.span() for m in GROUP.finditer(run)], [], 0, 0
+def values_of_run(run: str) -> Spans:
+    groups, found, i = [m.span() for m in GROUP.finditer(run)], [], 0
     while i < len(groups):
         hit = value_at(run, groups, i)
-        if hit is None:
-            i += 1
-            continue
-        kind, j = hit
-        a, b = groups[i][0], groups[j][1]
-        # Only the four groups before can be part of a card that ends in this value.
-        earlier = range(max(since, i - 4), i)
-        new = run
-        while True:
-            new = new[:a] + MAKERS[kind](new[a:b], p, back) + new[b:]
-            if value_at(new, groups, i) == hit and not any(value_at(new, groups, x) for x in earlier):
-                break
-        run = new
-        found.append((kind, a, b))
-        i = since = j + 1
-    if found or not is_card(run):
-        return run, found
-    new = run
-    while True:
-        new = card(new, p, back)
-        if not any(value_at(new, groups, x) for x in range(len(groups))):
-            return new, [("card", 0, len(run))]
+        if hit:
+            found.append((hit[0], groups[i][0], groups[hit[1]][1]))
+        i = hit[1] + 1 if hit else i + 1
+    return found or ([("card", 0, len(run))] if is_card(run) else [])
 
 
-def replace_all(text: str, p: Permuter, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with pseudonyms, and (kind, start, end) of what was replaced in the given text."""
+def find_values(text: str) -> Spans:
+    """(kind, start, end) of every value, by start."""
     if not re.search(r"\d|@", text):
-        return text, []
-    news, rest, end = [], [], 0
+        return []
+    found, rest, end = [], [], 0
     for m in PATTERN.finditer(text):
-        new = MAKERS[m.lastgroup](m[0], p, back)
-        if new is not None:
-            news.append((m.start(), m.end(), new, [(m.lastgroup, m.start(), m.end())]))
+        if CHECKS[m.lastgroup](m[0]):
+            found.append((m.lastgroup, m.start(), m.end()))
         rest += [text[end : m.start()], "\0" * len(m[0])]  # no part of a card
         end = m.end()
     for m in RUN.finditer("".join([*rest, text[end:]])):
         if len(m[0]) >= 12:
-            new, found = replace_run(m[0], p, back)
-            if found:
-                news.append((m.start(), m.end(), new, [(k, m.start() + a, m.start() + b) for k, a, b in found]))
-    spans, parts, end = [], [], 0
-    for a, b, new, found in sorted(news, key=lambda x: x[0]):
-        spans += found
+            found += [(kind, m.start() + a, m.start() + b) for kind, a, b in values_of_run(m[0])]
+    return sorted(found, key=lambda x: x[1])
+
+
+def replace_values(text: str, spans: Spans, p: Permuter, back: bool = False) -> tuple[str, Spans]:
+    """The text with other values at ``spans``, and where these are in it."""
+    parts, moved, end, size = [], [], 0, 0
+    for kind, a, b in spans:
+        new = MAKERS[kind](text[a:b], p, back)
+        size += a - end
+        moved.append((kind, size, size + len(new)))
         parts += [text[end:a], new]
-        end = b
-    return "".join([*parts, text[end:]]), spans
+        size, end = size + len(new), b
+    return "".join([*parts, text[end:]]), moved
 
 
-def pseudonymise(
-    docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", back: bool = False
-) -> DataFrame:
-    """doc_id, text with pseudonyms, n_<kind> and spans (of the given text) of every row.
-    ``back`` reverses pseudonyms that the same key has made."""
+def written(spans: Spans) -> str:
+    return ",".join(f"{kind}:{a}:{b}" for kind, a, b in spans)
+
+
+def read(spans: str | None) -> Spans:
+    fields = [x.split(":") for x in (spans or "").split(",") if x]
+    return [(kind, int(a), int(b)) for kind, a, b in fields]
+
+
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text with pseudonyms, n_<kind>, spans (of the given text) and new_spans (of
+    the text with pseudonyms) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Permuter(key)
         for batch in batches:
-            texts, spans, counts = [], [], {k: [] for k in KINDS}
+            texts, spans, places, counts = [], [], [], {k: [] for k in KINDS}
             for text in batch.column(1).to_pylist():
-                new, found = replace_all(text or "", p, back)
+                found = find_values(text or "")
+                new, moved = replace_values(text or "", found, p)
                 texts.append(None if text is None else new)
-                spans.append(",".join(f"{k}:{a}:{b}" for k, a, b in found))
+                spans.append(written(found))
+                places.append(written(moved))
                 for k in KINDS:
                     counts[k].append(sum(1 for x in found if x[0] == k))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(texts, pa.string()), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(spans, pa.string())],
-                ["doc_id", "text", *(f"n_{k}" for k in KINDS), "spans"],
-            )
+                [batch.column(0), pa.array(texts, pa.string()), *(pa.array(counts[k], pa.int64()) for k in KINDS),
+                 pa.array(spans, pa.string()), pa.array(places, pa.string())],
+                ["doc_id", "text", *(f"n_{k}" for k in KINDS), "spans", "new_spans"],
+            )
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return chosen.mapInArrow(run, f"doc_id long, text string, {counts}, spans string")
+    return chosen.mapInArrow(run, f"doc_id long, text string, {counts}, spans string, new_spans string")
+
+
+def restore(
+    made: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "new_spans"
+) -> DataFrame:
+    """doc_id and text of every row as before ``pseudonymise`` with the same key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = Permuter(key)
+        for batch in batches:
+            texts = [
+                None if text is None else replace_values(text, read(spans), p, back=True)[0]
+                for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    chosen = made.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        F.col(spans_col).cast("string").alias("spans"),
+    )
+    return chosen.mapInArrow(run, "doc_id long, text string")

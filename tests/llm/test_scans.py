@@ -158,18 +158,25 @@ def test_most_used_is_bounded(spark, monkeypatch):
     assert 5 <= len(got) <= 10 and got == {f"w{i}" for i in range(len(got))}
 
 
+def hidden(text, p):
+    """The text with pseudonyms and the values' places; it comes back by the pseudonyms' places."""
+    found = pseudonyms.find_values(text)
+    new, moved = pseudonyms.replace_values(text, found, p)
+    assert pseudonyms.replace_values(new, moved, p, back=True) == (text, found)
+    return new, found
+
+
 def test_pseudonyms_permute_and_reverse(spark, messy, empty):
     p = pseudonyms.Permuter("k")
     assert sorted(p.of(i, 365, "x") for i in range(365)) == list(range(365))
     text = "card 4417744280351547, 4417-7442-8035-1547; a.Bc.34@mail7.example.com 10.0.0.255 +1 (017) 555-7713 2020-02-29 1/12/1999 078-05-1120"
-    new, found = pseudonyms.replace_all(text, p)
+    new, found = hidden(text, p)
     assert [k for k, _, _ in found] == ["card", "card", "email", "ip", "phone", "date", "date", "ssn"]
     digits = lambda s: re.sub(r"\D", "", s)
     a, b = re.findall(r"\d{16}|\d{4}-\d{4}-\d{4}-\d{4}", new)
     assert digits(a) == digits(b) and pseudonyms.luhn_digit(digits(a)[:-1]) == digits(a)[-1]
-    back, _ = pseudonyms.replace_all(new, p, back=True)
-    assert back == text
-    assert pseudonyms.replace_all("9807915762804490 999.1.1.1 2021-02-29 1234567", p)[1] == []
+    assert [k for k, _, _ in pseudonyms.find_values(new)] == [k for k, _, _ in found]
+    assert hidden("9807915762804490 999.1.1.1 2021-02-29 1234567", p)[1] == []
     rows = pseudonyms.pseudonymise(messy, "k").collect()
     own = sorted((str(r.doc_id), str(r.text)) for r in messy.collect())
     assert sorted((str(r.doc_id), str(r.text)) for r in rows) == own and all(r.spans == "" and r.n_card == 0 for r in rows)
@@ -183,9 +190,9 @@ def test_dates_keep_their_width():
         for y, m in ((1999, 1), (2024, 2), (1900, 9), (2099, 12)):
             for d in range(13 if shape[1] == "m" else 1, 29):
                 own = shape.format(y=y, m=m, d=d)
-                new, found = pseudonyms.replace_all(f"on {own}.", p)
+                new, found = hidden(f"on {own}.", p)
                 assert len(new) == len(own) + 4 and [k for k, _, _ in found] == ["date"], own
-                assert pseudonyms.replace_all(new, p, back=True) == (f"on {own}.", found)
+                assert pseudonyms.find_values(new) == found
                 assert seen.setdefault(own, new) == new
         assert len(set(seen.values())) == len(seen)
 
@@ -193,10 +200,10 @@ def test_dates_keep_their_width():
 @pytest.mark.parametrize("own", ["+44 20 7946 0958", "+442079460958", "+49 (0)30 901820", "+33 1 23 45 67 89", "+15552671234", "+1 555 267 1234", "+358-9-123-4567"])
 def test_international_numbers(own):
     p = pseudonyms.Permuter("k")
-    new, found = pseudonyms.replace_all(f"call {own} now", p)
+    new, found = hidden(f"call {own} now", p)
     assert [x[0] for x in found] == ["phone"] and new != f"call {own} now" and len(new) == len(own) + 9
     assert new[:8] == f"call {own}"[:8] or own[1] == "1"
-    assert pseudonyms.replace_all(new, p, back=True)[0] == f"call {own} now"
+    assert pseudonyms.find_values(new) == found
 
 
 def test_pseudonyms_of_documents(spark, small):
@@ -216,7 +223,7 @@ def test_pseudonyms_of_documents(spark, small):
             mails = re.findall(r"[\w.+-]+@[\w-]+\.[\w.]+", own[r.doc_id])
             assert not any(re.search(rf"(?<![\w.+-]){re.escape(m)}(?![\w-])", r.text) for m in mails)
     assert len(set(link.values())) == len(link) > 0
-    back = pseudonyms.pseudonymise(made.select("doc_id", "text"), "k", back=True)
+    back = pseudonyms.restore(made.select("doc_id", "text", "new_spans"), "k")
     assert {r.doc_id: r.text for r in back.collect()} == own
 
 
@@ -230,16 +237,103 @@ def test_values_beside_other_digits_are_found():
         for own in (plain, spaced):
             for before, after in (("", " 12/27"), ("", " 123"), ("12 ", ""), ("", " 12th"), ("415 555 2671 ", "")):
                 text = f"card {before}{own}{after} ok"
-                new, found = pseudonyms.replace_all(text, p)
+                new, found = hidden(text, p)
                 at = text.index(own)
                 assert ("card", at, at + len(own)) in found, text
-                assert pseudonyms.replace_all(new, p, back=True) == (text, found)
+                assert new[at : at + len(own)] == hidden(own, p)[0], text
     dates = [f"{m}/{d}/2024" for m in (10, 11, 12) for d in range(13, 31)]
     for own in [*dates, "415 555 2671", "call 1 415 555 2671 12 times", "415 555-2671"]:
-        new, found = pseudonyms.replace_all(own, p)
+        new, found = hidden(own, p)
         assert len(found) == 1 and new != own
-        back, again = pseudonyms.replace_all(new, p, back=True)
-        assert back == own and [x[0] for x in again] == [x[0] for x in found]
+        assert [x[0] for x in pseudonyms.find_values(new)] == [x[0] for x in found]
+
+
+def test_one_pseudonym_in_every_context_and_spelling():
+    """Cards among other digits whose pseudonyms alone could be read otherwise, dates of
+    every way of writing, telephone numbers and addresses."""
+    p = pseudonyms.Permuter("k")
+    rng = random.Random(7)
+    for _ in range(300):
+        body = "".join(rng.choices(string.digits, k=rng.randrange(12, 19)))
+        plain = body + pseudonyms.luhn_digit(body)
+        own = " ".join(plain[i : i + 4] for i in range(0, len(plain), 4))
+        alone = hidden(plain, p)[0]
+        for text in (f"{own} 4111 {rng.randrange(10**4):04d}", f"{rng.randrange(100)} {own} {rng.randrange(10**6)}", f"{own}, {plain} {own}"):
+            new, found = hidden(text, p)
+            for kind, x, y in found:
+                if kind == "card" and text[x:y].replace(" ", "") == plain:
+                    assert new[x:y].replace(" ", "") == alone
+    for y, m, d in ((1987, 3, 4), (2001, 11, 9), (2020, 2, 29), (2042, 12, 31), (1900, 10, 10)):
+        days = set()
+        for shape in ("{y}-{m:02d}-{d:02d}", "{d:02d}.{m:02d}.{y}", "{d}/{m}/{y}", "{m}/{d}/{y}"):
+            new, found = hidden(shape.format(y=y, m=m, d=d), p)
+            fields = dict(zip(re.findall("[ymd]", re.sub(":02d", "", shape)), map(int, re.split(r"\D", new)), strict=True))
+            if shape[1] != "m" or d > 12:  # else it reads as d/m/y
+                days.add((fields["y"], fields["m"], fields["d"]))
+        assert len(days) == 1
+    digits = lambda x: re.sub(r"\D", "", x)[-10:]
+    assert len({digits(hidden(x, p)[0]) for x in ("415 555 2671", "(415) 555-2671", "+1 415 555 2671", "+14155552671", "415.555.2671")}) == 1
+    assert hidden("Ann.Lee@Mail.example.org", p)[0].lower() == hidden("ann.lee@mail.example.org", p)[0]
+
+
+def plain_values(text):
+    """An independent search: values that stand between white space and common signs."""
+    import datetime
+    import ipaddress
+
+    found = set()
+    for m in re.finditer(r"\S+", text):
+        word = m[0].strip(".,;:!?()[]\"'<>")
+        at = m.start() + m[0].index(word) if word else 0
+        digits = word.replace("-", "")
+        kind = None
+        if digits.isascii() and digits.isdigit() and 13 <= len(digits) <= 19 and word[0] != "-" != word[-1] and "--" not in word:
+            odd = [int(c) for c in digits[-1::-2]]
+            even = [sum(divmod(2 * int(c), 10)) for c in digits[-2::-2]]
+            if (sum(odd) + sum(even)) % 10 == 0 and len(set(digits)) > 1:
+                kind = "card"
+        if [len(x) for x in word.split("-")] == [3, 2, 4] and digits.isascii() and digits.isdigit():
+            a, g, n = map(int, word.split("-"))
+            if a not in (0, 666) and a < 900 and g and n:
+                kind = "ssn"
+        for form in ("%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%d.%m.%Y"):
+            try:
+                day = datetime.datetime.strptime(word, form)
+            except ValueError:
+                continue
+            if 1900 <= day.year < 2100 and (form != "%Y-%m-%d" or len(word) == 10):
+                kind = "date"
+        try:
+            kind = "ip" if ipaddress.IPv4Address(word) else kind
+        except ValueError:
+            pass
+        if word.count("@") == 1 and word.isascii() and "." in word.split("@")[1] and all(c.isalnum() or c in "@.-_+" for c in word):
+            kind = "email"
+        if kind:
+            found.add((kind, at, at + len(word)))
+    return found
+
+
+def test_values_equal_an_independent_search(spark):
+    """Over 1,000 documents and over words made to be near values."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rng = random.Random(8)
+    made = []
+    for _ in range(400):
+        words = [f"{rng.randrange(1, 40)}/{rng.randrange(1, 40)}/{rng.randrange(1890, 2110)}", f"{rng.randrange(1990, 2030)}-{rng.randrange(15):02d}-{rng.randrange(35):02d}",
+                 f"{rng.randrange(1000):03d}-{rng.randrange(3):02d}-{rng.randrange(10**4):04d}", ".".join(str(rng.randrange(300)) for _ in range(4)),
+                 str(rng.randrange(10**12, 10**19)), "x@y", f"a{rng.randrange(99)}@b.example", "666-12-1234", "0.1.2.3.4"]
+        rng.shuffle(words)
+        made.append(" word ".join(words))
+    kinds = set()
+    for text in [*(r.text or "" for r in docs.collect()), *made]:
+        want = plain_values(text)
+        got = set(pseudonyms.find_values(text))
+        assert want <= got, (text[:200], want - got)
+        for kind, a, b in got - want:  # what the search by words does not see: spaced numbers, and values beside signs
+            assert kind == "phone" or " " in text[a:b] or not (a == 0 or text[a - 1].isspace()) or not (b == len(text) or text[b].isspace()), (kind, text[a:b])
+        kinds |= {k for k, _, _ in want}
+    assert kinds == {"card", "ssn", "date", "ip", "email"}
 
 
 def test_telephone_numbers_stay_among_their_like():
