@@ -66,15 +66,15 @@ def main(arguments: list[str] | None = None) -> int:
         rows = convert_images(
             many, a.cache_directory, rename, not a.omit_uuid, compression=a.compression, rgb=a.rgb, quality=a.quality, schema_location=a.schema_location
         )
-        found = versions(spark)
-        report = (report_of(r.asDict(recursive=True), found) for r in rows.orderBy("path", "series").toLocalIterator())
+        report = (report_of(r.asDict(recursive=True)) for r in rows.orderBy("path", "series").toLocalIterator())
     else:
         one = Converter(spark, a.input, a.type, a.series, rename, a.physical_size_x_um, a.physical_size_y_um, a.cache_directory, a.schema_location)
         report = one.convert(a.output, display_uuid=not a.omit_uuid, compression=a.compression, rgb=a.rgb, quality=a.quality)
     with open(a.output_json, "w", encoding="utf-8") if a.output_json else nullcontext(sys.stdout) as out:
         if a.manifest:  # one at a time, as there may be many
+            print("[", file=out)
             for n, one in enumerate(report):
-                print("[" if n == 0 else ",", report_text(one), sep="\n", file=out)
+                print("," * (n > 0), report_text(one), file=out)
             print("]", file=out)
         else:
             print(report_text(report), file=out)

@@ -7,12 +7,14 @@ differs, given to ``register``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from ..functions.omexml import EMBEDDED_XML, SCANNER_XML, parsed
+from ..functions.omexml import EMBEDDED_XML, SCANNER_XML, first_map_annotation, parsed
 from .lineage import leaves
 
 #: Pixel types that OME names otherwise.
@@ -211,3 +213,17 @@ def image_features(
     given = {"physical_size_x": physical_size_x, "physical_size_y": physical_size_y}
     top = top.withColumns({k: F.lit(None if v is None else str(v)).cast("string") for k, v in given.items()})
     return features_of(top, profile, rename, significant_bits)
+
+
+def annotated(
+    features: DataFrame, documents: DataFrame, by: tuple[str, ...] = ("path", "series"), xml_col: str = "xml",
+    find: Callable[[Column], Column] = first_map_annotation,
+) -> DataFrame:
+    """Features with a column ``annotation``, the one that ``find`` gives of an image's document.
+
+    Images without a document, or with one that has no annotation, stay with a null. Of
+    repeated documents of an image the least text counts, so that no image is repeated; a
+    null key meets none. Only keys and annotations are joined, not the documents.
+    """
+    own = documents.groupBy(*by).agg(F.min(xml_col).alias(xml_col))
+    return features.drop("annotation").join(own.select(*by, find(F.col(xml_col)).alias("annotation")), [*by], "left")

@@ -505,9 +505,8 @@ def features_annotation_merge(spark, sf_dir):
     note = lambda name: F.format_string('<MapAnnotation ID="%s" Namespace="n"><Value><M K="k">%d</M></Value></MapAnnotation>', F.lit(name), F.col(name))
     notes = F.when(F.col("doc_id") % 2 == 0, F.concat(note("quality"), note("toxic"))).otherwise("")
     xml = F.concat(F.lit("<OME><StructuredAnnotations>"), notes, F.lit("</StructuredAnnotations></OME>"))
-    found = l.select("doc_id", omexml.first_annotation(xml).alias("a"))
-    found = found.select("doc_id", F.col("a._ID").alias("note_id"), F.get("a.Value.M", 0)["_VALUE"].alias("note"))
-    return t(spark, sf_dir, "documents").select("doc_id", "lang").join(found, "doc_id", "left")
+    found = profiles.annotated(t(spark, sf_dir, "documents").select("doc_id", "lang"), l.select("doc_id", xml.alias("xml")), ("doc_id",), find=omexml.first_annotation)
+    return found.select("doc_id", "lang", F.col("annotation._ID").alias("note_id"), F.get("annotation.Value.M", 0)["_VALUE"].alias("note"))
 
 
 def annotation_anywhere(spark, sf_dir):

@@ -198,8 +198,8 @@ def convert_images(
     strict: bool = False, tile_size: int = 512, downsample: str = "simple", reports: str | None = None,
 ) -> DataFrame:
     """Converts all images of a manifest; one row each with the report in columns: path,
-    series, ome, input_file, output_file, options, conversion_stats; and invalid_reason, where
-    the schema rejects the document.
+    series, ome, input_file, output_file, options, conversion_stats, versions (a map); and
+    invalid_reason, where the schema rejects the document.
 
     ``strict``: an error for a document that the schema rejects, before any file is
     written; otherwise it is reported and a warning logged. ``reports``: a folder in which
@@ -244,6 +244,7 @@ def convert_images(
                 S.run_time(F.col("finished") - F.lit(started)).alias("run_time"), S.size_ratio(F.col("o.size_bytes"), F.col("i.size_bytes")).alias("compression_ratio"),
             ).alias("conversion_stats"),
             "invalid_reason",
+            F.create_map(*(F.lit(x) for pair in versions(spark).items() for x in pair)).alias("versions"),
         )
         reports = reports or f"{folder}-reports"
         rows.write.parquet(reports)
@@ -368,14 +369,14 @@ class Converter:
             ).orderBy("series").collect()
         finally:
             remove_folder(self.spark, folder)
-        reports = [report_of(r.asDict(recursive=True), versions(self.spark)) for r in rows]
+        reports = [report_of(r.asDict(recursive=True)) for r in rows]
         return reports[0] if isinstance(self.series, int) else reports
 
 
-def report_of(row: dict, found: dict[str, str]) -> dict:
+def report_of(row: dict) -> dict:
     """The report of a row of ``convert_images``; its names are public ones, which must stay."""
-    names = ("ome", "input_file", "output_file", "options", "conversion_stats")
-    return {n: row[n] for n in names} | {"versions": found}
+    names = ("ome", "input_file", "output_file", "options", "conversion_stats", "versions")
+    return {n: row[n] for n in names}
 
 
 def report_text(report: dict | list[dict]) -> str:

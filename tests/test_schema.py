@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import omexml, xsd
+from tessella.operators import profiles
 from tessella.plans import catalogue
 
 TYPES = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" targetNamespace="urn:t" xmlns="urn:t" elementFormDefault="qualified">
@@ -97,3 +98,17 @@ def test_elements_anywhere(spark):
     assert len(omexml.found_elements(xml, "MapAnnotation", ns, 1)) == 1 and len(omexml.found_elements(xml, "MapAnnotation", None, None)) == 3
     rows = spark.createDataFrame([(xml,), (None,), ("<a",), ("<OME/>",)], "xml string").select(omexml.first_map_annotation(F.col("xml")).alias("a")).collect()
     assert rows[0].a.attributes == {"ID": "1"} and [r.a for r in rows[1:]] == [None] * 3
+
+
+def test_features_with_annotations(spark):
+    """One to one; images without a document or an annotation stay, repeated documents count once."""
+    head = f'<o:OME xmlns:o="{omexml.OME_NAMESPACE}"><o:Image>'
+    xml = [(p, s, f'{head}<o:MapAnnotation ID="{p}{s}"/></o:Image></o:OME>', 1) for p, s in (("a", 0), ("a", 1), ("d", 0))]
+    xml += [xml[0], ("b", 0, f"{head}</o:Image></o:OME>", 2), ("c", 0, None, 3), (None, 0, xml[0][2], 4)]
+    documents = spark.createDataFrame(xml, "path string, series int, xml string, annotation int")
+    features = spark.createDataFrame([(p, s, "old") for p, s in (("a", 0), ("a", 1), ("b", 0), ("c", 0), ("e", 0), (None, 0))], "path string, series int, annotation string")
+    rows = profiles.annotated(features, documents).collect()
+    found = {(r.path, r.series): r.annotation and r.annotation.attributes["ID"] for r in rows}
+    assert len(rows) == 6 and found == {("a", 0): "a0", ("a", 1): "a1", ("b", 0): None, ("c", 0): None, ("e", 0): None, (None, 0): None}
+    assert profiles.annotated(features, documents.limit(0)).where("annotation IS NULL").count() == 6
+    assert profiles.annotated(features.limit(0), documents).count() == 0
