@@ -370,6 +370,16 @@ def test_page_structure_in_any_session(spark, plain):
         assert sorted(map(tuple, p.collect())) == want and p.where("level = 0").union(p.where("level = 1")).count() == len(want)
 
 
+def test_jpeg_pixels_are_compared_in_tasks_by_vectors(spark, monkeypatch):
+    """However few bytes they compress to: adaptive execution made one task of them all."""
+    from tessella.plans import catalogue
+
+    monkeypatch.setattr(catalogue, "COMPARED", 100, raising=False)
+    df = catalogue.tiff_pixels_jpeg(spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() == 5
+    assert sorted(map(tuple, df.collect())) == [(i, 64, 0) for i in range(500)]
+
+
 @pytest.mark.parametrize("rows", [1, 256, 257])
 def test_pixels_of_level_in_any_session(spark, plain, tmp_path, rows):
     from tessella.plans import catalogue
