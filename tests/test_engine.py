@@ -1,4 +1,5 @@
 import json
+import tracemalloc
 import xml.etree.ElementTree as ET
 
 import numpy as np
@@ -34,6 +35,20 @@ def test_lzw_round_trip(data):
     assert lzw.decode(lzw.encode_many([data])[0]) == data
 
 
+def test_lzw_memory_does_not_grow_with_the_tiles():
+    """Tables of the lanes of all tiles stood side by side, 64 KB each."""
+    rng = np.random.default_rng(4)
+    tiles = [rng.integers(0, 7, int(n)).astype(np.uint8).tobytes() for n in rng.integers(0, 300, 4000)]
+    tiles[7] = rng.integers(0, 7, 30000).astype(np.uint8).tobytes()
+    tracemalloc.start()
+    try:
+        streams = lzw.encode_many(tiles)
+        assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    finally:
+        tracemalloc.stop()
+    assert [lzw.decode(x) for x in streams] == tiles
+
+
 def test_lzw_long_random():
     data = np.random.default_rng(0).integers(0, 256, 60_000, np.uint8).tobytes()
     assert lzw.decode(lzw.encode_many([data])[0]) == data
