@@ -3,6 +3,7 @@ import tracemalloc
 import xml.etree.ElementTree as ET
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -395,6 +396,27 @@ def test_jpeg_pixels_are_compared_in_tasks_by_vectors(spark, monkeypatch):
     assert sorted(map(tuple, df.collect())) == [(i, 64, 0) for i in range(500)]
 
 
+def test_segments_hold_few_tiles_at_once(tmp_path):
+    """Of wide numbers as of narrow ones; twice the bytes were held for 64 bits as for 32."""
+    from tessella.sinks import ometiff
+
+    rng, n = np.random.default_rng(5), 4096
+    data = [rng.normal(size=(32, 32)).tobytes() for _ in range(n)]
+    index = ["p"] * n, [0] * n, [0] * n, [0] * n, range(n), [0] * n, [32] * n, [32] * n, [32 * n] * n, [32] * n, ["float64"] * n, data, [1] * n
+    tiles = pd.DataFrame(dict(zip([*pyramid.NAMES, "samples"], index, strict=True)))
+    segment = ometiff.Segment(str(tmp_path), ometiff.Form("Uncompressed", 32))
+    tracemalloc.start()
+    try:
+        out = segment.add(tiles)
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
+        segment.close()
+    assert out["offset"].tolist() == [8192 * k for k in range(n)] and set(out["length"]) == {8192}
+    written = np.fromfile(segment.path, ">f8").astype(np.float64)
+    assert written.tobytes() == b"".join(data)
+
+
 @pytest.mark.parametrize("rows", [1, 256, 257])
 def test_pixels_of_level_in_any_session(spark, plain, tmp_path, rows):
     from tessella.plans import catalogue
