@@ -4,6 +4,7 @@ import xml.etree.ElementTree as ET
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -417,6 +418,25 @@ def test_segments_hold_few_tiles_at_once(tmp_path):
     assert written.tobytes() == b"".join(data)
 
 
+def test_small_parts_are_handed_on_by_their_number(spark):
+    """A hundred thousand parts of a few pixels came to no more bytes than a task gathered."""
+    class Caught:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    n = 5000
+    data = [np.arange(64, dtype=np.float64).tobytes()] * n
+    columns = [[str(i) for i in range(n)], *([0] * n for _ in range(5)), *([8] * n for _ in range(4)), ["float64"] * n, data]
+    names = ["path", "series", "level", "c", "y0", "x0", "h", "w", "height", "width", "dtype", "data"]
+    out = list(pyramid.cut_parts(Caught(), 6)(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)])))
+    assert max(map(len, out)) <= 4096 and sum(map(len, out)) == 4 * n
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["path"], r["ty"], r["tx"], r["h"], r["w"]) for r in rows] == [(str(i), y, x, (6, 2)[y], (6, 2)[x]) for i in range(n) for y in (0, 1) for x in (0, 1)]
+
+
 @pytest.mark.parametrize("rows", [1, 256, 257])
 def test_pixels_of_level_in_any_session(spark, plain, tmp_path, rows):
     from tessella.plans import catalogue
